@@ -110,15 +110,24 @@ def hash_rank(
     out: str = "rank",
     total: str | None = None,
     salt: Sequence[Column] = (),
+    weight: str | None = None,
 ) -> DataFrame:
-    """0-based position of each row in the seeded shuffle of its group."""
+    """0-based position of each row in the seeded shuffle of its group.
+
+    With ``weight``, the sum of the weights of the rows before it instead.
+    """
     keys = list(keys)
     cut = df.withColumn("_hex", draw_hex(seed, *salt, *ids)).withColumn(
         "_bucket", F.substring("_hex", 1, 2)
     )
-    joined = _with_offsets(cut.withColumn("_one", F.lit(1).cast("long")), keys, ["_one"])
+    w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    joined = _with_offsets(cut.withColumn("_one", w), keys, ["_one"])
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_hex", *ids)
-    ranked = joined.withColumn(out, F.col("_off__one") + F.row_number().over(inside) - 1)
+    if weight:
+        here = F.coalesce(F.sum("_one").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    else:
+        here = F.row_number().over(inside) - 1
+    ranked = joined.withColumn(out, F.col("_off__one") + here)
     if total:
         ranked = ranked.withColumn(total, F.col("_one_total"))
     return ranked.drop("_hex", "_bucket", "_one", "_off__one", "_one_total")

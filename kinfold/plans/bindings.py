@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_int
-from kinfold.functions.ranking import array_split_part, hash_rank
+from kinfold.operators.splits import group_folds
 
 CLASSES = ("F", "O", "P")
 
@@ -221,13 +221,6 @@ def hex_sql(seed, *parts: str) -> str:
     return f"md5(concat_ws('|', '{seed}', {inner}))"
 
 
-def group_folds(df: DataFrame, group: str, n_folds: int, seed: int) -> DataFrame:
-    """(group, fold): distinct groups dealt in seeded order into near-equal chunks."""
-    groups = df.where(F.col(group).isNotNull()).select(group).distinct()
-    ranked = hash_rank(groups, [], [group], seed, total="_n")
-    return ranked.select(group, array_split_part(F.col("rank"), F.col("_n"), n_folds).alias("fold"))
-
-
 def group_folds_sql(source: str, group: str, n_folds: int, seed: int, out: str) -> str:
     return (
         f"{out} AS (SELECT {group}, CAST(ntile({n_folds}) OVER (ORDER BY {hex_sql(seed, group)}, {group}) - 1 AS INTEGER) AS fold "
