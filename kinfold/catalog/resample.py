@@ -1,0 +1,288 @@
+"""R: resampling inference."""
+
+from pyspark.sql import functions as F
+
+from kinfold.catalog.metrics import class_metrics_sql, ovr_sql, ranking_sql, rounded, spearman_sql
+from kinfold.catalog.reference import draws_sql, interval_sql
+from kinfold.catalog.registry import query
+from kinfold.operators import metrics as M
+from kinfold.operators import resample as S
+from kinfold.plans import bindings as B
+
+C = B.CLASSES
+N = 40
+P = B.predictions_sql()
+PQ = f"{P}, q AS (SELECT *, {B.PRED_SQL} AS pred FROM preds)"
+PAIR = f"{PQ}, {B.shares_sql('joined', 'b', 'pb')}, qb AS (SELECT *, {B.PRED_SQL} AS pred FROM pb)"
+OUT = "round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_suppressed"
+
+
+def preds(spark, sf, arm="a", unit="gene"):
+    return M.predicted(B.predictions(spark, sf, arm=arm, unit=unit), proba="proba", classes=C)
+
+
+def f1(fold="fold", pred="pred"):
+    return S.MacroF1("label", pred, C, fold, 5)
+
+
+def tidy(df):
+    return rounded(df.drop("discard_frac"), *[c for c in df.columns if c.startswith("point") or c in ("ci_low", "ci_high")])
+
+
+def fold_mean(inner, value, n=5):
+    return f"SELECT boot, CASE WHEN count({value}) = {n} THEN avg({value}) END AS value FROM ({inner}) GROUP BY boot"
+
+
+_AUC_W = f"o AS ({ovr_sql('preds', 'gene, fold')}), ow AS (SELECT boot, fold, cls, y, score, w FROM o JOIN draws USING (gene))"
+_AUC_V = f"SELECT boot, fold, CASE WHEN count(auroc) = 3 THEN avg(auroc) END AS a FROM ({ranking_sql('ow', 'boot, fold, cls', w='w')}) GROUP BY 1, 2"
+_AUC_P = f"SELECT avg(a) AS point FROM (SELECT fold, avg(auroc) AS a FROM ({ranking_sql('o', 'fold, cls')}) GROUP BY 1)"
+
+
+@query(
+    "r1_cluster_bootstrap",
+    f"""WITH {PQ}, {draws_sql('preds', 'gene', N, 3)}, w AS (SELECT boot, fold, label, pred, w FROM q JOIN draws USING (gene)), {_AUC_W},
+    vf AS ({fold_mean(class_metrics_sql('w', 'boot, fold', 'w'), 'macro_f1')}), va AS ({fold_mean(_AUC_V, 'a')}), pf AS (SELECT avg(macro_f1) AS point FROM ({class_metrics_sql('q', 'fold')})), pa AS ({_AUC_P})
+    SELECT 'macro_f1' AS metric, round(point, 6) AS point, n_resamples, n_discarded, {OUT} FROM pf, ({interval_sql('vf', N)}) UNION ALL
+    SELECT 'macro_auroc', round(point, 6), n_resamples, n_discarded, {OUT} FROM pa, ({interval_sql('va', N)})""",
+)
+def r1(spark, sf):
+    stats = {"macro_f1": f1(), "macro_auroc": S.MacroAuroc("label", "proba", C, "fold", 5)}
+    return tidy(S.bootstrap_interval(preds(spark, sf), stats, cluster="gene", n_boot=N, seed=3))
+
+
+@query("r1_draw_table", f"WITH {B.VARIANTS_SQL}, {draws_sql('variants', 'gene', N, 3)} SELECT CAST(boot AS INTEGER) AS boot, gene, w AS weight FROM draws")
+def r1_draws(spark, sf):
+    return S.cluster_draws(B.variants(spark, sf).select("gene").distinct(), cluster="gene", n_boot=N, seed=3)
+
+
+_STRATA = "st AS (SELECT gene AS g2, concat_ws('|', min(fold), list_aggregate(list_sort(list(DISTINCT label)), 'string_agg', ',')) AS stratum FROM preds GROUP BY gene)"
+
+
+@query("r2_class_presence_strata", f"WITH {P}, {_STRATA} SELECT g2 AS gene, stratum FROM st")
+def r2(spark, sf):
+    return S.class_presence_strata(preds(spark, sf), cluster="gene", folds=["fold"], label="label")
+
+
+@query("r2_strata_unavailable", f"WITH {P} SELECT DISTINCT family, CAST(NULL AS VARCHAR) AS stratum FROM preds")
+def r2_none(spark, sf):
+    """Families span the folds of a gene split, so no stratum is offered."""
+    return S.class_presence_strata(preds(spark, sf), cluster="family", folds=["fold"], label="label")
+
+
+@query(
+    "r2_stratified_bootstrap",
+    f"""WITH {PQ}, {_STRATA}, j AS (SELECT gene, stratum FROM preds JOIN st ON gene = g2), {draws_sql('j', 'gene', N, 4, strata='stratum')}, w AS (SELECT boot, fold, label, pred, w FROM q JOIN draws USING (gene)),
+    v AS ({fold_mean(class_metrics_sql('w', 'boot, fold', 'w'), 'macro_f1')}), p AS (SELECT avg(macro_f1) AS point FROM ({class_metrics_sql('q', 'fold')}))
+    SELECT 'macro_f1' AS metric, round(point, 6) AS point, n_resamples, n_discarded, {OUT} FROM p, ({interval_sql('v', N)})""",
+)
+def r2_boot(spark, sf):
+    rows = preds(spark, sf)
+    strata = S.class_presence_strata(rows, cluster="gene", folds=["fold"], label="label")
+    return tidy(S.bootstrap_interval(rows, {"macro_f1": f1()}, cluster="gene", n_boot=N, seed=4, strata=strata))
+
+
+@query(
+    "r3_row_bootstrap",
+    f"""WITH {B.BINARY_SQL}, {draws_sql('binrows', 'row_id', N, 5, strata='family')}, w AS (SELECT boot, y, score, w FROM binrows JOIN draws USING (row_id)),
+    v AS (SELECT boot, auroc AS value FROM ({ranking_sql('w', 'boot', w='w')})), p AS (SELECT auroc AS point FROM ({ranking_sql('binrows', '')})) SELECT round(point, 6) AS point, n_resamples, n_discarded, {OUT} FROM p, ({interval_sql('v', N)})""",
+)
+def r3(spark, sf):
+    rows = B.binary(spark, sf).withColumn("fold", F.lit(0))
+    return tidy(S.row_bootstrap(rows, S.BinaryAuroc("y", "score", "fold", 1), row_id="row_id", stratum="family", n_boot=N, seed=5))
+
+
+@query(
+    "r4_subsample_interval",
+    f"""WITH {B.VARIANTS_SQL}, d AS (SELECT gene, unnest(range(0, {N})) AS boot FROM (SELECT DISTINCT gene FROM variants)), r AS (SELECT *, row_number() OVER (PARTITION BY boot ORDER BY {B.hex_sql(6, 'boot', 'gene')}, gene) - 1 AS k, count(*) OVER (PARTITION BY boot) AS n FROM d),
+    v AS (SELECT boot, avg(score) AS value FROM variants JOIN r USING (gene) WHERE k < round(n * 0.632) GROUP BY 1), p AS (SELECT avg(score) AS point FROM variants) SELECT round(point, 4) AS point, n_resamples, n_discarded, round(ci_low, 4) AS ci_low, round(ci_high, 4) AS ci_high, ci_suppressed FROM p, ({interval_sql('v', N)})""",
+)
+def r4(spark, sf):
+    out = S.subsample_interval(B.variants(spark, sf), S.MeanOf("score"), cluster="gene", n_boot=N, seed=6)
+    return out.drop("discard_frac").withColumns({c: F.round(c, 4) for c in ("point", "ci_low", "ci_high")})
+
+
+def diff_sql(draw_a, draw_b, cluster_a, cluster_b, src_a="q", src_b="qb"):
+    return f"""wa AS (SELECT boot, fold, label, pred, w FROM {src_a} JOIN {draw_a} USING ({cluster_a})), wb AS (SELECT boot, fold, label, pred, w FROM {src_b} JOIN {draw_b} USING ({cluster_b})),
+    va AS ({fold_mean(class_metrics_sql('wa', 'boot, fold', 'w'), 'macro_f1')}), vb AS ({fold_mean(class_metrics_sql('wb', 'boot, fold', 'w'), 'macro_f1')}), v AS (SELECT boot, va.value - vb.value AS value FROM va JOIN vb USING (boot)),
+    pa AS (SELECT avg(macro_f1) AS point_a FROM ({class_metrics_sql(src_a, 'fold')})), pb AS (SELECT avg(macro_f1) AS point_b FROM ({class_metrics_sql(src_b, 'fold')}))
+    SELECT round(point_a, 6) AS point_a, round(point_b, 6) AS point_b, round(point_a - point_b, 6) AS point, n_resamples, n_discarded, {OUT} FROM pa, pb, ({interval_sql('v', N)})"""
+
+
+@query("r5_paired_difference", f"WITH {PAIR}, {draws_sql('preds', 'gene', N, 7)}, {diff_sql('draws', 'draws', 'gene', 'gene')}")
+def r5(spark, sf):
+    return tidy(S.paired_difference(preds(spark, sf), preds(spark, sf, "b"), f1(), f1(), cluster="gene", n_boot=N, seed=7))
+
+
+_HALVES = "ha AS (SELECT * FROM q WHERE gene % 3 <> 0), hb AS (SELECT * FROM qb WHERE gene % 4 <> 0), sa AS (SELECT * FROM ha WHERE gene IN (SELECT gene FROM hb)), sb AS (SELECT * FROM hb WHERE gene IN (SELECT gene FROM ha))"
+
+
+@query("r6_shared_cluster_difference", f"WITH {PAIR}, {_HALVES}, {draws_sql('sa', 'gene', N, 8)}, {diff_sql('draws', 'draws', 'gene', 'gene', 'sa', 'sb')}")
+def r6(spark, sf):
+    a, b = preds(spark, sf).where("gene % 3 <> 0"), preds(spark, sf, "b").where("gene % 4 <> 0")
+    return tidy(S.paired_difference_shared(a, b, f1(), f1(), cluster="gene", n_boot=N, seed=8))
+
+
+@query("r7_independent_difference", f"WITH {PAIR}, {draws_sql('q', 'gene', N, '9a', 'da')}, {draws_sql('qb', 'gene', N, '9b', 'db')}, {diff_sql('da', 'db', 'gene', 'gene')}")
+def r7(spark, sf):
+    return tidy(S.independent_difference(preds(spark, sf), preds(spark, sf, "b"), f1(), f1(), cluster_a="gene", cluster_b="gene", n_boot=N, seed=9))
+
+
+@query(
+    "r8_cross_partition_difference",
+    f"""WITH {PAIR}, {draws_sql('preds', 'family', N, 10, 'dc')}, {draws_sql('preds', 'gene', N, 10, 'df')}, c AS (WITH {diff_sql('dc', 'dc', 'family', 'family')}), f AS (WITH {diff_sql('df', 'df', 'gene', 'gene')})
+    SELECT *, 'coarse' AS unit FROM c UNION ALL SELECT *, 'fine' FROM f""",
+)
+def r8(spark, sf):
+    return tidy(S.cross_partition_difference(preds(spark, sf), preds(spark, sf, "b"), f1(), f1(), coarse="family", fine="gene", n_boot=N, seed=10))
+
+
+@query(
+    "r9_draw_values",
+    f"WITH {PQ}, {draws_sql('preds', 'family', N, 11)}, w AS (SELECT boot, fold, label, pred, w FROM q JOIN draws USING (family)), vf AS ({fold_mean(class_metrics_sql('w', 'boot, fold', 'w'), 'macro_f1')}) SELECT 'macro_f1' AS metric, CAST(boot AS INTEGER) AS boot, round(value, 6) AS value FROM vf",
+)
+def r9(spark, sf):
+    return rounded(S.bootstrap_values(preds(spark, sf), {"macro_f1": f1()}, cluster="family", n_boot=N, seed=11), "value")
+
+
+@query(
+    "r9_rank_correlation_draws",
+    f"""WITH {P}, {draws_sql('preds', 'gene', 5, 12)}, rep AS (SELECT boot, fold, score, gene_score FROM (SELECT boot, fold, score, gene_score, unnest(range(0, w)) AS k FROM preds JOIN draws USING (gene))),
+    v AS (SELECT boot, avg(rho) AS value FROM ({spearman_sql('rep', 'boot, fold', 'score', 'gene_score')}) GROUP BY 1) SELECT 'rho' AS metric, CAST(boot AS INTEGER) AS boot, round(value, 6) AS value FROM v""",
+)
+def r9_rho(spark, sf):
+    """The checking SQL repeats the drawn rows; here a weight stands for the repetition."""
+    s = S.SpearmanRho("score", "gene_score", "fold", 5)
+    return rounded(S.bootstrap_values(B.predictions(spark, sf), {"rho": s}, cluster="gene", n_boot=5, seed=12), "value")
+
+
+@query(
+    "r10_percentile_summary",
+    f"""WITH {B.LOG_SQL}, v AS (SELECT gene, CASE WHEN row_id % 150 <> 0 THEN latency END AS value FROM prediction_log WHERE gene < 40), n AS (SELECT gene, count(*) AS c FROM v GROUP BY 1)
+    SELECT gene, n_resamples, n_discarded, round(1 - n_resamples / 60::DOUBLE, 6) AS discard_frac, {OUT} FROM ({interval_sql('v', 60, 'gene')})""",
+)
+def r10(spark, sf):
+    v = B.prediction_log(spark, sf).where("gene < 40").select("gene", F.when(F.col("row_id") % 150 != 0, F.col("latency")).alias("value"))
+    return rounded(S.percentile_summary(v, value="value", n_boot=60, keys=["gene"]), "discard_frac", "ci_low", "ci_high")
+
+
+@query("r11_cluster_unit", f"WITH {B.ATTRIBUTES_SQL} SELECT gene, coalesce(family, 'gene_' || gene) AS unit FROM attributes")
+def r11(spark, sf):
+    return B.attributes(spark, sf).select("gene", S.cluster_unit("family", "gene").alias("unit"))
+
+
+@query(
+    "r12_paired_arms",
+    f"""WITH {PAIR}, j AS (SELECT a.row_id, a.label, a.gene, a.fold, a.pred AS pa, b.pred AS pb FROM q a JOIN qb b USING (row_id)), {draws_sql('j', 'gene', N, 13)}, qa2 AS (SELECT gene, fold, label, pa AS pred FROM j), qb2 AS (SELECT gene, fold, label, pb AS pred FROM j),
+    {diff_sql('draws', 'draws', 'gene', 'gene', 'qa2', 'qb2')}""",
+)
+def r12(spark, sf):
+    rows = S.pair_arms(preds(spark, sf), preds(spark, sf, "b"), row_id="row_id", label="label", keep=["gene"], value="pred")
+    return tidy(S.paired_difference(rows, rows, f1("fold_a", "pred_a"), f1("fold_b", "pred_b"), cluster="gene", n_boot=N, seed=13))
+
+
+_V = "WITH v AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE (value - 80) / 100 END AS d, event_id % 7 = 0 AS sup FROM events), i AS (SELECT event_id, d, d - 0.2 AS lo, d + 0.3 AS hi, sup, d >= 0.1 AS passed, abs(d) < 0.25 AS near FROM v)"
+
+
+@query(
+    "r13_verdicts",
+    f"""{_V} SELECT event_id, CASE WHEN passed IS NULL THEN 'not adjudicated (no point estimate)' WHEN sup OR lo IS NULL THEN CASE WHEN passed THEN 'pass, no CI' ELSE 'fail, no CI' END
+      WHEN passed AND lo > 0 THEN 'pass, established (CI excludes zero)' WHEN passed THEN 'pass on point estimate, not distinguishable (CI spans zero)' WHEN hi >= 0.1 THEN 'fail, underpowered (CI spans the threshold)' ELSE 'fail, established (CI excludes the threshold)' END AS difference,
+    CASE WHEN near IS NULL THEN 'not adjudicated (no point estimate)' WHEN sup OR lo IS NULL THEN CASE WHEN near THEN 'pass, no CI' ELSE 'fail, no CI' END
+      WHEN near AND lo > -0.25 AND hi < 0.25 THEN 'pass, established (CI within equivalence band)' WHEN near THEN 'pass on point estimate, not established (CI exceeds equivalence band)'
+      WHEN lo > 0.25 OR hi < -0.25 THEN 'fail, established (CI outside equivalence band)' ELSE 'fail, underpowered (CI overlaps equivalence band)' END AS equivalence,
+    CASE WHEN d IS NULL THEN 'not adjudicated (no point estimate)' WHEN sup OR lo IS NULL THEN CASE WHEN d >= 0.3 THEN 'pass, no CI' ELSE 'fail, no CI' END WHEN d >= 0.3 AND lo > 0.3 THEN 'pass, established (CI excludes the threshold)'
+      WHEN d >= 0.3 THEN 'pass on point estimate, not distinguishable (CI covers the threshold)' WHEN hi >= 0.3 THEN 'fail, underpowered (CI covers the threshold)' ELSE 'fail, established (CI excludes the threshold)' END AS level FROM i""",
+)
+def r13(spark, sf):
+    v = B.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 11 != 0, (F.col("value") - 80) / 100).alias("d"), (F.col("event_id") % 7 == 0).alias("sup"))
+    i = v.withColumns({"lo": F.col("d") - 0.2, "hi": F.col("d") + 0.3, "passed": F.col("d") >= 0.1, "near": F.abs("d") < 0.25})
+    return i.select(
+        "event_id", S.difference_verdict("passed", "lo", "hi", "sup", 0.1).alias("difference"), S.equivalence_verdict("near", "lo", "hi", "sup", 0.25).alias("equivalence"), S.level_verdict("d", "lo", "hi", "sup", 0.3).alias("level")
+    )
+
+
+def permute_sql(src, unit, n, seed, out="permuted"):
+    return f"""u AS (SELECT {unit} AS unit, min(fold) AS fold, min(label) AS label FROM {src} GROUP BY 1), nb AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql('base', 'unit')}, unit) AS pos FROM u),
+    pd AS (SELECT *, unnest(range(0, {n})) AS perm FROM nb), mv AS (SELECT perm, fold, label, row_number() OVER (PARTITION BY perm, fold ORDER BY {B.hex_sql(seed, 'perm', 'unit')}, unit) AS pos FROM pd),
+    {out} AS (SELECT pd.perm, pd.unit AS {unit}, pd.fold, mv.label FROM pd JOIN mv ON pd.perm = mv.perm AND pd.fold = mv.fold AND pd.pos = mv.pos)"""
+
+
+@query("r14_permute_rows", f"WITH {P}, {permute_sql('preds', 'row_id', 3, 14)} SELECT CAST(perm AS INTEGER) AS perm, row_id, fold, label FROM permuted")
+def r14(spark, sf):
+    return S.permute_within_folds(preds(spark, sf), unit="row_id", label="label", fold="fold", n=3, seed=14)
+
+
+_GENE = B.predictions_sql(unit="family").replace("o_orderstatus AS label", "substr('FOP', CAST(1 + o_custkey % 3 AS BIGINT), 1) AS label")
+
+
+def gene_preds(spark, sf):
+    rows = B.variants(spark, sf).withColumn("label", F.substring(F.lit("FOP"), (1 + F.col("gene") % 3).cast("int"), F.lit(1)))
+    return B.with_shares(rows.join(B.group_folds(rows, "family", 5, 0), "family"), "a")
+
+
+@query("r14_permute_groups", f"WITH {_GENE}, {permute_sql('preds', 'gene', 4, 15)} SELECT CAST(perm AS INTEGER) AS perm, gene, fold, label FROM permuted")
+def r14_groups(spark, sf):
+    return S.permute_within_folds(gene_preds(spark, sf), unit="gene", label="label", fold="fold", n=4, seed=15)
+
+
+_SHAPES = "g AS (SELECT family, gene, min(label) AS label, min(fold) AS fold FROM preds GROUP BY 1, 2), sh AS (SELECT family, min(fold) AS fold, count(*) AS size FROM g GROUP BY 1)"
+
+
+@query(
+    "r15_permute_cluster_blocks",
+    f"""WITH {_GENE}, {_SHAPES}, nb AS (SELECT *, row_number() OVER (PARTITION BY fold, size ORDER BY {B.hex_sql('base', 'family')}, family) AS pos FROM sh), pd AS (SELECT *, unnest(range(0, 4)) AS perm FROM nb),
+    mv AS (SELECT perm, fold, size, family AS donor, row_number() OVER (PARTITION BY perm, fold, size ORDER BY {B.hex_sql(16, 'perm', 'family')}, family) AS pos FROM pd), sw AS (SELECT pd.perm, pd.family AS target, donor FROM pd JOIN mv USING (perm, fold, size, pos)),
+    m AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {B.hex_sql('member', 'gene')}, gene) AS k FROM g)
+    SELECT CAST(perm AS INTEGER) AS perm, a.gene, b.label FROM sw JOIN m a ON a.family = target JOIN m b ON b.family = donor AND a.k = b.k""",
+)
+def r15(spark, sf):
+    return S.permute_cluster_blocks(gene_preds(spark, sf), group="gene", label="label", cluster="family", fold="fold", n=4, seed=16)
+
+
+@query("r15_immovable_clusters", f"WITH {_GENE}, {_SHAPES} SELECT family, fold, size FROM sh QUALIFY count(*) OVER (PARTITION BY fold, size) = 1")
+def r15_fixed(spark, sf):
+    return S.immovable_clusters(gene_preds(spark, sf), group="gene", cluster="family", fold="fold")
+
+
+@query(
+    "r16_permutation_test",
+    f"""WITH {_GENE}, {permute_sql('preds', 'gene', 10, 17)}, o AS ({ovr_sql('preds', 'fold')}), obs AS ({_AUC_P}), pj AS (SELECT p.perm, p.fold, p.label, proba FROM preds JOIN permuted p USING (gene)), po AS ({ovr_sql('pj', 'perm, fold')}),
+    nul AS (SELECT perm, CASE WHEN count(a) = 5 THEN avg(a) END AS v FROM (SELECT perm, fold, CASE WHEN count(auroc) = 3 THEN avg(auroc) END AS a FROM ({ranking_sql('po', 'perm, fold, cls')}) GROUP BY 1, 2) GROUP BY 1)
+    SELECT round(point, 6) AS observed, count(v) AS n_permutations, 10 - count(v) AS n_dropped, round((1 + count(*) FILTER (v >= point)) / (1 + count(v))::DOUBLE, 6) AS p_value, round(1 / (1 + count(v))::DOUBLE, 6) AS p_value_resolution,
+    count(*) FILTER (v >= point) = 0 AS resolution_limited, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_std FROM nul, obs GROUP BY point""",
+)
+def r16(spark, sf):
+    t = S.auroc_permutation_test(gene_preds(spark, sf), row_id="row_id", y="label", proba="proba", classes=C, fold="fold", n_folds=5, n=10, seed=17, group="gene")
+    return rounded(t, "observed", "p_value", "p_value_resolution", "null_mean", "null_std")
+
+
+@query("r17_refit_permutation")
+def r17(spark, sf):
+    from kinfold.operators.models import refit_permutation
+
+    rows = B.vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int"))
+    folded = rows.join(B.group_folds(rows, "gene", 2, 0), "gene")
+    return refit_permutation(folded, vec="vec", label="y", row_id="row_id", n_folds=2, n=3, seed=1)
+
+
+@query(
+    "r18_null_standard_score",
+    f"""WITH {B.VARIANTS_SQL}, d AS (SELECT gene % 20 AS draw, avg(score) AS v FROM variants GROUP BY 1), o AS (SELECT max(score) AS observed FROM variants)
+    SELECT round(observed, 4) AS observed, 'available' AS state, CAST(NULL AS VARCHAR) AS reason, round((observed - avg(v)) / stddev_samp(v), 4) AS z_score, round(avg(v), 4) AS null_mean, round(stddev_samp(v), 4) AS null_draw_std, count(*) AS n_null_draws FROM d, o GROUP BY observed
+    UNION ALL SELECT round(observed, 4), 'unavailable', 'incomplete_null_draws', NULL, NULL, NULL, count(*) FROM d, o GROUP BY observed""",
+)
+def r18(spark, sf):
+    rows = B.variants(spark, sf)
+    draws = rows.groupBy((F.col("gene") % 20).alias("draw")).agg(F.avg("score").alias("v"))
+    obs = rows.agg(F.max("score").alias("o"))
+    full = S.null_standard_score(obs, draws, observed="o", value="v", expected=20)
+    short = S.null_standard_score(obs, draws, observed="o", value="v", expected=25)
+    return full.unionByName(short).withColumns({c: F.round(c, 4) for c in ("observed", "z_score", "null_mean", "null_draw_std")})
+
+
+@query(
+    "r19_shuffled_column",
+    f"""WITH {B.VARIANTS_SQL}, a AS (SELECT row_id, row_number() OVER (ORDER BY {B.hex_sql('base', 'row_id')}, row_id) AS pos FROM variants), b AS (SELECT score, row_number() OVER (ORDER BY {B.hex_sql(18, 'row_id')}, row_id) AS pos FROM variants) SELECT row_id, score FROM a JOIN b USING (pos)""",
+)
+def r19(spark, sf):
+    return S.shuffled_column(B.variants(spark, sf).select("row_id", "score"), row_id="row_id", column="score", seed=18)
