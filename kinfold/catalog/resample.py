@@ -13,7 +13,7 @@ C = B.CLASSES
 N = 40
 P = B.predictions_sql()
 PQ = f"{P}, q AS (SELECT *, {B.PRED_SQL} AS pred FROM preds)"
-PAIR = f"{PQ}, {B.shares_sql('joined', 'b', 'pb')}, qb AS (SELECT *, {B.PRED_SQL} AS pred FROM pb)"
+PAIR = f"{PQ}, {B.shares_sql('joined', 'b', 'arm_b')}, qb AS (SELECT *, {B.PRED_SQL} AS pred FROM arm_b)"
 OUT = "round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_suppressed"
 
 
@@ -225,23 +225,29 @@ def r14_groups(spark, sf):
     return S.permute_within_folds(gene_preds(spark, sf), unit="gene", label="label", fold="fold", n=4, seed=15)
 
 
-_SHAPES = "g AS (SELECT family, gene, min(label) AS label, min(fold) AS fold FROM preds GROUP BY 1, 2), sh AS (SELECT family, min(fold) AS fold, count(*) AS size FROM g GROUP BY 1)"
+_SHAPES = """g AS (SELECT family * 100 + gene % 20 AS block, gene, min(label) AS label, min(fold) AS fold FROM preds GROUP BY 1, 2), sh AS (SELECT block, min(fold) AS fold, count(*) AS size FROM g GROUP BY 1)"""
+
+
+def blocks(spark, sf):
+    """Groups with a cluster of a few groups each, inside one family."""
+    return gene_preds(spark, sf).withColumn("block", F.col("family") * 100 + F.col("gene") % 20)
+
 
 
 @query(
     "r15_permute_cluster_blocks",
-    f"""WITH {_GENE}, {_SHAPES}, nb AS (SELECT *, row_number() OVER (PARTITION BY fold, size ORDER BY {B.hex_sql('base', 'family')}, family) AS pos FROM sh), pd AS (SELECT *, unnest(range(0, 4)) AS perm FROM nb),
-    mv AS (SELECT perm, fold, size, family AS donor, row_number() OVER (PARTITION BY perm, fold, size ORDER BY {B.hex_sql(16, 'perm', 'family')}, family) AS pos FROM pd), sw AS (SELECT pd.perm, pd.family AS target, donor FROM pd JOIN mv USING (perm, fold, size, pos)),
-    m AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY {B.hex_sql('member', 'gene')}, gene) AS k FROM g)
-    SELECT CAST(perm AS INTEGER) AS perm, a.gene, b.label FROM sw JOIN m a ON a.family = target JOIN m b ON b.family = donor AND a.k = b.k""",
+    f"""WITH {_GENE}, {_SHAPES}, nb AS (SELECT *, row_number() OVER (PARTITION BY fold, size ORDER BY {B.hex_sql('base', 'block')}, block) AS pos FROM sh), pd AS (SELECT *, unnest(range(0, 4)) AS perm FROM nb),
+    mv AS (SELECT perm, fold, size, block AS donor, row_number() OVER (PARTITION BY perm, fold, size ORDER BY {B.hex_sql(16, 'perm', 'block')}, block) AS pos FROM pd), sw AS (SELECT pd.perm, pd.block AS target, donor FROM pd JOIN mv USING (perm, fold, size, pos)),
+    m AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {B.hex_sql('member', 'gene')}, gene) AS k FROM g)
+    SELECT CAST(perm AS INTEGER) AS perm, a.gene, b.label FROM sw JOIN m a ON a.block = target JOIN m b ON b.block = donor AND a.k = b.k""",
 )
 def r15(spark, sf):
-    return S.permute_cluster_blocks(gene_preds(spark, sf), group="gene", label="label", cluster="family", fold="fold", n=4, seed=16)
+    return S.permute_cluster_blocks(blocks(spark, sf), group="gene", label="label", cluster="block", fold="fold", n=4, seed=16)
 
 
-@query("r15_immovable_clusters", f"WITH {_GENE}, {_SHAPES} SELECT family, fold, size FROM sh QUALIFY count(*) OVER (PARTITION BY fold, size) = 1")
+@query("r15_immovable_clusters", f"WITH {_GENE}, {_SHAPES} SELECT block, fold, size FROM sh QUALIFY count(*) OVER (PARTITION BY fold, size) = 1")
 def r15_fixed(spark, sf):
-    return S.immovable_clusters(gene_preds(spark, sf), group="gene", cluster="family", fold="fold")
+    return S.immovable_clusters(blocks(spark, sf), group="gene", cluster="block", fold="fold")
 
 
 @query(

@@ -19,32 +19,20 @@ from pyspark.sql import functions as F
 from kinfold.functions.hashing import as_col, draw_hex
 
 STEPS = 4096
-_SHIFT = 1100 * STEPS
-_GAP = 60 * STEPS
-
-
-def _magnitude(a: Column) -> Column:
-    exponent = F.floor(F.log2(a))
-    scaled = a * F.pow(F.lit(2.0), -exponent.cast("double"))
-    return exponent * STEPS + F.floor((scaled - 1.0) * STEPS)
+_SHIFT = 1100.0 * STEPS
 
 
 def value_bucket(value: str | Column) -> Column:
     """A bucket number that never decreases with ``value``.
 
-    Buckets are log-linear (4096 per power of two), and mirrored between 1/2 and 1
-    so that probabilities saturating at one stay spread out.
+    Buckets are logarithmic (4096 per power of two) in ``a / (1 - a)`` below one, so
+    that probabilities saturating at zero or one stay spread out, and in ``a`` above.
     """
     x = as_col(value).cast("double")
-    a = F.abs(x)
-    near_one = F.lit(_SHIFT - 2 * STEPS) - _magnitude(F.lit(1.0) - a)
-    b = (
-        F.when(a < 1e-300, F.lit(0))
-        .when(a < 0.5, _magnitude(a) + _SHIFT)
-        .when(a < 1.0, near_one)
-        .otherwise(_magnitude(a) + _SHIFT + _GAP)
-    )
-    return F.when(x < 0, -b).otherwise(b).cast("long")
+    a = F.least(F.abs(x), F.lit(1e290))
+    odds = F.when(a < 1.0, a / (1.0 - a)).otherwise(a * 18014398509481984.0)
+    level = F.floor(F.log2(F.greatest(odds, F.lit(1e-300))) * STEPS) + _SHIFT
+    return (F.signum(x) * level).cast("long")
 
 
 def _over(keys: Sequence[str]):

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.hashing import draw_int
 from kinfold.functions.ranking import hash_rank
 from kinfold.operators import metrics as M
+from kinfold.session import durable
 
 
 def _fold_mean(per_fold: DataFrame, keys: Sequence[str], value: str, n_folds: int | None) -> DataFrame:
@@ -192,20 +193,26 @@ def _summary(values: DataFrame, point: DataFrame, value: str, n_boot: int, ci: f
 
 def bootstrap_values(df: DataFrame, statistics: dict, *, cluster: str, n_boot: int, seed: int, strata: DataFrame | None = None) -> DataFrame:
     """(metric, boot, value): one draw table scores every statistic."""
-    draws = cluster_draws(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed)
+    cells = {name: durable(s.compress(df, cluster)) for name, s in statistics.items()}
+    return _values(df, statistics, cells, cluster, n_boot, seed, strata)
+
+
+def _values(df, statistics: dict, cells: dict, cluster: str, n_boot: int, seed, strata) -> DataFrame:
+    draws = durable(cluster_draws(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
     out = None
     for name, s in statistics.items():
-        v = _drawn(s, s.compress(df, cluster), draws, cluster, "value").select(F.lit(name).alias("metric"), "boot", "value")
+        v = _drawn(s, cells[name], draws, cluster, "value").select(F.lit(name).alias("metric"), "boot", "value")
         out = v if out is None else out.unionByName(v)
     return out
 
 
 def bootstrap_interval(df: DataFrame, statistics: dict, *, cluster: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99, strata: DataFrame | None = None) -> DataFrame:
-    """One interval row per statistic."""
-    values = bootstrap_values(df, statistics, cluster=cluster, n_boot=n_boot, seed=seed, strata=strata)
+    """One interval row per statistic. The compressed cells and the draws are read many times, so they are checkpointed."""
+    cells = {name: durable(s.compress(df, cluster)) for name, s in statistics.items()}
+    values = _values(df, statistics, cells, cluster, n_boot, seed, strata)
     points = None
     for name, s in statistics.items():
-        p = _point(s, s.compress(df, cluster)).withColumn("metric", F.lit(name))
+        p = _point(s, cells[name]).withColumn("metric", F.lit(name))
         points = p if points is None else points.unionByName(p)
     return points.join(percentile_summary(values, value="value", n_boot=n_boot, ci=ci, min_valid=min_valid, keys=["metric"]), "metric", "left")
 
@@ -214,25 +221,25 @@ def row_bootstrap(df: DataFrame, statistic, *, row_id: str, stratum: str, n_boot
     """Resample rows inside each stratum; every stratum keeps its size."""
     strata = df.select(row_id, F.col(stratum).cast("string").alias("stratum"))
     draws = cluster_draws(strata, cluster=row_id, n_boot=n_boot, seed=seed)
-    cells = statistic.compress(df, row_id)
+    cells = durable(statistic.compress(df, row_id))
     return _summary(_drawn(statistic, cells, draws, row_id, "value"), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
 
 def subsample_interval(df: DataFrame, statistic, *, cluster: str, n_boot: int = 1000, seed: int = 0, share: float = 0.632, ci: float = 0.95, min_valid: float = 0.99) -> DataFrame:
     draws = cluster_subsamples(df, cluster=cluster, n_boot=n_boot, seed=seed, share=share)
-    cells = statistic.compress(df, cluster)
+    cells = durable(statistic.compress(df, cluster))
     return _summary(_drawn(statistic, cells, draws, cluster, "value"), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
 
 def paired_difference(a: DataFrame, b: DataFrame, stat_a, stat_b, *, cluster: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99, strata: DataFrame | None = None) -> DataFrame:
     """Arm A minus arm B under one draw for both arms."""
-    draws = cluster_draws(_clusters(a, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed)
+    draws = durable(cluster_draws(_clusters(a, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
     return _difference(a, b, stat_a, stat_b, cluster, draws, draws, n_boot, ci, min_valid)
 
 
 def _difference(a, b, stat_a, stat_b, cluster, draws_a, draws_b, n_boot, ci, min_valid, cluster_b=None) -> DataFrame:
     cb = cluster_b or cluster
-    cells_a, cells_b = stat_a.compress(a, cluster), stat_b.compress(b, cb)
+    cells_a, cells_b = durable(stat_a.compress(a, cluster)), durable(stat_b.compress(b, cb))
     va = _drawn(stat_a, cells_a, draws_a, cluster, "va")
     vb = _drawn(stat_b, cells_b, draws_b, cb, "vb")
     values = va.join(vb, "boot").select("boot", (F.col("va") - F.col("vb")).alias("value"))
@@ -387,8 +394,8 @@ def auroc_permutation_test(df: DataFrame, *, row_id: str, y: str, proba: str, cl
         drawn = permute_cluster_blocks(df, group=unit, label=y, cluster=cluster, fold=fold, n=n, seed=seed)
     else:
         drawn = permute_within_folds(df, unit=unit, label=y, fold=fold, n=n, seed=seed).drop(fold)
-    rows = df.select(unit, fold, proba).join(drawn, unit)
-    cells = stat.compress(rows.withColumn("_unit", F.col("perm")), "_unit")
+    rows = df.select(unit, fold, proba).join(durable(drawn), unit)
+    cells = durable(stat.compress(rows.withColumn("_unit", F.col("perm")), "_unit"))
     nulls = stat.score(cells.withColumnRenamed("_unit", "perm"), ["perm"])
     return permutation_pvalue(observed, nulls, observed_col="point", value="value", n=n)
 
