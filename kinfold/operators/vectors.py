@@ -278,13 +278,13 @@ def principal_shares(df: DataFrame, *, group: str, vec: str, min_rows: int = 3,
         ratio = values / total if total > 0 else np.full(len(values), np.nan)
         return pd.DataFrame([[key, ratio[0], ratio[1] if len(ratio) > 1 else np.nan, abs(float(mean @ axis))]], columns=[group, "pc1_share", "pc2_share", "pc1_mean_abs"])
 
-    def from_rows(key, pdf):
+    def from_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["_x"].to_numpy()).astype("float64")
         mean = x.mean(0)
         _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
         return report(key[0], s**2, vt[0], mean)
 
-    def from_moments(key, pdf):
+    def from_moments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.stack(pdf.sort_values("i")["row"].to_numpy())
         n, mean = g[0, 0], g[0, 1:] / g[0, 0]
         values, axes = np.linalg.eigh(g[1:, 1:] - n * np.outer(mean, mean))
