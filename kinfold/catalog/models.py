@@ -81,7 +81,7 @@ def m4_boosted(spark, sf):
 @query("m5_perceptron")
 def m5(spark, sf):
     rows = three_class(spark, sf)
-    held = P.validation_groups(rows, group="gene", fold="fold", seed=0)
+    held = P.validation_groups(rows, group="gene", fold="fold", n_folds=3, seed=0)
     oof = L.out_of_fold(rows, L.perceptron((16,), 40), row_id="row_id", vec="vec", label="cls", classes=THREE, balance="oversample", held=held, group="gene")
     return score(oof, "cls", THREE)
 

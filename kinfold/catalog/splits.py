@@ -117,7 +117,7 @@ def p9(spark, sf):
 )
 def p10(spark, sf):
     rows = P.assign_group_folds(B.variants(spark, sf).select("row_id", "gene"), group="gene", n_folds=5, seed=0)
-    return P.validation_groups(rows, group="gene", fold="fold", seed=6)
+    return P.validation_groups(rows, group="gene", fold="fold", n_folds=5, seed=6)
 
 
 @query(

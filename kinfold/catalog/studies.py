@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from kinfold.catalog.metrics import class_metrics_sql, ranking_sql, rounded
 from kinfold.catalog.registry import query
 from kinfold.functions.notation import LETTERS
+from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import norm
 from kinfold.operators import groups as G
 from kinfold.operators import metrics as M
@@ -98,7 +99,7 @@ def d3(spark, sf):
         a, b = leak_arms(spark, sf, unit)
         one = D.leakage_fraction(D.leakage_scores(a, b, row_id="row_id", label="label", classes=C), seeds=SEEDS)
         n = B.variants(spark, sf).agg(F.count_if(F.lit(unit == "family") | (F.col("source") != "BUILDING")).alias("n"))
-        one = one.withColumn("leakage", F.round("leakage", 5)).crossJoin(F.broadcast(n))  # one row
+        one = attach_row(one.withColumn("leakage", F.round("leakage", 5)), n)
         parts = one if parts is None else parts.unionByName(one)
     return D.panel_means(parts, value="leakage", weight="n").withColumns({c: F.round(c, 4) + 0.0 for c in ("plain_mean", "weighted_mean")})
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_hex
 from kinfold.functions.notation import reject_reason
+from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, value_rank
 
 
@@ -257,11 +258,11 @@ def coverage_check(
     if mode == "equal":
         missing = missing.unionByName(b.join(a, key, "left_anti").select(F.col(key).cast("string").alias("k")))
     sample = missing.orderBy("k").limit(n_samples).agg(F.array_join(F.sort_array(F.collect_list("k")), ",").alias("sample"))
-    sizes = a.agg(F.count("*").alias("n_left")).crossJoin(b.agg(F.count("*").alias("n_right")))
+    row = a.agg(F.count("*").alias("n_left"))
+    for part in (b.agg(F.count("*").alias("n_right")), missing.agg(F.count("*").alias("n_missing")), sample):
+        row = attach_row(row, part)
     return (
-        sizes.crossJoin(missing.agg(F.count("*").alias("n_missing")))
-        .crossJoin(sample)
-        .select(
+        row.select(
             F.lit(name).alias("check"),
             F.when((F.col("n_left") == 0) | (F.col("n_right") == 0), "INCOMPLETE")
             .when(F.col("n_missing") == 0, "PASS")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.notation import lookup
+from kinfold.functions.rows import attach_row
 
 # Expression-specificity classes as ordinal scores.
 SPECIFICITY = {
@@ -31,7 +32,7 @@ def symbol_degree(edges: DataFrame, *, a: str, b: str, id_pattern: str) -> DataF
     """Degrees, or nothing when most node names look like database ids rather than symbols."""
     degree = undirected_degree(edges, a=a, b=b)
     share = degree.agg(F.avg(F.col("node").rlike(id_pattern).cast("int")).alias("_share"))
-    return degree.crossJoin(F.broadcast(share)).where(F.col("_share") <= 0.5).drop("_share")
+    return attach_row(degree, share).where(F.col("_share") <= 0.5).drop("_share")
 
 
 def two_hop_value(

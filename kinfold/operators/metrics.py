@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.ranking import exact_quantiles, mid_ranks, prefix_sums, value_rank
+from kinfold.functions.rows import attach_row, attach_totals
 from kinfold.functions.vector_expr import argmax_label
 
 
@@ -108,8 +109,7 @@ def prevalence_cut(df: DataFrame, *, y: str, score: str, row_id: str, keys: Sequ
         "flagged", F.bround(F.col("prevalence") * F.col("n")).cast("long")
     )
     ranked = value_rank(df, keys, score, tie=row_id, out="_r", descending=True)
-    # one row per key set
-    joined = ranked.join(size, keys) if keys else ranked.crossJoin(F.broadcast(size))
+    joined = attach_totals(ranked, size, keys)
     top = F.col("_r") < F.col("flagged")
     out = joined.groupBy(*keys).agg(
         F.first("n").alias("n"), F.first("n_pos").alias("n_pos"), F.first("prevalence").alias("prevalence"), F.first("flagged").alias("flagged"),
@@ -145,7 +145,7 @@ def auroc_at_median(df: DataFrame, *, y: str, score: str, keys: Sequence[str] =
     """AUROC with rows at or above the target's median as positives."""
     keys = list(keys)
     median = exact_quantiles(df, keys, y, {"_median": 0.5})
-    joined = df.join(median, keys) if keys else df.crossJoin(F.broadcast(median))  # one row
+    joined = attach_totals(df, median, keys)
     return ranking_metrics(joined.withColumn("_y", (F.col(y) >= F.col("_median")).cast("int")), y="_y", score=score, keys=keys)
 
 
@@ -175,7 +175,7 @@ def weighted_correlation(df: DataFrame, keys: Sequence[str], *, x: str, y: str,
     w = _weight(weight).cast("double")
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     means = df.groupBy(*keys).agg(F.sum(w).alias("_n"), (F.sum(w * a) / F.sum(w)).alias("_ma"), (F.sum(w * b) / F.sum(w)).alias("_mb"))
-    joined = df.join(means, list(keys)) if keys else df.crossJoin(F.broadcast(means))  # one row
+    joined = attach_totals(df, means, keys)
     da, db = a - F.col("_ma"), b - F.col("_mb")
     g = joined.groupBy(*keys).agg(
         F.first("_n").alias("_n"), F.sum(w * da * db).alias("_c"), F.sum(w * da * da).alias("_va"), F.sum(w * db * db).alias("_vb")
@@ -203,7 +203,7 @@ def family_distribution(per_family: DataFrame) -> DataFrame:
         F.count("*").alias("n_families"), F.avg("auroc").alias("mean"), F.stddev_pop("auroc").alias("std"), F.min("auroc").alias("min"), F.max("auroc").alias("max"),
         F.avg((F.col("auroc") < 0.8).cast("double")).alias("share_below_0_8"), F.avg((F.col("auroc") < 0.7).cast("double")).alias("share_below_0_7"),
     )
-    return s.crossJoin(F.broadcast(q)).withColumn("iqr", F.col("q75") - F.col("q25"))
+    return attach_row(s, q).withColumn("iqr", F.col("q75") - F.col("q25"))
 
 
 def extremes(df: DataFrame, *, value: str, tie: str, n: int = 5) -> DataFrame:
@@ -276,4 +276,4 @@ def log_summary(df: DataFrame, *, outcome: str, ok: Column, failed: Column, retr
     t = prefix_sums(df.where(F.col(latency).isNotNull()), [], latency, {"_n": F.lit(1)})
     upto = F.col("_n_before") + F.col("_n")
     at = [F.min(F.when(upto > F.floor(F.col("_n_total") * f), F.col(latency))).alias(name) for name, f in (("p50", 0.5), ("p95", 0.95))]
-    return base.crossJoin(F.broadcast(t.agg(*at)))
+    return attach_row(base, t.agg(*at))

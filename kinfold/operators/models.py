@@ -27,10 +27,10 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from kinfold.functions.hashing import draw_unit
 from kinfold.functions.ranking import hash_rank
+from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import argmax_label, dot
 from kinfold.operators.gram import MAX_DIM, collect_gram, fold_moments, gram_rows, moments, ridge_from_gram
 from kinfold.operators.metrics import class_metrics, spearman
@@ -218,12 +218,7 @@ def fit_folds(
         if balance == "oversample":
             train = oversampled(train, label=label, counts=train_counts, row_id=row_id, seed=seed)
         ready = train.select(array_to_vector(features(f)).alias("features"), _target(label, classes).alias("target"), weight.alias("weight"))
-        ready = ready.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = estimator(n, len(classes), width).fit(ready)
-        finally:
-            ready.unpersist()
-        return f, model, features(f)
+        return f, estimator(n, len(classes), width).fit(ready), features(f)  # the learners cache what they iterate over
 
     return _each(sorted(counts), run)
 
@@ -600,7 +595,7 @@ def permutation_importance(df: DataFrame, model, *, row_id: str, vec: str, names
     per = class_metrics(scored.withColumn("_t", target), y="_t", pred="prediction", classes=[float(i) for i in range(len(classes))], keys=["_j", "_rep"])
     plain = model.transform(base.select(label, array_to_vector(F.col(vec)).alias("features"))).withColumn("_t", target)
     whole = class_metrics(plain, y="_t", pred="prediction", classes=[float(i) for i in range(len(classes))]).select(F.col("balanced_accuracy").alias("_full"))
-    drop = per.crossJoin(F.broadcast(whole)).groupBy("_j").agg(  # one row
+    drop = attach_row(per, whole).groupBy("_j").agg(
         F.avg(F.col("_full") - F.col("balanced_accuracy")).alias("importance"), F.stddev_pop(F.col("_full") - F.col("balanced_accuracy")).alias("spread")
     )
     name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("_j") + 1)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_unit
+from kinfold.functions.rows import attach_totals
 from kinfold.functions.vector_expr import argmax_label
 from kinfold.operators.metrics import class_metrics
 
@@ -16,7 +17,7 @@ def training_counts(df: DataFrame, *, label: str, fold: str = "fold", classes: S
     """(keys, fold, c0…): class counts of the rows outside each fold, as total minus own."""
     own = df.groupBy(*keys, fold).agg(*[F.count_if(F.col(label) == c).alias(f"_o{i}") for i, c in enumerate(classes)])
     total = own.groupBy(*keys).agg(*[F.sum(f"_o{i}").alias(f"_t{i}") for i in range(len(classes))])
-    joined = own.join(total, list(keys)) if keys else own.crossJoin(F.broadcast(total))  # one row
+    joined = attach_totals(own, total, keys)
     return joined.select(*keys, fold, *[(F.col(f"_t{i}") - F.col(f"_o{i}")).alias(f"c{i}") for i in range(len(classes))])
 
 

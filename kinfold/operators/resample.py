@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_int
+from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank
 from kinfold.operators import metrics as M
 from kinfold.session import durable
@@ -131,7 +132,7 @@ def class_presence_strata(df: DataFrame, *, cluster: str, folds: Sequence[str],
     spans = sum([(F.col(f"_lo{i}") != F.col(f"_hi{i}")).cast("int") for i in range(len(folds))], F.lit(0)) > 0
     bad = per.agg(F.count_if(spans).alias("_bad"))
     key = F.concat_ws("|", *[F.col(f"_lo{i}").cast("string") for i in range(len(folds))], F.col("_classes"))
-    return per.crossJoin(F.broadcast(bad)).select(cluster, F.when(F.col("_bad") == 0, key).alias("stratum"))
+    return attach_row(per, bad).select(cluster, F.when(F.col("_bad") == 0, key).alias("stratum"))
 
 
 def _numbered(clusters: DataFrame, cluster: str) -> DataFrame:
@@ -188,7 +189,7 @@ def percentile_summary(values: DataFrame, *, value: str, n_boot: int, ci: float
 
 
 def _summary(values: DataFrame, point: DataFrame, value: str, n_boot: int, ci: float, min_valid: float) -> DataFrame:
-    return point.crossJoin(F.broadcast(percentile_summary(values, value=value, n_boot=n_boot, ci=ci, min_valid=min_valid)))
+    return attach_row(point, percentile_summary(values, value=value, n_boot=n_boot, ci=ci, min_valid=min_valid))
 
 
 def bootstrap_values(df: DataFrame, statistics: dict, *, cluster: str, n_boot: int, seed: int, strata: DataFrame | None = None) -> DataFrame:
@@ -244,7 +245,7 @@ def _difference(a, b, stat_a, stat_b, cluster, draws_a, draws_b, n_boot, ci, min
     vb = _drawn(stat_b, cells_b, draws_b, cb, "vb")
     values = va.join(vb, "boot").select("boot", (F.col("va") - F.col("vb")).alias("value"))
     pa, pb = _point(stat_a, cells_a).withColumnRenamed("point", "point_a"), _point(stat_b, cells_b).withColumnRenamed("point", "point_b")
-    point = pa.crossJoin(F.broadcast(pb)).withColumn("point", F.col("point_a") - F.col("point_b"))
+    point = attach_row(pa, pb).withColumn("point", F.col("point_a") - F.col("point_b"))
     return _summary(values, point, "value", n_boot, ci, min_valid)
 
 
@@ -371,7 +372,7 @@ def permute_cluster_blocks(df: DataFrame, *, group: str, label: str, cluster: st
 def permutation_pvalue(observed: DataFrame, nulls: DataFrame, *, observed_col: str, value: str, n: int, alternative: str = "greater") -> DataFrame:
     """(1 + draws at least as extreme) / (1 + draws); undefined draws are dropped and counted."""
     extreme = F.col(value) >= F.col(observed_col) if alternative == "greater" else F.col(value) <= F.col(observed_col)
-    j = nulls.crossJoin(F.broadcast(observed.select(observed_col)))  # one row
+    j = attach_row(nulls, observed.select(observed_col))
     g = j.agg(
         F.first(observed_col).alias("observed"), F.count(value).alias("n_permutations"), F.count_if(extreme).alias("_e"),
         F.avg(value).alias("null_mean"), F.stddev_pop(value).alias("null_std"),
@@ -405,7 +406,8 @@ def null_standard_score(obs: DataFrame, nulls: DataFrame, *, observed: str, valu
     finite = F.col(value).isNotNull() & ~F.isnan(value)
     g = nulls.agg(
         F.count("*").alias("_rows"), F.count_if(finite).alias("_ok"), F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s")
-    ).crossJoin(F.broadcast(obs.select(F.col(observed).alias("observed"))))  # one row
+    )
+    g = attach_row(g, obs.select(F.col(observed).alias("observed")))
     reason = (
         F.when(F.col("_rows") != expected, "incomplete_null_draws")
         .when(F.col("observed").isNull() | F.isnan("observed") | (F.col("_rows") < 3) | (F.col("_ok") < F.col("_rows")), "invalid_or_insufficient_null_draws")

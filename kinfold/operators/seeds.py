@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.rows import attach_totals
 
-def _requested(df: DataFrame, seeds: Sequence[int]) -> DataFrame:
-    spark = df.sparkSession
-    return spark.createDataFrame([(int(s),) for s in seeds], "seed int")
+
+def _each_seed(seeds: Sequence[int]) -> Column:
+    """One row per requested seed."""
+    return F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed")
 
 
 def seed_defects(df: DataFrame, *, seeds: Sequence[int], value: str, keys: Sequence[str] = (), status: str | None = None) -> DataFrame:
@@ -23,8 +25,8 @@ def seed_defects(df: DataFrame, *, seeds: Sequence[int], value: str, keys: Seque
     found = df.groupBy(*keys, F.col("seed").cast("int").alias("seed")).agg(
         F.count("*").alias("_n"), F.first(F.col(value).cast("double")).alias("value"), F.first(F.col(status) if status else F.lit("success")).alias("_status")
     )
-    wanted = F.broadcast(_requested(df, seeds).withColumn("_want", F.lit(True)))  # one row per requested seed
-    cells = df.select(*keys).distinct().crossJoin(wanted) if keys else wanted
+    one = df.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    cells = one.select(*keys, _each_seed(seeds), F.lit(True).alias("_want"))
     j = cells.join(found, [*keys, "seed"], "full_outer")
     bad_value = F.col("value").isNull() | F.isnan("value") | (F.abs("value") == float("inf"))
     defect = (
@@ -122,17 +124,17 @@ def seed_confusion(df: DataFrame, *, seeds: Sequence[int], classes: Sequence, ke
     cells = df.join(support, [*keys, "seed", "y"]).groupBy(*keys, "y", "pred").agg(
         F.sum("n").alias("pooled"), (F.sum(F.col("n") / F.nullif("_row", F.lit(0))) / len(seeds)).alias("normalized_mean")
     )
-    flags = (full.join(odd, keys) if keys else full.crossJoin(F.broadcast(odd))).withColumn(  # one row per cell key
+    flags = attach_totals(full, odd, keys).withColumn(
         "state", F.when((F.col("_k") == len(seeds) * len(classes)) & (F.col("_odd") == 0), "available").otherwise("unavailable")
     )
-    out = cells.join(flags, keys) if keys else cells.crossJoin(F.broadcast(flags))
+    out = attach_totals(cells, flags, keys)
     ok = F.col("state") == "available"
     return out.select(*keys, "y", "pred", "state", F.when(ok, F.col("pooled")).alias("pooled"), F.when(ok, F.col("normalized_mean")).alias("normalized_mean"))
 
 
 def prediction_defects(preds: DataFrame, declared: DataFrame, *, seeds: Sequence[int], row_id: str, proba: str, same: Sequence[str]) -> DataFrame:
     """(seed, defect, n): rows a seed lacks, has twice or should not have, metadata that differs, shares that do not sum to one."""
-    wanted = declared.select(row_id, *[F.col(c).alias(f"_{c}") for c in same]).crossJoin(F.broadcast(_requested(preds, seeds)))  # requested seeds
+    wanted = declared.select(row_id, *[F.col(c).alias(f"_{c}") for c in same], _each_seed(seeds))
     found = preds.groupBy("seed", row_id).agg(
         F.count("*").alias("_n"), *[F.first(c).alias(c) for c in same], F.max(F.abs(F.aggregate(proba, F.lit(0.0), lambda a, p: a + p) - 1.0)).alias("_gap")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_int
 from kinfold.functions.ranking import array_split_part, hash_rank
+from kinfold.functions.rows import attach_row, attach_totals
 
 
 def random_folds(df: DataFrame, *, row_id: str, n_folds: int, seed: int) -> DataFrame:
@@ -109,14 +110,14 @@ def stratified_folds(df: DataFrame, *, row_id: str, stratum: str, n_folds: int,
     return ranked.where(F.col("_n") >= min_size).withColumn("fold", F.pmod("_rank", F.lit(n_folds)).cast("int")).drop("_rank", "_n")
 
 
-def validation_groups(df: DataFrame, *, group: str, fold: str, seed: int, fraction: float = 0.1) -> DataFrame:
+def validation_groups(df: DataFrame, *, group: str, fold: str, n_folds: int, seed: int, fraction: float = 0.1) -> DataFrame:
     """(fold, group): whole training groups held back for early stopping, per fold.
 
     Nothing is held back for a fold whose training side has fewer than two groups.
     """
-    folds = df.select(F.col(fold).alias("_test")).distinct()
     groups = df.select(group, F.col(fold).alias("_own")).distinct()
-    training = groups.join(F.broadcast(folds), F.col("_own") != F.col("_test")).select(F.col("_test").alias(fold), group).distinct()
+    every = groups.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
+    training = every.where(F.col("_own") != F.col(fold)).select(fold, group).distinct()
     ranked = hash_rank(training, [fold], [group], seed, total="_n", salt=[F.col(fold)])
     held = F.greatest(F.lit(1), F.round(F.col("_n") * fraction)).cast("long")
     return ranked.where((F.col("_n") >= 2) & (F.col("rank") < held)).select(fold, group)
@@ -211,7 +212,7 @@ def _turn(df: DataFrame, *, unit: Sequence[str], slot: str, row_id: str, seed: i
         + F.least(e["n"], F.col("_cycle"))
         + F.when((e["s"] < F.col(slot)) & (e["n"] > F.col("_cycle")), 1).otherwise(0),
     )
-    joined = cyc.join(table, unit) if unit else cyc.crossJoin(F.broadcast(table))
+    joined = attach_totals(cyc, table, unit)
     return joined.withColumn("_turn", before).drop("_cycle", "_slots")
 
 
@@ -235,7 +236,7 @@ def family_matched_rows(df: DataFrame, *, row_id: str, family: str, positive: st
     )
     only = sizes.where("_q = 0").select(*by, family)
     spare = _turn(df.join(only, [*by, family]), unit=by, slot=slot, row_id=row_id, seed=seed)
-    spare = spare.join(quota, by) if by else spare.crossJoin(F.broadcast(quota))
+    spare = attach_totals(spare, quota, by)
     return kept.unionByName(spare.where(F.col("_turn") < F.col("_quota")).drop("_turn", "_quota").withColumn("pick", F.lit("topped_up")))
 
 
@@ -265,8 +266,8 @@ def cross_family_triplets(df: DataFrame, *, row_id: str, label: str, family: str
     every = hash_rank(rows, [label], [row_id], "row", out="_r").select(F.col(label).alias("_nl"), F.col("_r").alias("_ni"), F.col(row_id).alias("negative"))
     members = annotated.groupBy(label).agg(F.count("*").alias("_nl_total"))
     anchors = (
-        rows.join(F.broadcast(cls), label)  # one row per declared class
-        .join(F.broadcast(members), label)
+        rows.join(cls, label)
+        .join(members, label)
         .join(fam.select(label, family, "_start", "_nf"), [label, family], "left")
         .withColumns({"_nf": F.coalesce("_nf", F.lit(0)), "_start": F.coalesce("_start", F.lit(0))})
         .withColumns({"_np": F.col("_nl_total") - F.col("_nf"), "_nn": F.col("_all") - F.col("_m")})
@@ -281,8 +282,11 @@ def cross_family_triplets(df: DataFrame, *, row_id: str, label: str, family: str
         F.when(u >= F.col("_start"), u + F.col("_nf")).otherwise(u).alias("_pi"),
         F.when(v >= F.col("_cstart"), v + F.col("_m")).otherwise(v).alias("_g"),
     )
-    spans = F.broadcast(cls.select(F.col(label).alias("_nl"), F.col("_cstart").alias("_s"), F.col("_m").alias("_len")))
-    drawn = drawn.join(spans, (F.col("_g") >= F.col("_s")) & (F.col("_g") < F.col("_s") + F.col("_len"))).withColumn("_ni", F.col("_g") - F.col("_s"))
+    # the runs of the declared classes, as one array in one row
+    runs = cls.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_cstart").alias("s"), F.col("_m").alias("n"))).alias("_runs"))
+    spot = F.filter("_runs", lambda r: (F.col("_g") >= r["s"]) & (F.col("_g") < r["s"] + r["n"]))[0]
+    drawn = attach_row(drawn, runs).withColumn("_run", spot)
+    drawn = drawn.select("anchor", "draw", "_pl", "_pi", F.col("_run.l").alias("_nl"), (F.col("_g") - F.col("_run.s")).alias("_ni"))
     return drawn.join(pool, ["_pl", "_pi"]).join(every, ["_nl", "_ni"]).select("anchor", "draw", "positive", "negative")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.ranking import hash_rank
+from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import difference, direction, dot, norm
 from kinfold.operators.gram import gram_rows, vector_mean, vector_sum
 
@@ -57,7 +58,7 @@ def standardize(df: DataFrame, *, vec: str, training: Column, out: str = "scaled
         stats = stats.withColumn("_scale", F.transform("_std", lambda s: s + F.lit(eps)))
     else:
         stats = stats.withColumn("_scale", F.transform("_std", lambda s: F.when(s == 0, F.lit(constant_scale)).otherwise(s)))
-    joined = df.crossJoin(F.broadcast(stats.select("_mean", "_scale")))  # one row
+    joined = attach_row(df, stats.select("_mean", "_scale"))
     centred = F.zip_with(vec, "_mean", lambda x, m: x - m)
     return joined.withColumn(out, F.zip_with(centred, "_scale", lambda x, s: x / s)).drop("_mean", "_scale")
 
@@ -149,7 +150,7 @@ def target_direction(df: DataFrame, *, vec: str, target: str, alpha: float = 1.0
     )
     mean = used.groupBy("dim").agg(F.avg(slope).alias("_w"))
     length = mean.agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return mean.crossJoin(F.broadcast(length)).select("dim", (F.col("_w") / (F.col("_l") + 1e-10)).alias("weight"))
+    return attach_row(mean, length).select("dim", (F.col("_w") / (F.col("_l") + 1e-10)).alias("weight"))
 
 
 def principal_directions(df: DataFrame, *, vec: str, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import norm
 from kinfold.operators import metrics as M
 from kinfold.operators import models as L
@@ -274,7 +275,7 @@ def feature_class_ablation(
     parts = [score(columns, "none")] + [score(drop_feature_class(columns, bases), name) for name, bases in classes_of_features.items()]
     table = durable(_union(parts))
     full = table.where("dropped = 'none'").select(F.col("score").alias("_full"))
-    return table.crossJoin(F.broadcast(full)).select("dropped", "score", (F.col("score") - F.col("_full")).alias("change"))  # one row
+    return attach_row(table, full).select("dropped", "score", (F.col("score") - F.col("_full")).alias("change"))
 
 
 def overlap_regimes(df: DataFrame, flag: Column, *, y: str, score: str, min_rows: int = 100, fold: str | None = None) -> DataFrame:

@@ -63,31 +63,29 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 def flatten_json(df: DataFrame, *, keys: list[str], document: str, max_depth: int = 8) -> DataFrame:
     """Every scalar leaf of every document as (keys, path, value, kind).
 
-    Paths read ``a.b[0].c``. Documents nested deeper than ``max_depth`` raise, so no
-    leaf is lost; unreadable documents are listed by :func:`unreadable_json`.
+    Paths read ``a.b[0].c``. The document is parsed once and opened level by level in
+    one chain: a leaf passes through, a container becomes its entries. Documents
+    nested deeper than ``max_depth`` raise, so no leaf is lost; unreadable documents
+    are listed by :func:`unreadable_json`.
     """
     spark = df.sparkSession
     level = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(document).alias("node")).where("node IS NOT NULL")
-    leaves = None
-    for depth in range(max_depth + 1):
-        kind = F.schema_of_variant("node")
-        typed = level.withColumn("kind", F.regexp_extract(kind, r"^[A-Z]+", 0))
-        nested = F.col("kind").isin("OBJECT", "ARRAY")
-        flat = typed.where(~nested).select(*keys, "path", F.col("node").cast("string").alias("value"), "kind")
-        leaves = flat if leaves is None else leaves.unionByName(flat)
-        if depth == max_depth:
-            deeper = typed.where(nested).select(
-                *keys, "path", F.raise_error(F.lit("document nested deeper than max_depth")).cast("string").alias("value"), "kind"
-            )
-            return leaves.unionByName(deeper)
-        inner = typed.where(nested)
+    nested = F.schema_of_variant("node").rlike("^(OBJECT|ARRAY)")
+    for _ in range(max_depth):
+        opened = level.withColumns({"_nested": nested, "_in": F.when(nested, F.col("node"))}).lateralJoin(
+            spark.tvf.variant_explode_outer(F.col("_in").outer())
+        )
         step = F.when(F.col("key").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(
             F.when(F.col("path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
         )
-        level = inner.lateralJoin(spark.tvf.variant_explode(F.col("node").outer())).select(
-            *keys, F.concat("path", step).alias("path"), F.col("value").alias("node")
+        level = opened.where(~F.col("_nested") | F.col("value").isNotNull()).select(
+            *keys,
+            F.when(F.col("_nested"), F.concat("path", step)).otherwise(F.col("path")).alias("path"),
+            F.when(F.col("_nested"), F.col("value")).otherwise(F.col("node")).alias("node"),
         )
-    return leaves
+    kind = F.regexp_extract(F.schema_of_variant("node"), r"^[A-Z]+", 0)
+    deep = F.raise_error(F.lit("document nested deeper than max_depth")).cast("string")
+    return level.select(*keys, "path", F.when(nested, deep).otherwise(F.col("node").cast("string")).alias("value"), kind.alias("kind"))
 
 
 def unreadable_json(df: DataFrame, *, keys: list[str], document: str) -> DataFrame:
