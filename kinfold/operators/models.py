@@ -413,7 +413,7 @@ def leave_group_out_ridge(df: DataFrame, *, group: str, vec: str, target: str, a
     def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         own = np.stack(pdf.sort_values("i")["row"].to_numpy())
         if own[0, 0] < min_rows or shared.value[0, 0] - own[0, 0] < 2:
-            return pd.DataFrame({group: [], "w": [], "b": []})
+            return pd.DataFrame(columns=[group, "w", "b"], dtype=object)
         w, b = ridge_from_gram(shared.value - own, alpha)
         return pd.DataFrame({group: [key[0]], "w": [w.tolist()], "b": [b]})
 

@@ -136,7 +136,7 @@ def within_family_study(
     chosen = durable(P.select_families(df, family=family, gene=gene, label=y, min_genes=min_genes, min_classes=2))
     genes = df.join(chosen.select(family), family, "left_semi").select(family, gene).distinct()
     dealt = P.stratified_folds(genes, row_id=gene, stratum=family, n_folds=n_folds, seed=seed, min_size=n_folds)
-    rows = durable(df.join(dealt, [family, gene]).select(row_id, family, gene, y, vec, "fold").join(chosen.select(family, "n_rows"), family))
+    rows = durable(df.select(row_id, family, gene, y, vec).join(dealt, [family, gene]).join(chosen.select(family, "n_rows"), family))
     kinds = dict(rows.dtypes)
     shape = f"`{row_id}` {kinds[row_id]}, `{family}` {kinds[family]}, fold int, `{y}` int, score double"
 
@@ -152,7 +152,7 @@ def within_family_study(
             w = np.where(t[tr] == 1, 0.5 / p, 0.5 / (1 - p))
             b = _logit((x[tr] - m) / s, t[tr], w * n / w.sum())
             out.append(pd.DataFrame({row_id: pdf[row_id][te], family: pdf[family][te], "fold": int(k), y: t[te], "score": (x[te] - m) / s @ b[:-1] + b[-1]}))
-        return pd.concat(out) if out else pd.DataFrame({c: [] for c in (row_id, family, "fold", y, "score")})
+        return pd.concat(out) if out else pd.DataFrame(columns=[row_id, family, "fold", y, "score"], dtype=object)
 
     parts = [rows.where(F.col("n_rows") <= small).groupBy(family).applyInPandas(fit, shape)]
     for (name,) in chosen.where(F.col("n_rows") > small).select(family).collect():
