@@ -79,15 +79,15 @@ def prefix_sums(
     )
 
 
-def mid_ranks(
-    df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None
-) -> DataFrame:
-    """Average 1-based rank of each row's value; a weight counts a row that many times."""
+def rank_table(df: DataFrame, keys: Sequence[str], value: str, out: str, weight: str | None = None) -> DataFrame:
+    """(keys, value, out, out_total): average 1-based rank of every distinct value and the group's weight.
+
+    A weight counts a row that many times.
+    """
     w = F.col(weight) if weight else F.lit(1)
-    table = prefix_sums(df, keys, value, {"_w": w}).select(
-        *keys, value, (F.col("_w_before") + (F.col("_w") + 1) / 2).alias(out)
+    return prefix_sums(df, keys, value, {"_w": w}).select(
+        *keys, value, (F.col("_w_before") + (F.col("_w") + 1) / 2).alias(out), F.col("_w_total").alias(f"{out}_total")
     )
-    return df.join(table, [*keys, value])
 
 
 def hash_rank(

@@ -19,3 +19,14 @@ def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
 def attach_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows with their group's totals; without keys there is one row of totals."""
     return df.join(totals, list(keys)) if keys else attach_row(df, totals)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over at least as many partitions as there are cores, before a step that multiplies rows or is heavy per row.
+
+    A table of many files is left as it is: only an input with fewer splits than
+    cores is shuffled, and that input is small.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < cores else df

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.functions.ranking import exact_quantiles, mid_ranks, prefix_sums, value_rank
+from kinfold.functions.ranking import exact_quantiles, prefix_sums, rank_table, value_rank
 from kinfold.functions.rows import attach_row, attach_totals
 from kinfold.functions.vector_expr import argmax_label
 
@@ -161,13 +161,25 @@ def group_vote(df: DataFrame, *, group: str, y: str, proba: str, classes: Sequen
 
 
 def spearman(df: DataFrame, keys: Sequence[str], *, x: str, y: str, weight: str | None = None) -> DataFrame:
-    """Mid-rank correlation per group with the number of rows; weights count a row that many times."""
+    """Mid-rank correlation per group with the number of rows; weights count a row that many times.
+
+    The mean of mid-ranks is known, so one aggregation over the ranked cells ends it.
+    """
     keys = list(keys)
     w = _weight(weight)
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = both.groupBy(*keys, x, y).agg(F.sum(w).alias("_cw"))
-    ranked = mid_ranks(mid_ranks(cells, keys, x, "_rx", "_cw"), keys, y, "_ry", "_cw")
-    return weighted_correlation(ranked, keys, x="_rx", y="_ry", weight="_cw", out="rho")
+    cells = both.groupBy(*keys, x, y).agg(F.sum(w).alias("_cw")).where("_cw > 0")
+    ranked = cells.join(rank_table(cells, keys, x, "_rx", "_cw"), [*keys, x]).join(
+        rank_table(cells, keys, y, "_ry", "_cw").drop("_ry_total"), [*keys, y]
+    )
+    middle = (F.col("_rx_total") + 1) / 2
+    a, b = F.col("_rx") - middle, F.col("_ry") - middle
+    g = ranked.groupBy(*keys).agg(
+        F.sum("_cw").alias("n"), F.sum(F.col("_cw") * a * b).alias("_c"), F.sum(F.col("_cw") * a * a).alias("_va"), F.sum(F.col("_cw") * b * b).alias("_vb")
+    )
+    return g.select(
+        *keys, F.col("n").cast("long").alias("n"), F.when((F.col("_va") > 0) & (F.col("_vb") > 0), F.col("_c") / F.sqrt(F.col("_va") * F.col("_vb"))).alias("rho")
+    )
 
 
 def weighted_correlation(df: DataFrame, keys: Sequence[str], *, x: str, y: str, weight: str | None = None, out: str = "r") -> DataFrame:

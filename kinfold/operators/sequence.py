@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.notation import LETTERS, lookup
+from kinfold.functions.rows import spread
 
 # Residue hydropathy, charge and volume.
 HYDROPATHY = {
@@ -71,13 +72,13 @@ def probe_list(
 ) -> DataFrame:
     """One row per (sequence, position, probe letter), identity left out.
 
-    Both expansions are explodes of bounded arrays inside the row, so nothing is
-    joined or shuffled; only the one letter needed is carried on.
+    The expansions are explodes of bounded arrays inside the row, so nothing is
+    joined or shuffled, and only the one letter needed leaves the long text.
     """
-    length = F.length(sequence)
-    spots = (
-        df.where(length >= min_length)
-        .select(*keys, sequence, length.alias("seq_len"), F.explode(probe_positions(length, n_positions)).alias("aa_pos"))
-        .select(*keys, "seq_len", "aa_pos", F.substring(sequence, F.col("aa_pos"), F.lit(1)).alias("aa_wt"))
+    sized = spread(df.select(*keys, sequence, F.length(sequence).alias("seq_len")).where(F.col("seq_len") >= min_length))
+    spots = F.transform(
+        probe_positions(F.col("seq_len"), n_positions),
+        lambda p: F.struct(p.alias("aa_pos"), F.substring(F.col(sequence), p, F.lit(1)).alias("aa_wt")),
     )
-    return spots.withColumn("aa_mut", F.explode(F.array(*[F.lit(x) for x in letters]))).where("aa_wt <> aa_mut")
+    sites = sized.select(*keys, "seq_len", F.explode(spots).alias("_s")).select(*keys, "seq_len", "_s.*")
+    return sites.withColumn("aa_mut", F.explode(F.array(*[F.lit(x) for x in letters]))).where("aa_wt <> aa_mut")
