@@ -4,6 +4,7 @@ Drawn rows are never materialised. A draw is a (boot, cluster, weight) table, ro
 are first compressed to counts per cluster, and every metric takes the weight. A
 statistic is an object with two methods: ``compress(df, cluster)`` reduces rows to
 weighted cells per cluster, ``score(cells, keys)`` returns one value per key set.
+Ranking statistics also have ``score_draws``, which scores all draws in one sort.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from kinfold.functions.hashing import draw_int
 from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank
 from kinfold.operators import metrics as M
+from kinfold.operators.many_draws import auroc_by_draw, permuted_rows, weighted_rows
 from kinfold.session import durable
 
 
@@ -62,6 +64,11 @@ class BinaryAuroc:
         per = M.ranking_metrics(cells, y=self.y, score=self.score_col, keys=[*keys, self.fold], weight="_w")
         return _fold_mean(per, keys, "auroc", self.n_folds)
 
+    def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
+        rows = weighted_rows(cells, draws, cluster=cluster, target=self.y)
+        per = auroc_by_draw(rows, keys=[self.fold], score=self.score_col, n_draws=n_boot)
+        return _fold_mean(per.withColumnRenamed("draw", "boot"), ["boot"], "auroc", self.n_folds)
+
 
 @dataclass(frozen=True)
 class MacroAuroc:
@@ -79,6 +86,16 @@ class MacroAuroc:
 
     def score(self, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         per = M.ranking_metrics(cells, y="target", score="score", keys=[*keys, self.fold, "cls"], weight="_w")
+        return self._average(per, keys)
+
+    def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
+        return self.score_rows(weighted_rows(cells, draws, cluster=cluster, target="target"), n_boot)
+
+    def score_rows(self, rows: DataFrame, n_draws: int) -> DataFrame:
+        per = auroc_by_draw(rows, keys=[self.fold, "cls"], score="score", n_draws=n_draws)
+        return self._average(per.withColumnRenamed("draw", "boot"), ["boot"])
+
+    def _average(self, per: DataFrame, keys: Sequence[str]) -> DataFrame:
         fold = per.groupBy(*keys, self.fold).agg(F.when(F.count("auroc") == len(self.classes), F.avg("auroc")).alias("_a"))
         return _fold_mean(fold, keys, "_a", self.n_folds)
 
@@ -165,7 +182,9 @@ def _clusters(df: DataFrame, cluster: str, strata: DataFrame | None) -> DataFram
     return base.join(strata, cluster) if strata is not None else base
 
 
-def _drawn(statistic, cells: DataFrame, draws: DataFrame, cluster: str, out: str) -> DataFrame:
+def _drawn(statistic, cells: DataFrame, draws: DataFrame, cluster: str, out: str, n_boot: int) -> DataFrame:
+    if hasattr(statistic, "score_draws"):
+        return statistic.score_draws(cells, draws, cluster, n_boot).select("boot", F.col("value").alias(out))
     weighted = cells.join(draws.withColumnRenamed("weight", "_draws"), cluster).withColumn("_w", F.col("_w") * F.col("_draws"))
     return statistic.score(weighted, ["boot"]).select("boot", F.col("value").alias(out))
 
@@ -202,7 +221,7 @@ def _values(df, statistics: dict, cells: dict, cluster: str, n_boot: int, seed,
     draws = durable(cluster_draws(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
     out = None
     for name, s in statistics.items():
-        v = _drawn(s, cells[name], draws, cluster, "value").select(F.lit(name).alias("metric"), "boot", "value")
+        v = _drawn(s, cells[name], draws, cluster, "value", n_boot).select(F.lit(name).alias("metric"), "boot", "value")
         out = v if out is None else out.unionByName(v)
     return out
 
@@ -223,13 +242,13 @@ def row_bootstrap(df: DataFrame, statistic, *, row_id: str, stratum: str, n_boot
     strata = df.select(row_id, F.col(stratum).cast("string").alias("stratum"))
     draws = cluster_draws(strata, cluster=row_id, n_boot=n_boot, seed=seed)
     cells = durable(statistic.compress(df, row_id))
-    return _summary(_drawn(statistic, cells, draws, row_id, "value"), _point(statistic, cells), "value", n_boot, ci, min_valid)
+    return _summary(_drawn(statistic, cells, draws, row_id, "value", n_boot), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
 
 def subsample_interval(df: DataFrame, statistic, *, cluster: str, n_boot: int = 1000, seed: int = 0, share: float = 0.632, ci: float = 0.95, min_valid: float = 0.99) -> DataFrame:
     draws = cluster_subsamples(df, cluster=cluster, n_boot=n_boot, seed=seed, share=share)
     cells = durable(statistic.compress(df, cluster))
-    return _summary(_drawn(statistic, cells, draws, cluster, "value"), _point(statistic, cells), "value", n_boot, ci, min_valid)
+    return _summary(_drawn(statistic, cells, draws, cluster, "value", n_boot), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
 
 def paired_difference(a: DataFrame, b: DataFrame, stat_a, stat_b, *, cluster: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99, strata: DataFrame | None = None) -> DataFrame:
@@ -241,8 +260,8 @@ def paired_difference(a: DataFrame, b: DataFrame, stat_a, stat_b, *, cluster: st
 def _difference(a, b, stat_a, stat_b, cluster, draws_a, draws_b, n_boot, ci, min_valid, cluster_b=None) -> DataFrame:
     cb = cluster_b or cluster
     cells_a, cells_b = durable(stat_a.compress(a, cluster)), durable(stat_b.compress(b, cb))
-    va = _drawn(stat_a, cells_a, draws_a, cluster, "va")
-    vb = _drawn(stat_b, cells_b, draws_b, cb, "vb")
+    va = _drawn(stat_a, cells_a, draws_a, cluster, "va", n_boot)
+    vb = _drawn(stat_b, cells_b, draws_b, cb, "vb", n_boot)
     values = va.join(vb, "boot").select("boot", (F.col("va") - F.col("vb")).alias("value"))
     pa, pb = _point(stat_a, cells_a).withColumnRenamed("point", "point_a"), _point(stat_b, cells_b).withColumnRenamed("point", "point_b")
     point = attach_row(pa, pb).withColumn("point", F.col("point_a") - F.col("point_b"))
@@ -395,9 +414,8 @@ def auroc_permutation_test(df: DataFrame, *, row_id: str, y: str, proba: str, cl
         drawn = permute_cluster_blocks(df, group=unit, label=y, cluster=cluster, fold=fold, n=n, seed=seed)
     else:
         drawn = permute_within_folds(df, unit=unit, label=y, fold=fold, n=n, seed=seed).drop(fold)
-    rows = df.select(unit, fold, proba).join(durable(drawn), unit)
-    cells = durable(stat.compress(rows.withColumn("_unit", F.col("perm")), "_unit"))
-    nulls = stat.score(cells.withColumnRenamed("_unit", "perm"), ["perm"])
+    rows = permuted_rows(df, drawn, unit=unit, label=y, classes=classes, proba=proba, keep=[fold])
+    nulls = stat.score_rows(rows, n)
     return permutation_pvalue(observed, nulls, observed_col="point", value="value", n=n)
 
 

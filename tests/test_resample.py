@@ -116,3 +116,23 @@ def test_arms_that_disagree_on_a_label_raise(spark):
     b = a.withColumn("label", F.lit("z"))
     with pytest.raises(Exception, match="disagree"):
         S.pair_arms(a, b, row_id="row_id", label="label", keep=[], value="pred").collect()
+
+
+def test_ties_and_groups_across_chunks(spark):
+    from kinfold.operators import many_draws as D
+
+    rng = np.random.default_rng(8)
+    n, draws = 400, 7
+    score, y, k = rng.integers(0, 9, n) / 8.0, rng.integers(0, 2, n), rng.integers(0, 3, n)
+    w = rng.integers(0, 3, (n, draws))
+    pdf = pd.DataFrame({"k": k, "s": score, "_w": 1.0, "_mode": y, "_draws": [np.flatnonzero(r).tolist() for r in w], "_counts": [r[r > 0].astype(float).tolist() for r in w]})
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = D.auroc_by_draw(spark.createDataFrame(pdf), keys=["k"], score="s", n_draws=draws).toPandas().set_index(["k", "draw"])["auroc"]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
+    for g in range(3):
+        for d in range(draws):
+            rows = np.repeat(np.arange(n), np.where(k == g, w[:, d], 0))
+            p, q = score[rows][y[rows] == 1], score[rows][y[rows] == 0]
+            assert got[(g, d)] == pytest.approx(((p[:, None] > q).sum() + 0.5 * (p[:, None] == q).sum()) / (len(p) * len(q)))
