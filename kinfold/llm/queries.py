@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, suffix_dedup, token_files, toxicity
+from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, personal, quality, suffix_dedup, token_files, toxicity
 from kinfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(manifest)
 
 
+@query("op5_personal_data")
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return personal.find_personal(docs, personal.fit(docs))
+
+
 @query("op6_minhash_near_dedup")
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -64,10 +70,23 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _remainder(parts: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held = _remainder(3) == 1
+    model = quality.fit(docs, labels.where(~held))
+    scored = docs.select("doc_id", held.alias("held_out"), quality.score(model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = _remainder(4) == 2
     weights = toxicity.fit(docs, labels.where(~held))
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
