@@ -151,11 +151,10 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     plan = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), "_copies")
-    columns = docs.columns
-    keyed = docs.withColumns({"_at": F.col("doc_id").cast("long"), "_hash": row_key(docs)}).dropDuplicates(["_at", "_hash"])  # repeated rows share their copies
-    found = keyed.join(plan, F.col("_at").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_key")))
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("at"), row_key(docs).alias("hash"))  # columns of any name
+    plan = plan.select(F.col("doc_id").alias("id"), "row_key", "_copies")
+    found = whole.dropDuplicates(["at", "hash"]).join(plan, F.col("at").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row_key")))  # repeated rows share their copies
+    return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select("row.*")
 
 
 def taken(docs: DataFrame) -> DataFrame:
