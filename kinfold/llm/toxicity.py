@@ -95,7 +95,8 @@ def score(weights: Weights, text: str | Column = "text") -> Column:
             for part in sized(texts):
                 for x in _features(part):
                     x = x[dense[x] != 0]
-                    out.append(1 / (1 + np.exp(-np.clip(weights.bias + dense[np.unique(x)].sum(), -500, 500))))
+                    sum_ = weights.bias + dense[np.unique(x)].sum()
+                    out.append(1 / (1 + np.exp(-np.clip(sum_, -500, 500))) if np.isfinite(sum_) else 0.0)
             yield pa.array(out, pa.float64())
 
     return scored(F.col(text) if isinstance(text, str) else text)
