@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "cleaning", "groups", "sequences", "vectors", "splits", "metrics", "reference", "resample", "seeds", "models", "studies")
+FAMILIES = ("sources", "cleaning", "groups", "sequences", "vectors", "splits", "metrics", "reference", "resample", "seeds", "models", "checked_fits", "studies")
 
 
 def load() -> None:

@@ -105,13 +105,13 @@ def a5(spark, sf):
 
 @query(
     "a5_average_predictions",
-    f"""WITH {B.VARIANTS_SQL}, {B.shares_sql('variants', 's0', 'x0')}, {B.shares_sql('variants', 's1', 'x1')} SELECT row_id, round((a.proba[1] + b.proba[1]) / 2, 6) AS p0, round((a.proba[3] + b.proba[3]) / 2, 6) AS p2 FROM x0 a LEFT JOIN (SELECT * FROM x1 WHERE row_id % 100 <> 3) b USING (row_id)""",
+    f"""WITH {B.VARIANTS_SQL}, {B.shares_sql('variants', 's0', 'x0')}, {B.shares_sql('variants', 's1', 'x1')} SELECT row_id, (a.proba[1] + b.proba[1]) / 2 AS p0, (a.proba[3] + b.proba[3]) / 2 AS p2 FROM x0 a LEFT JOIN (SELECT * FROM x1 WHERE row_id % 100 <> 3) b USING (row_id)""",
 )
 def a5_average(spark, sf):
     base = B.variants(spark, sf)
     two = B.with_shares(base, "s0").withColumn("seed", F.lit(0)).unionByName(B.with_shares(base, "s1").withColumn("seed", F.lit(1)).where("row_id % 100 <> 3"))
     avg = A.average_predictions(two, row_id="row_id", proba="proba", n_classes=3, seeds=[0, 1])
-    return avg.select("row_id", F.round(F.get("proba", F.lit(0)), 6).alias("p0"), F.round(F.get("proba", F.lit(2)), 6).alias("p2"))
+    return avg.select("row_id", F.get("proba", F.lit(0)).alias("p0"), F.get("proba", F.lit(2)).alias("p2"))
 
 
 _CELLS = B.VARIANTS_SQL + """, m AS (SELECT source, CAST(row_id % 5 AS INTEGER) AS seed, avg(score) / 1000 AS score, avg(gene_score) / 1000 AS gene_score FROM variants GROUP BY 1, 2),

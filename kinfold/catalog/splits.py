@@ -113,7 +113,7 @@ def p9(spark, sf):
 @query(
     "p10_validation_groups",
     f"""WITH {B.VARIANTS_SQL}, {B.group_folds_sql('variants', 'gene', 5, 0, 'folds')}, t AS (SELECT f.fold, g.gene FROM (SELECT DISTINCT fold FROM folds) f JOIN folds g ON f.fold <> g.fold),
-    r AS (SELECT fold, gene, row_number() OVER (PARTITION BY fold ORDER BY {H(6, 'fold', 'gene')}, gene) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM t) SELECT fold, gene FROM r WHERE k < greatest(1, round(n * 0.1))""",
+    r AS (SELECT fold, gene, row_number() OVER (PARTITION BY fold ORDER BY {H(6, 'fold', 'gene')}, gene) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM t) SELECT fold, gene FROM r WHERE k < least(greatest(1, floor(n * CAST(0.15 AS DOUBLE))), n - 1)""",
 )
 def p10(spark, sf):
     rows = P.assign_group_folds(B.variants(spark, sf).select("row_id", "gene"), group="gene", n_folds=5, seed=0)

@@ -18,7 +18,8 @@ RESIDUES = {
 LETTERS = "ACDEFGHIKLMNPQRSTVWY"
 
 _LONG = r"p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2})"
-_SHORT = r"^(?:p\.)?([A-Z])(\d+)([A-Z*])$"
+_TAGGED = r"p\.([A-Z])(\d+)([A-Z*])"
+_BARE = r"^([A-Z])(\d+)([A-Z*])$"
 
 
 def lookup(table: Mapping[str, object], key: Column) -> Column:
@@ -27,12 +28,13 @@ def lookup(table: Mapping[str, object], key: Column) -> Column:
 
 
 def parse_substitution(text: str | Column) -> Column:
-    """``struct(wt, pos, mut)`` from ``p.Arg123Cys`` or ``R123C``; null for stops and synonyms."""
+    """``struct(wt, pos, mut)`` from ``p.Arg123Cys`` or ``p.R123C`` anywhere in the text, or from a bare ``R123C``; null for stops and synonyms."""
     t = as_col(text)
     long = t.rlike(_LONG)
 
     def part(i: int) -> Column:
-        return F.when(long, F.regexp_extract(t, _LONG, i)).when(t.rlike(_SHORT), F.regexp_extract(t, _SHORT, i))
+        short = F.when(t.rlike(_TAGGED), F.regexp_extract(t, _TAGGED, i)).when(t.rlike(_BARE), F.regexp_extract(t, _BARE, i))
+        return F.when(long, F.regexp_extract(t, _LONG, i)).otherwise(short)
 
     def letter(i: int) -> Column:
         return F.when(long, lookup(RESIDUES, part(i))).otherwise(part(i))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from kinfold.functions.hashing import as_col, draw_hex
 
 STEPS = 4096
+#: A group is cut into up to 16 ** 4 buckets of its draws, whatever its size: 10^12 rows without a key are buckets of 1.5 * 10^7.
+BUCKET_DIGITS = 4
 _SHIFT = 1100.0 * STEPS
 
 
@@ -28,7 +30,8 @@ def value_bucket(value: str | Column) -> Column:
     Buckets are logarithmic (4096 per power of two) in ``a / (1 - a)`` below one, so
     that probabilities saturating at zero or one stay spread out, and in ``a`` above.
     """
-    x = as_col(value).cast("double")
+    given = as_col(value).cast("double")
+    x = F.when(F.isnan(given), F.raise_error(F.lit("a value to rank is not a number")).cast("double")).otherwise(given)
     a = F.least(F.abs(x), F.lit(1e290))
     odds = F.when(a < 1.0, a / (1.0 - a)).otherwise(a * 18014398509481984.0)
     level = F.floor(F.log2(F.greatest(odds, F.lit(1e-300))) * STEPS) + _SHIFT
@@ -106,7 +109,7 @@ def hash_rank(
     """
     keys = list(keys)
     cut = df.withColumn("_hex", draw_hex(seed, *salt, *ids)).withColumn(
-        "_bucket", F.substring("_hex", 1, 2)
+        "_bucket", F.substring("_hex", 1, BUCKET_DIGITS)
     )
     w = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
     joined = _with_offsets(cut.withColumn("_one", w), keys, ["_one"])

@@ -203,7 +203,13 @@ def fit_folds(
         return scaling.apply(vec, f) if scaling else F.col(vec)
 
     def run(f):
-        train_counts = {c: sum(v[c] for k, v in counts.items() if k != f) for c in classes}
+        train = df.where(F.col(fold) != f)
+        if held is not None and group:
+            train = train.join(held.where(F.col(fold) == f).select(group), group, "left_anti")
+            left = dict(train.groupBy(label).count().collect())
+            train_counts = {c: left.get(c, 0) for c in classes}
+        else:
+            train_counts = {c: sum(v[c] for k, v in counts.items() if k != f) for c in classes}
         empty = [c for c, n in train_counts.items() if n == 0]
         if empty:
             raise ValueError(f"fold {f} has no training row of class {empty}")
@@ -212,9 +218,6 @@ def fit_folds(
         if balance == "weight":
             for c, k in train_counts.items():
                 weight = F.when(F.col(label) == c, F.lit(n / (len(classes) * k))).otherwise(weight)
-        train = df.where(F.col(fold) != f)
-        if held is not None and group:
-            train = train.join(held.where(F.col(fold) == f).select(group), group, "left_anti")
         if balance == "oversample":
             train = oversampled(train, label=label, counts=train_counts, row_id=row_id, seed=seed)
         ready = train.select(array_to_vector(features(f)).alias("features"), _target(label, classes).alias("target"), weight.alias("weight"))

@@ -330,7 +330,7 @@ def level_verdict(value: str, low: str, high: str, suppressed: str, threshold: f
     ok = v >= threshold
     bare = F.coalesce(F.col(suppressed), F.lit(True)) | lo.isNull()
     return (
-        F.when(v.isNull() | F.isnan(v), "not adjudicated (no point estimate)")
+        F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), "not adjudicated (no point estimate)")
         .when(bare, F.when(ok, "pass, no CI").otherwise("fail, no CI"))
         .when(ok & (lo > threshold), "pass, established (CI excludes the threshold)")
         .when(ok, "pass on point estimate, not distinguishable (CI covers the threshold)")

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.notation import LETTERS, lookup
-from kinfold.functions.rows import spread
 
 # Residue hydropathy, charge and volume.
 HYDROPATHY = {
@@ -51,8 +50,8 @@ def read_substitution_matrix(spark, path: str) -> DataFrame:
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
     cells = lines.select(F.split(F.trim("value"), r"\s+").alias("c"), F.col("value").startswith(" ").alias("head"))
     head = cells.where("head").select(F.posexplode("c").alias("i", "mut"))
-    body = cells.where("NOT head").select(F.get("c", F.lit(0)).alias("wt"), F.posexplode(F.slice("c", 2, 64)).alias("i", "s"))
-    return body.join(F.broadcast(head), "i").select("wt", "mut", F.col("s").cast("double").alias("score"))
+    body = cells.where("NOT head").select(F.get("c", F.lit(0)).alias("wt"), F.posexplode(F.slice("c", 2, F.size("c"))).alias("i", "s"))
+    return body.join(head, "i").select("wt", "mut", F.col("s").cast("double").alias("score"))
 
 
 def probe_positions(length: Column, n_positions: int = 100) -> Column:
@@ -75,7 +74,7 @@ def probe_list(
     The expansions are explodes of bounded arrays inside the row, so nothing is
     joined or shuffled, and only the one letter needed leaves the long text.
     """
-    sized = spread(df.select(*keys, sequence, F.length(sequence).alias("seq_len")).where(F.col("seq_len") >= min_length))
+    sized = df.select(*keys, sequence, F.length(sequence).alias("seq_len")).where(F.col("seq_len") >= min_length)
     spots = F.transform(
         probe_positions(F.col("seq_len"), n_positions),
         lambda p: F.struct(p.alias("aa_pos"), F.substring(F.col(sequence), p, F.lit(1)).alias("aa_wt")),

@@ -110,16 +110,17 @@ def stratified_folds(df: DataFrame, *, row_id: str, stratum: str, n_folds: int,
     return ranked.where(F.col("_n") >= min_size).withColumn("fold", F.pmod("_rank", F.lit(n_folds)).cast("int")).drop("_rank", "_n")
 
 
-def validation_groups(df: DataFrame, *, group: str, fold: str, n_folds: int, seed: int, fraction: float = 0.1) -> DataFrame:
+def validation_groups(df: DataFrame, *, group: str, fold: str, n_folds: int, seed: int, fraction: float = 0.15) -> DataFrame:
     """(fold, group): whole training groups held back for early stopping, per fold.
 
-    Nothing is held back for a fold whose training side has fewer than two groups.
+    The share is truncated, but at least one group is held back and at least one stays;
+    nothing is held back for a fold whose training side has fewer than two groups.
     """
     groups = df.select(group, F.col(fold).alias("_own")).distinct()
     every = groups.withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(n_folds - 1))))
     training = every.where(F.col("_own") != F.col(fold)).select(fold, group).distinct()
     ranked = hash_rank(training, [fold], [group], seed, total="_n", salt=[F.col(fold)])
-    held = F.greatest(F.lit(1), F.round(F.col("_n") * fraction)).cast("long")
+    held = F.least(F.greatest(F.lit(1), F.floor(F.col("_n") * fraction)), F.col("_n") - 1)
     return ranked.where((F.col("_n") >= 2) & (F.col("rank") < held)).select(fold, group)
 
 

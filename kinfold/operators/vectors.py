@@ -263,37 +263,25 @@ def spread_features(df: DataFrame, *, group: str, delta: str, pos: str, min_rows
     )
 
 
-def principal_shares(df: DataFrame, *, group: str, vec: str, min_rows: int = 3, small: int = 2048) -> DataFrame:
+def principal_shares(df: DataFrame, *, group: str, vec: str, min_rows: int = 3) -> DataFrame:
     """First and second variance shares and the mean's absolute projection on the first axis, per group.
 
-    Groups of up to ``small`` rows are decomposed from their rows, larger ones from
-    summed second moments, so no task holds a large group.
+    Every group is decomposed from its summed second moments, so no task holds a group's rows.
     """
     sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
     sized = df.select(group, F.col(vec).alias("_x")).join(sizes, group)
     kind = df.select(group).schema[0].dataType.simpleString()
     shape = f"`{group}` {kind}, pc1_share double, pc2_share double, pc1_mean_abs double"
 
-    def report(key, values, axis, mean):
-        total = values.sum()
-        ratio = values / total if total > 0 else np.full(len(values), np.nan)
-        return pd.DataFrame([[key, ratio[0], ratio[1] if len(ratio) > 1 else np.nan, abs(float(mean @ axis))]], columns=[group, "pc1_share", "pc2_share", "pc1_mean_abs"])
-
-    def from_rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf["_x"].to_numpy()).astype("float64")
-        mean = x.mean(0)
-        _, s, vt = np.linalg.svd(x - mean, full_matrices=False)
-        return report(key[0], s**2, vt[0], mean)
-
-    def from_moments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def decompose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.stack(pdf.sort_values("i")["row"].to_numpy())
         n, mean = g[0, 0], g[0, 1:] / g[0, 0]
         values, axes = np.linalg.eigh(g[1:, 1:] - n * np.outer(mean, mean))
-        return report(key[0], np.maximum(values[::-1], 0), axes[:, -1], mean)
+        values = np.maximum(values[::-1], 0)
+        ratio = values / values.sum() if values.sum() > 0 else np.full(len(values), np.nan)
+        return pd.DataFrame([[key[0], ratio[0], ratio[1] if len(ratio) > 1 else np.nan, abs(float(mean @ axes[:, -1]))]], columns=[group, "pc1_share", "pc2_share", "pc1_mean_abs"])
 
-    few = sized.where(F.col("_n") <= small).groupBy(group).applyInPandas(from_rows, shape)
-    many = gram_rows(sized.where(F.col("_n") > small), key=group, vec="_x").groupBy(group).applyInPandas(from_moments, shape)
-    return few.unionByName(many)
+    return gram_rows(sized, key=group, vec="_x").groupBy(group).applyInPandas(decompose, shape)
 
 
 def scan_features(df: DataFrame, *, group: str, delta: str, pos: str, seq_len: str, min_rows: int = 3, top: int = 5) -> DataFrame:

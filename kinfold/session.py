@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -31,12 +32,16 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative or often re-read frame with a reliable checkpoint.
 
-    The folder is the shared one the cluster names in ``spark.checkpoint.dir``;
-    only a session without it (a local test) gets a folder of its own.
+    The folder is the shared one the cluster names in ``spark.checkpoint.dir``; without
+    it only a local session (a test) gets a folder of its own, any other raises.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        if shared is None:
+            if not context.master.startswith(("local[", "local ")) and context.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
+        context.setCheckpointDir(shared)
     return df.checkpoint()

@@ -35,11 +35,10 @@ def test_closed_form_ratio_equals_pairwise(spark):
     assert got.within_pairs == same.sum() and got.ratio == pytest.approx(d[same].mean() / (d[~same].mean() + 1e-10))
 
 
-@pytest.mark.parametrize("small", [2048, 5])
-def test_principal_shares_on_both_paths(spark, small):
+def test_principal_shares_match_a_decomposition(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4)) * [3, 1, 0.5, 0.2] + 1
-    got = V.principal_shares(frame(spark, x, g=np.arange(50) % 2), group="g", vec="vec", small=small).toPandas().set_index("g")
+    got = V.principal_shares(frame(spark, x, g=np.arange(50) % 2), group="g", vec="vec").toPandas().set_index("g")
     for k in (0, 1):
         part = x[np.arange(50) % 2 == k]
         s = np.linalg.svd(part - part.mean(0), compute_uv=False) ** 2
