@@ -47,7 +47,7 @@ SEEDS = (0, 1, 2)
 def _leak_sql(unit, name, seed, tag):
     """Predictions of one arm and seed, as a common table."""
     f = B.group_folds_sql("variants", unit, 5, seed, f"fo{name}")
-    return f"{f}, jo{name} AS (SELECT * FROM variants JOIN fo{name} USING ({unit})), {B.shares_sql(f'jo{name}', tag, f'p{name}')}, q{name} AS (SELECT *, {B.PRED_SQL} AS pred FROM p{name})"
+    return f"{f}, jo{name} AS (SELECT * FROM lv JOIN fo{name} USING ({unit})), {B.shares_sql(f'jo{name}', tag, f'p{name}')}, q{name} AS (SELECT *, {B.PRED_SQL} AS pred FROM p{name})"
 
 
 def _leak_scores_sql(unit):
@@ -59,12 +59,12 @@ def _leak_scores_sql(unit):
         parts += [own, f"ch{s} AS (SELECT fold, label, CASE WHEN c0 >= c1 AND c0 >= c2 THEN 'F' WHEN c1 >= c2 THEN 'O' ELSE 'P' END AS pred FROM qg{s} JOIN ({maj}) USING (fold))"]
         mean = lambda src: f"(SELECT avg(macro_f1) FROM ({class_metrics_sql(src, 'fold')}))"
         rows.append(f"SELECT {s} AS seed, {mean(f'qg{s}')} AS g, {mean(f'qf{s}')} AS f, {mean(f'ch{s}')} AS c")
-    return f"WITH {B.VARIANTS_SQL}, {', '.join(parts)}, sc AS ({' UNION ALL '.join(rows)})"
+    return f"WITH {B.VARIANTS_SQL}, lv AS (SELECT * REPLACE (CASE WHEN row_id % 4 = 0 THEN 'F' ELSE label END AS label) FROM variants), {', '.join(parts)}, sc AS ({' UNION ALL '.join(rows)})"
 
 
 def leak_arms(spark, sf, unit="family"):
-    """Predictions of three seeds under a group split and under a coarser split."""
-    rows = B.variants(spark, sf)
+    """Predictions of three seeds under a group split and under a coarser split; one class is the clear majority at every size."""
+    rows = B.variants(spark, sf).withColumn("label", F.when(F.col("row_id") % 4 == 0, "F").otherwise(F.col("label")))
 
     def arm(by, tag):
         out = None

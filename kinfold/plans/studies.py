@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.rows import attach_row
-from kinfold.functions.vector_expr import norm
+from kinfold.functions.vector_expr import dot, norm
 from kinfold.operators import metrics as M
 from kinfold.operators import models as L
 from kinfold.operators import reference as R
 from kinfold.operators import resample as S
 from kinfold.operators import splits as P
+from kinfold.operators.gram import vector_sum
 from kinfold.operators.groups import drop_feature_class
 from kinfold.operators.seeds import paired_seed_difference, seed_mean
 from kinfold.operators.vectors import orthonormal, project_out, standardize
@@ -110,55 +111,118 @@ def panel_means(panel: DataFrame, *, value: str, weight: str) -> DataFrame:
     )
 
 
-def _logit(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Newton steps of an L2 binary logistic fit; the intercept is the last weight."""
-    z = np.hstack([x, np.ones((len(x), 1))])
-    ridge = np.eye(z.shape[1])
-    ridge[-1, -1] = 1e-8
-    b = np.zeros(z.shape[1])
+def _flat(matrix: np.ndarray) -> list:
+    return np.asarray(matrix, dtype="float64").ravel().tolist()
+
+
+def family_fits(df: DataFrame, *, family: str, fold: str, vec: str, y: str, n_folds: int, steps: int = 30, tolerance: float = 1e-8) -> DataFrame:
+    """(family, fits): balanced L2 logistic fits of every fold of every family, by Newton steps over all rows at once.
+
+    A step joins each row with its family's state, adds up gradients and Hessians inside the
+    tasks and then by family, and solves each family's small systems; a family of any
+    size goes the same way and its rows never meet in one task. ``fits`` holds, for each fold, the means, scales,
+    class weights and coefficients, the intercept last; coefficients are NaN where a training side lacks a class.
+    """
+    d = len(df.select(vec).first()[0])
+    k, width = n_folds, 3 * d + 3  # mean, scale, two weights, coefficients with intercept
+    kind = dict(df.dtypes)[family]
+    rows = df.select(F.col(family).alias("_g"), F.col(fold).alias("_f"), F.col(vec).alias("_x"), F.col(y).cast("double").alias("_y"))
+
+    def sums(per_row, size: int, frame: DataFrame) -> DataFrame:
+        """Adds a vector of ``size`` numbers for each family; ``per_row(x, y, fold, state)`` gives a part's sum."""
+
+        def add(batches):
+            held: dict = {}
+            for pdf in batches:
+                for g, part in pdf.groupby("_g", sort=False):
+                    state = np.array(part["fits"].iloc[0]).reshape(k, width) if "fits" in part else None
+                    got = per_row(np.stack(part["_x"].to_numpy()), part["_y"].to_numpy(), part["_f"].to_numpy(), state)
+                    held[g] = held[g] + got if g in held else got
+                if len(held) * size * 8 > 64 << 20:
+                    yield pd.DataFrame({"_g": list(held), "part": [v.tolist() for v in held.values()]})
+                    held = {}
+            yield pd.DataFrame({"_g": list(held), "part": [v.tolist() for v in held.values()]})
+
+        parts = frame.mapInPandas(add, f"_g {kind}, part array<double>")
+        return parts.groupBy("_g").agg(vector_sum("part").alias("sums"))
+
+    def moments(x, t, f, _):
+        one = np.stack([np.concatenate([[(f == i).sum(), t[f == i].sum()], x[f == i].sum(0), (x[f == i] ** 2).sum(0)]) for i in range(k)])
+        return one.ravel()
+
+    def start(batches):
+        for pdf in batches:
+            fits = []
+            for flat in pdf["sums"]:
+                own = np.array(flat).reshape(k, -1)
+                train = own.sum(0) - own
+                out = np.full((k, width), np.nan)
+                for i, (n, pos, *rest) in enumerate(train):
+                    if 0 < pos < n:
+                        mean = np.array(rest[:d]) / n
+                        scale = np.sqrt(np.maximum(np.array(rest[d:]) / n - mean**2, 0)) + 1e-8
+                        out[i] = np.concatenate([mean, scale, [0.5 * n / (n - pos), 0.5 * n / pos], np.zeros(d + 1)])
+                fits.append(_flat(out))
+            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "moved": np.inf})
+
+    def curvature(x, t, f, state):
+        out = np.zeros((k, d + 1, d + 2))
+        for i in range(k):
+            use = f != i
+            if np.isnan(state[i, 0]) or not use.any():
+                continue
+            z = np.hstack([(x[use] - state[i, :d]) / state[i, d : 2 * d], np.ones((use.sum(), 1))])
+            w = np.where(t[use] == 1, state[i, 2 * d + 1], state[i, 2 * d])
+            p = 1 / (1 + np.exp(-np.clip(z @ state[i, 2 * d + 2 :], -30, 30)))
+            out[i, :, 0] = z.T @ (w * (p - t[use]))
+            out[i, :, 1:] = (z * (w * p * (1 - p))[:, None]).T @ z
+        return out.ravel()
+
+    def step(batches):
+        ridge = np.eye(d + 1)
+        ridge[-1, -1] = 1e-8
+        for pdf in batches:
+            fits, moved = [], []
+            for flat, added in zip(pdf["fits"], pdf["sums"], strict=True):
+                state, add, most = np.array(flat).reshape(k, width), np.array(added).reshape(k, d + 1, d + 2), 0.0
+                for i in range(k):
+                    if not np.isnan(state[i, 0]):
+                        b = state[i, 2 * d + 2 :]
+                        change = np.linalg.solve(add[i, :, 1:] + ridge, add[i, :, 0] + ridge @ b)
+                        state[i, 2 * d + 2 :] = b - change
+                        most = max(most, float(np.abs(change).max()))
+                fits.append(_flat(state))
+                moved.append(most)
+            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "moved": moved})
+
+    shape = f"_g {kind}, fits array<double>, moved double"
+    now = durable(sums(moments, k * (2 * d + 2), rows).mapInPandas(start, shape))
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
-        step = np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - y)) + ridge @ b)
-        b -= step
-        if np.abs(step).max() < 1e-8:
+        added = sums(curvature, k * (d + 1) * (d + 2), rows.join(now.select("_g", "fits"), "_g"))
+        now = durable(now.select("_g", "fits").join(added, "_g").mapInPandas(step, shape))
+        if (now.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return b
+    return now.select(F.col("_g").alias(family), "fits")
 
 
-def within_family_study(
-    df: DataFrame, *, row_id: str, vec: str, y: str, family: str, gene: str, min_genes: int = 8, n_folds: int = 3, seed: int = 0, small: int = 5000
-) -> DataFrame:
+def within_family_study(df: DataFrame, *, row_id: str, vec: str, y: str, family: str, gene: str, min_genes: int = 8, n_folds: int = 3, seed: int = 0) -> DataFrame:
     """(family, n, n_genes, auroc): held-out ranking inside each qualifying family, genes disjoint.
 
-    Families of up to ``small`` rows are fitted side by side, one task each; larger
-    ones go through Spark ML one after the other, so no large family sits in a task.
+    A fold whose training side lacks a class is left out of its family's mean, whatever the family's size.
     """
     chosen = durable(P.select_families(df, family=family, gene=gene, label=y, min_genes=min_genes, min_classes=2))
     genes = df.join(chosen.select(family), family, "left_semi").select(family, gene).distinct()
     dealt = P.stratified_folds(genes, row_id=gene, stratum=family, n_folds=n_folds, seed=seed, min_size=n_folds)
-    rows = durable(df.select(row_id, family, gene, y, vec).join(dealt, [family, gene]).join(chosen.select(family, "n_rows"), family))
-    kinds = dict(rows.dtypes)
-    shape = f"`{row_id}` {kinds[row_id]}, `{family}` {kinds[family]}, fold int, `{y}` int, score double"
-
-    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, t, f = np.stack(pdf[vec].to_numpy()), pdf[y].to_numpy(), pdf["fold"].to_numpy()
-        out = []
-        for k in np.unique(f):
-            tr, te = f != k, f == k
-            if len(np.unique(t[tr])) < 2:
-                continue
-            m, s = x[tr].mean(0), x[tr].std(0) + 1e-8
-            n, p = tr.sum(), t[tr].mean()
-            w = np.where(t[tr] == 1, 0.5 / p, 0.5 / (1 - p))
-            b = _logit((x[tr] - m) / s, t[tr], w * n / w.sum())
-            out.append(pd.DataFrame({row_id: pdf[row_id][te], family: pdf[family][te], "fold": int(k), y: t[te], "score": (x[te] - m) / s @ b[:-1] + b[-1]}))
-        return pd.concat(out) if out else pd.DataFrame(columns=[row_id, family, "fold", y, "score"], dtype=object)
-
-    parts = [rows.where(F.col("n_rows") <= small).groupBy(family).applyInPandas(fit, shape)]
-    for (name,) in chosen.where(F.col("n_rows") > small).select(family).collect():
-        oof = L.out_of_fold(rows.where(F.col(family) == name), L.logistic(), row_id=row_id, vec=vec, label=y, classes=(0, 1), keep=[family])
-        parts.append(oof.select(row_id, family, "fold", F.col(y).cast("int").alias(y), F.get("proba", F.lit(1)).alias("score")))
-    scored = durable(_union(parts))
+    rows = durable(df.select(row_id, family, gene, y, vec).join(dealt, [family, gene]))
+    d = len(rows.select(vec).first()[0]) if not rows.isEmpty() else 1
+    fits = family_fits(rows, family=family, fold="fold", vec=vec, y=y, n_folds=n_folds) if not rows.isEmpty() else None
+    if fits is None:
+        return chosen.select("*", F.lit(None).cast("double").alias("auroc"), F.lit(0).cast("long").alias("n_folds"))
+    own = F.slice("fits", F.col("fold") * (3 * d + 3) + 1, 3 * d + 3)
+    part = lambda a, n: F.slice("_fit", a + 1, n)
+    z = F.zip_with(F.zip_with(vec, part(0, d), lambda v, m: v - m), part(d, d), lambda v, s: v / s)
+    scored = rows.join(fits, family).withColumn("_fit", own).where(~F.isnan(F.get("_fit", F.lit(0))))
+    scored = durable(scored.withColumn("_z", z).select(row_id, family, "fold", y, (dot("_z", part(2 * d + 2, d)) + F.get("_fit", F.lit(3 * d + 2))).alias("score")))
     auc = M.ranking_metrics(scored, y=y, score="score", keys=[family, "fold"]).groupBy(family).agg(F.avg("auroc").alias("auroc"), F.count("auroc").alias("n_folds"))
     return chosen.join(auc, family, "left").orderBy(F.desc("n_rows"), family)
 

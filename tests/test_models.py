@@ -105,11 +105,23 @@ def test_cascade_shares_sum_to_one(spark):
     assert np.allclose([sum(p) for p in out.proba], 1) and len(out) == 240
 
 
-def test_large_and_small_families_agree(spark):
+def test_family_fits_equal_a_direct_fit(spark):
     df, *_ = data(spark)
-    rows = df.withColumn("fam", F.col("gene") % 2)
-    small, large = (D.within_family_study(rows, row_id="row_id", vec="vec", y="y", family="fam", gene="gene", small=s).toPandas() for s in (5000, 10))
-    assert np.allclose(small.auroc, large.auroc, atol=0.02)
+    rows = df.withColumn("fam", F.col("gene") % 2).withColumn("fold", F.pmod(F.floor(F.col("gene") / 2), F.lit(3)).cast("int"))
+    got = {r.fam: np.array(r.fits).reshape(3, -1) for r in D.family_fits(rows, family="fam", fold="fold", vec="vec", y="y", n_folds=3).collect()}
+    local = rows.toPandas()
+    for fam, fits in got.items():
+        for k in range(3):
+            part = local[(local.fam == fam) & (local.fold != k)]
+            x, t = np.stack(part.vec), part.y.to_numpy()
+            mean, scale = x.mean(0), x.std(0) + 1e-8
+            z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+            w = np.where(t == 1, 0.5 / t.mean(), 0.5 / (1 - t.mean()))
+            b, ridge = np.zeros(z.shape[1]), np.diag([1.0] * (z.shape[1] - 1) + [1e-8])
+            for _ in range(50):
+                p = 1 / (1 + np.exp(-z @ b))
+                b -= np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (w * (p - t)) + ridge @ b)
+            assert np.allclose(fits[k, -len(b) :], b, atol=1e-6)
 
 
 def test_importance_ranks_the_signal_first(spark):
