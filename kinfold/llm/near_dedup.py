@@ -7,10 +7,10 @@
 3. Signatures of a candidate pair are compared a batch at a time; the pair goes as
    soon as the posterior of "similarity >= threshold" falls below ``MISS``. Survivors are
    confirmed on the full sets.
-4. Members that are not yet connected are paired across components: inside small
-   buckets directly; members of large buckets by an exact rare-first prefix join
-   (a pair at or above the threshold shares one of the rarest
-   ``n - ceil(t n) + 1`` shingles), again first with the smallest id, then across components.
+4. Buckets whose members are not all connected by then are gathered by their smallest id, with the
+   full sets. A task holds two blocks of such a group, counts all its intersections as
+   a product of 0/1 matrices, and returns only the links that join components, so
+   what comes out is smaller than what went in, whatever the size of the group.
 
 A banded pair at exactly 0.75 escapes all bands with a chance of 3e-7; the pairs
 dropped in step 3 have a posterior below 1e-7 each. Null and empty texts have an empty set
@@ -22,12 +22,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.llm.common import binaries, sized_batches, splitmix, stream
@@ -41,8 +40,10 @@ PERCENT = 75
 BANDS, ROWS = 40, 4
 #: Signature entries compared between two looks at the posterior, and the chance of dropping a link there.
 BATCH, MISS = 16, 1e-7
-#: Buckets above this size go to the prefix join.
-SMALL_BUCKET = 32
+#: Members of one block of a group, and shingles of all its members together (a single longer one is a block of its own).
+BLOCK, BLOCK_SHINGLES = 1024, 1_000_000
+#: Ids up to this many are sent to the scan of the texts; more are joined with them by a shuffle.
+SENT_IDS = 500_000
 
 _K = BANDS * ROWS
 _A = (stream(_K, 4) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -158,7 +159,10 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), binaries(np.array([8 * len(s) for s in sets]), np.concatenate(sets).view(np.uint8))], names=["id", "shingles"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids.select("id").distinct(), "id", "left_semi")
+    wanted = durable(ids.select("id").distinct())
+    if wanted.limit(SENT_IDS + 1).count() <= SENT_IDS:
+        wanted = F.broadcast(wanted)
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
     return rows.mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"])
 
 
@@ -180,44 +184,73 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(test, "a long, b long")
 
 
-def _pair(x, y, *more) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b"), *more]
-
-
 def star_pairs(members: DataFrame) -> DataFrame:
     """Each member of a bucket (id, key) with the bucket's smallest id."""
     heads = members.groupBy("key").agg(F.min("id").alias("head"), F.max("id").alias("_most")).where("head < _most").select("key", "head")
-    return members.join(heads, "key").where("id > head").select(*_pair(F.col("head"), F.col("id"))).distinct()
+    return members.join(heads, "key").where("id > head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, key, component, n) of the buckets whose members are not all connected."""
+def open_groups(members: DataFrame, labels: DataFrame, classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(head, id, component, blocks) of the buckets whose members are not all connected, gathered by smallest id."""
     known = members.join(labels, "id", "left").select("id", "key", F.coalesce("component", "id").alias("component"))
-    still = known.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count(F.lit(1)).alias("n")).where("_lo < _hi").select("key", "n")
-    return known.join(still, "key")
-
-
-def cross_pairs(opened: DataFrame) -> DataFrame:
-    """Pairs inside a bucket that lie in different components."""
-    left = opened.select("key", F.col("id").alias("_x"), F.col("component").alias("_cx"))
-    right = opened.select("key", F.col("id").alias("_y"), F.col("component").alias("_cy"))
-    return left.join(right, "key").where("_x < _y and _cx != _cy").select(F.col("_x").alias("a"), F.col("_y").alias("b")).distinct()
+    still = known.groupBy("key").agg(F.min("id").alias("head"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key", "head")
+    grouped = durable(known.join(still, "key").select("head", "id", "component").distinct())
+    sized = grouped.join(classes.select("id", "n_shingles"), "id").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"))
+    return grouped.join(sized.select("head", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("blocks")), "head")
+
+
+def bridges(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links between members of different components, only as many as connect what is linked."""
+    names, component = np.unique(component, return_inverse=True)
+    if len(names) < 2:
+        return []
+    odd = np.flatnonzero(component != np.bincount(component).argmax())
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column = owner[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    columns, width = int(column[-1]) + 1 if len(column) else 0, 1024
+    head, out = np.arange(len(names)), []
+    for strip in np.split(odd, range(256, len(odd), 256)):
+        both = np.zeros((len(strip), len(sets)), np.float32)  # exact: whole numbers below 2 ** 24
+        for low in range(0, columns, width):
+            part = slice(*np.searchsorted(column, [low, low + width]))
+            matrix = np.zeros((len(sets), width), np.float32)
+            matrix[owner[part], column[part] - low] = 1
+            both += matrix[strip] @ matrix.T
+        both = both.astype(np.float64)
+        apart = component[strip, None] != component[None, :]
+        x, y = np.nonzero(apart & (100 * both >= percent * (size[strip, None] + size[None, :] - both)))
+        x = strip[x]
+        _, first = np.unique(component[x] * len(names) + component[y], return_index=True)
+        for a, b in zip(x[first].tolist(), y[first].tolist(), strict=True):
+            p, q = int(component[a]), int(component[b])
+            while head[p] != p:
+                p = int(head[p])
+            while head[q] != q:
+                q = int(head[q])
+            if p != q:
+                head[max(p, q)] = min(p, q)
+                out.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+    return out
 
 
-def prefix_members(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(id, key): each set's rarest ``n - ceil(t n) + 1`` shingles, rarity counted over these sets."""
+def group_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): the links that join components within each group; blocks of a large group meet two by two."""
+    blocks = F.col("blocks").cast("long")
+    own = F.pmod(F.xxhash64("id", F.lit(13)), blocks).alias("own")
+    dealt = groups.select("head", "id", "component", own, F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    placed = dealt.select("id", "head", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lengths = np.array([len(v.as_buffer()) // 8 for v in batch.column("shingles")], np.int64)
-            flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("id").to_numpy(), lengths)), pa.array(flat), pa.array(np.repeat(lengths, lengths))], names=["id", "key", "n"])
+    def resolve(group: pa.Table) -> pa.Table:
+        sets_ = [np.frombuffer(v.as_buffer(), np.uint64) for v in group.column("shingles")]
+        found = bridges(group.column("id").to_numpy(), group.column("component").to_numpy(), sets_, percent)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    rows = sets.mapInArrow(spread, "id long, key long, n long")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("_many"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("_many", "key"))
-    ranked = rows.join(counts, "key").where("_many > 1 or n > 0").withColumn("_place", place)
-    return ranked.where(F.col("_place") <= F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1).where("_many > 1").select("id", "key")
+    return placed.join(sets, "id").groupBy("head", "i", "j").applyInArrow(resolve, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -234,20 +267,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = durable(_links(docs, star_pairs(members), classes, percent))
     labels = components(links)
 
-    opened = durable(open_buckets(members, labels))
-    direct = cross_pairs(opened.where(F.col("n") <= SMALL_BUCKET))
-    links = durable(links.unionByName(_links(docs, direct, classes, percent)))
-    crowd = opened.where(F.col("n") > SMALL_BUCKET)
-    if not crowd.isEmpty():
-        labels = components(links)
-        sets = durable(full_sets(docs, crowd))
-        rare = durable(prefix_members(sets, percent))
-        more = durable(_links(docs, star_pairs(rare), classes, percent, sets))
-        links = durable(links.unionByName(more))
-        labels = components(links)
-        rest = cross_pairs(open_buckets(rare, labels))
-        links = durable(links.unionByName(_links(docs, rest, classes, percent, sets)))
-    labels = components(links)
+    opened = durable(open_groups(members, labels, classes))
+    more = group_links(opened, full_sets(docs, opened), percent)
+    labels = components(durable(links.unionByName(more)))
 
     class_of = least.join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
     joined = rows.join(class_of, "set_hash", "left")
@@ -255,9 +277,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return joined.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"))
 
 
-def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int, sets: DataFrame | None = None) -> DataFrame:
+def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs that are links."""
     left = durable(plausible(pairs, classes, percent))
-    if sets is None:
-        sets = full_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id")))
-    return confirmed(left, sets, percent)
+    return confirmed(left, full_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id"))), percent)
