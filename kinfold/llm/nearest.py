@@ -187,21 +187,22 @@ def nearest(rows: DataFrame, queries: Column, k: int = 10, factor: float = FACTO
 
     def pack(group: pa.Table) -> pa.Table:
         flat = group.column("v").combine_chunks().flatten().to_numpy()
-        return pa.table({"d": group.column("d")[:1], "ids": pa.array([group.column("vec_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
+        return pa.table({"block": group.column("block")[:1], "d": group.column("d")[:1], "ids": pa.array([group.column("vec_id").to_numpy().tobytes()], pa.binary()), "vectors": pa.array([flat.tobytes()], pa.binary())})
 
     trees = durable(valid.withColumn("shard", deal(shards, 1)).groupBy("shard", "d").applyInArrow(grow, "shard int, d int, tree binary"))
     once = valid.where("asked").groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    packs = durable(once.withColumn("block", deal(blocks, 2)).groupBy("block", "d").applyInArrow(pack, "d int, ids binary, vectors binary"))
+    packs = durable(once.withColumn("block", deal(blocks, 2)).groupBy("block", "d").applyInArrow(pack, "block int, d int, ids binary, vectors binary"))
     everywhere = packs.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))  # blocks of the stated queries, to every shard
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for tree, d, ids, vectors in zip(*(batch.column(c) for c in ("tree", "d", "ids", "vectors")), strict=True):
-                own = np.frombuffer(ids.as_buffer(), np.int64)
-                score, found, _ = search(Tree(*pickle.loads(tree.as_buffer())), own, np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, d.as_py()), k, factor)
-                there = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, there.sum(axis=1))), pa.array(found[there]), pa.array(score[there])], names=["query_id", "vec_id", "score"])
+    def look(pair: pa.Table) -> pa.Table:
+        """One shard and one block: neither meets another in memory."""
+        tree, d, ids, vectors = (pair.column(c)[0] for c in ("tree", "d", "ids", "vectors"))
+        own = np.frombuffer(ids.as_buffer(), np.int64)
+        score, found, _ = search(Tree(*pickle.loads(tree.as_buffer())), own, np.frombuffer(vectors.as_buffer(), np.float64).reshape(-1, d.as_py()), k, factor)
+        there = np.isfinite(score)
+        return pa.table({"query_id": pa.array(np.repeat(own, there.sum(axis=1))), "vec_id": pa.array(found[there]), "score": pa.array(score[there])})
 
-    near = everywhere.join(trees, ["shard", "d"]).select("tree", "d", "ids", "vectors").mapInArrow(look, "query_id long, vec_id long, score double")
+    pairs = everywhere.join(trees, ["shard", "d"]).groupBy("shard", "block", "d")
+    near = pairs.applyInArrow(look, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
