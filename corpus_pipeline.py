@@ -19,7 +19,7 @@ TOXIC = 0.3
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
     labels = table(spark, sf_dir, "labels").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
-    weights = toxicity.fit(table(spark, sf_dir, "documents"), labels)
+    weights = toxicity.fit(docs, labels)
     return docs.where(toxicity.score(weights) < TOXIC)
 
 
