@@ -196,7 +196,8 @@ def open_groups(members: DataFrame, labels: DataFrame, classes: DataFrame, block
     still = known.groupBy("key").agg(F.min("id").alias("head"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key", "head")
     grouped = durable(known.join(still, "key").select("head", "id", "component").distinct())
     sized = grouped.join(classes.select("id", "n_shingles"), "id").groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("all"))
-    return grouped.join(sized.select("head", F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("blocks")), "head")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / BLOCK_SHINGLES)).alias("blocks")
+    return grouped.join(durable(sized.select("head", blocks)), "head")  # apart, so that the join can split a large group
 
 
 def bridges(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
