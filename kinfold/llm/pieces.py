@@ -28,7 +28,7 @@ def units(text: str) -> tuple[str, list[str]]:
 class UnitCache:
     """ids of whole texts through ``encode(units) -> list of id bytes``; at most ``limit`` units are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], limit: int = 1_200_000) -> None:
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, texts: list[str]) -> list[bytes]:

@@ -8,8 +8,8 @@ of as many bits. Only the last sequence of a file is padded (mask 0). All batche
 but the last hold ``BATCH`` sequences and are equally long, so the bytes of
 sequence k of a mapped file lie at a computed place: reading it copies nothing.
 
-A file is written under a name of its own and then renamed, so a task that runs
-twice leaves one whole file. The manifest has one row per file with its documents
+A file is written as a draft and then renamed, under a name of its own for each attempt: a task that runs
+twice leaves a second whole file, which no one names. The manifest has one row per file that counts, with its documents
 and their lengths; together with the file it gives every document's ids back.
 
 Null texts count as empty: such a document is its end id alone. Null ids come first; rows with
@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -52,7 +53,8 @@ class Tokenizer:
         self.cached = UnitCache(self._encode)
 
     def _encode(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.wide).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
+        code = "H" if self.wide is np.uint16 else "I"
+        return [array(code, e.ids).tobytes() for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.frombuffer(b, self.wide) for b in self.cached.ids(texts)]
@@ -113,7 +115,8 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, folder: str | Non
         own, writer, sink = tokenizer(path), None, None
         ids_of, lengths = [], []
         store, place = open_store(folder)
-        name, draft = f"part-{part:06d}.arrows", f".{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex}.arrows"
+        draft = f".{name}"
         for rows in sized_batches(batches, "text"):
             if writer is None:
                 store.create_dir(place)
@@ -198,4 +201,6 @@ def _read(manifest: DataFrame, of, fields: list, schema: str) -> DataFrame:
                         names=["doc_id", "start", *(n for n, _ in fields)],
                     )
 
-    return manifest.join(starts, manifest.part == starts._part).select("file", "first", "doc_ids", "lengths").mapInArrow(read, "doc_id long, start long, " + schema)
+    parts = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a file is a row, so rows must not be gathered by their size
+    rows = manifest.join(starts, manifest.part == starts._part).repartition(parts, "part")
+    return rows.select("file", "first", "doc_ids", "lengths").mapInArrow(read, "doc_id long, start long, " + schema)
