@@ -267,7 +267,7 @@ def _by_fingerprint(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFrame:
     """(id, row_key, parts): starts of repeated strings of each row, as a list of (first, last)."""
     found = _anchored(docs, length)
-    often = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    often = durable(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))  # apart, so that the join can split a hot anchor
     seen = durable(found.join(often, "anchor").select("id", "row_key", "anchor", "context", "first", "last"))
     one = F.min(F.struct("id", "row_key", "first", "last"))
     copies = seen.groupBy("anchor", "context").agg(one.alias("one"), F.count(F.lit(1)).alias("times"))
