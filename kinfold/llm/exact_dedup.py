@@ -141,7 +141,7 @@ def duplicate_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
         rows = rows.join(numbers, rows.doc_id.eqNullSafe(numbers._id) & (rows.text_sha256 == numbers._sha), "left").withColumn("variants", F.coalesce(F.to_json("variants"), F.lit(""))).drop("_id", "_sha")
         key = ["recipe", "variants"]
     best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id"))
-    groups = rows.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = durable(rows.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))  # apart, so that a hot recipe's rows can be split in the join
     return rows.join(groups, key).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256"
     )
