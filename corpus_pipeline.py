@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from kinfold.llm.common import shared_folder, table
+from kinfold.llm.common import row_key, shared_folder, table
 
 #: Documents at or above this probability go.
 TOXIC = 0.3
@@ -24,19 +24,19 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keeping(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows of ``docs`` named by ``kept`` (doc_id), once each; rows without an id stay."""
-    named = docs.where("doc_id is not null").join(kept.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null"))
+    """Rows of ``docs`` named by ``kept`` (row_key); repetitions of a row are merged first, so that no key is hot in the join."""
+    rows = docs.select(F.struct("*").alias("row"), row_key(docs).alias("row_key")).dropDuplicates(["row_key"])
+    return rows.join(kept.distinct(), "row_key", "left_semi").select("row.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    return _keeping(docs, exact_dedup.duplicate_groups(docs).where("kept")).select(*docs.columns)
+    return _keeping(docs, exact_dedup.keepers(docs))
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
-    return _keeping(docs, near_dedup.near_duplicates(docs).where("kept")).select(*docs.columns)
+    """The row with the smallest id of each group of near duplicates."""
+    return _keeping(docs, near_dedup.keepers(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

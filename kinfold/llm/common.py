@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step works on; one longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -20,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key(docs: DataFrame) -> Column:
+    """128 bits of hash over all columns, nulls marked: rows that share it are repetitions of one row."""
+    columns = [docs[f"`{c}`"] for c in docs.columns]
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), *marked)) for seed in (12, 13)])
+
+
 def shared_folder(spark: SparkSession, what: str) -> str:
     """URI of a new folder under ``spark.checkpoint.dir``, which driver and executors share.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import filled, sized_batches, stream
+from kinfold.llm.common import filled, row_key, sized_batches, stream
 from kinfold.session import durable
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -72,7 +72,7 @@ def _digest(chunk: bytes, size: int) -> bytes:
 
 
 def recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """(doc_id, n_points, text_sha256, recipe), one row per row of ``docs``."""
+    """(doc_id, row_key, n_points, text_sha256, recipe), one row per row of ``docs``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
@@ -80,14 +80,16 @@ def recipes(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_key"),
                     pc.utf8_length(filled(batch.column("text"))).cast(pa.int64()),
                     pa.array([hashlib.sha256(b).hexdigest() for b in bare], pa.string()),
                     pa.array([b"".join(_digest(c, digest_bytes) for c in chunks_of(b)) for b in bare], pa.binary()),
                 ],
-                names=["doc_id", "n_points", "text_sha256", "recipe"],
+                names=["doc_id", "row_key", "n_points", "text_sha256", "recipe"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, "doc_id long, n_points long, text_sha256 string, recipe binary")
+    keyed = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text")
+    return keyed.mapInArrow(cut, "doc_id long, row_key string, n_points long, text_sha256 string, recipe binary")
 
 
 def _chunk_rows(docs: DataFrame, digest_bytes: int, placed: bool) -> DataFrame:
@@ -124,10 +126,10 @@ def shared_digests(docs: DataFrame, digest_bytes: int = 16) -> DataFrame | None:
     return strings.join(clashing, "digest").select("digest", "chunk", number.alias("variant"))
 
 
-def duplicate_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``.
+def _grouped(docs: DataFrame, digest_bytes: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """The rows with their recipes, the groups (best, group_size), and the columns that tie them.
 
-    Of equal texts the row with the most code points stays, then the one with the smallest ``doc_id``.
+    Of equal texts the row with the most code points is best, then the one with the smallest ``doc_id``.
     """
     rows = durable(recipes(docs, digest_bytes))
     clashes = shared_digests(docs, digest_bytes)
@@ -140,8 +142,19 @@ def duplicate_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
         )
         rows = rows.join(numbers, rows.doc_id.eqNullSafe(numbers._id) & (rows.text_sha256 == numbers._sha), "left").withColumn("variants", F.coalesce(F.to_json("variants"), F.lit(""))).drop("_id", "_sha")
         key = ["recipe", "variants"]
-    best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id"))
+    best = F.min(F.struct((-F.col("n_points")).alias("p"), F.col("doc_id").isNull().alias("z"), "doc_id", "row_key"))
     groups = durable(rows.groupBy(*key).agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")))  # apart, so that a hot recipe's rows can be split in the join
+    return rows, groups, key
+
+
+def keepers(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+    """(row_key): the best row of each group of equal texts, whatever ids it shares."""
+    return _grouped(docs, digest_bytes)[1].select(F.col("best.row_key").alias("row_key"))
+
+
+def duplicate_groups(docs: DataFrame, digest_bytes: int = 16) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of ``docs``; ``kept`` tells by id, :func:`keepers` by row."""
+    rows, groups, key = _grouped(docs, digest_bytes)
     return rows.join(groups, key).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"), "text_sha256"
     )

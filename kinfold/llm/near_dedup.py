@@ -14,8 +14,9 @@
 
 A banded pair at exactly 0.75 escapes all bands with a chance of 3e-7; the pairs
 dropped in step 3 have a posterior below 1e-7 each. Null and empty texts have an empty set
-and are linked with nothing; repeated rows share their component; a row without
-a ``doc_id`` has no name to be reached by: its ``component_id`` is null, and it stays.
+and are linked with nothing; repeated rows share their component. Classes are numbered, so rows
+link by their texts whatever ids they share or lack. ``component_id`` and ``kept`` tell by id: a row without
+a ``doc_id`` has no name there, so its ``component_id`` is null and ``kept`` true; :func:`keepers` tells by row.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import binaries, sized_batches, splitmix, stream
+from kinfold.llm.common import binaries, row_key, sized_batches, splitmix, stream
 from kinfold.llm.components import components
 from kinfold.llm.words import hashed_words
 from kinfold.session import durable
@@ -81,7 +82,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, signature), one row per row of ``docs``."""
+    """(doc_id, row_key, n_shingles, set_hash, signature), one row per row of ``docs``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
@@ -89,14 +90,16 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("row_key"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                     pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "n_shingles", "set_hash", "signature"],
+                names=["doc_id", "row_key", "n_shingles", "set_hash", "signature"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, n_shingles long, set_hash binary, signature binary")
+    keyed = docs.select(F.col("doc_id").cast("long"), row_key(docs).alias("row_key"), "text")
+    return keyed.mapInArrow(make, "doc_id long, row_key string, n_shingles long, set_hash binary, signature binary")
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -151,19 +154,29 @@ def plausible(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
     return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(test, "a long, b long")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, shingles): the full sets of the named documents, as sorted little-endian words."""
+def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, shingles): the full sets of the ``rows`` (name, text) that ``wanted`` (name, id) names, as sorted little-endian words."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sized_batches(batches, "text"):
             sets = shingle_sets(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), binaries(np.array([8 * len(s) for s in sets]), np.concatenate(sets).view(np.uint8))], names=["id", "shingles"])
 
-    wanted = durable(ids.select("id").distinct())
+    wanted = durable(wanted)
     if wanted.limit(SENT_IDS + 1).count() <= SENT_IDS:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted, "id", "left_semi")
-    return rows.mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"])
+    return rows.join(wanted, "name").select("id", "text").mapInArrow(make, "id long, shingles binary").dropDuplicates(["id"])
+
+
+def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, shingles) of the named documents."""
+    return _sets(docs.select(F.col("doc_id").cast("long").alias("name"), "text"), ids.select("id", F.col("id").alias("name")).distinct())
+
+
+def class_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, shingles) of the named classes, from the text of each one's first row."""
+    wanted = ids.select("id").distinct().join(classes.select("id", F.col("least.row_key").alias("name")), "id")
+    return _sets(docs.select(row_key(docs).alias("name"), "text"), wanted)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -254,14 +267,15 @@ def group_links(groups: DataFrame, sets: DataFrame, percent: int = PERCENT) -> D
     return placed.join(sets, "id").groupBy("head", "i", "j").applyInArrow(resolve, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The rows, the classes (id, set_hash, least, ...), the component of each linked class, and each component's least row.
+
+    Classes are numbered in the order of their least rows, so that a bucket's head is its least document.
+    """
     rows = durable(signatures(docs))
-    named = rows.where("n_shingles > 0 and doc_id is not null")
-    least = named.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    classes = durable(
-        named.join(least, "set_hash").where("doc_id = id").dropDuplicates(["id"]).select("id", "n_shingles", "signature")
-    )
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row_key")).alias("least")
+    grouped = rows.where("n_shingles > 0").groupBy("set_hash").agg(least, F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = durable(grouped.repartitionByRange("least").sortWithinPartitions("least").withColumn("id", F.monotonically_increasing_id()))
     keys = bands(classes)
     crowded = keys.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
     members = durable(keys.join(crowded, "key").select("id", "key"))
@@ -269,10 +283,24 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(links)
 
     opened = durable(open_groups(members, labels, classes))
-    more = group_links(opened, full_sets(docs, opened), percent)
+    more = group_links(opened, class_sets(docs, opened, classes), percent)
     labels = components(durable(links.unionByName(more)))
+    heads = durable(labels.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("best")))
+    return rows, classes, labels, heads
+
+
+def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(row_key): the least row of each group of near duplicates, and every row that is linked with nothing."""
+    rows, classes, labels, heads = _linked(docs, percent)
+    alone = classes.join(labels, "id", "left_anti").select("least.row_key")
+    return heads.select("best.row_key").unionByName(alone).unionByName(rows.where("n_shingles = 0").select("row_key"))
 
-    class_of = least.join(labels, "id", "left").select("set_hash", F.coalesce("component", "id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
+    rows, classes, labels, heads = _linked(docs, percent)
+    linked = durable(labels.join(heads, "component").select("id", "best"))
+    class_of = durable(classes.join(linked, "id", "left").select("set_hash", F.coalesce("best.doc_id", "least.doc_id").alias("component_id")))
     joined = rows.join(class_of, "set_hash", "left")
     mine = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return joined.select("doc_id", "n_shingles", mine.alias("component_id"), F.coalesce(F.col("doc_id") == mine, F.lit(True)).alias("kept"))
@@ -281,4 +309,4 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _links(docs: DataFrame, pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The candidate pairs that are links."""
     left = durable(plausible(pairs, classes, percent))
-    return confirmed(left, full_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id"))), percent)
+    return confirmed(left, class_sets(docs, left.select(F.explode(F.array("a", "b")).alias("id")), classes), percent)

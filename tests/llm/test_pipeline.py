@@ -1,17 +1,19 @@
 """Every stage of the pipeline against brute force on what it was given."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
 import duckdb
 import public_tokenizers
 import tiktoken
-from test_operators import linked, water_level
+from test_operators import linked, water_level, words
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from kinfold.llm import bpe
+from kinfold.llm.common import row_key
 
 SF = "/root/testdata/sf0.01"
 
@@ -73,3 +75,42 @@ def test_each_stage_does_its_work(spark, tmp_path):
 def test_the_entry_lists_all_eleven():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def _shared_and_null_ids():
+    """Rows (doc_id, text) with large null keys, ids that stand for several texts, and whole rows that repeat."""
+    rng = random.Random(21)
+    base, other = words(rng, 60).split(), words(rng, 60)
+    near = [" ".join([*base[:k], "x", *base[k + 1 :]]) for k in (3, 20, 40)]
+    rows = [(3, "A"), (7, "A"), (7, "B"), (None, "A"), (None, "A"), (None, "only null"), (None, "only null"), (None, "on ly null"), (8, None), (None, "")]
+    rows += [(None, near[0])] * 20 + [(11, near[1]), (11, other), (12, other + " z"), (5, other), (13, near[2]), (2, "B"), (2, words(rng, 30))]
+    return rows
+
+
+def test_exact_stage_keeps_one_row_of_each_group_under_null_and_shared_ids(spark):
+    rows = _shared_and_null_ids()
+    groups = {}
+    for i, text in rows:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", text or ""), []).append((-len(text or ""), i is None, i or 0, (i, text)))
+    want = {k: {g[3] for g in v if g[:3] == min(v, key=lambda g: g[:3])[:3]} for k, v in groups.items()}  # the rows that tie for best
+    out = [tuple(r) for r in corpus_pipeline.drop_exact(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()]
+    got = {re.sub(r"[\x20\x09-\x0D]", "", text or ""): (i, text) for i, text in out}
+    assert len(out) == len(groups) and all(got[k] in want[k] for k in want)
+
+
+def test_near_stage_links_every_text_under_null_and_shared_ids(spark):
+    rows = sorted(set(_shared_and_null_ids()), key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    groups = {}
+    for place, (_, head, _) in linked({k: text or "" for k, (_, text) in enumerate(rows)}).items():
+        groups.setdefault(head, []).append(rows[place])
+    out = [tuple(r) for r in corpus_pipeline.drop_near(spark, spark.createDataFrame(_shared_and_null_ids(), "doc_id long, text string"), SF).collect()]
+    assert len(out) == len(groups)
+    for members in groups.values():
+        kept = [r for r in members if r in out]
+        first = min((i is None, i or 0) for i, _ in members)
+        assert len(kept) == 1 and (kept[0][0] is None, kept[0][0] or 0) == first
+
+
+def test_row_keys_tell_where_a_null_stands(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (1, "x", None), (1, "x", None)], "doc_id long, text string, source string")
+    assert rows.select(row_key(rows).alias("k")).distinct().count() == 2
