@@ -165,6 +165,13 @@ def r10(spark, sf):
     return rounded(S.percentile_summary(v, value="value", n_boot=60, keys=["gene"]), "discard_frac", "ci_low", "ci_high")
 
 
+@query("r10_percentile_summary_all")
+def r10_all(spark, sf):
+    """Every key of the log; tests/test_resample.py holds it against brute force."""
+    v = B.prediction_log(spark, sf).select("gene", F.when(F.col("row_id") % 150 != 0, F.col("latency")).alias("value"))
+    return rounded(S.percentile_summary(v, value="value", n_boot=60, keys=["gene"]), "discard_frac", "ci_low", "ci_high")
+
+
 @query("r11_cluster_unit", f"WITH {B.ATTRIBUTES_SQL} SELECT gene, coalesce(family, 'gene_' || gene) AS unit FROM attributes")
 def r11(spark, sf):
     return B.attributes(spark, sf).select("gene", S.cluster_unit("family", "gene").alias("unit"))

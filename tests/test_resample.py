@@ -136,3 +136,18 @@ def test_ties_and_groups_across_chunks(spark):
             rows = np.repeat(np.arange(n), np.where(k == g, w[:, d], 0))
             p, q = score[rows][y[rows] == 1], score[rows][y[rows] == 0]
             assert got[(g, d)] == pytest.approx(((p[:, None] > q).sum() + 0.5 * (p[:, None] == q).sum()) / (len(p) * len(q)))
+
+
+def test_the_whole_log_has_its_intervals(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    log = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", "value").toPandas()
+    log.loc[log.event_id % 150 == 0, "value"] = np.nan
+    got = {r.gene: r for r in entry.queries()["r10_percentile_summary_all"](spark, sf).collect()}
+    assert set(got) == set(log.user_id) and max(got) >= 40
+    for gene, values in log.groupby("user_id")["value"]:
+        v, r = values.dropna().to_numpy(), got[gene]
+        ok = len(v) / 60 >= 0.99
+        assert (r.n_resamples, r.n_discarded, r.ci_suppressed) == (len(v), 60 - len(v), not ok)
+        assert (r.ci_low, r.ci_high) == (pytest.approx(tuple(np.percentile(v, [2.5, 97.5])), abs=1e-5) if ok else (None, None))
