@@ -48,7 +48,6 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.wide = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         self.cached = UnitCache(self._encode)
 

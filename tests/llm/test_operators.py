@@ -175,6 +175,19 @@ def test_op4_query_equals_the_library(spark, given):
         at += len(ids)
 
 
+def test_op4_added_tokens_in_a_text_are_those_of_the_plain_call(spark):
+    library = Tokenizer.from_file(PLAIN)
+    texts = {0: "one <|endoftext|> two", 1: "x<|endoftext|>y  <|endoftext|>", 2: "<|endoftext|>", 3: "plain"}
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_files.token_digests(token_files.write_token_files(docs, PLAIN, 2)).collect()}
+    at = 0
+    for i, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert i == 3 or 50256 in ids
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
 def test_op4_sequences_are_views_of_the_file_in_order(spark):
     rng = random.Random(7)
     texts = {i: words(rng, rng.randint(0, 400)) for i in range(60)}
