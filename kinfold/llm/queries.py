@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, nearest, personal, quality, suffix_dedup, token_files, toxicity
+from kinfold.llm import bpe, exact_dedup, importance, mixing, near_dedup, nearest, personal, quality, sharding, spelling, suffix_dedup, token_files, toxicity
 from kinfold.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +74,6 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
-
 def _remainder(parts: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
 
@@ -95,3 +94,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = toxicity.fit(docs, labels.where(~held))
     scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(weights).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_minimax_shards")
+def op12_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op13_importance_resampling")
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
