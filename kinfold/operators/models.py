@@ -34,6 +34,8 @@ from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import argmax_label, dot
 from kinfold.operators.gram import MAX_DIM, collect_gram, fold_moments, gram_rows, moments, ridge_from_gram
 from kinfold.operators.metrics import class_metrics, spearman
+from kinfold.operators.shuffles import shuffled_labels
+from kinfold.operators.stacked import Stacked, fit_stacked
 from kinfold.session import durable
 
 _THREADS = 4
@@ -55,16 +57,26 @@ def _lit(values) -> Column:
 # --- estimators -------------------------------------------------------------
 
 
-def logistic(c: float = 1.0, max_iter: int = 200) -> Callable:
-    """L2 logistic regression with the penalty ``1 / (c · n)`` on already scaled features."""
+@dataclass(frozen=True)
+class Logistic:
+    """L2 logistic regression with the penalty ``1 / (c · n)`` on already scaled features.
 
-    def build(n_rows: int, n_classes: int, width: int):
+    All folds are fitted together by the stacked solver; called like the other builders it gives the
+    Spark ML estimator of one fit, which takes over where groups are held back, rows are repeated or coefficients are too many for the solver.
+    """
+
+    c: float = 1.0
+    max_iter: int = 200
+
+    def __call__(self, n_rows: int, n_classes: int, width: int):
         return LogisticRegression(
-            featuresCol="features", labelCol="target", weightCol="weight", regParam=1.0 / (c * max(n_rows, 1)),
-            standardization=False, maxIter=max_iter, family="multinomial" if n_classes > 2 else "binomial",
+            featuresCol="features", labelCol="target", weightCol="weight", regParam=1.0 / (self.c * max(n_rows, 1)),
+            standardization=False, maxIter=self.max_iter, family="multinomial" if n_classes > 2 else "binomial",
         )
 
-    return build
+
+def logistic(c: float = 1.0, max_iter: int = 200) -> Logistic:
+    return Logistic(c, max_iter)
 
 
 def forest(trees: int = 50, depth: int = 8, seed: int = 0) -> Callable:
@@ -181,6 +193,45 @@ def oversampled(df: DataFrame, *, label: str, counts: dict, row_id: str, seed: i
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies.cast("int")))).drop("_copy")
 
 
+def _class_index(label: str, classes: Sequence) -> Column:
+    """0, 1, ... in the declared order; a value that is not declared raises."""
+    known = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int")
+    return F.when(known > 0, known - 1).otherwise(F.raise_error(F.concat(F.lit("undeclared class "), F.coalesce(F.col(label).cast("string"), F.lit("null")))).cast("int"))
+
+
+class StackedFolds(list):
+    """(fold, model, feature column) of every fold, fitted together; ``fit`` has them all."""
+
+    def __init__(self, fit: Stacked, vec: str) -> None:
+        super().__init__((p.fold, LinearModel(fit, i), F.col(vec)) for i, p in enumerate(fit.problems))
+        self.fit, self.vec = fit, vec
+
+
+@dataclass(frozen=True)
+class LinearModel:
+    """One problem of a stacked fit with the ``transform`` of a Spark ML model."""
+
+    fit: Stacked
+    index: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        raw = self.fit.decisions(vector_to_array("features"), of=[self.index])
+        if self.fit.n_classes == 2:
+            d = F.get(raw, F.lit(0))
+            both = df.withColumn("rawPrediction", array_to_vector(F.array(-d, d)))
+            share = 1.0 / (1.0 + F.exp(-F.get(vector_to_array("rawPrediction"), F.lit(1))))
+            out = both.withColumn("probability", array_to_vector(F.array(1.0 - share, share)))
+        else:
+            e = F.transform(raw, lambda v: F.exp(v - F.array_max(raw)))
+            out = df.withColumns({"rawPrediction": array_to_vector(raw), "probability": array_to_vector(F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x)))})
+        p = vector_to_array("probability")
+        return out.withColumn("prediction", (F.array_position(p, F.array_max(p)) - 1).cast("double"))
+
+
+def _stackable(estimator: Callable, n_classes: int, width: int, balance: str) -> bool:
+    return isinstance(estimator, Logistic) and balance != "oversample" and (1 if n_classes == 2 else n_classes) * (width + 1) <= MAX_DIM + 2
+
+
 def fit_folds(
     df: DataFrame, estimator: Callable, *, row_id: str, vec: str, label: str, classes: Sequence, fold: str = "fold",
     scale: bool = True, reduce_to: int | None = None, balance: str = "weight", seed: int = 0, held: DataFrame | None = None, group: str | None = None,
@@ -192,10 +243,18 @@ def fit_folds(
     scaling. ``balance``: weight, oversample or none. ``held`` lists (fold, group)
     kept out of training.
     """
+    given = len(df.select(vec).first()[0])
+    if held is None and _stackable(estimator, len(classes), given, balance):
+        basis = fold_pca(df, vec=vec, k=reduce_to, fold=fold) if reduce_to else None
+        maps = {(0, f): (basis.mean[f], basis.axes[f]) for f in basis.mean} if basis else None
+        fit = fit_stacked(
+            df, vec=vec, targets=F.array(_class_index(label, classes)), n_classes=len(classes), folds=F.array(fold), balance=balance == "weight", scale=scale, maps=maps, c=estimator.c
+        )
+        return StackedFolds(fit, vec)
     counts = _class_table(df, label, fold, classes)
     pca = fold_pca(df, vec=vec, k=reduce_to, fold=fold) if reduce_to else None
     scaling = fold_scaling(df, vec=vec, fold=fold) if scale and not reduce_to else None
-    width = reduce_to or len(df.select(vec).first()[0])
+    width = reduce_to or given
 
     def features(f) -> Column:
         if pca:
@@ -228,6 +287,9 @@ def fit_folds(
 
 def predict(df: DataFrame, fitted, *, fold: str, keep: Sequence[str], classes: Sequence, everywhere: bool = False) -> DataFrame:
     """(keep, fold, proba): each fold's model on its held-out rows."""
+    if isinstance(fitted, StackedFolds) and not everywhere:
+        rows = df.where(F.col(fold).isin([p.fold for p in fitted.fit.problems]))
+        return rows.select(*keep, fold, F.get(fitted.fit.shares(F.col(fitted.vec), F.array(fold)), F.lit(0)).alias("proba"))
     out = []
     for f, model, features in fitted:
         rows = df if everywhere else df.where(F.col(fold) == f)
@@ -254,6 +316,19 @@ def out_of_fold(df: DataFrame, estimator: Callable, *, row_id: str, label: str,
     return durable(scored.withColumn("pred", argmax_label("proba", classes)))
 
 
+def out_of_folds(df: DataFrame, estimator: Logistic, folds: Sequence[str], *, row_id: str, vec: str, label: str, classes: Sequence, scale: bool = True, balance: str = "weight") -> DataFrame:
+    """(row, label, run, fold, proba, pred): out-of-fold predictions under several assignments of folds, fitted together.
+
+    ``folds`` names the columns of the assignments; ``run`` is the place of one among them. A row without a fold in an
+    assignment takes no part in it.
+    """
+    every = F.array(*folds)
+    fit = fit_stacked(df, vec=vec, targets=F.array(_class_index(label, classes)), n_classes=len(classes), folds=every, balance=balance == "weight", scale=scale, c=estimator.c)
+    scored = df.select(row_id, label, F.posexplode(F.arrays_zip(every.alias("fold"), fit.shares(F.col(vec), every).alias("proba"))).alias("run", "_own"))
+    scored = scored.select(row_id, label, "run", "_own.*").where(F.col("fold").isNotNull())
+    return durable(scored.withColumn("pred", argmax_label("proba", classes)))
+
+
 def oof_coverage(predictions: DataFrame, eligible: DataFrame, *, row_id: str) -> DataFrame:
     """Eligible rows, predicted rows, rows without and with several predictions."""
     p = predictions.groupBy(row_id).agg(F.count("*").alias("_k"))
@@ -279,50 +354,61 @@ def align_proba(df: DataFrame, *, proba: str, given: Sequence, declared: Sequenc
 # --- directions and clusters -------------------------------------------------
 
 
+def _unit(w: np.ndarray) -> np.ndarray:
+    return w / (np.linalg.norm(w) + 1e-10)
+
+
 def fit_direction(df: DataFrame, *, vec: str, label: str, classes: Sequence = (0, 1), unscale: bool = True) -> np.ndarray:
     """Unit weight vector of a binary logistic fit on all rows, mapped back through the scaler."""
-    whole = df.withColumn("_one", F.lit(0))
-    n, s, q = fold_moments(moments(whole, key="_one", vec=vec), key="_one")[0]
-    mean = s / n
-    scale = np.sqrt(np.maximum(q / n - mean * mean, 0.0)) + 1e-8
-    scaled = F.zip_with(F.zip_with(vec, _lit(mean), lambda x, m: x - m), _lit(scale), lambda x, d: x / d)
-    ready = df.select(array_to_vector(scaled).alias("features"), _target(label, classes).alias("target"), F.lit(1.0).alias("weight"))
-    w = logistic()(n, 2, len(mean)).fit(ready).coefficients.toArray()
-    if unscale:
-        w = w / scale
-    return w / (np.linalg.norm(w) + 1e-10)
+    fit = fit_stacked(df, vec=vec, targets=F.array(_target(label, classes).cast("int")), balance=False)
+    return _unit((fit.coef[0][0, :-1] if unscale else fit.scaled[0][0, :-1]))
 
 
-def pair_directions(df: DataFrame, *, vec: str, label: str, classes: Sequence) -> dict:
-    """Unit directions for every pair of classes."""
-    names = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
+def half_directions(df: DataFrame, *, vec: str, label: str, halves: Sequence[str]) -> list[dict]:
+    """For every assignment of two halves {half: unit direction fitted on that half}, all together."""
+    fit = fit_stacked(df, vec=vec, targets=F.array(F.col(label).cast("int")), folds=F.array(*halves), balance=False)
+    out: list[dict] = [{} for _ in halves]
+    for p, w in zip(fit.problems, fit.coef, strict=True):
+        out[p.assignment][1 - p.fold] = _unit(w[0, :-1])
+    return out
+
 
-    def run(pair):
-        two = df.where(F.col(label).isin(*pair))
-        return f"{pair[0]}_vs_{pair[1]}", fit_direction(two, vec=vec, label=label, classes=pair, unscale=False)
+def _pair_names(classes: Sequence) -> list[tuple]:
+    return [(a, b) for i, a in enumerate(classes) for b in classes[i + 1 :]]
 
-    return dict(_each(names, run))
+
+def _pair_targets(label: Column, classes: Sequence) -> list[Column]:
+    """For every pair of classes 0 or 1, null for rows of other classes."""
+    return [F.when(label == F.lit(a), 0).when(label == F.lit(b), 1) for a, b in _pair_names(classes)]
+
+
+def pair_directions(df: DataFrame, *, vec: str, label: str, classes: Sequence) -> dict:
+    """Unit directions for every pair of classes, fitted together."""
+    fit = fit_stacked(df, vec=vec, targets=F.array(*_pair_targets(F.col(label), classes)), balance=False)
+    return {f"{a}_vs_{b}": _unit(fit.scaled[i][0, :-1]) for i, (a, b) in enumerate(_pair_names(classes))}
 
 
 def direction_cosines(df: DataFrame, *, vec: str, label: str, classes: Sequence, reference: np.ndarray | None = None, row_id: str, n_shuffles: int = 50, seed: int = 0) -> DataFrame:
-    """(pair, cosine, z_score) between pair directions, against label shuffles."""
-    from kinfold.operators.resample import shuffled_column
-
-    def cosines(w: dict) -> dict:
-        k = list(w)
-        return {f"{a}|{b}": float(w[a] @ w[b]) for i, a in enumerate(k) for b in k[i + 1 :]}
-
-    real = pair_directions(df, vec=vec, label=label, classes=classes)
-    observed = cosines(real)
-    null = []
-    for i in range(n_shuffles):
-        moved = shuffled_column(df.select(row_id, vec, label), row_id=row_id, column=label, seed=f"{seed}|{i}")
-        null += cosines(pair_directions(durable(moved), vec=vec, label=label, classes=classes)).values()
+    """(pair, cosine, z_score) between pair directions, against label shuffles.
+
+    The given labels and all shuffles are arms of one stacked fit; a shuffle is a keyed bijection of the row numbers, so none of them moves a row.
+    """
+    pairs = _pair_names(classes)
+    shuffled = shuffled_labels(df.select(row_id, vec, label), row_id=row_id, label=label, n=n_shuffles, seed=seed)
+    arms = F.flatten(F.transform(F.concat(F.array(F.col(label)), F.col("_shuffled")), lambda v: F.array(*_pair_targets(v, classes))))
+    fit = fit_stacked(shuffled, vec=vec, targets=arms, balance=False)
+    w = [_unit(c[0, :-1]) for c in fit.scaled]
+
+    def cosines(of: list) -> list[float]:
+        return [float(a @ b) for i, a in enumerate(of) for b in of[i + 1 :]]
+
+    names = [f"{a}_vs_{b}" for a, b in pairs]
+    observed = dict(zip([f"{a}|{b}" for i, a in enumerate(names) for b in names[i + 1 :]], cosines(w[: len(pairs)]), strict=True))
+    null = [v for i in range(1, n_shuffles + 1) for v in cosines(w[i * len(pairs) : (i + 1) * len(pairs)])]
     mean, sd = (float(np.mean(null)), float(np.std(null, ddof=1))) if len(null) >= 3 else (None, None)
     rows = [(k, v, (v - mean) / sd if sd else None) for k, v in observed.items()]
     if reference is not None:
-        unit = reference / (np.linalg.norm(reference) + 1e-10)
-        rows += [(f"{k}|reference", float(w @ unit), None) for k, w in real.items()]
+        rows += [(f"{k}|reference", float(v @ _unit(reference)), None) for k, v in zip(names, w, strict=False)]
     return df.sparkSession.createDataFrame(rows, "pair string, cosine double, z_score double")
 
 
@@ -608,6 +694,10 @@ def permutation_importance(df: DataFrame, model, *, row_id: str, vec: str, names
 def axis_scores(df: DataFrame, *, row_id: str, vec: str, label: str, classes: Sequence, fold: str = "fold", keep: Sequence[str] = ()) -> DataFrame:
     """(row, model fold, side, score): every fold's decision value on its training and held-out rows."""
     fitted = fit_folds(df, logistic(), row_id=row_id, vec=vec, label=label, classes=classes, fold=fold, balance="none")
+    if isinstance(fitted, StackedFolds):
+        scored = df.select(row_id, fold, *keep, F.explode(F.arrays_zip(F.array(*[F.lit(f) for f, _, _ in fitted]).alias("f"), fitted.fit.decisions(F.col(vec)).alias("axis"))).alias("_m"))
+        side = F.when(F.col(fold) == F.col("_m.f"), "test").otherwise("train")
+        return durable(scored.select(row_id, F.col("_m.f").alias("model_fold"), side.alias("side"), *keep, F.col("_m.axis").alias("axis")))
     out = []
     for f, model, features in fitted:
         scored = model.transform(df.select(row_id, fold, *keep, array_to_vector(features).alias("features")))
@@ -638,17 +728,18 @@ def axis_regression(scores: DataFrame, *, features: Sequence[str], alpha: float
 
 
 def refit_permutation(df: DataFrame, *, vec: str, label: str, row_id: str, n_folds: int, n: int = 20, seed: int = 0, fold: str = "fold", alternative: str = "greater") -> DataFrame:
-    """Permutation p-value of the fold-averaged AUROC with a refit per draw."""
-    from kinfold.operators.resample import BinaryAuroc, permutation_pvalue, permute_within_folds
-
-    stat = BinaryAuroc("_y", "_s", fold, n_folds)
+    """Permutation p-value of the fold-averaged AUROC with a refit per draw; labels (0, 1) move inside folds.
 
-    def score(rows: DataFrame, draw: int) -> DataFrame:
-        oof = out_of_fold(rows, logistic(), row_id=row_id, vec=vec, label=label, classes=(0, 1), fold=fold)
-        cells = stat.compress(oof.select(row_id, fold, F.col(label).alias("_y"), F.get("proba", F.lit(1)).alias("_s")), row_id)
-        return stat.score(cells.withColumn("draw", F.lit(draw)), ["draw"])
+    The given labels and all draws are arms of one stacked fit.
+    """
+    from kinfold.operators.resample import BinaryAuroc, permutation_pvalue
 
-    observed = score(df, -1).select(F.col("value").alias("point"))
-    draws = durable(permute_within_folds(df, unit=row_id, label=label, fold=fold, n=n, seed=seed).drop(fold))
-    nulls = [score(df.drop(label).join(draws.where(F.col("perm") == i).drop("perm"), row_id), i) for i in range(n)]
-    return permutation_pvalue(observed, _union(nulls), observed_col="point", value="value", n=n, alternative=alternative)
+    moved = shuffled_labels(df.select(row_id, vec, label, fold), row_id=row_id, label=label, n=n, seed=seed, within=fold)
+    arms = F.concat(F.array(F.col(label).cast("int")), F.transform("_shuffled", lambda v: v.cast("int")))
+    rows = durable(moved.select(row_id, vec, fold, arms.alias("_arms")))
+    fit = fit_stacked(rows, vec=vec, targets=F.col("_arms"), folds=F.array(fold))
+    scored = rows.select(row_id, fold, F.posexplode(F.arrays_zip(F.col("_arms").alias("_y"), fit.held_out(F.col(vec), F.col(fold)).alias("_s"))).alias("draw", "_a")).select(row_id, fold, "draw", "_a.*")
+    stat = BinaryAuroc("_y", "_s", fold, n_folds)
+    scores = durable(stat.score(stat.compress(scored, row_id, keys=["draw"]), ["draw"]))
+    observed = scores.where("draw = 0").select(F.col("value").alias("point"))
+    return permutation_pvalue(observed, scores.where("draw > 0"), observed_col="point", value="value", n=n, alternative=alternative)

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_int
 from kinfold.functions.rows import attach_row
-from kinfold.functions.ranking import hash_rank
+from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
 from kinfold.operators.many_draws import auroc_by_draw, permuted_rows, weighted_rows
+from kinfold.operators.shuffles import class_sums, shuffled_labels
 from kinfold.session import durable
 
 
@@ -57,8 +58,8 @@ class BinaryAuroc:
     fold: str
     n_folds: int
 
-    def compress(self, df: DataFrame, cluster: str) -> DataFrame:
-        return df.groupBy(cluster, self.fold, self.y, self.score_col).agg(F.count("*").alias("_w"))
+    def compress(self, df: DataFrame, cluster: str, keys: Sequence[str] = ()) -> DataFrame:
+        return df.groupBy(*keys, cluster, self.fold, self.y, self.score_col).agg(F.count("*").alias("_w"))
 
     def score(self, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         per = M.ranking_metrics(cells, y=self.y, score=self.score_col, keys=[*keys, self.fold], weight="_w")
@@ -339,21 +340,25 @@ def level_verdict(value: str, low: str, high: str, suppressed: str, threshold: f
     )
 
 
-def permute_within_folds(df: DataFrame, *, unit: str, label: str, fold: str, n: int, seed: int) -> DataFrame:
-    """(perm, unit, fold, label): labels shuffled among the units of a fold.
-
-    ``unit`` is a row id or a group; a unit in two folds or with two labels raises.
-    """
+def labelled_units(df: DataFrame, *, unit: str, label: str, fold: str) -> DataFrame:
+    """(unit, fold, label): one row per row id or group; a unit in two folds or with two labels raises."""
     lone = (F.min(fold) == F.max(fold)) & (F.min(label) == F.max(label))
-    per = df.groupBy(unit).agg(
+    return df.groupBy(unit).agg(
         F.when(lone, F.min(fold)).otherwise(F.raise_error(F.concat(F.lit("unit in two folds or with two labels: "), F.first(F.col(unit).cast("string")))).cast("int")).alias(fold),
         F.min(label).alias(label),
     )
-    numbered = hash_rank(per, [fold], [unit], "base", out="_pos")
-    draws = numbered.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    moved = hash_rank(draws, ["perm", fold], [unit], seed, out="_to", salt=[F.col("perm")]).select("perm", fold, "_to", label)
-    target = draws.select("perm", fold, unit, F.col("_pos").alias("_to"))
-    return target.join(moved, ["perm", fold, "_to"]).select("perm", unit, fold, label)
+
+
+def permutation_lists(df: DataFrame, *, unit: str, label: str, fold: str, n: int, seed: int) -> DataFrame:
+    """(unit, fold, label, labels): the unit's label in each of ``n`` draws that permute labels among the units of a fold."""
+    per = labelled_units(df, unit=unit, label=label, fold=fold)
+    return shuffled_labels(per, row_id=unit, label=label, n=n, seed=seed, within=fold).withColumnRenamed("_shuffled", "labels")
+
+
+def permute_within_folds(df: DataFrame, *, unit: str, label: str, fold: str, n: int, seed: int) -> DataFrame:
+    """(perm, unit, fold, label): labels shuffled among the units of a fold, one row per unit and draw."""
+    lists = permutation_lists(df, unit=unit, label=label, fold=fold, n=n, seed=seed)
+    return lists.select(F.posexplode("labels").alias("perm", "_label"), unit, fold).select("perm", unit, fold, F.col("_label").alias(label))
 
 
 def cluster_shapes(df: DataFrame, *, group: str, cluster: str, fold: str) -> DataFrame:
@@ -405,17 +410,41 @@ def permutation_pvalue(observed: DataFrame, nulls: DataFrame, *, observed_col: s
     )
 
 
-def auroc_permutation_test(df: DataFrame, *, row_id: str, y: str, proba: str, classes: Sequence, fold: str, n_folds: int, n: int, seed: int, group: str | None = None, cluster: str | None = None) -> DataFrame:
+def permuted_aurocs(df: DataFrame, *, unit: str, y: str, proba: str, classes: Sequence, fold: str, n: int, seed: int) -> DataFrame:
+    """(draw, fold, cls, auroc): one-vs-rest AUROC when labels move between the units of a fold and predictions stay.
+
+    Ranks do not depend on a draw, so a unit is its rank sums and its number of rows; a draw's AUROC follows from their sums over the units that get the class.
+    """
+    classes = list(classes)
+    spots = [F.struct(F.lit(i).alias("cls"), F.get(proba, F.lit(i)).alias("score")) for i in range(len(classes))]
+    cells = durable(df.select(unit, fold, F.explode(F.array(*spots)).alias("_e")).select(unit, fold, "_e.*").groupBy(unit, fold, "cls", "score").agg(F.count(F.lit(1)).alias("_w")))
+    ranks = durable(rank_table(cells, [fold, "cls"], "score", "_rank", weight="_w"))  # apart, so that the join can split a score that many rows share
+    ranked = cells.join(ranks.select(fold, "cls", "score", "_rank"), [fold, "cls", "score"])
+    one = lambda i, v: F.sum(F.when(F.col("cls") == i, v).otherwise(F.lit(0.0)))
+    sums = ranked.groupBy(unit).agg(*[one(i, F.col("_rank") * F.col("_w")).alias(f"_r{i}") for i in range(len(classes))], one(0, F.col("_w").cast("double")).alias("_n"))
+    values = F.array(*[f"_r{i}" for i in range(len(classes))], "_n").alias("_values")
+    units = durable(labelled_units(df, unit=unit, label=y, fold=fold).join(sums.select(unit, values), unit))
+    k = len(classes)
+    totals = units.groupBy(fold).agg(F.sum(F.get("_values", F.lit(k))).alias("_total"))
+    drawn = class_sums(units, unit=unit, label=y, within=fold, values="_values", n_values=k + 1, labels=classes, n=n, seed=seed).join(totals, fold)
+    at = lambda i, j: F.get("sums", F.lit(i * (k + 1) + j))
+    spots = F.array(*[F.struct(F.lit(c).alias("cls"), at(i, i).alias("_r"), at(i, k).alias("_p")) for i, c in enumerate(classes)])
+    long = drawn.select("draw", fold, "_total", F.explode(spots).alias("_e")).select("draw", fold, "_total", "_e.*")
+    rest = F.col("_total") - F.col("_p")
+    auroc = F.when((F.col("_p") > 0) & (rest > 0), (F.col("_r") - F.col("_p") * (F.col("_p") + 1) / 2) / (F.col("_p") * rest))
+    return long.select("draw", fold, "cls", auroc.alias("auroc"))
+
+
+def auroc_permutation_test(df: DataFrame, *, row_id: str, y: str, proba: str, classes: Sequence, fold: str, n_folds: int, n: int = 1000, seed: int, group: str | None = None, cluster: str | None = None) -> DataFrame:
     """Permutation p-value of the fold-averaged macro AUROC with the predictions held fixed."""
     stat = MacroAuroc(y, proba, tuple(classes), fold, n_folds)
     observed = _point(stat, stat.compress(df, row_id))
     unit = group or row_id
     if cluster:
         drawn = permute_cluster_blocks(df, group=unit, label=y, cluster=cluster, fold=fold, n=n, seed=seed)
+        nulls = stat.score_rows(permuted_rows(df, drawn, unit=unit, label=y, classes=classes, proba=proba, keep=[fold]), n)
     else:
-        drawn = permute_within_folds(df, unit=unit, label=y, fold=fold, n=n, seed=seed).drop(fold)
-    rows = permuted_rows(df, drawn, unit=unit, label=y, classes=classes, proba=proba, keep=[fold])
-    nulls = stat.score_rows(rows, n)
+        nulls = stat._average(permuted_aurocs(df, unit=unit, y=y, proba=proba, classes=classes, fold=fold, n=n, seed=seed), ["draw"])
     return permutation_pvalue(observed, nulls, observed_col="point", value="value", n=n)
 
 
