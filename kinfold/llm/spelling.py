@@ -1,10 +1,11 @@
 """Spelling variants grouped under the frequent word they differ from by one character.
 
 **Asymmetric q-chunks.** Of two words the longer one (of equally long ones the first) contributes two
-disjoint chunks, its halves; the other one contributes its positional grams of every length that such a chunk can
-have. One inserted, deleted or replaced character leaves one of the two chunks whole, moved by one place at
-most, so the pair meets in a join on the chunk and the longer word's length, with places within one of each
-other, and is verified there by its edit distance. A pair that meets on both chunks is taken from the first one.
+disjoint chunks, its halves; the other one contributes its positional grams, at every place and of every length that such a chunk can
+have. One inserted, deleted or replaced character leaves one of the two chunks whole, moved by one place at most. Halves of words are
+frequent, so the half that holds the edit is cut once more in the same way: one of its two chunks is whole too. A pair
+meets in a join on the longer word's length, the half and the chunk of the other half; the places of the grams differ by
+the words' difference in length, none or one. It is verified there by its edit distance. A pair that meets more than once is taken from the first meeting.
 
 A word's form is its nearest word of largest count, if that is ``RATIO`` times the word's own or more; forms are followed to the
 last by pointer doubling. A form is always more frequent than its word, so there are no cycles, and the number of
@@ -17,6 +18,8 @@ and ``text`` are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,31 +54,34 @@ def vocabulary(words: DataFrame, least: int = LEAST_LENGTH, count: int = LEAST_C
     return words.where(F.length("word") >= least).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= count)
 
 
-def _part(word: str, begin: Column, length: Column) -> Column:
-    return F.substring(F.col(word), begin + 1, length)
+def _kept(word: str, size: Column, which: int, shorter: int) -> tuple[Column, Column]:
+    """What is left of a word, before and behind, when quarter ``which`` of a word of ``size`` characters is taken out; it has ``shorter`` characters less."""
+    half = F.floor(size / 2)
+    ends = [F.lit(0), F.floor(half / 2), half, half + F.floor((size - half) / 2), size]
+    begin, end = (x.cast("int") for x in ends[which : which + 2])
+    return F.substring(F.col(word), F.lit(1), begin), F.substring(F.col(word), end - shorter + 1, size)
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, a_n, b, b_n) of all words (word, n) that differ by one inserted, deleted or replaced character, each pair once; ``b`` is no longer than ``a``."""
+
+    def keys(sizes: dict[int, Column]) -> Column:
+        """A hash for each longer word's length and each quarter that may hold the edit."""
+        return F.array(*[F.xxhash64(F.lit(q), size, *_kept("word", size, q, shorter)) for shorter, size in sizes.items() for q in range(4)])
+
     size = F.length("word")
-    half = F.floor(size / 2).cast("int")
-    chunk = lambda begin, end, which: F.struct(F.lit(which).alias("which"), begin.alias("at"), _part("word", begin, end - begin).alias("chunk"))
-    zero = F.lit(0)
-    chunks = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), size.alias("size"), F.explode(F.array(chunk(zero, half, 1), chunk(half, size, 2))).alias("c")).select("a", "a_n", "size", "c.*")
-
-    grams = []
-    for longer in (0, 1):  # what the other word is longer by
-        other = size + longer
-        middle = F.floor(other / 2).cast("int")
-        begins = [(zero, middle, 1), (middle - longer, other - middle, 2)]
-        grams += [F.struct(other.alias("size"), F.lit(which).alias("which"), begin.alias("at"), _part("word", begin, length).alias("chunk")) for begin, length, which in begins]
-    grams = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(F.array(*grams)).alias("g")).select("b", "b_n", "g.*")
-
-    found = chunks.withColumnRenamed("at", "place").join(grams, ["size", "which", "chunk"])
-    ordered = (F.length("a") > F.length("b")) | (F.col("a") < F.col("b"))
-    once = (F.col("which") == 1) | (F.left("a", F.floor(F.col("size") / 2).cast("int")) != F.left("b", F.floor(F.col("size") / 2).cast("int")))
-    near = F.levenshtein("a", "b", 1) == 1
-    return found.where((F.abs(F.col("place") - F.col("at")) <= 1) & ordered & once & near).select("a", "a_n", "b", "b_n")
+    chunks = words.select(F.col("word").alias("a"), F.col("n").alias("a_n"), F.posexplode(keys({0: size})).alias("q", "key"))
+    grams = words.select(F.col("word").alias("b"), F.col("n").alias("b_n"), F.explode(keys({0: size, 1: size + 1})).alias("key"))
+    shorter, longer = F.length("a") - F.length("b"), F.length("a")
+
+    def same(q: int) -> Column:
+        whole, less = _kept("a", longer, q, 0), [F.when(shorter == 0, x).otherwise(y) for x, y in zip(_kept("b", longer, q, 0), _kept("b", longer, q, 1), strict=True)]
+        return (whole[0] == less[0]) & (whole[1] == less[1])
+
+    ordered = (shorter == 1) | ((shorter == 0) & (F.col("a") < F.col("b")))
+    first = reduce(lambda out, q: F.when(same(q), F.lit(q)).otherwise(out), (3, 2, 1, 0), F.lit(-1))
+    found = chunks.join(grams, "key").where(ordered & (F.levenshtein("a", "b", 1) == 1))
+    return found.where(F.col("q") == first).select("a", "a_n", "b", "b_n")
 
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = RATIO) -> DataFrame:
