@@ -8,15 +8,15 @@ text of the corpus. Tasks add up in numpy, the sums meet by bucket; the table
 sent to the tasks has at most ``2 ** BITS`` rows whatever the corpus.
 
 **Pooling.** A text's vector is the mean of its words' unit vectors, rare and frequent words weighted alike
-within a text, with the mean of the index vectors themselves beside it, and the share of words that repeat the
-word one or two before.
+within a text, with the mean of the index vectors themselves beside it. The network sees nothing else.
 
 **Network.** Standardised inputs, one hidden tanh layer, fitted in numpy by Adam on a bounded
 sample of labelled rows (``MAX_ROWS``, the least by a hash of the id). A fifth of the sample is kept
 aside and fits the temperature that calibrates the probabilities.
 
-Null and empty texts pool to zeros and are scored like any other. Without labels of both kinds
-the score is the share of ones, 0.5 if there are none.
+Null and empty texts pool to zeros and are scored like any other. Repeated rows count as often as they occur
+and are all scored. Of labelled rows that share an id at the sample's edge any may be taken: they tie in the hash. Without labels of both kinds
+the score is the share of ones, 0.5 if there are none. Columns other than the id, the text and the label are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ BITS = 14
 SIZE = 32
 NONZERO = 4
 AROUND = 2
-POOLED = 2 * SIZE + AROUND
+POOLED = 2 * SIZE
 #: Labelled rows that the fit uses at most.
 MAX_ROWS = 8000
 HIDDEN = 32
@@ -123,11 +123,7 @@ def pooled(texts: pa.Array, words: np.ndarray) -> np.ndarray:
         for k in range(NONZERO):
             np.add.at(index, (np.arange(1 << BITS), PLACES[:, k]), SIGNS[:, k])
         both = np.concatenate([words, index], axis=1)
-        out[some, : 2 * SIZE] = np.add.reduceat(both[found], first[:-1][some], axis=0) / n[some, None]
-        whose = np.repeat(np.arange(len(n)), n)
-        for d in range(1, AROUND + 1):
-            again = (found[d:] == found[:-d]) & (whose[d:] == whose[:-d])
-            out[:, 2 * SIZE + d - 1] = np.bincount(whose[d:][again], minlength=len(n)) / np.maximum(n, 1)
+        out[some] = np.add.reduceat(both[found], first[:-1][some], axis=0) / n[some, None]
     return out
 
 

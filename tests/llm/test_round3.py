@@ -246,3 +246,74 @@ def test_op13_ranks_are_gapless_in_falling_score(spark):
     drawn = [tuple(r) for r in queries.QUERIES["op13_importance_resampling"](spark, "/root/testdata/sf0.01").where("rank is not null").orderBy("rank").select("rank", "score", "doc_id").collect()]
     assert [r[0] for r in drawn] == list(range(1, len(drawn) + 1))
     assert all((-a[1], a[2]) < (-b[1], b[2]) for a, b in pairwise(drawn))
+
+
+# --- word vectors and FTRL, word by word --------------------------------------------------
+
+
+def test_op9_word_vectors_and_pooling_equal_sums_word_by_word(spark):
+    from kinfold.llm import quality
+
+    texts = ["one two two. three", "", None, "two one", "a-b one\n two ", "één two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = quality.word_vectors(docs)
+
+    def tokens(t):
+        return [m.group().encode() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff\x20\x09-\x0D]+", t or "")]
+
+    def bucket(word):
+        found, _ = quality._buckets(pa.array([word.decode()]))
+        assert len(found) == 1
+        return int(found[0])
+
+    index = np.zeros((1 << quality.BITS, quality.SIZE))
+    for b in {bucket(w) for t in texts for w in tokens(t)}:
+        for k in range(quality.NONZERO):
+            index[b, quality.PLACES[b, k]] += quality.SIGNS[b, k]
+    sums = np.zeros_like(index)
+    for t in texts:
+        words = [bucket(w) for w in tokens(t)]
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.AROUND), min(len(words), i + quality.AROUND + 1)):
+                if j != i:
+                    sums[w] += index[words[j]]
+    norm = np.linalg.norm(sums, axis=1, keepdims=True)
+    want = sums / np.where(norm > 0, norm, 1)
+    assert np.allclose(got, want, atol=1e-6)
+    pooled = quality.pooled(pa.array([t or "" for t in texts]), got)
+    for t, row in zip(texts, pooled, strict=True):
+        words = [bucket(w) for w in tokens(t)]
+        mean = np.concatenate([want[words].mean(0), index[words].mean(0)]) if words else np.zeros(quality.POOLED)
+        assert np.allclose(row, mean, atol=1e-5)
+
+
+def test_op10_fit_equals_ftrl_written_out(spark):
+    from kinfold.llm import toxicity
+
+    rng = random.Random(4)
+    texts = {i: " ".join(rng.choice(["bad", "good", "word", "Worse", "x"]) for _ in range(rng.randint(0, 12))) for i in range(60)}
+    labels = {i: int("bad" in t) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    table = spark.createDataFrame(list(labels.items()), "doc_id long, toxic int")
+    model = toxicity.fit(docs, table)
+    order = [r.doc_id for r in table.select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h").collect()]
+    z, n, bz, bn = defaultdict(float), defaultdict(float), 0.0, 0.0
+
+    def weight(i):
+        if abs(z[i]) <= toxicity.L1:
+            return 0.0
+        return -(z[i] - math.copysign(toxicity.L1, z[i])) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    for _ in range(toxicity.EPOCHS):
+        for doc in order:
+            x = sorted(set(next(iter(toxicity._features(pa.array([texts[doc]])))).tolist()))
+            w = {i: weight(i) for i in x}
+            b = -bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-(b + sum(w.values())))) - labels[doc]
+            for i in x:
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / toxicity.ALPHA * w[i]
+                n[i] += g * g
+            bz, bn = bz + g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / toxicity.ALPHA * b, bn + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    assert dict(zip(model.index.tolist(), model.weight.tolist(), strict=True)) == pytest.approx(want)
+    assert model.bias == pytest.approx(-bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA)) and want
