@@ -166,7 +166,6 @@ def test_op3_recall_of_the_query(spark):
 
 def test_op4_query_equals_the_library(spark, given):
     library = Tokenizer.from_file(PLAIN)
-    library.encode_special_tokens = True
     got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op4_token_files"](spark, SF).collect()}
     at = 0
     for i in sorted(given):
@@ -175,6 +174,24 @@ def test_op4_query_equals_the_library(spark, given):
         at += len(ids)
 
 
+def test_op4_slices_runs_and_files_of_bounded_size(spark, given):
+    library = Tokenizer.from_file(PLAIN)
+    rng = random.Random(6)
+    texts = {i: "".join(rng.choice(["a", "bc", " ", "  ", "\n", "\n ", "\u00a0 ", "\x1c ", "\x0b ", "'s", "7", "é", ".", "<|endoftext|>"]) for _ in range(rng.randint(0, 60))) for i in range(300)}
+    own = token_files.Tokenizer(PLAIN)
+    for part in (pa.array(list(texts.values())), pa.array(list(given.values())), pa.array([], pa.string()), pa.array([""])):
+        ids, lengths = own.encode(part, 2)
+        want = [[*library.encode(t, add_special_tokens=False).ids, 2] for t in part.to_pylist()]
+        assert lengths.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    docs = spark.createDataFrame([*texts.items(), *[(7, t) for t in list(texts.values())[:20]]], DOCS).repartition(1)
+    manifest = token_files.write_token_files(docs, PLAIN, 2, sequence=16, batch=2, file_ids=500)
+    assert manifest.where("n_ids > 0").count() >= 4
+    got = sorted((r.doc_id, bytes(r.ids)) for r in token_files.read_token_files(manifest).collect())
+    assert got == sorted((i, np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in [*texts.items(), *[(7, t) for t in list(texts.values())[:20]]])
+    starts = sorted((r.start, r.n_tokens, r.doc_id) for r in token_files.token_digests(manifest).collect())
+    assert all(a[0] + a[1] == b[0] and a[2] <= b[2] for a, b in zip(starts, starts[1:], strict=False))
+
+
 def test_op4_added_tokens_in_a_text_are_those_of_the_plain_call(spark):
     library = Tokenizer.from_file(PLAIN)
     texts = {0: "one <|endoftext|> two", 1: "x<|endoftext|>y  <|endoftext|>", 2: "<|endoftext|>", 3: "plain"}
