@@ -176,6 +176,8 @@ def _runs(flags: np.ndarray) -> list[int]:
     return edges.tolist()
 
 
+#: Stands for a null id.
+_NO_ID = -(1 << 63)
 _AT = "id long, row_key long"
 
 
@@ -214,7 +216,7 @@ def _contexts(docs: DataFrame, copies: DataFrame, length: int) -> DataFrame:
             body = [raw[a : b + length] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(parts.field(c) for c in ("anchor", "context", "times", "crowded")), pa.array(body, pa.binary())], names=["anchor", "context", "times", "crowded", "body"])
 
-    return docs.join(wanted, ["id", "row_key"]).select("text", "parts").mapInArrow(cut, schema)
+    return docs.join(wanted, ["id", "row_key"]).select("id", "row_key", "text", "parts").mapInArrow(cut, schema)
 
 
 _RUNS = "anchor long, context long, runs array<int>"
@@ -284,9 +286,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) ->
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), with ``with_text`` also ``kept`` (binary): one row per row of ``docs``."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", id_.alias("id"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
-    spans = repeated_spans(keyed.select("id", "row_key", "text"), length, crowd)
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
+    keyed = docs.select(id_.alias("id"), F.coalesce("text", F.lit("")).alias("text")).select("id", F.xxhash64("id", "text").alias("row_key"), "text")
+    spans = repeated_spans(keyed, length, crowd)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,6 +305,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, wi
                 rows.append((len(text), int(gone.sum()), len(_runs(gone)) // 2, hashlib.sha256(kept).hexdigest(), kept))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()][: 4 + with_text]
             names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 4 + with_text]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], names=["doc_id", *names])
 
-    return keyed.join(spans, ["id", "row_key"], "left").select("doc_id", "text", "parts").mapInArrow(remove, schema)
+    # both joins of the texts read these three columns alike, so the texts are shuffled once
+    removed = keyed.join(spans, ["id", "row_key"], "left").select("id", "row_key", "text", "parts").mapInArrow(remove, schema)
+    return removed.withColumn("doc_id", F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")))
