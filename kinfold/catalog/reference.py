@@ -84,14 +84,14 @@ def interval_sql(values, n, keys=""):
 
 @query(
     "b4_floor_interval",
-    f"""WITH {P}, {_TRAIN}, q AS (SELECT gene, fold, label, {_MAJ} AS pred FROM preds JOIN tr USING (fold)), {draws_sql('preds', 'gene', 30, 1)},
+    f"""WITH {P}, {_TRAIN}, q AS (SELECT gene, fold, label, {_MAJ} AS pred FROM preds JOIN tr USING (fold)), {draws_sql('preds', 'gene', 1000, 1)},
     w AS (SELECT boot, fold, label, pred, w FROM q JOIN draws USING (gene)), v AS (SELECT boot, avg(macro_f1) AS value FROM ({class_metrics_sql('w', 'boot, fold', 'w')}) GROUP BY 1),
     p AS (SELECT avg(macro_f1) AS point FROM ({class_metrics_sql('q', 'fold')}))
-    SELECT 'macro_f1' AS metric, round(point, 6) AS point, n_resamples, n_discarded, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_suppressed FROM p, ({interval_sql('v', 30)})""",
+    SELECT 'macro_f1' AS metric, round(point, 6) AS point, n_resamples, n_discarded, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, ci_suppressed FROM p, ({interval_sql('v', 1000)})""",
 )
 def b4(spark, sf):
     ref = R.majority_reference(rows(spark, sf), label="label", classes=C)
-    out = S.bootstrap_interval(ref, {"macro_f1": S.MacroF1("label", "pred", C, "fold", 5)}, cluster="gene", n_boot=30, seed=1)
+    out = S.bootstrap_interval(ref, {"macro_f1": S.MacroF1("label", "pred", C, "fold", 5)}, cluster="gene", n_boot=1000, seed=1)
     return rounded(out.drop("discard_frac"), "point", "ci_low", "ci_high")
 
 

@@ -10,7 +10,8 @@ from kinfold.operators import resample as S
 from kinfold.plans import bindings as B
 
 C = B.CLASSES
-N = 40
+#: Draws of every interval and permutation test.
+N = 1000
 P = B.predictions_sql()
 PQ = f"{P}, q AS (SELECT *, {B.PRED_SQL} AS pred FROM preds)"
 PAIR = f"{PQ}, {B.shares_sql('joined', 'b', 'arm_b')}, qb AS (SELECT *, {B.PRED_SQL} AS pred FROM arm_b)"
@@ -146,28 +147,22 @@ def r9(spark, sf):
 
 @query(
     "r9_rank_correlation_draws",
-    f"""WITH {P}, {draws_sql('preds', 'gene', 5, 12)}, rep AS (SELECT boot, fold, score, gene_score FROM (SELECT boot, fold, score, gene_score, unnest(range(0, w)) AS k FROM preds JOIN draws USING (gene))),
+    f"""WITH {P}, {draws_sql('preds', 'gene', N, 12)}, rep AS (SELECT boot, fold, score, gene_score FROM (SELECT boot, fold, score, gene_score, unnest(range(0, w)) AS k FROM preds JOIN draws USING (gene))),
     v AS (SELECT boot, avg(rho) AS value FROM ({spearman_sql('rep', 'boot, fold', 'score', 'gene_score')}) GROUP BY 1) SELECT 'rho' AS metric, CAST(boot AS INTEGER) AS boot, round(value, 6) AS value FROM v""",
 )
 def r9_rho(spark, sf):
     """The checking SQL repeats the drawn rows; here a weight stands for the repetition."""
     s = S.SpearmanRho("score", "gene_score", "fold", 5)
-    return rounded(S.bootstrap_values(B.predictions(spark, sf), {"rho": s}, cluster="gene", n_boot=5, seed=12), "value")
+    return rounded(S.bootstrap_values(B.predictions(spark, sf), {"rho": s}, cluster="gene", n_boot=N, seed=12), "value")
 
 
 @query(
-    "r10_percentile_summary",
-    f"""WITH {B.LOG_SQL}, v AS (SELECT gene, CASE WHEN row_id % 150 <> 0 THEN latency END AS value FROM prediction_log WHERE gene < 40), n AS (SELECT gene, count(*) AS c FROM v GROUP BY 1)
+    "r10_percentile_summary_all",
+    f"""WITH {B.LOG_SQL}, v AS (SELECT gene, CASE WHEN row_id % 150 <> 0 THEN latency END AS value FROM prediction_log)
     SELECT gene, n_resamples, n_discarded, round(1 - n_resamples / 60::DOUBLE, 6) AS discard_frac, {OUT} FROM ({interval_sql('v', 60, 'gene')})""",
 )
-def r10(spark, sf):
-    v = B.prediction_log(spark, sf).where("gene < 40").select("gene", F.when(F.col("row_id") % 150 != 0, F.col("latency")).alias("value"))
-    return rounded(S.percentile_summary(v, value="value", n_boot=60, keys=["gene"]), "discard_frac", "ci_low", "ci_high")
-
-
-@query("r10_percentile_summary_all")
 def r10_all(spark, sf):
-    """Every key of the log; tests/test_resample.py holds it against brute force."""
+    """Every key of the log; tests/test_resample.py holds it against brute force too."""
     v = B.prediction_log(spark, sf).select("gene", F.when(F.col("row_id") % 150 != 0, F.col("latency")).alias("value"))
     return rounded(S.percentile_summary(v, value="value", n_boot=60, keys=["gene"]), "discard_frac", "ci_low", "ci_high")
 
@@ -208,15 +203,50 @@ def r13(spark, sf):
     )
 
 
+def landing_sql(source, seed, rest):
+    """One pass of the keyed bijection: ``source`` has perm, fold, x, m, and the columns ``rest``; the result has x replaced."""
+    out, prime = f"(SELECT {rest}, perm, fold, m, x // b AS l, x % b AS r, a, b, g FROM {source} JOIN pg USING (fold))", (1 << 31) - 1
+    for k in range(6):
+        to, of, below = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+        t = f"(SELECT s.*, ({of} + k{k} + g) % {prime} AS t FROM {out} s JOIN pk USING (perm))"
+        t = f"(SELECT *, t * t % {prime} AS t2 FROM {t})"
+        out = f"(SELECT * REPLACE (({to} + (((t2 * t2 % {prime} * t % {prime}) * {below}) >> 31)) % {below} AS {to}) FROM {t})".replace("SELECT * REPLACE", "SELECT * EXCLUDE (t, t2) REPLACE")
+    return f"(SELECT {rest}, perm, fold, m, l * b + r AS x FROM {out})"
+
+
 def permute_sql(src, unit, n, seed, out="permuted"):
-    return f"""u AS (SELECT {unit} AS unit, min(fold) AS fold, min(label) AS label FROM {src} GROUP BY 1), nb AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql('base', 'unit')}, unit) AS pos FROM u),
-    pd AS (SELECT *, unnest(range(0, {n})) AS perm FROM nb), mv AS (SELECT perm, fold, label, row_number() OVER (PARTITION BY perm, fold ORDER BY {B.hex_sql(seed, 'perm', 'unit')}, unit) AS pos FROM pd),
-    {out} AS (SELECT pd.perm, pd.unit AS {unit}, pd.fold, mv.label FROM pd JOIN mv ON pd.perm = mv.perm AND pd.fold = mv.fold AND pd.pos = mv.pos)"""
+    """Labels moved between the units of a fold, by the bijection that the operator uses."""
+    keys = ", ".join(f"{B.h_sql(seed, 'perm', str(k))} AS k{k}" for k in range(6))
+    return f"""u AS (SELECT {unit} AS unit, min(fold) AS fold, min(label) AS label FROM {src} GROUP BY 1),
+    nb AS (SELECT unit, fold, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql('base', 'unit')}, unit) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS m FROM u),
+    pd AS (SELECT unnest(range(0, {n})) AS perm), pk AS (SELECT perm, {keys} FROM pd),
+    ps AS (SELECT DISTINCT fold, CAST(m AS BIGINT) AS mm FROM nb), pa AS (SELECT *, (SELECT min(i) FROM range(0, 100000) t(i) WHERE i * i >= mm) AS a FROM ps), pg AS (SELECT fold, a, (mm + a - 1) // a AS b, {B.h_sql(seed, 'fold')} AS g FROM pa),
+    p0 AS (SELECT perm, unit, fold, CAST(pos AS BIGINT) AS x, CAST(m AS BIGINT) AS m FROM nb, pd),
+    walk AS (SELECT perm, unit, fold, m, x FROM {landing_sql('p0', seed, 'unit')} UNION ALL SELECT perm, unit, fold, m, x FROM {landing_sql('(SELECT * FROM walk WHERE x >= m)', seed, 'unit')}),
+    cl AS (SELECT fold, label, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) - count(*) AS lo, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) AS hi FROM u GROUP BY fold, label),
+    {out} AS (SELECT perm, unit AS {unit}, w.fold, c.label FROM walk w JOIN cl c ON w.fold = c.fold AND x >= lo AND x < hi)"""
+
+
+def _tally_sql(unit):
+    return f"SELECT {unit}, fold, count(*) FILTER (label = 'F') AS n_f, count(*) FILTER (label = 'O') AS n_o, count(*) FILTER (label = 'P') AS n_p, sum((perm + 1) * CASE label WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END)::BIGINT AS mark FROM permuted GROUP BY ALL"
+
+
+def tally(lists, unit):
+    """How often a unit gets each class over all draws, and a mark of which draws."""
+    n = lambda c: F.size(F.filter("labels", lambda v: v == c)).cast("long")
+    mark = F.aggregate(F.transform("labels", lambda v, i: (i + 1).cast("long") * F.when(v == "F", 0).when(v == "O", 1).otherwise(2)), F.lit(0).cast("long"), lambda a, v: a + v)
+    return lists.select(unit, "fold", n("F").alias("n_f"), n("O").alias("n_o"), n("P").alias("n_p"), mark.alias("mark"))
+
+
+def long_tally(long, *keys):
+    one = lambda c: F.count_if(F.col("label") == c)
+    mark = F.sum((F.col("perm") + 1) * F.when(F.col("label") == "F", 0).when(F.col("label") == "O", 1).otherwise(2)).cast("long")
+    return long.groupBy(*keys).agg(one("F").alias("n_f"), one("O").alias("n_o"), one("P").alias("n_p"), mark.alias("mark"))
 
 
-@query("r14_permute_rows", f"WITH {P}, {permute_sql('preds', 'row_id', 3, 14)} SELECT CAST(perm AS INTEGER) AS perm, row_id, fold, label FROM permuted")
+@query("r14_permute_rows", f"WITH RECURSIVE {P}, {permute_sql('preds', 'row_id', N, 14)} {_tally_sql('row_id')}")
 def r14(spark, sf):
-    return S.permute_within_folds(preds(spark, sf), unit="row_id", label="label", fold="fold", n=3, seed=14)
+    return tally(S.permutation_lists(preds(spark, sf), unit="row_id", label="label", fold="fold", n=N, seed=14), "row_id")
 
 
 _GENE = B.predictions_sql(unit="family").replace("o_orderstatus AS label", "substr('FOP', CAST(1 + o_custkey % 3 AS BIGINT), 1) AS label")
@@ -227,9 +257,10 @@ def gene_preds(spark, sf):
     return B.with_shares(rows.join(B.group_folds(rows, "family", 5, 0), "family"), "a")
 
 
-@query("r14_permute_groups", f"WITH {_GENE}, {permute_sql('preds', 'gene', 4, 15)} SELECT CAST(perm AS INTEGER) AS perm, gene, fold, label FROM permuted")
+@query("r14_permute_groups", f"WITH RECURSIVE {_GENE}, {permute_sql('preds', 'gene', N, 15)} {_tally_sql('gene')}")
 def r14_groups(spark, sf):
-    return S.permute_within_folds(gene_preds(spark, sf), unit="gene", label="label", fold="fold", n=4, seed=15)
+    long = S.permute_within_folds(gene_preds(spark, sf), unit="gene", label="label", fold="fold", n=N, seed=15)
+    return long_tally(long, "gene", "fold")
 
 
 _SHAPES = """g AS (SELECT family * 100 + gene % 20 AS block, gene, min(label) AS label, min(fold) AS fold FROM preds GROUP BY 1, 2), sh AS (SELECT block, min(fold) AS fold, count(*) AS size FROM g GROUP BY 1)"""
@@ -243,13 +274,15 @@ def blocks(spark, sf):
 
 @query(
     "r15_permute_cluster_blocks",
-    f"""WITH {_GENE}, {_SHAPES}, nb AS (SELECT *, row_number() OVER (PARTITION BY fold, size ORDER BY {B.hex_sql('base', 'block')}, block) AS pos FROM sh), pd AS (SELECT *, unnest(range(0, 4)) AS perm FROM nb),
+    f"""WITH {_GENE}, {_SHAPES}, nb AS (SELECT *, row_number() OVER (PARTITION BY fold, size ORDER BY {B.hex_sql('base', 'block')}, block) AS pos FROM sh), pd AS (SELECT *, unnest(range(0, {N})) AS perm FROM nb),
     mv AS (SELECT perm, fold, size, block AS donor, row_number() OVER (PARTITION BY perm, fold, size ORDER BY {B.hex_sql(16, 'perm', 'block')}, block) AS pos FROM pd), sw AS (SELECT pd.perm, pd.block AS target, donor FROM pd JOIN mv USING (perm, fold, size, pos)),
     m AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY {B.hex_sql('member', 'gene')}, gene) AS k FROM g)
-    SELECT CAST(perm AS INTEGER) AS perm, a.gene, b.label FROM sw JOIN m a ON a.block = target JOIN m b ON b.block = donor AND a.k = b.k""",
+    SELECT gene, count(*) FILTER (label = 'F') AS n_f, count(*) FILTER (label = 'O') AS n_o, count(*) FILTER (label = 'P') AS n_p, sum((perm + 1) * CASE label WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END)::BIGINT AS mark
+    FROM (SELECT perm, a.gene, b.label FROM sw JOIN m a ON a.block = target JOIN m b ON b.block = donor AND a.k = b.k) GROUP BY gene""",
 )
 def r15(spark, sf):
-    return S.permute_cluster_blocks(blocks(spark, sf), group="gene", label="label", cluster="block", fold="fold", n=4, seed=16)
+    long = S.permute_cluster_blocks(blocks(spark, sf), group="gene", label="label", cluster="block", fold="fold", n=N, seed=16)
+    return long_tally(long, "gene")
 
 
 @query("r15_immovable_clusters", f"WITH {_GENE}, {_SHAPES} SELECT block, fold, size FROM sh QUALIFY count(*) OVER (PARTITION BY fold, size) = 1")
@@ -259,13 +292,13 @@ def r15_fixed(spark, sf):
 
 @query(
     "r16_permutation_test",
-    f"""WITH {_GENE}, {permute_sql('preds', 'gene', 10, 17)}, o AS ({ovr_sql('preds', 'fold')}), obs AS ({_AUC_P}), pj AS (SELECT p.perm, p.fold, p.label, proba FROM preds JOIN permuted p USING (gene)), po AS ({ovr_sql('pj', 'perm, fold')}),
+    f"""WITH RECURSIVE {_GENE}, {permute_sql('preds', 'gene', N, 17)}, o AS ({ovr_sql('preds', 'fold')}), obs AS ({_AUC_P}), pj AS (SELECT p.perm, p.fold, p.label, proba FROM preds JOIN permuted p USING (gene)), po AS ({ovr_sql('pj', 'perm, fold')}),
     nul AS (SELECT perm, CASE WHEN count(a) = 5 THEN avg(a) END AS v FROM (SELECT perm, fold, CASE WHEN count(auroc) = 3 THEN avg(auroc) END AS a FROM ({ranking_sql('po', 'perm, fold, cls')}) GROUP BY 1, 2) GROUP BY 1)
-    SELECT round(point, 6) AS observed, count(v) AS n_permutations, 10 - count(v) AS n_dropped, round((1 + count(*) FILTER (v >= point)) / (1 + count(v))::DOUBLE, 6) AS p_value, round(1 / (1 + count(v))::DOUBLE, 6) AS p_value_resolution,
+    SELECT round(point, 6) AS observed, count(v) AS n_permutations, {N} - count(v) AS n_dropped, round((1 + count(*) FILTER (v >= point)) / (1 + count(v))::DOUBLE, 6) AS p_value, round(1 / (1 + count(v))::DOUBLE, 6) AS p_value_resolution,
     count(*) FILTER (v >= point) = 0 AS resolution_limited, round(avg(v), 6) AS null_mean, round(stddev_pop(v), 6) AS null_std FROM nul, obs GROUP BY point""",
 )
 def r16(spark, sf):
-    t = S.auroc_permutation_test(gene_preds(spark, sf), row_id="row_id", y="label", proba="proba", classes=C, fold="fold", n_folds=5, n=10, seed=17, group="gene")
+    t = S.auroc_permutation_test(gene_preds(spark, sf), row_id="row_id", y="label", proba="proba", classes=C, fold="fold", n_folds=5, n=N, seed=17, group="gene")
     return rounded(t, "observed", "p_value", "p_value_resolution", "null_mean", "null_std")
 
 
@@ -274,8 +307,8 @@ def r17(spark, sf):
     from kinfold.operators.models import refit_permutation
 
     rows = B.vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int"))
-    folded = rows.join(B.group_folds(rows, "gene", 2, 0), "gene")
-    return refit_permutation(folded, vec="vec", label="y", row_id="row_id", n_folds=2, n=3, seed=1)
+    folded = rows.join(B.group_folds(rows, "gene", 5, 0), "gene")
+    return refit_permutation(folded, vec="vec", label="y", row_id="row_id", n_folds=5, seed=1)
 
 
 @query(

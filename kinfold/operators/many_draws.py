@@ -1,8 +1,9 @@
 """AUROC under many draws at once.
 
 Exploding rows by draws multiplies the table by the number of draws and sorts every
-copy. Here a row carries its weights under all draws as one sparse list, rows are
-sorted once by score, and running sums are vectors with one entry per draw.
+copy. Here a row carries its multiplicities under all draws as one byte each, made once for
+each cluster; rows are sorted once by score, and running sums are vectors with one entry per draw.
+Statistics of counts need no order: a task multiplies its cells by their multiplicities and hands on sums.
 
 Rows are partitioned by (group, score bucket) and read in score order as a stream,
 so memory holds one batch and a few vectors whatever the bucket's size. Buckets hand
@@ -15,22 +16,116 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.functions.ranking import value_bucket
+from kinfold.operators.gram import vector_sum
 
 _CELLS = 4_000_000  # matrix entries held at a time
+_UNITS = 512  # units whose hits are counted together
 NEGATIVE, POSITIVE, SPLIT = 0, 1, 2
 
 
-def draw_lists(draws: DataFrame, *, cluster: str) -> DataFrame:
-    """(cluster, draws, weights): a cluster's multiplicities as parallel lists, at most one entry per draw."""
-    pairs = F.collect_list(F.struct("boot", "weight"))
-    return draws.groupBy(cluster).agg(pairs.alias("_p")).select(
-        cluster, F.col("_p.boot").alias("_draws"), F.col("_p.weight").cast("array<double>").alias("_counts")
-    )
+def dense(n_draws: int):
+    """A column function of two parallel lists (draw, multiplicity): one byte for each draw."""
+
+    @F.arrow_udf("binary")
+    def packed(draws: pa.Array, counts: pa.Array) -> pa.Array:
+        out = np.zeros((len(draws), n_draws), np.uint8)
+        rows = np.repeat(np.arange(len(draws)), draws.value_lengths().to_numpy(zero_copy_only=False))
+        values = counts.flatten().to_numpy(zero_copy_only=False)
+        if len(values) and (values.max() > 255 or values.min() < 0 or (values != np.floor(values)).any()):
+            raise ValueError("multiplicities must be whole numbers up to 255")
+        out[rows, draws.flatten().to_numpy(zero_copy_only=False).astype(np.int64)] = values
+        return pa.array([r.tobytes() for r in out], pa.binary())
+
+    return packed
+
+
+def hit_bytes(hits: DataFrame, *, keys: Sequence[str], index: str, n_draws: int) -> DataFrame:
+    """(keys, index, _m): how often each draw hit each index, from one row (keys, index, boot) per hit.
+
+    Hits of ``_UNITS`` neighbouring indexes meet in one task, where they are counted into a matrix.
+    """
+    keys = list(keys)
+    kinds = dict(hits.dtypes)
+    names = pa.schema([*[(k, to_arrow_type(hits.schema[k].dataType)) for k in keys], (index, pa.int64()), ("_m", pa.binary())])
+
+    def count(table: pa.Table) -> pa.Table:
+        at, boot = (table.column(c).to_numpy() for c in (index, "boot"))
+        first = int(at.min())
+        flat = np.bincount((at - first) * n_draws + boot, minlength=(int(at.max()) - first + 1) * n_draws)
+        if flat.max() > 255:
+            raise ValueError("a unit was drawn more than 255 times")
+        out = flat.astype(np.uint8).reshape(-1, n_draws)
+        drawn = np.flatnonzero(out.any(axis=1))
+        key = [pa.array([table.column(k)[0].as_py()] * len(drawn), names.field(k).type) for k in keys]
+        return pa.Table.from_arrays([*key, pa.array(drawn + first, pa.int64()), pa.array([out[i].tobytes() for i in drawn], pa.binary())], schema=names)
+
+    blocks = hits.select(*keys, F.col(index).cast("long").alias(index), F.col("boot").cast("int").alias("boot")).withColumn("_block", F.floor(F.col(index) / _UNITS))
+    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{index}` long, _m binary"
+    return blocks.groupBy(*keys, "_block").applyInArrow(count, shape)
+
+
+def draw_table(draws: DataFrame, *, cluster: str, n_draws: int) -> DataFrame:
+    """(boot, cluster, weight) from (cluster, _m)."""
+
+    @F.arrow_udf("array<int>")
+    def unpacked(m: pa.Array) -> pa.Array:
+        values = _bytes_of(m, n_draws).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n_draws), pa.array(values.ravel()))
+
+    return draws.select(cluster, F.posexplode(unpacked("_m")).alias("boot", "weight")).where("weight > 0").select("boot", cluster, F.col("weight").cast("long").alias("weight"))
+
+
+def draw_bytes(draws: DataFrame, *, cluster: str, n_draws: int) -> DataFrame:
+    """(cluster, _m): a cluster's multiplicity in every draw, one byte each; ``draws`` has them already, or is a table (boot, cluster, weight)."""
+    if "_m" in draws.columns:
+        return draws
+    lists = draws.groupBy(cluster).agg(F.collect_list(F.struct("boot", "weight")).alias("_p"))
+    return lists.select(cluster, dense(n_draws)(F.col("_p.boot"), F.col("_p.weight").cast("array<double>")).alias("_m"))
+
+
+def _bytes_of(column: pa.Array, n_draws: int) -> np.ndarray:
+    """Multiplicities of the rows, one row each."""
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, where, data = column.buffers()
+    if not len(column):
+        return np.zeros((0, n_draws), np.uint8)
+    first = int(np.frombuffer(where, wide, 1, column.offset * np.dtype(wide).itemsize)[0])
+    return np.frombuffer(data, np.uint8, len(column) * n_draws, first).reshape(len(column), n_draws)
+
+
+def cell_draws(cells: DataFrame, draws: DataFrame, *, cluster: str, keys: Sequence[str], n_draws: int) -> DataFrame:
+    """(keys, boot, _w): the weight of every cell in every draw, summed over clusters inside the tasks."""
+    keys = list(keys)
+    rows = cells.join(draw_bytes(draws, cluster=cluster, n_draws=n_draws), cluster).select(*keys, F.col("_w").cast("double").alias("_w"), "_m")
+    kinds = dict(rows.dtypes)
+    names = pa.schema([(k, to_arrow_type(rows.schema[k].dataType)) for k in keys])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            found = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+            m, w = _bytes_of(batch.column("_m"), n_draws), batch.column("_w").to_numpy()
+            place = {key: i for i, key in enumerate(dict.fromkeys(found))}
+            of = np.fromiter((place[key] for key in found), np.int64, len(found))
+            step = max(1, _CELLS // n_draws)
+            for i in range(0, len(found), step):
+                hot = np.zeros((len(place), len(of[i : i + step])))
+                hot[of[i : i + step], np.arange(hot.shape[1])] = w[i : i + step]
+                part = hot @ m[i : i + step].astype(np.float64)
+                for key, at in place.items():
+                    sums[key] = sums[key] + part[at] if key in sums else part[at]
+        for key, values in sums.items():
+            yield pa.RecordBatch.from_arrays([*(pa.array([v], names.field(k).type) for k, v in zip(keys, key, strict=True)), pa.array([values], pa.list_(pa.float64()))], names=[*keys, "_part"])
+
+    parts = rows.mapInArrow(add, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", _part array<double>")
+    summed = parts.groupBy(*keys).agg(vector_sum("_part").alias("_part"))
+    return summed.select(*keys, F.posexplode("_part").alias("boot", "_w")).where("_w > 0")
 
 
 class _Bucket:
@@ -41,41 +136,47 @@ class _Bucket:
         self.below, self.positive = np.zeros(n_draws), np.zeros(n_draws)
 
     def add(self, p: np.ndarray, q: np.ndarray) -> None:
-        before = self.below + np.cumsum(q, axis=0) - q
-        self.wins += (p * (before + q / 2.0)).sum(0)
-        self.below = self.below + q.sum(0)
-        self.positive = self.positive + p.sum(0)
+        running = np.cumsum(q, axis=0)
+        q *= 0.5
+        running -= q
+        self.wins += np.einsum("ij,ij->j", p, running)
+        running_last = running[-1] + q[-1]
+        total = p.sum(0)
+        self.wins += self.below * total
+        self.below = self.below + running_last
+        self.positive = self.positive + total
 
 
-def _matrices(part: pd.DataFrame, n_draws: int) -> tuple[np.ndarray, np.ndarray]:
-    lengths = part["_draws"].map(len).to_numpy()
-    w, mode = part["_w"].to_numpy(dtype="float64"), part["_mode"].to_numpy()
-    m = np.zeros((len(part), n_draws))
-    if lengths.sum():
-        rows = np.repeat(np.arange(len(part)), lengths)
-        m[rows, np.concatenate(part["_draws"].to_numpy()).astype("int64")] = np.concatenate(part["_counts"].to_numpy())
-    m *= w[:, None]
-    p = np.where((mode != NEGATIVE)[:, None], m, 0.0)
-    q = np.where((mode == NEGATIVE)[:, None], m, np.where((mode == SPLIT)[:, None], w[:, None] - m, 0.0))
-    return p, q
+def _matrices(m: np.ndarray, w: np.ndarray, mode: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positive and negative weights of the rows in every draw."""
+    weighed = m * w[:, None]
+    if not (mode == SPLIT).any():
+        positive = (mode != NEGATIVE)[:, None]
+        return weighed * positive, weighed * ~positive
+    p = np.where((mode != NEGATIVE)[:, None], weighed, 0.0)
+    return p, np.where((mode == NEGATIVE)[:, None], weighed, np.where((mode == SPLIT)[:, None], w[:, None] - weighed, 0.0))
 
 
 def auroc_by_draw(rows: DataFrame, *, keys: Sequence[str], score: str, n_draws: int) -> DataFrame:
-    """(keys, draw, auroc) for rows with ``_w``, ``_mode`` and the lists ``_draws`` and ``_counts``.
+    """(keys, draw, auroc) for rows with ``_w``, ``_mode`` and the bytes ``_m``, or the lists ``_draws`` and ``_counts``.
 
-    ``_mode``: the list weighs a negative row, a positive row, or the positive share
+    ``_mode``: the multiplicities weigh a negative row, a positive row, or the positive share
     of a row whose remaining weight is negative.
     """
     keys = list(keys)
+    if "_m" not in rows.columns:
+        rows = rows.withColumn("_m", dense(n_draws)(F.col("_draws").cast("array<int>"), F.col("_counts").cast("array<double>")))
     cut = rows.where(F.col(score).isNotNull()).select(
-        *keys, F.floor(value_bucket(score) / 128).alias("_b"), F.col(score).cast("double").alias("_s"), F.col("_w").cast("double").alias("_w"), "_mode", "_draws", "_counts"
+        *keys, F.floor(value_bucket(score) / 128).alias("_b"), F.col(score).cast("double").alias("_s"), F.col("_w").cast("double").alias("_w"), "_mode", "_m"
     )
     ordered = cut.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", "_s")
     group = [*keys, "_b"]
     kinds = dict(cut.dtypes)
     shape = ", ".join(f"`{k}` {kinds[k]}" for k in group) + ", p array<double>, q array<double>, u array<double>"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = pa.schema([(k, to_arrow_type(cut.schema[k].dataType)) for k in group] + [(c, pa.list_(pa.float64())) for c in "pqu"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, _CELLS // n_draws)
         bucket, tie, tied, done = None, None, None, []  # tie: (key, score) still open at a chunk's end
 
@@ -87,25 +188,26 @@ def auroc_by_draw(rows: DataFrame, *, keys: Sequence[str], score: str, n_draws:
                 bucket = _Bucket(key, n_draws)
             bucket.add(p, q)
 
-        def flush(least: int) -> Iterator[pd.DataFrame]:
+        def flush(least: int) -> Iterator[pa.RecordBatch]:
             if len(done) >= least:
-                yield pd.DataFrame(done, columns=[*group, "p", "q", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], f.type) for i, f in enumerate(names)], schema=names)
                 done.clear()
 
-        for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start : start + step]
-                columns = [part[k].to_numpy() for k in group]
-                scores = part["_s"].to_numpy()
-                turn = np.zeros(len(part), dtype=bool)  # a new bucket starts here
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                columns = [part.column(k).to_numpy(zero_copy_only=False) for k in group]
+                scores = part.column("_s").to_numpy(zero_copy_only=False)
+                turn = np.zeros(part.num_rows, dtype=bool)  # a new bucket starts here
                 turn[0] = True
                 for c in columns:
                     turn[1:] |= c[1:] != c[:-1]
                 fresh = turn.copy()
                 fresh[1:] |= scores[1:] != scores[:-1]
                 first = np.flatnonzero(fresh)
-                p, q = _matrices(part, n_draws)
-                p, q = np.add.reduceat(p, first, axis=0), np.add.reduceat(q, first, axis=0)
+                p, q = _matrices(_bytes_of(part.column("_m"), n_draws), part.column("_w").to_numpy(), part.column("_mode").to_numpy())
+                if len(first) < part.num_rows:
+                    p, q = np.add.reduceat(p, first, axis=0), np.add.reduceat(q, first, axis=0)
 
                 def key_at(row: int) -> tuple:
                     return tuple(c[row] for c in columns)
@@ -129,7 +231,7 @@ def auroc_by_draw(rows: DataFrame, *, keys: Sequence[str], score: str, n_draws:
             done.append([*bucket.key, bucket.positive, bucket.below, bucket.wins])
         yield from flush(1)
 
-    long = ordered.mapInPandas(scan, shape).select(*group, F.posexplode(F.arrays_zip("p", "q", "u")).alias("draw", "_z"))
+    long = ordered.mapInArrow(scan, shape).select(*group, F.posexplode(F.arrays_zip("p", "q", "u")).alias("draw", "_z"))
     long = long.select(*group, "draw", F.col("_z.p").alias("p"), F.col("_z.q").alias("q"), F.col("_z.u").alias("u"))
     lower = Window.partitionBy(*keys, "draw").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a group's buckets
     stacked = long.withColumn("_q", F.coalesce(F.sum("q").over(lower), F.lit(0.0)))
@@ -137,9 +239,9 @@ def auroc_by_draw(rows: DataFrame, *, keys: Sequence[str], score: str, n_draws:
     return g.select(*keys, "draw", F.when((F.col("_P") > 0) & (F.col("_Q") > 0), F.col("_u") / (F.col("_P") * F.col("_Q"))).alias("auroc"))
 
 
-def weighted_rows(cells: DataFrame, draws: DataFrame, *, cluster: str, target: str) -> DataFrame:
-    """Cells with the lists of their cluster; a cluster that no draw picked adds nothing."""
-    return cells.join(draw_lists(draws, cluster=cluster), cluster).withColumn(
+def weighted_rows(cells: DataFrame, draws: DataFrame, *, cluster: str, target: str, n_draws: int) -> DataFrame:
+    """Cells with the multiplicities of their cluster; a cluster that no draw picked adds nothing."""
+    return cells.join(draw_bytes(draws, cluster=cluster, n_draws=n_draws), cluster).withColumn(
         "_mode", F.when(F.col(target) == 1, POSITIVE).otherwise(NEGATIVE)
     )
 

@@ -4,7 +4,7 @@ Drawn rows are never materialised. A draw is a (boot, cluster, weight) table, ro
 are first compressed to counts per cluster, and every metric takes the weight. A
 statistic is an object with two methods: ``compress(df, cluster)`` reduces rows to
 weighted cells per cluster, ``score(cells, keys)`` returns one value per key set.
-Ranking statistics also have ``score_draws``, which scores all draws in one sort.
+Ranking and count statistics also have ``score_draws``, which scores all draws in one pass.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from kinfold.functions.hashing import draw_int
 from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
-from kinfold.operators.many_draws import auroc_by_draw, permuted_rows, weighted_rows
+from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, permuted_rows, weighted_rows
 from kinfold.operators.shuffles import class_sums, shuffled_labels
 from kinfold.session import durable
 
@@ -48,6 +48,9 @@ class MacroF1:
         per = M.class_metrics(cells, y=self.y, pred=self.pred, classes=self.classes, keys=[*keys, self.fold], weight="_w")
         return _fold_mean(per, keys, "macro_f1", self.n_folds)
 
+    def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
+        return self.score(cell_draws(cells, draws, cluster=cluster, keys=[self.fold, self.y, self.pred], n_draws=n_boot), ["boot"])
+
 
 @dataclass(frozen=True)
 class BinaryAuroc:
@@ -66,7 +69,7 @@ class BinaryAuroc:
         return _fold_mean(per, keys, "auroc", self.n_folds)
 
     def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
-        rows = weighted_rows(cells, draws, cluster=cluster, target=self.y)
+        rows = weighted_rows(cells, draws, cluster=cluster, target=self.y, n_draws=n_boot)
         per = auroc_by_draw(rows, keys=[self.fold], score=self.score_col, n_draws=n_boot)
         return _fold_mean(per.withColumnRenamed("draw", "boot"), ["boot"], "auroc", self.n_folds)
 
@@ -90,7 +93,7 @@ class MacroAuroc:
         return self._average(per, keys)
 
     def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
-        return self.score_rows(weighted_rows(cells, draws, cluster=cluster, target="target"), n_boot)
+        return self.score_rows(weighted_rows(cells, draws, cluster=cluster, target="target", n_draws=n_boot), n_boot)
 
     def score_rows(self, rows: DataFrame, n_draws: int) -> DataFrame:
         per = auroc_by_draw(rows, keys=[self.fold, "cls"], score="score", n_draws=n_draws)
@@ -171,6 +174,14 @@ def cluster_draws(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int)
     return counts.join(numbered, ["_stratum", "_index"]).select("boot", F.col("_cluster").alias(cluster), "weight")
 
 
+def cluster_multiplicities(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int) -> DataFrame:
+    """(cluster, _m): the draws of :func:`cluster_draws`, one byte for each draw; clusters that no draw picked are missing."""
+    numbered = durable(_numbered(clusters, cluster))
+    slots = numbered.select("_stratum", "_index", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
+    hits = slots.select("_stratum", F.pmod(draw_int(seed, "boot", "_stratum", "_index"), F.col("_size")).alias("_index"), "boot")
+    return hit_bytes(hits, keys=["_stratum"], index="_index", n_draws=n_boot).join(numbered, ["_stratum", "_index"]).select(F.col("_cluster").alias(cluster), "_m")
+
+
 def cluster_subsamples(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int, share: float = 0.632) -> DataFrame:
     """(boot, cluster, weight = 1): ``round(share · n)`` clusters without replacement per draw."""
     draws = clusters.select(cluster).distinct().withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
@@ -186,7 +197,8 @@ def _clusters(df: DataFrame, cluster: str, strata: DataFrame | None) -> DataFram
 def _drawn(statistic, cells: DataFrame, draws: DataFrame, cluster: str, out: str, n_boot: int) -> DataFrame:
     if hasattr(statistic, "score_draws"):
         return statistic.score_draws(cells, draws, cluster, n_boot).select("boot", F.col("value").alias(out))
-    weighted = cells.join(draws.withColumnRenamed("weight", "_draws"), cluster).withColumn("_w", F.col("_w") * F.col("_draws"))
+    table = draw_table(draws, cluster=cluster, n_draws=n_boot) if "_m" in draws.columns else draws
+    weighted = cells.join(table.withColumnRenamed("weight", "_draws"), cluster).withColumn("_w", F.col("_w") * F.col("_draws"))
     return statistic.score(weighted, ["boot"]).select("boot", F.col("value").alias(out))
 
 
@@ -219,7 +231,7 @@ def bootstrap_values(df: DataFrame, statistics: dict, *, cluster: str, n_boot: i
 
 
 def _values(df, statistics: dict, cells: dict, cluster: str, n_boot: int, seed, strata) -> DataFrame:
-    draws = durable(cluster_draws(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
+    draws = durable(cluster_multiplicities(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
     out = None
     for name, s in statistics.items():
         v = _drawn(s, cells[name], draws, cluster, "value", n_boot).select(F.lit(name).alias("metric"), "boot", "value")
@@ -241,7 +253,7 @@ def bootstrap_interval(df: DataFrame, statistics: dict, *, cluster: str, n_boot:
 def row_bootstrap(df: DataFrame, statistic, *, row_id: str, stratum: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99) -> DataFrame:
     """Resample rows inside each stratum; every stratum keeps its size."""
     strata = df.select(row_id, F.col(stratum).cast("string").alias("stratum"))
-    draws = cluster_draws(strata, cluster=row_id, n_boot=n_boot, seed=seed)
+    draws = cluster_multiplicities(strata, cluster=row_id, n_boot=n_boot, seed=seed)
     cells = durable(statistic.compress(df, row_id))
     return _summary(_drawn(statistic, cells, draws, row_id, "value", n_boot), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
@@ -254,7 +266,7 @@ def subsample_interval(df: DataFrame, statistic, *, cluster: str, n_boot: int =
 
 def paired_difference(a: DataFrame, b: DataFrame, stat_a, stat_b, *, cluster: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99, strata: DataFrame | None = None) -> DataFrame:
     """Arm A minus arm B under one draw for both arms."""
-    draws = durable(cluster_draws(_clusters(a, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
+    draws = durable(cluster_multiplicities(_clusters(a, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
     return _difference(a, b, stat_a, stat_b, cluster, draws, draws, n_boot, ci, min_valid)
 
 
@@ -278,8 +290,8 @@ def paired_difference_shared(a: DataFrame, b: DataFrame, stat_a, stat_b, *, clus
 
 def independent_difference(a: DataFrame, b: DataFrame, stat_a, stat_b, *, cluster_a: str, cluster_b: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99) -> DataFrame:
     """Difference of two data sets, each with draws of its own."""
-    da = cluster_draws(_clusters(a, cluster_a, None), cluster=cluster_a, n_boot=n_boot, seed=f"{seed}a")
-    db = cluster_draws(_clusters(b, cluster_b, None), cluster=cluster_b, n_boot=n_boot, seed=f"{seed}b")
+    da = cluster_multiplicities(_clusters(a, cluster_a, None), cluster=cluster_a, n_boot=n_boot, seed=f"{seed}a")
+    db = cluster_multiplicities(_clusters(b, cluster_b, None), cluster=cluster_b, n_boot=n_boot, seed=f"{seed}b")
     return _difference(a, b, stat_a, stat_b, cluster_a, da, db, n_boot, ci, min_valid, cluster_b)
 
 
