@@ -152,7 +152,7 @@ for _name in LEARNERS:
 
 
 @query(
-    "m5_early_stopping_groups",
+    "m5_held_back_groups",
     f"""WITH {B.VECTORS_SQL}, {B.group_folds_sql('vectors', 'gene', 3, 0, 'folds')}, t AS (SELECT f.fold, g.gene FROM (SELECT DISTINCT fold FROM folds) f JOIN folds g ON f.fold <> g.fold),
     r AS (SELECT fold, gene, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql(0, 'fold', 'gene')}, gene) - 1 AS k, count(*) OVER (PARTITION BY fold) AS n FROM t)
     SELECT fold, count(*) AS n_held FROM r WHERE k < least(greatest(1, floor(n * CAST(0.15 AS DOUBLE))), n - 1) GROUP BY fold""",

@@ -82,7 +82,7 @@ def m4_boosted(spark, sf):
 def m5(spark, sf):
     rows = three_class(spark, sf)
     held = P.validation_groups(rows, group="gene", fold="fold", n_folds=3, seed=0)
-    oof = L.out_of_fold(rows, L.perceptron((16,), 40), row_id="row_id", vec="vec", label="cls", classes=THREE, balance="oversample", held=held, group="gene")
+    oof = L.out_of_fold(rows, L.perceptron((16,)), row_id="row_id", vec="vec", label="cls", classes=THREE, balance="oversample", held=held, group="gene")
     return score(oof, "cls", THREE)
 
 
@@ -159,15 +159,15 @@ def m12(spark, sf):
 
 @query("m13_permutation_importance")
 def m13(spark, sf):
-    rows = two_class(spark, sf).withColumn("x", F.slice("vec", 1, 6))
-    fitted = L.fit_folds(rows.withColumn("fold", F.pmod("row_id", F.lit(2)).cast("int")), L.logistic(), row_id="row_id", vec="x", label="y", classes=(0, 1), scale=False)
-    return L.permutation_importance(rows, fitted[0][1], row_id="row_id", vec="x", names=[f"x{i}" for i in range(6)], label="y", classes=(0, 1), repeats=5)
+    rows = two_class(spark, sf)
+    model = L.fit_whole(rows, L.forest(20, 6), vec="vec", label="y", classes=(0, 1))
+    return L.permutation_importance(rows, model, row_id="row_id", vec="vec", names=[f"x{i}" for i in range(64)], label="y", classes=(0, 1))
 
 
 @query("m14_family_probe")
 def m14(spark, sf):
     rows = B.vectors(spark, sf).drop("label")
-    classes = tuple(r[0] for r in rows.groupBy("family").agg(F.count("*").alias("n")).where("n >= 9").orderBy("family").select("family").collect())
+    classes = tuple(r[0] for r in rows.groupBy("family").agg(F.count("*").alias("n")).where("n >= 3").orderBy("family").select("family").collect())
     kept = rows.where(F.col("family").isin(*classes))
     split = P.stratified_folds(kept, row_id="row_id", stratum="family", n_folds=3, seed=0)
     oof = L.out_of_fold(split, L.logistic(), row_id="row_id", vec="vec", label="family", classes=classes)
@@ -221,4 +221,4 @@ def m17_r2(spark, sf):
 def m18(spark, sf):
     import numpy as np
 
-    return L.direction_cosines(three_class(spark, sf), vec="vec", label="cls", classes=THREE, reference=np.ones(64), row_id="row_id", n_shuffles=2)
+    return L.direction_cosines(three_class(spark, sf), vec="vec", label="cls", classes=THREE, reference=np.ones(64), row_id="row_id")

@@ -214,17 +214,18 @@ def landing_sql(source, seed, rest):
     return f"(SELECT {rest}, perm, fold, m, l * b + r AS x FROM {out})"
 
 
-def permute_sql(src, unit, n, seed, out="permuted"):
-    """Labels moved between the units of a fold, by the bijection that the operator uses."""
+def permute_sql(src, unit, n, seed, out="permuted", label="label", fold="min(fold)"):
+    """Labels moved between the units of a fold, by the bijection that the operator uses; ``fold='0'`` is one group of all."""
+    group = B.h_sql(seed, "fold") if fold != "0" else "0"
     keys = ", ".join(f"{B.h_sql(seed, 'perm', str(k))} AS k{k}" for k in range(6))
-    return f"""u AS (SELECT {unit} AS unit, min(fold) AS fold, min(label) AS label FROM {src} GROUP BY 1),
-    nb AS (SELECT unit, fold, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql('base', 'unit')}, unit) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS m FROM u),
+    return f"""pu AS (SELECT {unit} AS unit, {fold} AS fold, min({label}) AS label FROM {src} GROUP BY 1),
+    nb AS (SELECT unit, fold, row_number() OVER (PARTITION BY fold ORDER BY {B.hex_sql('base', 'unit')}, unit) - 1 AS pos, count(*) OVER (PARTITION BY fold) AS m FROM pu),
     pd AS (SELECT unnest(range(0, {n})) AS perm), pk AS (SELECT perm, {keys} FROM pd),
-    ps AS (SELECT DISTINCT fold, CAST(m AS BIGINT) AS mm FROM nb), pa AS (SELECT *, (SELECT min(i) FROM range(0, 100000) t(i) WHERE i * i >= mm) AS a FROM ps), pg AS (SELECT fold, a, (mm + a - 1) // a AS b, {B.h_sql(seed, 'fold')} AS g FROM pa),
+    ps AS (SELECT DISTINCT fold, CAST(m AS BIGINT) AS mm FROM nb), pa AS (SELECT *, (SELECT min(i) FROM range(0, 100000) t(i) WHERE i * i >= mm) AS a FROM ps), pg AS (SELECT fold, a, (mm + a - 1) // a AS b, {group} AS g FROM pa),
     p0 AS (SELECT perm, unit, fold, CAST(pos AS BIGINT) AS x, CAST(m AS BIGINT) AS m FROM nb, pd),
     walk AS (SELECT perm, unit, fold, m, x FROM {landing_sql('p0', seed, 'unit')} UNION ALL SELECT perm, unit, fold, m, x FROM {landing_sql('(SELECT * FROM walk WHERE x >= m)', seed, 'unit')}),
-    cl AS (SELECT fold, label, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) - count(*) AS lo, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) AS hi FROM u GROUP BY fold, label),
-    {out} AS (SELECT perm, unit AS {unit}, w.fold, c.label FROM walk w JOIN cl c ON w.fold = c.fold AND x >= lo AND x < hi)"""
+    cl AS (SELECT fold, label, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) - count(*) AS lo, sum(count(*)) OVER (PARTITION BY fold ORDER BY label) AS hi FROM pu GROUP BY fold, label),
+    {out} AS (SELECT perm, unit AS {unit}, w.fold, c.label AS {label} FROM walk w JOIN cl c ON w.fold = c.fold AND x >= lo AND x < hi)"""
 
 
 def _tally_sql(unit):

@@ -35,10 +35,9 @@ def three(rows):
 @query("d1_split_gap")
 def d1(spark, sf):
     grid = D.score_grid(
-        three(pair_rows(spark, sf)), {"wt": "wt", "delta": "delta"}, {"group": "gene", "family": "family"}, row_id="row_id", label="cls", classes=THREE, seeds=(0, 1), n_folds=2,
-        estimator=L.logistic(max_iter=50),
+        three(pair_rows(spark, sf)), {"wt": "wt", "delta": "delta"}, {"group": "gene", "family": "family"}, row_id="row_id", label="cls", classes=THREE, seeds=range(5), n_folds=5,
     )
-    return D.split_gap(grid, seeds=(0, 1), n_folds=2)
+    return D.split_gap(grid, seeds=range(5), n_folds=5)
 
 
 SEEDS = (0, 1, 2)
@@ -106,8 +105,8 @@ def d3(spark, sf):
 
 @query("d4_within_family")
 def d4(spark, sf):
-    rows = B.vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")).withColumn("x", F.slice("vec", 1, 8)).withColumn("fam", F.pmod("gene", F.lit(4)))
-    return D.within_family_study(rows, row_id="row_id", vec="x", y="y", family="fam", gene="gene")
+    rows = B.vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")).withColumn("fam", F.pmod("gene", F.lit(4)))
+    return D.within_family_study(rows, row_id="row_id", vec="vec", y="y", family="fam", gene="gene")
 
 
 @query("d5_binary_control")
@@ -118,8 +117,8 @@ def d5(spark, sf):
     kept = cap_and_balance(rows.select("row_id", "family", "y"), group="family", label="y", row_id="row_id", cap=500, seed=0)
     balanced = rows.join(kept.select("row_id"), "row_id", "left_semi")
     return D.score_grid(
-        balanced, {"delta": "delta", "wt": "wt", "delta_net": "delta"}, {"group": "gene", "family": "family"}, row_id="row_id", label="y", classes=(0, 1), n_folds=2,
-        options={"delta_net": {"estimator": L.perceptron((8,), 30), "balance": "oversample"}},
+        balanced, {"delta": "delta", "wt": "wt", "delta_net": "delta"}, {"group": "gene", "family": "family"}, row_id="row_id", label="y", classes=(0, 1), n_folds=5,
+        options={"delta_net": {"estimator": L.perceptron((8,)), "balance": "oversample"}},
     )
 
 
@@ -127,7 +126,7 @@ def d5(spark, sf):
 def d6(spark, sf):
     arms = D.magnitude_direction_arms(pair_rows(spark, sf), vec="delta")
     return D.score_grid(
-        arms, {"full": "full", "magnitude": "magnitude_only", "direction": "direction_only"}, {"family": "family"}, row_id="row_id", label="y", classes=(0, 1), n_folds=2
+        arms, {"full": "full", "magnitude": "magnitude_only", "direction": "direction_only"}, {"family": "family"}, row_id="row_id", label="y", classes=(0, 1), n_folds=5
     )
 
 
@@ -144,7 +143,7 @@ def d6_rho(spark, sf):
 @query("d7_direction_ablation")
 def d7(spark, sf):
     rows = pair_rows(spark, sf)
-    return D.direction_ablation(rows.join(P.group_folds(rows, "family", 2, 0), "family"), row_id="row_id", vec="delta", label="y", k_max=2)
+    return D.direction_ablation(rows.join(P.group_folds(rows, "family", 5, 0), "family"), row_id="row_id", vec="delta", label="y", k_max=2)
 
 
 @query("d7_half_transfer")
@@ -164,7 +163,7 @@ def biochem_rows(spark, sf):
     )
     scores = letters.groupBy("wt", "mut").agg((F.count("*") % 9 - 4).cast("double").alias("score"))
     out = Q.biochemistry(rows.withColumnsRenamed({"wt": "wt_vec", "mut": "mut_vec"}), scores, wt="aa_wt", mut="aa_mut")
-    return out.join(P.group_folds(out, "family", 2, 0), "family")
+    return out.join(P.group_folds(out, "family", 5, 0), "family")
 
 
 _BIO = ["hydropathy_change", "hydropathy_distance", "charge_change", "charge_distance", "volume_distance"]
@@ -191,10 +190,10 @@ def d9(spark, sf):
     f = V.conservation_features(rows, keys=["row_id", "gene", "family", "y", "delta"], probs="p", wt_index="wi", mut_index="mi")
     f = f.withColumn("cons", F.array("logp_wt", "logp_mut", "entropy", "masked_marginal")).withColumn("mm", F.array("masked_marginal"))
     f = f.withColumn("joint", F.concat("cons", "delta"))
-    folded = f.join(P.group_folds(f, "family", 2, 0), "family")
+    folded = f.join(P.group_folds(f, "family", 5, 0), "family")
     out = None
     for a, b in (("joint", "delta"), ("joint", "cons"), ("cons", "mm")):
-        d = D.paired_arm_contrast(folded, a, b, row_id="row_id", label="y", group="gene", n_folds=2, n_boot=20).withColumn("contrast", F.lit(f"{a} - {b}"))
+        d = D.paired_arm_contrast(folded, a, b, row_id="row_id", label="y", group="gene", n_folds=5).withColumn("contrast", F.lit(f"{a} - {b}"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -205,14 +204,14 @@ def stability_rows(spark, sf):
 
 @query("d10_stability_study")
 def d10(spark, sf):
-    return D.stability_study(stability_rows(spark, sf), row_id="row_id", vec="delta", target="t", domain="gene", family="family", n_folds=2)
+    return D.stability_study(stability_rows(spark, sf), row_id="row_id", vec="delta", target="t", domain="gene", family="family", n_folds=5)
 
 
 @query("d10_direction_removal")
 def d10_removal(spark, sf):
     task = pair_rows(spark, sf)
     return D.direction_removal_effect(
-        stability_rows(spark, sf), task.join(P.group_folds(task, "gene", 2, 0), "gene"), vec="delta", target="t", row_id="row_id", label="y", group="gene", n_folds=2, n_boot=20
+        stability_rows(spark, sf), task.join(P.group_folds(task, "gene", 5, 0), "gene"), vec="delta", target="t", row_id="row_id", label="y", group="gene", n_folds=5
     )
 
 
@@ -226,7 +225,7 @@ def d11(spark, sf):
     rows = rows.withColumn("union", F.concat("delta", "block"))
     trees = {"estimator": L.forest(15, 5), "scale": False}
     return D.score_grid(
-        rows, {"vector": "delta", "group_features": "block", "union": "union"}, {"family": "family"}, row_id="row_id", label="cls", classes=THREE, n_folds=2,
+        rows, {"vector": "delta", "group_features": "block", "union": "union"}, {"family": "family"}, row_id="row_id", label="cls", classes=THREE, n_folds=5,
         options={"group_features": trees, "union": trees},
     )
 
@@ -235,9 +234,9 @@ def d11(spark, sf):
 def d12(spark, sf):
     a = G.family_residuals(B.attributes(spark, sf), family="family", values=["price", "size"])
     a = a.withColumn("cls", F.concat(F.lit("c"), (F.col("gene") % 3).cast("string"))).withColumnRenamed("gene", "row_id").withColumn("gene", F.col("row_id") % 100)
-    a = a.join(P.group_folds(a, "gene", 2, 0), "gene")
+    a = a.join(P.group_folds(a, "gene", 5, 0), "gene")
     cols = ["price", "price_residual", "size", "size_residual"]
-    return D.feature_class_ablation(a, cols, {"price": ["price"], "size": ["size"]}, row_id="row_id", label="cls", classes=THREE, estimator=L.forest(15, 5), n_folds=2)
+    return D.feature_class_ablation(a, cols, {"price": ["price"], "size": ["size"]}, row_id="row_id", label="cls", classes=THREE, estimator=L.forest(15, 5), n_folds=5)
 
 
 _REG = f"""WITH {B.VARIANTS_SQL}, {B.group_folds_sql('variants', 'family', 3, 0, 'folds')}, v AS (SELECT CASE WHEN label = 'F' THEN 1 ELSE 0 END AS y, score, fold, gene % 4 = 0 AS seen FROM variants JOIN folds USING (family)),
@@ -258,7 +257,7 @@ def d14(spark, sf):
     v = B.vectors(spark, sf)
     g = V.group_mean(v, keys=["gene"], vec="vec").withColumn("cls", F.concat(F.lit("c"), (F.col("gene") % 3).cast("string")))
     g = g.withColumns({"row_id": F.col("gene"), "family": F.pmod("gene", F.lit(17)), "table": F.array(F.col("n").cast("double"), norm("vec"))})
-    return D.score_grid(g, {"embedding": "vec", "table": "table"}, {"group": "gene", "family": "family"}, row_id="row_id", label="cls", classes=THREE, n_folds=2)
+    return D.score_grid(g, {"embedding": "vec", "table": "table"}, {"group": "gene", "family": "family"}, row_id="row_id", label="cls", classes=THREE, n_folds=5)
 
 
 @query("d15_sensitivity_rerun")
@@ -327,8 +326,8 @@ def d18(spark, sf):
     rows = V.project_out(rows, vec="delta", basis=basis, out="projected").withColumn("two", F.when(F.col("cls") == "c0", "c0").otherwise("rest"))
     arms, schemes = {"raw": "delta", "projected": "projected"}, {"family": "family"}
     keep = {"projected": {"scale": False}, "raw": {"scale": False}}
-    a = D.score_grid(rows, arms, schemes, row_id="row_id", label="cls", classes=THREE, n_folds=2, options=keep).withColumn("task", F.lit("three_class"))
-    b = D.score_grid(rows, arms, schemes, row_id="row_id", label="two", classes=("c0", "rest"), n_folds=2, options=keep).withColumn("task", F.lit("two_class"))
+    a = D.score_grid(rows, arms, schemes, row_id="row_id", label="cls", classes=THREE, n_folds=5, options=keep).withColumn("task", F.lit("three_class"))
+    b = D.score_grid(rows, arms, schemes, row_id="row_id", label="two", classes=("c0", "rest"), n_folds=5, options=keep).withColumn("task", F.lit("two_class"))
     return a.unionByName(b)
 
 

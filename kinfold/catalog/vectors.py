@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinfold.catalog.registry import query
+from kinfold.catalog.resample import permute_sql
 from kinfold.functions.vector_expr import difference
 from kinfold.operators import neighbors as K
 from kinfold.operators import vectors as V
@@ -203,22 +204,12 @@ def v10_purity(spark, sf):
     return K.neighbor_purity(K.knn_join(rows, rows, k=5), rows, row_id="row_id", label="label", k=5).withColumn("purity", F.round("purity", 6))
 
 
-_PERM = """base AS (SELECT row_id, {label}, row_number() OVER (ORDER BY {h0}, row_id) AS pos FROM {src}),
-    draws AS (SELECT *, unnest(range(0, {n})) AS perm FROM base),
-    moved AS (SELECT perm, {label}, row_number() OVER (PARTITION BY perm ORDER BY {h1}, row_id) AS pos FROM draws),
-    permuted AS (SELECT d.perm, d.row_id, m.{label} FROM draws d JOIN moved m ON d.perm = m.perm AND d.pos = m.pos)"""
-
-
-def perm_sql(src, label, n, seed):
-    return _PERM.format(src=src, label=label, n=n, h0=B.hex_sql("base", "row_id"), h1=B.hex_sql(seed, "perm", "row_id"))
-
-
 _Z = """SELECT round(o, 6) AS observed, round((o - avg(v)) / stddev_samp(v), 6) AS z_score, round(avg(v), 6) AS null_mean, count(v) AS n_draws FROM {null}, {obs} GROUP BY o"""
 
 
 @query(
     "v10_purity_null",
-    f"""WITH {B.VECTORS_SQL}, {_KNN}, {perm_sql('vectors', 'label', 20, 5)},
+    f"""WITH RECURSIVE {B.VECTORS_SQL}, {_KNN}, {permute_sql('vectors', 'row_id', 1000, 5, fold='0')},
     obs AS (SELECT avg(p) AS o FROM (SELECT query, count(*) FILTER (a.label = b.label) / 5::DOUBLE AS p FROM knn JOIN vectors a ON a.row_id = query JOIN vectors b ON b.row_id = neighbor GROUP BY query)),
     nul AS (SELECT perm, avg(p) AS v FROM (SELECT a.perm, query, count(*) FILTER (a.label = b.label) / 5::DOUBLE AS p FROM knn JOIN permuted a ON a.row_id = query JOIN permuted b ON b.row_id = neighbor AND a.perm = b.perm GROUP BY 1, 2) GROUP BY 1)
     {_Z.format(null='nul', obs='obs')}""",
@@ -227,9 +218,8 @@ def v10_null(spark, sf):
     rows = B.vectors(spark, sf)
     graph = K.knn_join(rows, rows, k=5)
     observed = K.neighbor_purity(graph, rows, row_id="row_id", label="label", k=5).select(F.col("purity").alias("observed"))
-    drawn = V.permuted_labels(rows, row_id="row_id", label="label", n=20, seed=5)
-    nulls = K.neighbor_purity(graph, drawn, row_id="row_id", label="label", k=5, by=("perm",))
-    return _z(null_standard_score(observed, nulls, observed="observed", value="purity", expected=20))
+    nulls = K.purity_null(graph, rows, row_id="row_id", label="label", k=5, seed=5)
+    return _z(null_standard_score(observed, nulls, observed="observed", value="purity", expected=1000))
 
 
 def _z(df):
@@ -257,11 +247,11 @@ def v11(spark, sf):
 
 @query(
     "v11_ratio_null",
-    f"""WITH {B.VECTORS_SQL}, {_UNIT}, {perm_sql('vectors', 'family', 10, 8)}, u AS (SELECT ul.*, family, perm FROM ul JOIN permuted USING (row_id)), {_WB.format(by='perm,', g='GROUP BY perm', j='JOIN t2 USING (perm)')}
+    f"""WITH RECURSIVE {B.VECTORS_SQL}, {_UNIT}, {permute_sql('vectors', 'row_id', 100, 8, label='family', fold='0')}, u AS (SELECT ul.*, family, perm FROM ul JOIN permuted USING (row_id)), {_WB.format(by='perm,', g='GROUP BY perm', j='JOIN t2 USING (perm)')}
     SELECT perm, round(ratio, 6) AS ratio FROM wb""",
 )
 def v11_null(spark, sf):
-    nulls = V.within_between_null(B.vectors(spark, sf), row_id="row_id", vec="vec", family="family", n=10, seed=8)
+    nulls = V.within_between_null(B.vectors(spark, sf), row_id="row_id", vec="vec", family="family", n=100, seed=8)
     return nulls.select(F.col("perm").cast("long").alias("perm"), F.round("ratio", 6).alias("ratio"))
 
 

@@ -285,6 +285,16 @@ def fit_folds(
     return _each(sorted(counts), run)
 
 
+def fit_whole(df: DataFrame, estimator: Callable, *, vec: str, label: str, classes: Sequence):
+    """One model of all rows, classes weighted to equal sums."""
+    counts = dict(df.groupBy(label).agg(F.count(F.lit(1))).collect())
+    n = sum(counts.values())
+    weight = F.lit(1.0)
+    for c, k in counts.items():
+        weight = F.when(F.col(label) == c, F.lit(n / (len(classes) * k))).otherwise(weight)
+    return estimator(n, len(classes), 0).fit(df.select(array_to_vector(F.col(vec)).alias("features"), _target(label, classes).alias("target"), weight.alias("weight")))
+
+
 def predict(df: DataFrame, fitted, *, fold: str, keep: Sequence[str], classes: Sequence, everywhere: bool = False) -> DataFrame:
     """(keep, fold, proba): each fold's model on its held-out rows."""
     if isinstance(fitted, StackedFolds) and not everywhere:

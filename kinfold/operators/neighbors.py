@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_hex
+from kinfold.functions.rows import attach_row
+from kinfold.operators.gram import vector_sum
+from kinfold.operators.shuffles import shuffled_labels
+from kinfold.session import durable
 
 _TIE_DIGITS = 9
 
@@ -160,6 +164,16 @@ def neighbor_purity(neighbors: DataFrame, labels: DataFrame, *, row_id: str, lab
     return per.groupBy(*by).agg(F.avg("_p").alias("purity"), F.count("*").alias("n_queries"))
 
 
+def purity_null(neighbors: DataFrame, rows: DataFrame, *, row_id: str, label: str, k: int, n: int = 1000, seed: int) -> DataFrame:
+    """(perm, purity) under ``n`` relabellings of ``rows``: a pair of neighbours compares its drawn labels at once, and matches are summed for all draws."""
+    drawn = durable(shuffled_labels(rows.select(row_id, label), row_id=row_id, label=label, n=n, seed=seed))
+    a, b = (drawn.select(F.col(row_id).alias(end), F.col("_shuffled").alias(f"_{end}")) for end in ("query", "neighbor"))
+    same = F.zip_with("_query", "_neighbor", lambda x, y: F.when(x == y, 1.0).otherwise(0.0))
+    sums = neighbors.join(a, "query").join(b, "neighbor").select(same.alias("_same")).agg(vector_sum("_same").alias("_hits"))
+    queries = neighbors.select("query").distinct().agg(F.count(F.lit(1)).alias("_n"))
+    return attach_row(sums, queries).select(F.posexplode("_hits").alias("perm", "_h"), "_n").select("perm", (F.col("_h") / (F.col("_n") * k)).alias("purity"))
+
+
 def knn_vote(neighbors: DataFrame, labels: DataFrame, *, row_id: str, label: str, classes, k: int) -> DataFrame:
     """Vote shares per declared class and the winning class (the first declared one on a tie)."""
     votes = neighbors.join(labels.select(F.col(row_id).alias("neighbor"), F.col(label).alias("_l")), "neighbor")

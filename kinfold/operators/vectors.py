@@ -15,6 +15,7 @@ from kinfold.functions.ranking import hash_rank
 from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import difference, direction, dot, norm
 from kinfold.operators.gram import gram_rows, vector_mean, vector_sum
+from kinfold.operators.shuffles import shuffled_labels
 
 
 def paired_features(df: DataFrame, *, wt: str, mut: str) -> DataFrame:
@@ -217,27 +218,15 @@ def within_between(df: DataFrame, *, vec: str, family: str, by: Sequence[str] =
 
 
 def permuted_labels(df: DataFrame, *, row_id: str, label: str, n: int, seed: int) -> DataFrame:
-    """(perm, row_id, label): ``n`` seeded permutations of a label column over all rows.
+    """(perm, row_id, label): ``n`` seeded permutations of a label column over all rows, by keyed bijections of the row numbers."""
+    lists = shuffled_labels(df.select(row_id, label), row_id=row_id, label=label, n=n, seed=seed)
+    return lists.select(F.posexplode("_shuffled").alias("perm", "_label"), row_id).select("perm", row_id, F.col("_label").alias(label))
 
-    The rows in one fixed shuffled order receive the labels in another; both orders
-    are distributed ranks.
-    """
-    base = hash_rank(df.select(row_id, label), [], [row_id], "base", out="_pos")
-    draws = base.select(row_id, label, "_pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
-    moved = hash_rank(draws, ["perm"], [row_id], seed, out="_to", salt=[F.col("perm")])
-    target = draws.select("perm", row_id, F.col("_pos").alias("_to"))
-    return target.join(moved.select("perm", "_to", label), ["perm", "_to"]).select("perm", row_id, label)
-
-
-def within_between_null(df: DataFrame, *, row_id: str, vec: str, family: str, n: int, seed: int) -> DataFrame:
-    """The ratio under ``n`` relabellings. Each row carries its ``n`` drawn labels, so vectors move once."""
-    drawn = (
-        permuted_labels(df, row_id=row_id, label=family, n=n, seed=seed)
-        .groupBy(row_id)
-        .agg(F.collect_list(F.struct("perm", F.col(family).alias("f"))).alias("_draws"))
-    )
-    wide = df.select(row_id, vec).join(drawn, row_id).select(vec, F.explode("_draws").alias("_d"))
-    return within_between(wide.select(vec, F.col("_d.perm").alias("perm"), F.col("_d.f").alias(family)), vec=vec, family=family, by=["perm"])
+
+def within_between_null(df: DataFrame, *, row_id: str, vec: str, family: str, n: int = 1000, seed: int) -> DataFrame:
+    """The ratio under ``n`` relabellings. Each row carries its ``n`` drawn labels, so vectors move once, to be summed by draw and family."""
+    wide = shuffled_labels(df.select(row_id, vec, family), row_id=row_id, label=family, n=n, seed=seed)
+    return within_between(wide.select(vec, F.posexplode("_shuffled").alias("perm", "_f")).withColumnRenamed("_f", family), vec=vec, family=family, by=["perm"])
 
 
 def two_level_mean(df: DataFrame, *, protein: str, window: str, vec: str) -> DataFrame:

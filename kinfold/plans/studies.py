@@ -43,14 +43,32 @@ def score_grid(
     """(arm, scheme, seed, fold, metrics): every feature arm under every group-disjoint scheme.
 
     ``arms`` maps a name to a vector column, ``schemes`` a name to the unit held
-    out. Rows without a unit take no part in that scheme.
+    out. Rows without a unit take no part in that scheme. A logistic arm is fitted under all schemes and seeds together.
     """
     out = []
-    for scheme, unit in schemes.items():
-        for seed in seeds:
+    options = options or {}
+    runs = [(scheme, unit, seed) for scheme, unit in schemes.items() for seed in seeds]
+    linear = {arm: vec for arm, vec in arms.items() if isinstance(options.get(arm, {}).get("estimator") or estimator or L.logistic(), L.Logistic) and set(options.get(arm, {})) <= {"estimator", "scale", "balance"}}
+    if linear:
+        names = [f"_fold_{i}" for i in range(len(runs))]
+        rows = df.select(row_id, label, *{u for _, u, _ in runs}, *{v: None for v in linear.values()})
+        for name, (_, unit, seed) in zip(names, runs, strict=True):
+            rows = rows.join(P.group_folds(rows.where(F.col(unit).isNotNull()), unit, n_folds, seed).withColumnRenamed("fold", name), unit, "left")
+        rows = durable(rows)
+        for arm, vec in linear.items():
+            extra = {k: v for k, v in options.get(arm, {}).items() if k != "estimator"}
+            oof = L.out_of_folds(rows, options.get(arm, {}).get("estimator") or estimator or L.logistic(), names, row_id=row_id, vec=vec, label=label, classes=classes, **extra)
+            scores = M.class_metrics(oof, y=label, pred="pred", classes=classes, keys=["run", "fold"]).select("run", "fold", "n", "macro_f1", "balanced_accuracy").join(
+                M.macro_auroc(oof, y=label, proba="proba", classes=classes, keys=["run", "fold"]), ["run", "fold"]
+            )
+            told = df.sparkSession.createDataFrame([(i, s, d) for i, (s, _, d) in enumerate(runs)], "run int, scheme string, seed int")
+            out.append(scores.join(F.broadcast(told), "run").drop("run").withColumn("arm", F.lit(arm)))  # one row per scheme and seed
+    for scheme, unit, seed in runs:
+        rest = {arm: vec for arm, vec in arms.items() if arm not in linear}
+        if rest:
             folded = durable(P.assign_group_folds(df, group=unit, n_folds=n_folds, seed=seed))
-            for arm, vec in arms.items():
-                extra = (options or {}).get(arm, {})
+            for arm, vec in rest.items():
+                extra = options.get(arm, {})
                 s = score_arm(
                     folded, row_id=row_id, vec=vec, label=label, classes=classes, estimator=extra.get("estimator") or estimator or L.logistic(),
                     n_folds=n_folds, **{k: v for k, v in extra.items() if k != "estimator"},
@@ -258,17 +276,17 @@ def direction_ablation(df: DataFrame, *, row_id: str, vec: str, label: str, k_ma
 def half_transfer(df: DataFrame, *, row_id: str, vec: str, label: str, group: str, n_partitions: int, seed: int = 0, min_per_class: int = 5) -> DataFrame:
     """(partition, train_half, auroc, cosine): fit on one half of the groups, score the other, both ways."""
     halves = durable(P.half_partitions(df, group=group, n_partitions=n_partitions, seed=seed))
-    usable = P.usable_halves(df, halves, group=group, y=label, min_per_class=min_per_class).collect()  # two rows per partition
-    out = []
-    for p in sorted({r.partition for r in usable}):
-        rows = df.join(halves.where(F.col("partition") == p).select(group, "half"), group)
-        oof = L.out_of_fold(rows, L.logistic(), row_id=row_id, vec=vec, label=label, classes=(0, 1), fold="half")
-        w = [L.fit_direction(rows.where(F.col("half") == h), vec=vec, label=label) for h in (0, 1)]
-        auc = M.ranking_metrics(oof.withColumn("p", F.get("proba", F.lit(1))), y=label, score="p", keys=["half"])
-        out.append(auc.select(F.lit(p).alias("partition"), (1 - F.col("half")).alias("train_half"), "auroc", F.lit(float(w[0] @ w[1])).alias("cosine")))
-    if not out:
+    usable = sorted({r.partition for r in P.usable_halves(df, halves, group=group, y=label, min_per_class=min_per_class).collect()})  # two rows per partition
+    if not usable:
         return df.sparkSession.createDataFrame([], "partition int, train_half int, auroc double, cosine double")
-    return _union(out)
+    names = [f"_half_{p}" for p in usable]
+    dealt = halves.groupBy(group).agg(*[F.max(F.when(F.col("partition") == p, F.col("half"))).cast("int").alias(n) for p, n in zip(usable, names, strict=True)])
+    rows = durable(df.select(row_id, vec, label, group).join(dealt, group))
+    oof = L.out_of_folds(rows, L.logistic(), names, row_id=row_id, vec=vec, label=label, classes=(0, 1))
+    auc = M.ranking_metrics(oof.withColumn("p", F.get("proba", F.lit(1))), y=label, score="p", keys=["run", "fold"])
+    cosines = [(i, p, float(w[0] @ w[1])) for i, (p, w) in enumerate(zip(usable, L.half_directions(rows, vec=vec, label=label, halves=names), strict=True))]
+    told = df.sparkSession.createDataFrame(cosines, "run int, partition int, cosine double")
+    return auc.join(F.broadcast(told), "run").select("partition", (1 - F.col("fold")).cast("int").alias("train_half"), "auroc", "cosine")  # one row per partition
 
 
 def paired_arm_contrast(df: DataFrame, vec_a: str, vec_b: str, *, row_id: str, label: str, group: str, n_folds: int, n_boot: int = 200, seed: int = 0) -> DataFrame:
