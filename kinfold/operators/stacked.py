@@ -137,9 +137,12 @@ def _sums(rows: DataFrame, add) -> dict[int, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([i], pa.int32()), pa.array([values[i : i + CHUNK]], pa.list_(pa.float64()))], names=["key", "at", "part"])
 
     summed = rows.mapInArrow(run, "key long, at int, part array<double>").groupBy("key", "at").agg(vector_sum("part").alias("part"))
+    table = summed.toArrow().combine_chunks()
+    lists = table.column("part").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.float64()))
+    flat, stop = lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())
     found: dict[int, dict] = {}
-    for key, at, part in summed.collect():
-        found.setdefault(key, {})[at] = part
+    for key, at, a, b in zip(table.column("key").to_pylist(), table.column("at").to_pylist(), np.append(0, stop[:-1]), stop, strict=True):
+        found.setdefault(key, {})[at] = flat[a:b]
     return {key: np.concatenate([parts[at] for at in sorted(parts)]) for key, parts in found.items()}
 
 

@@ -51,9 +51,9 @@ def score_grid(
     linear = {arm: vec for arm, vec in arms.items() if isinstance(options.get(arm, {}).get("estimator") or estimator or L.logistic(), L.Logistic) and set(options.get(arm, {})) <= {"estimator", "scale", "balance"}}
     if linear:
         names = [f"_fold_{i}" for i in range(len(runs))]
-        rows = df.select(row_id, label, *{u for _, u, _ in runs}, *{v: None for v in linear.values()})
+        base = rows = durable(df.select(row_id, label, *{u for _, u, _ in runs}, *{v: None for v in linear.values()}))
         for name, (_, unit, seed) in zip(names, runs, strict=True):
-            rows = rows.join(P.group_folds(rows.where(F.col(unit).isNotNull()), unit, n_folds, seed).withColumnRenamed("fold", name), unit, "left")
+            rows = rows.join(durable(P.group_folds(base, unit, n_folds, seed)).withColumnRenamed("fold", name), unit, "left")
         rows = durable(rows)
         for arm, vec in linear.items():
             extra = {k: v for k, v in options.get(arm, {}).items() if k != "estimator"}
