@@ -10,6 +10,7 @@ from kinfold.operators import metrics as M
 from kinfold.operators import models as L
 from kinfold.operators import splits as P
 from kinfold.operators import vectors as V
+from kinfold.operators.networks import Network
 from kinfold.plans import bindings as B
 
 # --- one and two features -------------------------------------------------------
@@ -151,6 +152,14 @@ for _name in LEARNERS:
     _planted(_name)
 
 
+@query("m5_planted_network", _ALL)
+def m5_network(spark, sf):
+    rows = planted(spark, sf)
+    held = P.validation_groups(rows, group="gene", fold="fold", n_folds=3, seed=0)
+    spec = Network((16,), rate=0.02, dropout=0.0, max_epochs=30, patience=5)
+    return right(L.out_of_fold(rows, spec, row_id="row_id", vec="vec", label="cls", classes=THREE, held=held, group="gene"), "cls")
+
+
 @query(
     "m5_held_back_groups",
     f"""WITH {B.VECTORS_SQL}, {B.group_folds_sql('vectors', 'gene', 3, 0, 'folds')}, t AS (SELECT f.fold, g.gene FROM (SELECT DISTINCT fold FROM folds) f JOIN folds g ON f.fold <> g.fold),

@@ -9,6 +9,7 @@ from kinfold.operators import metrics as M
 from kinfold.operators import models as L
 from kinfold.operators import reference as R
 from kinfold.operators import splits as P
+from kinfold.operators.networks import Network
 from kinfold.plans import bindings as B
 
 THREE = ("c0", "c1", "c2")
@@ -78,12 +79,23 @@ def m4_boosted(spark, sf):
     return M.ranking_metrics(oof.withColumn("p", F.get("proba", F.lit(1))), y="y", score="p", keys=["fold"])
 
 
+def network(spark, sf):
+    """Three classes, whole genes held back from training in every fold, one network each."""
+    rows = three_class(spark, sf)
+    return rows, P.validation_groups(rows, group="gene", fold="fold", n_folds=3, seed=0)
+
+
 @query("m5_perceptron")
 def m5(spark, sf):
-    rows = three_class(spark, sf)
-    held = P.validation_groups(rows, group="gene", fold="fold", n_folds=3, seed=0)
-    oof = L.out_of_fold(rows, L.perceptron((16,)), row_id="row_id", vec="vec", label="cls", classes=THREE, balance="oversample", held=held, group="gene")
-    return score(oof, "cls", THREE)
+    rows, held = network(spark, sf)
+    return score(L.out_of_fold(rows, Network(), row_id="row_id", vec="vec", label="cls", classes=THREE, held=held, group="gene"), "cls", THREE)
+
+
+@query("m5_early_stopping")
+def m5_stopping(spark, sf):
+    """The held-back loss after every epoch, and the epoch that is kept."""
+    rows, held = network(spark, sf)
+    return L.fit_folds(rows, Network(), row_id="row_id", vec="vec", label="cls", classes=THREE, held=held, group="gene").fit.history(spark)
 
 
 @query("m6_forest")

@@ -34,6 +34,7 @@ from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import argmax_label, dot
 from kinfold.operators.gram import MAX_DIM, collect_gram, fold_moments, gram_rows, moments, ridge_from_gram
 from kinfold.operators.metrics import class_metrics, spearman
+from kinfold.operators.networks import Network, Networks, fit_networks
 from kinfold.operators.shuffles import shuffled_labels
 from kinfold.operators.stacked import Stacked, fit_stacked
 from kinfold.session import durable
@@ -207,6 +208,28 @@ class StackedFolds(list):
         self.fit, self.vec = fit, vec
 
 
+class NetworkFolds(list):
+    """(fold, model, feature column) of every fold's network; ``fit`` has them all and their held-back losses."""
+
+    def __init__(self, fit: Networks, vec: str) -> None:
+        super().__init__((p.fold, NetworkModel(fit, p.fold), F.col(vec)) for p in fit.problems)
+        self.fit, self.vec = fit, vec
+
+
+@dataclass(frozen=True)
+class NetworkModel:
+    """One fold's network with the ``transform`` of a Spark ML model."""
+
+    fit: Networks
+    fold: int
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        share = F.get(self.fit.shares(vector_to_array("features"), F.array(F.lit(self.fold))), F.lit(0))
+        out = df.withColumn("probability", array_to_vector(share))
+        p = vector_to_array("probability")
+        return out.withColumn("prediction", (F.array_position(p, F.array_max(p)) - 1).cast("double"))
+
+
 @dataclass(frozen=True)
 class LinearModel:
     """One problem of a stacked fit with the ``transform`` of a Spark ML model."""
@@ -241,8 +264,12 @@ def fit_folds(
     ``scale=False`` leaves features as given (a projection made earlier stays the
     last step). ``reduce_to`` fits principal axes on the training side instead of
     scaling. ``balance``: weight, oversample or none. ``held`` lists (fold, group)
-    kept out of training.
+    kept out of training; a ``Network`` stops early on them.
     """
+    if isinstance(estimator, Network):
+        if held is None or group is None or reduce_to or not scale or balance != "weight":
+            raise ValueError("a network needs held-back groups, and scales and weighs by itself")
+        return NetworkFolds(fit_networks(df, estimator, row_id=row_id, vec=vec, target=_class_index(label, classes), n_classes=len(classes), fold=fold, held=held, group=group), vec)
     given = len(df.select(vec).first()[0])
     if held is None and _stackable(estimator, len(classes), given, balance):
         basis = fold_pca(df, vec=vec, k=reduce_to, fold=fold) if reduce_to else None
@@ -297,7 +324,7 @@ def fit_whole(df: DataFrame, estimator: Callable, *, vec: str, label: str, class
 
 def predict(df: DataFrame, fitted, *, fold: str, keep: Sequence[str], classes: Sequence, everywhere: bool = False) -> DataFrame:
     """(keep, fold, proba): each fold's model on its held-out rows."""
-    if isinstance(fitted, StackedFolds) and not everywhere:
+    if isinstance(fitted, (StackedFolds, NetworkFolds)) and not everywhere:
         rows = df.where(F.col(fold).isin([p.fold for p in fitted.fit.problems]))
         return rows.select(*keep, fold, F.get(fitted.fit.shares(F.col(fitted.vec), F.array(fold)), F.lit(0)).alias("proba"))
     out = []

@@ -128,11 +128,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
             yield _matrix(part.column("_x")), _matrix(part.column("_f"), np.int32), _matrix(part.column("_t"), np.int32)
 
 
-def _sums(rows: DataFrame, add) -> dict[int, np.ndarray]:
+def _sums(rows: DataFrame, add, read=_blocks) -> dict[int, np.ndarray]:
     """{key: array} of what ``add(blocks) -> {key: array}`` makes of every task, summed over the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, values in add(_blocks(batches)).items():
+        for key, values in add(read(batches)).items():
             for i in range(0, len(values), CHUNK):
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([i], pa.int32()), pa.array([values[i : i + CHUNK]], pa.list_(pa.float64()))], names=["key", "at", "part"])
 
