@@ -11,6 +11,7 @@ from kinfold.operators import models as L
 from kinfold.operators import splits as P
 from kinfold.operators import vectors as V
 from kinfold.operators.networks import Network
+from kinfold.operators.routed_trees import RoutedTrees
 from kinfold.plans import bindings as B
 
 # --- one and two features -------------------------------------------------------
@@ -152,6 +153,18 @@ for _name in LEARNERS:
     _planted(_name)
 
 
+@query(
+    "m4_planted_nulls",
+    f"""WITH {B.ATTRIBUTES_SQL}, {B.group_folds_sql('attributes', 'gene', 3, 0, 'folds')}
+    SELECT fold, count(*) AS n, count(*) AS n_right, count(*) AS n_whole FROM attributes JOIN folds USING (gene) GROUP BY fold""",
+)
+def m4_nulls(spark, sf):
+    """Nulls of size belong with large sizes for even ids and with small sizes for odd ones; every row is told."""
+    a = B.attributes(spark, sf).withColumn("y", F.when(F.col("size").isNull(), F.col("gene") % 2 == 0).otherwise(F.col("size") > 25).cast("int"))
+    rows = folded(a.withColumns({"row_id": F.col("gene"), "vec": F.array((F.col("gene") % 2).cast("double"), "size")}))
+    return right(L.out_of_fold(rows, RoutedTrees(10, 3, rate=0.5, min_rows=5), row_id="row_id", vec="vec", label="y", classes=(0, 1)), "y")
+
+
 @query("m5_planted_network", _ALL)
 def m5_network(spark, sf):
     rows = planted(spark, sf)

@@ -10,6 +10,7 @@ from kinfold.operators import models as L
 from kinfold.operators import reference as R
 from kinfold.operators import splits as P
 from kinfold.operators.networks import Network
+from kinfold.operators.routed_trees import RoutedTrees
 from kinfold.plans import bindings as B
 
 THREE = ("c0", "c1", "c2")
@@ -61,21 +62,30 @@ def m3(spark, sf):
 
 
 def part_rows(spark, sf):
+    """Two features with gaps, three classes; one class is larger in size."""
     a = B.attributes(spark, sf).withColumn("cls", F.concat(F.lit("c"), (F.col("gene") % 3).cast("string")))
     a = a.withColumn("size", F.when(F.col("cls") == "c1", F.col("size") + 20).otherwise(F.col("size")))
-    return folded(a.withColumnRenamed("gene", "row_id").withColumn("gene", F.col("row_id") % 200)).withColumn("x", L.null_tolerant_vector(["price", "size"]))
+    rows = folded(a.withColumnRenamed("gene", "row_id").withColumn("gene", F.col("row_id") % 200))
+    return rows.withColumns({"x": L.null_tolerant_vector(["price", "size"]), "gaps": L.nullable_vector(["price", "size"])})
 
 
 @query("m4_null_tolerant_trees")
 def m4(spark, sf):
+    """The sentinel form on a forest."""
     oof = L.out_of_fold(part_rows(spark, sf), L.forest(20, 5), row_id="row_id", vec="x", label="cls", classes=THREE, scale=False)
     return score(oof, "cls", THREE)
 
 
+@query("m4_routed_trees")
+def m4_routed(spark, sf):
+    """Boosted trees that learn the side of nulls."""
+    return score(L.out_of_fold(part_rows(spark, sf), RoutedTrees(), row_id="row_id", vec="gaps", label="cls", classes=THREE), "cls", THREE)
+
+
 @query("m4_boosted_trees")
 def m4_boosted(spark, sf):
     rows = part_rows(spark, sf).withColumn("y", (F.col("cls") == "c1").cast("int"))
-    oof = L.out_of_fold(rows, L.boosted(5, 3), row_id="row_id", vec="x", label="y", classes=(0, 1), scale=False)
+    oof = L.out_of_fold(rows, RoutedTrees(), row_id="row_id", vec="gaps", label="y", classes=(0, 1))
     return M.ranking_metrics(oof.withColumn("p", F.get("proba", F.lit(1))), y="y", score="p", keys=["fold"])
 
 
@@ -172,7 +182,7 @@ def m12(spark, sf):
 @query("m13_permutation_importance")
 def m13(spark, sf):
     rows = two_class(spark, sf)
-    model = L.fit_whole(rows, L.forest(20, 6), vec="vec", label="y", classes=(0, 1))
+    model = L.fit_whole(rows, RoutedTrees(), vec="vec", label="y", classes=(0, 1))
     return L.permutation_importance(rows, model, row_id="row_id", vec="vec", names=[f"x{i}" for i in range(64)], label="y", classes=(0, 1))
 
 

@@ -13,6 +13,7 @@ from kinfold.operators import models as L
 from kinfold.operators import sequence as Q
 from kinfold.operators import splits as P
 from kinfold.operators import vectors as V
+from kinfold.operators.routed_trees import RoutedTrees
 from kinfold.plans import bindings as B
 from kinfold.plans import studies as D
 from kinfold.sources.documents import flatten_json
@@ -221,9 +222,9 @@ def d11(spark, sf):
     rows = three(pair_rows(spark, sf))
     feats = rows.groupBy("gene").agg(F.avg(norm("delta")).alias("mag"), F.count("*").cast("double").alias("size"))
     feats = feats.select("gene", F.when(F.col("gene") % 5 != 0, F.col("mag")).alias("mag"), "size")
-    rows = G.attach_group_features(rows, feats, key="gene", columns=["mag", "size"]).withColumn("block", L.null_tolerant_vector(["mag", "size"]))
+    rows = G.attach_group_features(rows, feats, key="gene", columns=["mag", "size"]).withColumn("block", L.nullable_vector(["mag", "size"]))
     rows = rows.withColumn("union", F.concat("delta", "block"))
-    trees = {"estimator": L.forest(15, 5), "scale": False}
+    trees = {"estimator": RoutedTrees()}
     return D.score_grid(
         rows, {"vector": "delta", "group_features": "block", "union": "union"}, {"family": "family"}, row_id="row_id", label="cls", classes=THREE, n_folds=5,
         options={"group_features": trees, "union": trees},
@@ -236,7 +237,7 @@ def d12(spark, sf):
     a = a.withColumn("cls", F.concat(F.lit("c"), (F.col("gene") % 3).cast("string"))).withColumnRenamed("gene", "row_id").withColumn("gene", F.col("row_id") % 100)
     a = a.join(P.group_folds(a, "gene", 5, 0), "gene")
     cols = ["price", "price_residual", "size", "size_residual"]
-    return D.feature_class_ablation(a, cols, {"price": ["price"], "size": ["size"]}, row_id="row_id", label="cls", classes=THREE, estimator=L.forest(15, 5), n_folds=5)
+    return D.feature_class_ablation(a, cols, {"price": ["price"], "size": ["size"]}, row_id="row_id", label="cls", classes=THREE, estimator=RoutedTrees(), n_folds=5)
 
 
 _REG = f"""WITH {B.VARIANTS_SQL}, {B.group_folds_sql('variants', 'family', 3, 0, 'folds')}, v AS (SELECT CASE WHEN label = 'F' THEN 1 ELSE 0 END AS y, score, fold, gene % 4 = 0 AS seen FROM variants JOIN folds USING (family)),

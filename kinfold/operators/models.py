@@ -35,8 +35,9 @@ from kinfold.functions.vector_expr import argmax_label, dot
 from kinfold.operators.gram import MAX_DIM, collect_gram, fold_moments, gram_rows, moments, ridge_from_gram
 from kinfold.operators.metrics import class_metrics, spearman
 from kinfold.operators.networks import Network, Networks, fit_networks
+from kinfold.operators.routed_trees import Routed, RoutedTrees, fit_routed
 from kinfold.operators.shuffles import shuffled_labels
-from kinfold.operators.stacked import Stacked, fit_stacked
+from kinfold.operators.stacked import NONE, Stacked, fit_stacked
 from kinfold.session import durable
 
 _THREADS = 4
@@ -208,19 +209,19 @@ class StackedFolds(list):
         self.fit, self.vec = fit, vec
 
 
-class NetworkFolds(list):
-    """(fold, model, feature column) of every fold's network; ``fit`` has them all and their held-back losses."""
+class JointFolds(list):
+    """(fold, model, feature column) of every fold's network or trees; ``fit`` has them all."""
 
-    def __init__(self, fit: Networks, vec: str) -> None:
-        super().__init__((p.fold, NetworkModel(fit, p.fold), F.col(vec)) for p in fit.problems)
+    def __init__(self, fit: Networks | Routed, vec: str) -> None:
+        super().__init__((p.fold, JointModel(fit, p.fold), F.col(vec)) for p in fit.problems)
         self.fit, self.vec = fit, vec
 
 
 @dataclass(frozen=True)
-class NetworkModel:
-    """One fold's network with the ``transform`` of a Spark ML model."""
+class JointModel:
+    """One fold's network or trees with the ``transform`` of a Spark ML model."""
 
-    fit: Networks
+    fit: Networks | Routed
     fold: int
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -269,7 +270,11 @@ def fit_folds(
     if isinstance(estimator, Network):
         if held is None or group is None or reduce_to or not scale or balance != "weight":
             raise ValueError("a network needs held-back groups, and scales and weighs by itself")
-        return NetworkFolds(fit_networks(df, estimator, row_id=row_id, vec=vec, target=_class_index(label, classes), n_classes=len(classes), fold=fold, held=held, group=group), vec)
+        return JointFolds(fit_networks(df, estimator, row_id=row_id, vec=vec, target=_class_index(label, classes), n_classes=len(classes), fold=fold, held=held, group=group), vec)
+    if isinstance(estimator, RoutedTrees):
+        if held is not None or reduce_to or balance == "oversample":
+            raise ValueError("trees with learned sides take no held-back groups, no reduction and no repeated rows")
+        return JointFolds(fit_routed(df, estimator, vec=vec, target=_class_index(label, classes), n_classes=len(classes), fold=fold, balance=balance == "weight"), vec)
     given = len(df.select(vec).first()[0])
     if held is None and _stackable(estimator, len(classes), given, balance):
         basis = fold_pca(df, vec=vec, k=reduce_to, fold=fold) if reduce_to else None
@@ -314,6 +319,8 @@ def fit_folds(
 
 def fit_whole(df: DataFrame, estimator: Callable, *, vec: str, label: str, classes: Sequence):
     """One model of all rows, classes weighted to equal sums."""
+    if isinstance(estimator, RoutedTrees):
+        return JointModel(fit_routed(df, estimator, vec=vec, target=_class_index(label, classes), n_classes=len(classes)), NONE)
     counts = dict(df.groupBy(label).agg(F.count(F.lit(1))).collect())
     n = sum(counts.values())
     weight = F.lit(1.0)
@@ -324,7 +331,7 @@ def fit_whole(df: DataFrame, estimator: Callable, *, vec: str, label: str, class
 
 def predict(df: DataFrame, fitted, *, fold: str, keep: Sequence[str], classes: Sequence, everywhere: bool = False) -> DataFrame:
     """(keep, fold, proba): each fold's model on its held-out rows."""
-    if isinstance(fitted, (StackedFolds, NetworkFolds)) and not everywhere:
+    if isinstance(fitted, (StackedFolds, JointFolds)) and not everywhere:
         rows = df.where(F.col(fold).isin([p.fold for p in fitted.fit.problems]))
         return rows.select(*keep, fold, F.get(fitted.fit.shares(F.col(fitted.vec), F.array(fold)), F.lit(0)).alias("proba"))
     out = []
@@ -484,6 +491,11 @@ def null_tolerant_vector(columns: Sequence[str], sentinel: float = -1e9) -> Colu
     return F.array(*values, *flags)
 
 
+def nullable_vector(columns: Sequence[str]) -> Column:
+    """Values as they are, nulls included, for ``RoutedTrees``."""
+    return F.array(*[F.col(c).cast("double") for c in columns])
+
+
 # --- ridge and partial least squares from moments -----------------------------
 
 

@@ -19,6 +19,7 @@ from kinfold.operators import resample as S
 from kinfold.operators import splits as P
 from kinfold.operators.gram import vector_sum
 from kinfold.operators.groups import drop_feature_class
+from kinfold.operators.routed_trees import RoutedTrees
 from kinfold.operators.seeds import paired_seed_difference, seed_mean
 from kinfold.operators.vectors import orthonormal, project_out, standardize
 from kinfold.session import durable
@@ -349,7 +350,7 @@ def feature_class_ablation(
 ) -> DataFrame:
     """(dropped, score, change): the score with each feature class left out; null when either score is null."""
     def score(cols: Sequence[str], name: str) -> DataFrame:
-        rows = df.withColumn("_x", L.null_tolerant_vector(cols))
+        rows = df.withColumn("_x", L.nullable_vector(cols) if isinstance(estimator, RoutedTrees) else L.null_tolerant_vector(cols))
         s = score_arm(rows, row_id=row_id, vec="_x", label=label, classes=classes, estimator=estimator, n_folds=n_folds, scale=False)
         g = s.agg(F.avg("macro_f1").alias("_m"), F.count("macro_f1").alias("_k"))
         return g.select(F.lit(name).alias("dropped"), F.when(F.col("_k") == n_folds, F.col("_m")).alias("score"))
