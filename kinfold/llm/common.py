@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 #: Bytes of text that one vectorised step works on; one longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -21,9 +22,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(docs: DataFrame) -> list[Column]:
+    """The columns as they are, whatever dots or backticks their names hold."""
+    return [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
+
+
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, ArrayType):
+        return _holds_map(kind.elementType)
+    return isinstance(kind, MapType) or isinstance(kind, StructType) and any(_holds_map(f.dataType) for f in kind.fields)
+
+
+def _without_maps(column: Column, kind: DataType) -> Column:
+    if not _holds_map(kind):
+        return column
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda v: _without_maps(v, kind.elementType))
+    if isinstance(kind, StructType):
+        parts = [_without_maps(column.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]
+        return F.when(column.isNotNull(), F.struct(*parts))
+    entries = F.transform(F.map_entries(column), lambda e: F.struct(e["key"].alias("key"), _without_maps(e["value"], kind.valueType).alias("value")))
+    return F.array_sort(entries)
+
+
+def hashable(docs: DataFrame) -> list[Column]:
+    """The columns in a form that Spark hashes: maps, which it refuses, as sorted arrays of their entries."""
+    return [_without_maps(c, f.dataType) for c, f in zip(named(docs), docs.schema.fields, strict=True)]
+
+
 def row_key(docs: DataFrame) -> Column:
-    """128 bits of hash over all columns, nulls marked: rows that share it are repetitions of one row."""
-    columns = [docs[f"`{c}`"] for c in docs.columns]
+    """128 bits of hash over all columns, nulls marked: rows that share it are repetitions of one row. Maps count by their entries, in any order."""
+    columns = hashable(docs)
     marked = [x for c in columns for x in (c.isNull(), c)]
     return F.concat_ws("-", *[F.hex(F.xxhash64(F.lit(seed), *marked)) for seed in (12, 13)])
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import splitmix
+from kinfold.llm.common import hashable, named, splitmix
 from kinfold.session import durable
 
 #: Documents of one bucket, and buckets that meet in a node of the tree.
@@ -38,7 +38,7 @@ _ROW = "doc_id long, row_key long, source string, size long, share double, copie
 
 def row_key(docs: DataFrame) -> Column:
     """A hash of the whole row; rows that share it and the id are repetitions."""
-    return F.xxhash64(*docs.columns, F.lit(11))
+    return F.xxhash64(*hashable(docs), F.lit(11))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it."""
     plan = mix(docs).groupBy("doc_id", "row_key").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("at"), row_key(docs).alias("hash"))  # columns of any name
+    whole = docs.select(F.struct(*named(docs)).alias("row"), F.col("doc_id").cast("long").alias("at"), row_key(docs).alias("hash"))  # columns of any name
     plan = plan.select(F.col("doc_id").alias("id"), "row_key", "_copies")
     found = whole.dropDuplicates(["at", "hash"]).join(plan, F.col("at").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("row_key")))  # repeated rows share their copies
     return found.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy")).select("row.*")

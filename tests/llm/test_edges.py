@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinfold.llm import bpe, exact_dedup, mixing, near_dedup, nearest, personal, quality, suffix_dedup, token_files, toxicity
+from kinfold.llm.common import row_key
 
 MULTI = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PLAIN = public_tokenizers.path("byte_bpe_50k.json")
@@ -91,3 +92,18 @@ def test_stages_on_odd_and_empty_tables(spark, odd, labels, stage, tmp_path):
         assert (n == 0) == (docs is not odd)
         if stage != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
+
+
+def test_maps_and_dotted_names_beside_the_columns_of_documents(spark):
+    rows = [(1, "one two", "s", {"k": 1, "l": 2}, "x", [{"a": None}]), (1, "one two", "s", {"l": 2, "k": 1}, "x", [{"a": None}]), (2, "one two", "s", None, "x", None), (3, None, None, {}, None, [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, tags map<string,int>, `a.b` string, parts array<map<string,int>>")
+    for key in (row_key, mixing.row_key):
+        keys = [r[0] for r in docs.select(key(docs)).collect()]
+        assert keys[0] == keys[1] and len(set(keys)) == 3
+    assert {(r.doc_id, r.kept) for r in exact_dedup.duplicate_groups(docs).collect()} >= {(2, False), (3, True)}
+    assert near_dedup.near_duplicates(docs).count() == 4
+    assert sum(r.taken for r in mixing.taken(docs).collect()) > 0
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() > 0
+    stages = dict(corpus_pipeline.STAGES)
+    for name in ("exact_dedup", "near_dedup"):
+        assert stages[name](spark, docs, "").columns == docs.columns
