@@ -114,6 +114,17 @@ def v14(spark, sf):
     return rounded(V.principal_shares(rows, group="family", vec="d").select("family", "pc1_share", "pc2_share"), "pc1_share", "pc2_share")
 
 
+@query(
+    "v15_axes_two_dims",
+    f"""WITH {B.PAIRS_SQL}, a AS (SELECT family, mut[1] - wt[1] AS p, mut[2] - wt[2] AS q FROM pairs), v AS (SELECT * FROM a QUALIFY count(*) OVER (PARTITION BY family) >= 4)
+    SELECT family, round(s1, 6) AS pc1_share, round(s1 / (s2 + 1e-8), 5) AS pc1_pc2_ratio FROM ({_shares_sql('v', 'family')})""",
+)
+def v15_axes(spark, sf):
+    rows = B.pairs(spark, sf).select("family", F.slice(difference("mut", "wt"), 1, 2).alias("d"), F.lit(1).alias("pos"), F.lit(9).alias("length"))
+    f = V.scan_features(rows, group="family", delta="d", pos="pos", seq_len="length", min_rows=4)
+    return f.select("family", F.round("pc1_share", 6).alias("pc1_share"), F.round("pc1_pc2_ratio", 5).alias("pc1_pc2_ratio"))
+
+
 # --- planted classes --------------------------------------------------------------
 
 

@@ -304,6 +304,21 @@ def v14_pc(spark, sf):
     return V.principal_shares(scan_rows(spark, sf), group="family", vec="delta")
 
 
+@query(
+    "v14_mean_vector",
+    f"""WITH {B.PAIRS_SQL}, d AS (SELECT family, {_DELTA} AS delta FROM pairs), e AS (SELECT family, unnest(delta) AS v, unnest(range(len(delta))) AS i FROM d)
+    SELECT family, CAST(i AS INTEGER) AS component, count(*) AS n, round(avg(v), 6) AS mean FROM e GROUP BY family, i HAVING count(*) >= 3""",
+)
+def v14_mean(spark, sf):
+    f = V.principal_shares(scan_rows(spark, sf), group="family", vec="delta")
+    return f.select("family", "n", F.posexplode("mean_vector").alias("component", "_m")).select("family", "component", "n", (F.round("_m", 6) + 0.0).alias("mean"))
+
+
+@query("v15_scan_axes")
+def v15_axes(spark, sf):
+    return V.scan_features(scan_rows(spark, sf), group="family", delta="delta", pos="pos", seq_len="seq_len").select("family", "n", "pc1_share", "pc1_pc2_ratio")
+
+
 @query(
     "v15_scan_features",
     f"""WITH {_SCAN}, b AS (SELECT family, count(*) AS n, avg(m) AS mu, stddev_pop(m) AS sd, max(seq_len) AS len FROM scan GROUP BY 1 HAVING count(*) >= 3),
@@ -314,7 +329,7 @@ def v14_pc(spark, sf):
     FROM b JOIN s USING (family) LEFT JOIN p USING (family) JOIN t USING (family)""",
 )
 def v15(spark, sf):
-    f = V.scan_features(scan_rows(spark, sf), group="family", delta="delta", pos="pos", seq_len="seq_len")
+    f = V.scan_features(scan_rows(spark, sf), group="family", delta="delta", pos="pos", seq_len="seq_len", axes=False)
     return f.select("family", "n", *[(F.round(c, 6) + 0.0).alias(c) for c in ("mag_mean", "mag_cv", "hotspot_share", "site_variance", "mag_skew", "top_range")])
 
 

@@ -32,6 +32,7 @@ from kinfold.functions.hashing import draw_unit
 from kinfold.functions.ranking import hash_rank
 from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import argmax_label, dot
+from kinfold.operators.factors import BLOCK_ROWS, group_factors, usable
 from kinfold.operators.gram import MAX_DIM, collect_gram, fold_moments, gram_rows, moments, ridge_from_gram
 from kinfold.operators.metrics import class_metrics, spearman
 from kinfold.operators.networks import Network, Networks, fit_networks
@@ -532,37 +533,31 @@ def regression_report(predictions: DataFrame, *, target: str, keys: Sequence[str
     )
 
 
-def leave_group_out_ridge(df: DataFrame, *, group: str, vec: str, target: str, alpha: float = 1.0, min_rows: int = 5, keep: Sequence[str] = ()) -> DataFrame:
+def leave_group_out_ridge(
+    df: DataFrame, *, group: str, vec: str, target: str, alpha: float = 1.0, min_rows: int = 5, min_training: int = 10, keep: Sequence[str] = (), block_rows: int = BLOCK_ROWS
+) -> DataFrame:
     """Predictions for each group from a fit on all the others: total moments minus the group's.
 
-    Groups are fitted in parallel, each from its own d×d block; their rows never
-    gather in one task.
+    Only the total (width squared, on the driver and broadcast, at most ``MAX_DIM`` columns) is a matrix of
+    moments. A group's own part is rebuilt in its task from its rows, or from the factor they condense to, so
+    a group moves no more than its rows and then its weights. Groups under ``min_rows`` rows, or with fewer than
+    ``min_training`` others, have no prediction.
     """
-    if len(df.select(vec).first()[0]) > MAX_DIM:
+    first = df.where(F.col(vec).isNotNull()).select(F.size(vec)).first()
+    if first is not None and first[0] > MAX_DIM:
         raise ValueError(f"vectors longer than {MAX_DIM} need a reduced basis first")
-    spark = df.sparkSession
-    blocks = durable(gram_rows(df, key=group, vec=vec, target=target))
-    total = collect_gram(
-        blocks.withColumn("_all", F.lit(0)).groupBy("_all", "i").agg(_sum_rows()), key="_all"
-    )[0]
-    shared = spark.sparkContext.broadcast(total)
-    kind = _kind(df, group)
-
-    def solve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        own = np.stack(pdf.sort_values("i")["row"].to_numpy())
-        if own[0, 0] < min_rows or shared.value[0, 0] - own[0, 0] < 2:
-            return pd.DataFrame(columns=[group, "w", "b"], dtype=object)
-        w, b = ridge_from_gram(shared.value - own, alpha)
-        return pd.DataFrame({group: [key[0]], "w": [w.tolist()], "b": [b]})
-
-    table = blocks.groupBy(group).applyInPandas(solve, f"`{group}` {kind}, w array<double>, b double")
-    return df.join(table, group).select(*keep, group, target, (dot(vec, "w") + F.col("b")).alias("predicted"))
-
-
-def _sum_rows() -> Column:
-    from kinfold.operators.gram import vector_sum
-
-    return vector_sum("row").alias("row")
+    rows = usable(df, key=group, vec=vec, target=target)
+    sums = collect_gram(gram_rows(rows.withColumn("_all", F.lit(0)), key="_all", vec=vec, target=target), key="_all")
+    shared = df.sparkSession.sparkContext.broadcast(sums.get(0))
+
+    def solve(n: int, r: np.ndarray) -> tuple | None:
+        if shared.value[0, 0] - n < min_training:
+            return None
+        w, b = ridge_from_gram(shared.value - r.T @ r, alpha)
+        return w.tolist(), b
+
+    fits = group_factors(rows, key=group, vec=vec, target=target, finish=solve, fields="w array<double>, b double", min_rows=min_rows, block_rows=block_rows)
+    return df.join(durable(fits), group).select(*keep, group, target, (dot(vec, "w") + F.col("b")).alias("predicted"))
 
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.ranking import hash_rank
 from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import difference, direction, dot, norm
+from kinfold.operators.factors import BLOCK_ROWS, centred, group_factors
 from kinfold.operators.gram import gram_rows, vector_mean, vector_sum
 from kinfold.operators.shuffles import shuffled_labels
 
@@ -252,29 +252,31 @@ def spread_features(df: DataFrame, *, group: str, delta: str, pos: str, min_rows
     )
 
 
-def principal_shares(df: DataFrame, *, group: str, vec: str, min_rows: int = 3) -> DataFrame:
-    """First and second variance shares and the mean's absolute projection on the first axis, per group.
+def principal_shares(df: DataFrame, *, group: str, vec: str, min_rows: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """First and second variance shares, the mean vector and its absolute projection on the first axis, per group.
 
-    Every group is decomposed from its summed second moments, so no task holds a group's rows.
+    A group's rows are condensed to a triangular factor (``factors.group_factors``), whose centred block has the
+    rows' singular values. Shares are null for a group without any spread, the second one also for vectors of one component.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_rows)
-    sized = df.select(group, F.col(vec).alias("_x")).join(sizes, group)
-    kind = df.select(group).schema[0].dataType.simpleString()
-    shape = f"`{group}` {kind}, pc1_share double, pc2_share double, pc1_mean_abs double"
 
-    def decompose(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.stack(pdf.sort_values("i")["row"].to_numpy())
-        n, mean = g[0, 0], g[0, 1:] / g[0, 0]
-        values, axes = np.linalg.eigh(g[1:, 1:] - n * np.outer(mean, mean))
-        values = np.maximum(values[::-1], 0)
-        ratio = values / values.sum() if values.sum() > 0 else np.full(len(values), np.nan)
-        return pd.DataFrame([[key[0], ratio[0], ratio[1] if len(ratio) > 1 else np.nan, abs(float(mean @ axes[:, -1]))]], columns=[group, "pc1_share", "pc2_share", "pc1_mean_abs"])
+    def decompose(n: int, r: np.ndarray) -> tuple:
+        mean, rest = centred(r)
+        _, s, axes = np.linalg.svd(rest, full_matrices=False)
+        if not len(s) or s[0] <= 1e-13 * np.linalg.norm(r):
+            return n, None, None, None, mean.tolist()
+        share = s**2 / (s**2).sum()
+        return n, float(share[0]), float(share[1]) if len(share) > 1 else None, abs(float(mean @ axes[0])), mean.tolist()
 
-    return gram_rows(sized, key=group, vec="_x").groupBy(group).applyInPandas(decompose, shape)
+    fields = "n long, pc1_share double, pc2_share double, pc1_mean_abs double, mean_vector array<double>"
+    return group_factors(df, key=group, vec=vec, finish=decompose, fields=fields, min_rows=min_rows, block_rows=block_rows)
 
 
-def scan_features(df: DataFrame, *, group: str, delta: str, pos: str, seq_len: str, min_rows: int = 3, top: int = 5) -> DataFrame:
-    """Per-group profile of a substitution scan: magnitude spread, hotspots, within-position variance, skew, top range."""
+def scan_features(df: DataFrame, *, group: str, delta: str, pos: str, seq_len: str, min_rows: int = 3, top: int = 5, axes: bool = True, min_axis_rows: int = 4) -> DataFrame:
+    """Per-group profile of a substitution scan: magnitude spread, hotspots, within-position variance, skew, top range.
+
+    With ``axes`` also the share of the first principal axis and its ratio to the second one's, null in groups
+    of fewer than ``min_axis_rows`` rows, where they say nothing.
+    """
     m = df.select(group, pos, seq_len, norm(delta).alias("_m"))
     basic = m.groupBy(group).agg(
         F.count("*").alias("n"), F.avg("_m").alias("mag_mean"), F.stddev_pop("_m").alias("_sd"), F.max(seq_len).alias("_len")
@@ -290,13 +292,17 @@ def scan_features(df: DataFrame, *, group: str, delta: str, pos: str, seq_len: s
     w = Window.partitionBy(group).orderBy(F.desc("_m"), pos)
     best = m.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= top)
     spread = best.groupBy(group).agg((F.max(pos) - F.min(pos)).alias("_range"))
-    return (
+    profile = (
         basic.join(shape, group).join(site, group, "left").join(spread, group)
         .select(
             group, "n", "mag_mean", (F.col("_sd") / (F.col("mag_mean") + 1e-8)).alias("mag_cv"), "hotspot_share", "site_variance", "mag_skew",
             (F.col("_range") / F.greatest(F.col("_len"), F.lit(1))).alias("top_range"),
         )
     )
+    if not axes:
+        return profile
+    shares = principal_shares(df.select(group, delta), group=group, vec=delta, min_rows=max(min_rows, min_axis_rows))
+    return profile.join(shares.select(group, "pc1_share", (F.col("pc1_share") / (F.col("pc2_share") + 1e-8)).alias("pc1_pc2_ratio")), group, "left")
 
 
 def likelihood_features(df: DataFrame, *, group: str, pos: str, ll_wt: str, probes: Sequence[str], probs: str, min_positions: int = 3, top: int = 10) -> DataFrame:
