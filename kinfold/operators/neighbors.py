@@ -1,11 +1,12 @@
-"""Exact k-nearest neighbours by cosine, as a pivot-partitioned Spark join.
+"""Exact k-nearest neighbours by cosine, as a Spark join that prunes.
 
 Unit vectors make cosine order equal Euclidean order, which obeys the triangle
-inequality. Rows are assigned to the nearest of a few pivots; a base row travels
-only to query cells it could matter to, given the cell's radius and a bound on the
-k-th neighbour distance taken from the pivots' own statistics. Cells are cut into
-blocks of bounded size on both sides, so a crowded cell becomes many tasks.
-(Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012.)
+inequality. Base rows go to the nearest of a few pivots and every cell is cut, in
+order of distance to its pivot, into blocks of bounded size: thin shells, each known by
+its least and greatest distance. A first pass compares every query with the shell it
+lies in, which bounds its k-th distance; a second one visits only shells that the
+bound does not rule out. (Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012;
+distance-ordered cells: Jagadish et al., iDistance, TODS 2005.)
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from kinfold.operators.shuffles import shuffled_labels
 from kinfold.session import durable
 
 _TIE_DIGITS = 9
+_SLACK = 1e-6  # distances of unit vectors come from cosines, so small ones are exact to about 1e-8 only
+MAX_BLOCKS = 1 << 18  # the shells' bounds (32 bytes each) are on the driver and in every task
 
 
 def _unit(column) -> np.ndarray:
@@ -33,6 +36,53 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
 
+class _Shells:
+    """Bounds of all blocks in order of (cell, distance): what decides which blocks a query visits."""
+
+    def __init__(self, pivots: np.ndarray, meta: pd.DataFrame):
+        self.pivots, self.n_blocks = pivots, len(meta)
+        self.block, self.rows, self.least_id = (meta[c].to_numpy() for c in ("block", "n", "first_id"))
+        self.low, self.high = meta["low"].to_numpy(), meta["high"].to_numpy()
+        cells, self.start, self.count = np.unique(meta["cell"].to_numpy(), return_index=True, return_counts=True)
+        self.centres = pivots[cells]
+        self.cell_low = np.minimum.reduceat(self.low, self.start)
+        self.cell_high = np.maximum.reduceat(self.high, self.start)
+
+    def own(self, v: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position of a block): shells around each query, cell after cell, until they hold ``need`` rows."""
+        d = _distances(v, self.centres)
+        order = np.argsort(d, axis=1, kind="stable")
+        open_, held, found = np.arange(len(v)), np.zeros(len(v), dtype="int64"), []
+        for j in range(len(self.centres)):
+            cell = order[open_, j]
+            r = d[open_, cell] - _SLACK
+            spot = np.array([self.start[c] + min(np.searchsorted(self.high[self.start[c] : self.start[c] + self.count[c]], x), self.count[c] - 1) for c, x in zip(cell, r, strict=True)], dtype="int64")
+            found.append((open_, spot))
+            held[open_] += self.rows[spot]
+            open_ = open_[held[open_] < need]
+            if not len(open_):
+                break
+        return np.concatenate([q for q, _ in found]), np.concatenate([b for _, b in found])
+
+    def beyond(self, v: np.ndarray, bound: np.ndarray, bound_id: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, position of a block) of the blocks that may hold a nearer row, without those of ``own``."""
+        d = _distances(v, self.centres)
+        q, cell = np.nonzero(self._least(d, self.cell_low, self.cell_high) <= bound[:, None] + 1e-9)
+        times = self.count[cell]
+        spot = np.repeat(self.start[cell] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(q) else np.array([], dtype="int64")
+        at, q = np.repeat(d[q, cell], times), np.repeat(q, times)
+        keep = self._least(at, self.low[spot], self.high[spot]) <= bound[q] + 1e-9
+        keep &= (bound[q] > 0) | (self.least_id[spot] < bound_id[q])  # nothing is nearer than zero, so only a smaller id counts
+        q, spot = q[keep], spot[keep]
+        seen_q, seen = self.own(v, need)
+        fresh = ~np.isin(q * self.n_blocks + spot, seen_q * self.n_blocks + seen)
+        return q[fresh], spot[fresh]
+
+    @staticmethod
+    def _least(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return np.maximum(np.maximum(d - high, low - d) - _SLACK, 0.0) ** 2 / 2.0
+
+
 def knn_join(
     queries: DataFrame,
     base: DataFrame,
@@ -43,87 +93,93 @@ def knn_join(
     exclude_self: bool = True,
     n_pivots: int | None = None,
     block_rows: int = 4096,
+    stats: dict | None = None,
 ) -> DataFrame:
     """(query, neighbor, distance, rank): the ``k`` nearest base rows of every query.
 
-    Equal distances (to nine digits) are ordered by the neighbour's id. The pivots
-    and their statistics (``n_pivots`` × ``k`` numbers) are all that the driver sees.
+    Equal distances (to nine digits) are ordered by the neighbour's id. Rows without a vector take no
+    part. The driver sees the pivots, the blocks' bounds and the visits of each block, at most ``MAX_BLOCKS``
+    of them: beyond that many blocks of ``block_rows`` rows, blocks grow. ``stats`` receives the numbers of
+    compared pairs (``pairs``) and of all pairs (``all_pairs``).
     """
-    b = base.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
-    q = queries.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
-    base_total = b.count()
-    n_pivots = n_pivots or int(min(1024, max(8, base_total**0.5 / 4)))
+    b = base.where(F.col(vec).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
+    q = queries.where(F.col(vec).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
+    total = b.count()
+    n_pivots = n_pivots or int(min(4096, max(8, total**0.5)))
     picked = b.withColumn("_o", draw_hex("pivot", "id")).orderBy("_o", "id").limit(n_pivots).select("v").toPandas()
     if picked.empty:
-        return q.select(F.col("id").alias("query")).limit(0).selectExpr(
-            "query", "query AS neighbor", "0.0D AS distance", "0 AS rank"
-        )
+        return q.select(F.col("id").alias("query")).limit(0).selectExpr("query", "query AS neighbor", "0.0D AS distance", "0 AS rank")
     pivots = _unit(picked["v"])
     need = k + (1 if exclude_self else 0)
+    size = max(block_rows, need, -(-total // (MAX_BLOCKS // 2)))
 
     def assign(batches):
         for pdf in batches:
             if len(pdf):
                 d = _distances(_unit(pdf["v"]), pivots)
-                yield pd.DataFrame({"id": pdf["id"], "cell": d.argmin(1).astype("int32"), "r": d.min(1)})
-
-    def cells(df):
-        return df.mapInPandas(assign, "id long, cell int, r double")
-
-    near = Window.partitionBy("cell").orderBy("r")
-    closest = cells(b).withColumn("_k", F.row_number().over(near)).where(F.col("_k") <= need)
-    spread = [(int(r.cell), float(r.r)) for r in closest.select("cell", "r").collect()]
-    radius_rows = cells(q).groupBy("cell").agg(F.max("r").alias("radius"), F.count("*").alias("n")).collect()
-    gaps = _distances(pivots, pivots)
-    reach, query_blocks = {}, {}
-    for row in radius_rows:
-        bounds = sorted(gaps[row.cell, j] + r for j, r in spread)
-        kth = bounds[need - 1] if len(bounds) >= need else np.inf
-        reach[row.cell] = 2.0 * row.radius + kth + 1e-9
-        query_blocks[row.cell] = max(1, -(-row.n // block_rows))
-
-    def count_reached(batches):
-        hits = dict.fromkeys(reach, 0)
-        for pdf in batches:
-            if len(pdf):
-                d = _distances(_unit(pdf["v"]), pivots)
-                for cell, limit in reach.items():
-                    hits[cell] += int((d[:, cell] <= limit).sum())
-        yield pd.DataFrame({"cell": np.array(list(hits), dtype="int32"), "n": np.array(list(hits.values()), dtype="int64")})
-
-    reached = b.select("v").mapInPandas(count_reached, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    base_blocks = {r.cell: max(1, -(-r.n // block_rows)) for r in reached}
+                yield pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": d.argmin(1).astype("int32"), "r": d.min(1)})
 
-    def place_queries(batches):
+    def cut(batches):
+        cell, filled, block = None, 0, -1
         for pdf in batches:
-            if not len(pdf):
-                continue
-            cell = _distances(_unit(pdf["v"]), pivots).argmin(1)
-            blocks = np.array([query_blocks[c] for c in cell])
-            out = pd.DataFrame({"id": pdf["id"], "v": pdf["v"], "cell": cell.astype("int32")})
-            out["qb"] = (pd.util.hash_array(pdf["id"].to_numpy()) % blocks.astype("uint64")).astype("int32")
-            parts = np.array([base_blocks[c] for c in cell])
-            for j in range(int(parts.max())):
-                yield out[parts > j].assign(bb=np.int32(j))
-
-    def place_base(batches):
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            d = _distances(_unit(pdf["v"]), pivots)
-            spot = pd.util.hash_array(pdf["id"].to_numpy())
-            for cell, limit in reach.items():
-                hit = d[:, cell] <= limit
-                if not hit.any():
-                    continue
-                bb = (spot[hit] % np.uint64(base_blocks[cell])).astype("int32")
-                out = pd.DataFrame({"id": pdf["id"][hit], "v": pdf["v"][hit], "cell": np.int32(cell), "bb": bb})
-                for j in range(query_blocks[cell]):
-                    yield out.assign(qb=np.int32(j))
-
-    shape = "id long, v array<double>, cell int, qb int, bb int"
-    left = q.mapInPandas(lambda it: (x[["id", "v", "cell", "qb", "bb"]] for x in place_queries(it)), shape)
-    right = b.mapInPandas(lambda it: (x[["id", "v", "cell", "qb", "bb"]] for x in place_base(it)), shape)
+            cells, out = pdf["cell"].to_numpy(), np.empty(len(pdf), dtype="int64")
+            edges = np.r_[np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]), len(pdf)] if len(pdf) else np.array([0])
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                if cells[lo] != cell or block < 0:
+                    cell, filled, block = cells[lo], 0, block + 1
+                step = (filled + np.arange(hi - lo)) // size
+                out[lo:hi] = block + step
+                block, filled = block + int(step[-1]), (filled + hi - lo - 1) % size + 1
+            yield pdf.assign(block=pdf["part"].to_numpy() * (1 << 32) + out)[["id", "v", "cell", "r", "block"]]
+
+    ordered = b.mapInPandas(assign, "id long, v array<double>, cell int, r double").withColumn("s", F.round("r", 6))
+    ordered = ordered.repartitionByRange("cell", "s", "id").sortWithinPartitions("cell", "s", "id").withColumn("part", F.spark_partition_id().cast("long"))
+    shelves = durable(ordered.drop("s").mapInPandas(cut, "id long, v array<double>, cell int, r double, block long"))
+    meta = shelves.groupBy("block").agg(F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.min("id").alias("first_id"))
+    shells = _Shells(pivots, meta.toPandas().sort_values(["cell", "high", "first_id"], ignore_index=True))
+    shared = q.sparkSession.sparkContext.broadcast(shells)
+
+    def visits(pdf):
+        s = shared.value
+        for lo in range(0, len(pdf), 64):
+            part = pdf.iloc[lo : lo + 64]
+            v = _unit(part["v"])
+            yield part, *(s.beyond(v, part["bound"].to_numpy(), part["bound_id"].to_numpy(), need) if "bound" in part else s.own(v, need))
+
+    def compared(asked: DataFrame) -> DataFrame:
+        def tally(batches):
+            hits = np.zeros(shared.value.n_blocks, dtype="int64")
+            for pdf in batches:
+                for _, _, spot in visits(pdf):
+                    hits += np.bincount(spot, minlength=len(hits))
+            some = np.flatnonzero(hits)
+            yield pd.DataFrame({"spot": some, "n": hits[some]})
+
+        counts = np.zeros(shells.n_blocks, dtype="int64")
+        for row in asked.mapInPandas(tally, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n")).toLocalIterator():
+            counts[row.spot] = row.n
+        if stats is not None:
+            stats["pairs"] = stats.get("pairs", 0) + int((counts * shells.rows).sum())
+        chunks = -(-counts // size)
+        dealt = q.sparkSession.sparkContext.broadcast((chunks, dict(zip(shells.block.tolist(), chunks.tolist(), strict=True))))
+
+        def place(batches):
+            for pdf in batches:
+                for part, i, spot in visits(pdf):
+                    if len(i):
+                        ids = part["id"].to_numpy()[i]
+                        chunk = pd.util.hash_array(ids) % dealt.value[0][spot].astype("uint64")
+                        yield pd.DataFrame({"id": ids, "v": part["v"].to_numpy()[i], "block": shared.value.block[spot], "chunk": chunk.astype("int64")})
+
+        def copies(batches):
+            for pdf in batches:
+                n = pdf["block"].map(dealt.value[1]).to_numpy()
+                for j in range(int(n.max()) if len(n) else 0):
+                    yield pdf[n > j][["id", "v", "block"]].assign(chunk=np.int64(j))
+
+        shape = "id long, v array<double>, block long, chunk long"
+        left, right = asked.mapInPandas(place, shape), shelves.select("id", "v", "block").mapInPandas(copies, shape)
+        return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(match, "query long, neighbor long, distance double")
 
     def match(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbor": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
@@ -146,13 +202,14 @@ def knn_join(
         found = pd.concat(out)
         return found[np.isfinite(found["distance"])]
 
-    candidates = (
-        left.groupBy("cell", "qb", "bb")
-        .cogroup(right.groupBy("cell", "qb", "bb"))
-        .applyInPandas(match, "query long, neighbor long, distance double")
-    )
+    first = durable(compared(q))
+    kth = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))), F.lit(k - 1)).alias("_k"))
+    bound = F.coalesce(F.col("_k.distance"), F.lit(float("inf"))).alias("bound")
+    asked = q.join(durable(kth), q["id"] == F.col("query"), "left").select("id", "v", bound, F.coalesce(F.col("_k.neighbor"), F.lit(0)).alias("bound_id"))
+    if stats is not None:
+        stats["all_pairs"] = total * q.count()
     w = Window.partitionBy("query").orderBy("distance", "neighbor")
-    return candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return first.unionByName(compared(asked)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def neighbor_purity(neighbors: DataFrame, labels: DataFrame, *, row_id: str, label: str, k: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -25,6 +25,49 @@ def test_knn_matches_brute_force_with_a_crowded_cell(spark, block_rows, n_pivots
     assert (got["neighbor"].to_numpy().reshape(-1, 4) == want).all()
 
 
+def brute(x, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, np.inf)
+    return np.argsort(d, axis=1, kind="stable")[:, :k]
+
+
+def test_knn_visits_few_pairs_of_clustered_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(30, 8))[rng.integers(0, 30, 3000)] + 0.02 * rng.normal(size=(3000, 8))
+    df, stats = frame(spark, x), {}
+    got = K.knn_join(df, df, k=5, block_rows=64, n_pivots=60, stats=stats).toPandas().sort_values(["query", "rank"])
+    assert (got["neighbor"].to_numpy().reshape(-1, 5) == brute(x, 5)).all()
+    assert stats["all_pairs"] == 9_000_000 and stats["pairs"] < stats["all_pairs"] / 5
+
+
+def test_knn_of_copies_visits_the_first_shells_only(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1200, 6))
+    x[200:800] = x[200]  # half of the rows are one vector: the nearest are the smallest ids
+    df, stats = frame(spark, x), {}
+    got = K.knn_join(df, df, k=3, block_rows=50, n_pivots=20, stats=stats).toPandas().sort_values(["query", "rank"])
+    assert (got["neighbor"].to_numpy().reshape(-1, 3) == brute(x, 3)).all()
+    copies_alone = {}
+    group = df.where("row_id BETWEEN 200 AND 799")
+    K.knn_join(group, group, k=3, block_rows=50, n_pivots=4, stats=copies_alone).count()
+    assert copies_alone["pairs"] <= 600 * 2 * 50 < copies_alone["all_pairs"] / 5
+
+
+def test_knn_with_too_few_rows_other_queries_and_no_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6, 3))
+    df = frame(spark, x)
+    got = K.knn_join(df, df, k=9, block_rows=2).toPandas()
+    assert len(got) == 30 and (got.groupby("query")["rank"].max() == 5).all()
+    with_null = df.unionByName(spark.createDataFrame([(99, None)], df.schema))
+    assert K.knn_join(with_null, with_null, k=9, block_rows=2).count() == 30
+    assert K.knn_join(df, df.limit(0), k=2).count() == 0 and K.knn_join(df.limit(0), df, k=2).count() == 0
+    far = K.knn_join(frame(spark, -x), df, k=1, exclude_self=False, block_rows=2, n_pivots=3).toPandas().sort_values("query")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert (far["neighbor"].to_numpy() == (1 + u @ u.T).argmin(1)).all()
+
+
 def test_closed_form_ratio_equals_pairwise(spark):
     rng = np.random.default_rng(1)
     x, fam = rng.normal(size=(60, 5)), rng.integers(0, 4, 60)
