@@ -110,6 +110,27 @@ def d4(spark, sf):
     return D.within_family_study(rows, row_id="row_id", vec="vec", y="y", family="fam", gene="gene")
 
 
+@query("d4_pooled_within_family")
+def d4_pooled(spark, sf):
+    rows = B.vectors(spark, sf).withColumn("y", (F.col("label") < 5).cast("int")).withColumn("fam", F.pmod("gene", F.lit(4)))
+    _, scored = D.within_family_scores(rows, row_id="row_id", vec="vec", y="y", family="fam", gene="gene")
+    return D.pooled_within_family(scored, family="fam", gene="gene", fold="fold", y="y", score="score", n_folds=3)
+
+
+@query(
+    "d4_pooled_point",
+    f"""WITH {B.VECTORS_SQL}, b AS (SELECT gene % 4 AS fam, gene, CAST(gene % 4 * 3 + (gene // 4) % 3 AS INTEGER) AS block, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y, vec[1] AS s0 FROM vectors),
+    r AS ({ranking_sql('b', 'block', score='s0')}), c AS (SELECT count(DISTINCT fam) AS n_families, count(*) AS n_rows, count(DISTINCT gene) AS n_genes, sum(y) AS n_positive FROM b)
+    SELECT n_families, n_rows, n_genes, CAST(n_positive AS BIGINT) AS n_positive, round(point, 6) AS point FROM c, (SELECT avg(auroc) AS point FROM r)""",
+)
+def d4_point(spark, sf):
+    rows = B.vectors(spark, sf).select(
+        F.pmod("gene", F.lit(4)).alias("fam"), "gene", F.pmod(F.floor(F.col("gene") / 4), F.lit(3)).cast("int").alias("fold"), (F.col("label") < 5).cast("int").alias("y"), F.get("vec", F.lit(0)).alias("score")
+    )
+    pooled = D.pooled_within_family(rows, family="fam", gene="gene", fold="fold", y="y", score="score", n_folds=3)
+    return pooled.select("n_families", "n_rows", "n_genes", "n_positive", F.round("point", 6).alias("point"))
+
+
 @query("d5_binary_control")
 def d5(spark, sf):
     from kinfold.operators.cleaning import cap_and_balance

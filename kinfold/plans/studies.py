@@ -135,12 +135,14 @@ def _flat(matrix: np.ndarray) -> list:
 
 
 def family_fits(df: DataFrame, *, family: str, fold: str, vec: str, y: str, n_folds: int, steps: int = 30, tolerance: float = 1e-8) -> DataFrame:
-    """(family, fits): balanced L2 logistic fits of every fold of every family, by Newton steps over all rows at once.
+    """(family, fits, converged): balanced L2 logistic fits of every fold of every family, by Newton steps over all rows at once.
 
     A step joins each row with its family's state, adds up gradients and Hessians inside the
     tasks and then by family, and solves each family's small systems; a family of any
     size goes the same way and its rows never meet in one task. ``fits`` holds, for each fold, the means, scales,
     class weights and coefficients, the intercept last; coefficients are NaN where a training side lacks a class.
+    A step that raises a fold's loss is halved until it does not. ``converged`` is false where some fold still
+    moved by ``tolerance`` or more after ``steps`` passes.
     """
     d = len(df.select(vec).first()[0])
     k, width = n_folds, 3 * d + 3  # mean, scale, two weights, coefficients with intercept
@@ -182,68 +184,113 @@ def family_fits(df: DataFrame, *, family: str, fold: str, vec: str, y: str, n_fo
                         scale = np.sqrt(np.maximum(np.array(rest[d:]) / n - mean**2, 0)) + 1e-8
                         out[i] = np.concatenate([mean, scale, [0.5 * n / (n - pos), 0.5 * n / pos], np.zeros(d + 1)])
                 fits.append(_flat(out))
-            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "moved": np.inf})
+            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "back": [[]] * len(pdf), "moved": np.inf})
 
     def curvature(x, t, f, state):
-        out = np.zeros((k, d + 1, d + 2))
+        out, loss = np.zeros((k, d + 1, d + 2)), np.zeros(k)
         for i in range(k):
             use = f != i
             if np.isnan(state[i, 0]) or not use.any():
                 continue
             z = np.hstack([(x[use] - state[i, :d]) / state[i, d : 2 * d], np.ones((use.sum(), 1))])
             w = np.where(t[use] == 1, state[i, 2 * d + 1], state[i, 2 * d])
-            p = 1 / (1 + np.exp(-np.clip(z @ state[i, 2 * d + 2 :], -30, 30)))
+            eta = z @ state[i, 2 * d + 2 :]
+            p = 1 / (1 + np.exp(-np.clip(eta, -30, 30)))
+            loss[i] = w @ np.logaddexp(0, np.where(t[use] == 1, -eta, eta))
             out[i, :, 0] = z.T @ (w * (p - t[use]))
             out[i, :, 1:] = (z * (w * p * (1 - p))[:, None]).T @ z
-        return out.ravel()
+        return np.concatenate([loss, out.ravel()])
 
     def step(batches):
         ridge = np.eye(d + 1)
         ridge[-1, -1] = 1e-8
         for pdf in batches:
-            fits, moved = [], []
-            for flat, added in zip(pdf["fits"], pdf["sums"], strict=True):
-                state, add, most = np.array(flat).reshape(k, width), np.array(added).reshape(k, d + 1, d + 2), 0.0
+            fits, back, moved = [], [], []
+            for flat, old, added in zip(pdf["fits"], pdf["back"], pdf["sums"], strict=True):
+                state, loss, add = np.array(flat).reshape(k, width), np.array(added[:k]), np.array(added[k:]).reshape(k, d + 1, d + 2)
+                prior = np.array(old).reshape(k, d + 2) if len(old) else np.full((k, d + 2), np.inf)  # coefficients and their loss
+                most = 0.0
                 for i in range(k):
                     if not np.isnan(state[i, 0]):
-                        b = state[i, 2 * d + 2 :]
-                        change = np.linalg.solve(add[i, :, 1:] + ridge, add[i, :, 0] + ridge @ b)
-                        state[i, 2 * d + 2 :] = b - change
+                        now_b, was = state[i, 2 * d + 2 :].copy(), prior[i, :-1]
+                        total = loss[i] + now_b @ ridge @ now_b / 2
+                        if total > prior[i, -1] + 1e-10 * abs(prior[i, -1]):
+                            change = (now_b - was) / 2
+                        else:
+                            change = np.linalg.solve(add[i, :, 1:] + ridge, add[i, :, 0] + ridge @ now_b)
+                            prior[i] = np.append(now_b, total)
+                        state[i, 2 * d + 2 :] = now_b - change
                         most = max(most, float(np.abs(change).max()))
                 fits.append(_flat(state))
+                back.append(_flat(prior))
                 moved.append(most)
-            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "moved": moved})
+            yield pd.DataFrame({"_g": pdf["_g"], "fits": fits, "back": back, "moved": moved})
 
-    shape = f"_g {kind}, fits array<double>, moved double"
+    shape = f"_g {kind}, fits array<double>, back array<double>, moved double"
     now = durable(sums(moments, k * (2 * d + 2), rows).mapInPandas(start, shape))
     for _ in range(steps):
-        added = sums(curvature, k * (d + 1) * (d + 2), rows.join(now.select("_g", "fits"), "_g"))
-        now = durable(now.select("_g", "fits").join(added, "_g").mapInPandas(step, shape))
+        added = sums(curvature, k * (d + 1) * (d + 2) + k, rows.join(now.select("_g", "fits"), "_g"))
+        now = durable(now.select("_g", "fits", "back").join(added, "_g").mapInPandas(step, shape))
         if (now.agg(F.max("moved")).first()[0] or 0.0) < tolerance:
             break
-    return now.select(F.col("_g").alias(family), "fits")
+    return now.select(F.col("_g").alias(family), "fits", (F.col("moved") < tolerance).alias("converged"))
 
 
-def within_family_study(df: DataFrame, *, row_id: str, vec: str, y: str, family: str, gene: str, min_genes: int = 8, n_folds: int = 3, seed: int = 0) -> DataFrame:
-    """(family, n, n_genes, auroc): held-out ranking inside each qualifying family, genes disjoint.
-
-    A fold whose training side lacks a class is left out of its family's mean, whatever the family's size.
-    """
+def within_family_scores(df: DataFrame, *, row_id: str, vec: str, y: str, family: str, gene: str, min_genes: int = 8, n_folds: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(qualifying families, their held-out rows: row, family, gene, fold, y, score, converged), genes disjoint between the folds of a family."""
     chosen = durable(P.select_families(df, family=family, gene=gene, label=y, min_genes=min_genes, min_classes=2))
     genes = df.join(chosen.select(family), family, "left_semi").select(family, gene).distinct()
     dealt = P.stratified_folds(genes, row_id=gene, stratum=family, n_folds=n_folds, seed=seed, min_size=n_folds)
     rows = durable(df.select(row_id, family, gene, y, vec).join(dealt, [family, gene]))
-    d = len(rows.select(vec).first()[0]) if not rows.isEmpty() else 1
-    fits = family_fits(rows, family=family, fold="fold", vec=vec, y=y, n_folds=n_folds) if not rows.isEmpty() else None
-    if fits is None:
-        return chosen.select("*", F.lit(None).cast("double").alias("auroc"), F.lit(0).cast("long").alias("n_folds"))
+    if rows.isEmpty():
+        return chosen, rows.select(row_id, family, gene, "fold", y, F.lit(None).cast("double").alias("score"), F.lit(True).alias("converged"))
+    d = len(rows.select(vec).first()[0])
+    fits = family_fits(rows, family=family, fold="fold", vec=vec, y=y, n_folds=n_folds)
     own = F.slice("fits", F.col("fold") * (3 * d + 3) + 1, 3 * d + 3)
     part = lambda a, n: F.slice("_fit", a + 1, n)
     z = F.zip_with(F.zip_with(vec, part(0, d), lambda v, m: v - m), part(d, d), lambda v, s: v / s)
-    scored = rows.join(fits, family).withColumn("_fit", own).where(~F.isnan(F.get("_fit", F.lit(0))))
-    scored = durable(scored.withColumn("_z", z).select(row_id, family, "fold", y, (dot("_z", part(2 * d + 2, d)) + F.get("_fit", F.lit(3 * d + 2))).alias("score")))
+    scored = rows.join(fits, family).withColumn("_fit", own).where(~F.isnan(F.get("_fit", F.lit(0)))).withColumn("_z", z)
+    score = dot("_z", part(2 * d + 2, d)) + F.get("_fit", F.lit(3 * d + 2))
+    return chosen, durable(scored.select(row_id, family, gene, "fold", y, score.alias("score"), "converged"))
+
+
+def within_family_study(df: DataFrame, *, row_id: str, vec: str, y: str, family: str, gene: str, min_genes: int = 8, n_folds: int = 3, seed: int = 0) -> DataFrame:
+    """(family, n, n_genes, auroc, converged): held-out ranking inside each qualifying family, genes disjoint.
+
+    A fold whose training side lacks a class is left out of its family's mean, whatever the family's size.
+    """
+    chosen, scored = within_family_scores(df, row_id=row_id, vec=vec, y=y, family=family, gene=gene, min_genes=min_genes, n_folds=n_folds, seed=seed)
     auc = M.ranking_metrics(scored, y=y, score="score", keys=[family, "fold"]).groupBy(family).agg(F.avg("auroc").alias("auroc"), F.count("auroc").alias("n_folds"))
-    return chosen.join(auc, family, "left").orderBy(F.desc("n_rows"), family)
+    done = scored.groupBy(family).agg(F.bool_and("converged").alias("converged"))
+    return chosen.join(auc, family, "left").join(done, family, "left").orderBy(F.desc("n_rows"), family)
+
+
+def pooled_within_family(
+    scored: DataFrame, *, family: str, gene: str, fold: str, y: str, score: str, n_folds: int, n_boot: int = 1000, seed: int = 0
+) -> DataFrame:
+    """One row: AUROC of held-out scores inside every (family, fold), averaged over all of them, with a gene-resampled interval.
+
+    Scores of different fits are never ranked together. Only families with a row of class 1 are pooled; the point is
+    null unless each of their ``n_folds`` folds holds both classes. Genes are drawn within strata of equal fold and
+    classes, so that rare rows of class 1 stay in the draws. Without such a family all counts are zero and the point is null.
+    """
+    bearing = scored.groupBy(family).agg(F.max(y).alias("_top")).where("_top = 1").select(family)
+    name = lambda *c: F.to_json(F.struct(*[F.col(x).alias(f"_{i}") for i, x in enumerate(c)]))
+    rows = durable(
+        scored.where(F.col(family).isNotNull()).join(bearing, family, "left_semi").select(
+            F.col(family).alias("_family"), name(family, fold).alias("_block"), name(family, gene).alias("_gene"), F.col(y).cast("int").alias("_y"), F.col(score).alias("_s")
+        )
+    )
+    counts = rows.agg(
+        F.count_distinct("_family").alias("n_families"), F.count(F.lit(1)).alias("n_rows"), F.count_distinct("_gene").alias("n_genes"), F.count_if(F.col("_y") == 1).alias("n_positive")
+    )
+    blocks = counts.first()["n_families"] * n_folds
+    if blocks == 0:
+        none = F.lit(None).cast("double")
+        return counts.select("*", none.alias("point"), F.lit(0).cast("long").alias("n_resamples"), none.alias("ci_low"), none.alias("ci_high"), F.lit(True).alias("ci_suppressed"))
+    strata = S.class_presence_strata(rows, cluster="_gene", folds=["_block"], label="_y")
+    interval = S.bootstrap_interval(rows, {"auroc": S.BinaryAuroc("_y", "_s", "_block", blocks)}, cluster="_gene", n_boot=n_boot, seed=seed, strata=strata)
+    return attach_row(counts, interval.select("point", "n_resamples", "ci_low", "ci_high", "ci_suppressed"))
 
 
 def magnitude_direction_arms(df: DataFrame, *, vec: str) -> DataFrame:

@@ -124,6 +124,57 @@ def test_family_fits_equal_a_direct_fit(spark):
             assert np.allclose(fits[k, -len(b) :], b, atol=1e-6)
 
 
+def test_family_fits_say_whether_they_converged_and_damp_their_steps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(240, 3)) * [1, 30, 0.01]
+    y = (x[:, 0] + 0.3 * rng.normal(size=240) > 1.9).astype(int)  # few rows of class 1, nearly separable
+    pdf = pd.DataFrame({"fam": np.arange(240) % 2, "fold": np.arange(240) // 2 % 3, "vec": x.tolist(), "y": y})
+    df = spark.createDataFrame(pdf)
+    options = {"family": "fam", "fold": "fold", "vec": "vec", "y": "y", "n_folds": 3}
+    assert not any(r.converged for r in D.family_fits(df, steps=2, **options).collect())
+    for r in D.family_fits(df, **options).collect():
+        assert r.converged
+        for k, fit in enumerate(np.array(r.fits).reshape(3, -1)):
+            use = (pdf.fam == r.fam) & (pdf.fold != k)
+            z = np.hstack([(x[use] - fit[:3]) / fit[3:6], np.ones((use.sum(), 1))])
+            w = np.where(y[use] == 1, fit[7], fit[6])
+            gradient = z.T @ (w * (1 / (1 + np.exp(-z @ fit[8:])) - y[use])) + fit[8:] * [1, 1, 1, 1e-8]
+            assert np.abs(gradient).max() < 1e-5
+
+
+def pooled_rows(rng, signal):
+    """Three families of 12 genes of 6 rows: genes of folds 0 to 2 hold both classes; scores of a family have their own offset."""
+    g = np.repeat(np.arange(36), 6)
+    y = np.tile([0, 0, 0, 0, 1, 1], 36)
+    score = signal * y + rng.normal(size=len(g)) + 50.0 * (g // 12)
+    return pd.DataFrame({"fam": g // 12, "gene": g, "fold": g % 3, "y": y, "score": score})
+
+
+def test_pooled_score_ranks_inside_each_family_and_fold(spark):
+    pdf = pooled_rows(np.random.default_rng(6), 2.0)
+    options = {"family": "fam", "gene": "gene", "fold": "fold", "y": "y", "score": "score", "n_folds": 3, "n_boot": 200}
+    got = D.pooled_within_family(spark.createDataFrame(pdf), **options).first()
+    each = []
+    for _, b in pdf.groupby(["fam", "fold"]):
+        a, c = b.score[b.y == 1].to_numpy()[:, None], b.score[b.y == 0].to_numpy()
+        each.append(((a > c) + 0.5 * (a == c)).mean())
+    assert (got.n_families, got.n_rows, got.n_genes, got.n_positive) == (3, 216, 36, 72)
+    assert got.point == pytest.approx(np.mean(each)) and 0.5 < got.ci_low <= got.point <= got.ci_high and got.n_resamples == 200
+    none = D.pooled_within_family(spark.createDataFrame(pooled_rows(np.random.default_rng(7), 0.0)), **options).first()
+    assert none.ci_low < 0.5 < none.ci_high
+
+
+def test_pooled_score_needs_every_fold_and_a_family_with_both_classes(spark):
+    pdf = pooled_rows(np.random.default_rng(8), 1.0)
+    options = {"family": "fam", "gene": "gene", "fold": "fold", "y": "y", "score": "score", "n_folds": 3, "n_boot": 20}
+    lacking = pdf.assign(y=np.where((pdf.fam == 1) & (pdf.fold == 2), 0, pdf.y))
+    assert D.pooled_within_family(spark.createDataFrame(lacking), **options).first().point is None
+    without = D.pooled_within_family(spark.createDataFrame(pdf.assign(y=np.where(pdf.fam == 2, 0, pdf.y))), **options).first()
+    assert without.n_families == 2 and without.n_genes == 24 and without.point is not None
+    empty = D.pooled_within_family(spark.createDataFrame(pdf.assign(y=0)), **options).first()
+    assert empty.n_families == 0 and empty.point is None and empty.ci_suppressed
+
+
 def test_importance_ranks_the_signal_first(spark):
     df, *_ = data(spark, signal=5.0)
     fitted = L.fit_folds(df, L.logistic(), row_id="row_id", vec="vec", label="y", classes=(0, 1), scale=False)
