@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from kinfold.functions.hashing import LANES, digits, equally_long, md5_words
 from kinfold.functions.ranking import value_bucket
 from kinfold.operators.gram import vector_sum
+from kinfold.session import durable
 
 _CELLS = 4_000_000  # matrix entries held at a time
-_UNITS = 512  # units whose hits are counted together
+_UNITS, _DRAWS, _PLACES = 2048, 32, 1 << 16  # units whose hits are counted together; draws and places hashed together
 NEGATIVE, POSITIVE, SPLIT = 0, 1, 2
 
 
@@ -45,40 +47,186 @@ def dense(n_draws: int):
     return packed
 
 
-def hit_bytes(hits: DataFrame, *, keys: Sequence[str], index: str, n_draws: int) -> DataFrame:
-    """(keys, index, _m): how often each draw hit each index, from one row (keys, index, boot) per hit.
+def hit_bytes(numbered: DataFrame, *, key: str, index: str, size: str, cluster: str, n_draws: int, seed: int | str) -> DataFrame:
+    """(cluster, _m): how often ``size`` draws with replacement hit each index of a key, in one byte for each of ``n_draws``; indexes never hit are missing.
 
-    Hits of ``_UNITS`` neighbouring indexes meet in one task, where they are counted into a matrix.
+    Draw ``b`` of place ``i`` hits ``md5(seed|b|key|i)`` modulo the size. Places are hashed in blocks; what is shuffled are the hits of a block
+    on ``_UNITS`` neighbouring indexes in ``_DRAWS`` draws, sorted, each as its distance to the one before: about one byte.
     """
-    keys = list(keys)
-    kinds = dict(hits.dtypes)
-    names = pa.schema([*[(k, to_arrow_type(hits.schema[k].dataType)) for k in keys], (index, pa.int64()), ("_m", pa.binary())])
-
-    def count(table: pa.Table) -> pa.Table:
-        at, boot = (table.column(c).to_numpy() for c in (index, "boot"))
-        first = int(at.min())
-        flat = np.bincount((at - first) * n_draws + boot, minlength=(int(at.max()) - first + 1) * n_draws)
-        if flat.max() > 255:
+    kinds = dict(numbered.dtypes)
+    lead = f"{seed}|".encode()
+
+    def hashed(label: str, total: int, first: int, last: int, draws: range) -> np.ndarray:
+        """Hits of the places ``first`` to ``last`` as (block of indexes, draw, index inside the block) in one number, sorted."""
+        found = []
+        for lo, hi in equally_long(first, last):
+            for start in range(lo, hi, LANES):
+                places = np.arange(start, min(start + LANES, hi))
+                at = digits(places)
+                for b0, b1 in equally_long(draws.start, draws.stop):
+                    many = max(1, LANES // len(places))
+                    for b in range(b0, b1, many):
+                        own = np.arange(b, min(b + many, b1))
+                        spot = digits(own) if len(own) > 1 else list(str(b).encode())
+                        boot = [np.repeat(c, len(places)) for c in spot] if len(own) > 1 else spot
+                        grid = [np.tile(c, len(own)) for c in at] if len(own) > 1 else at
+                        h = md5_words([*lead, *boot, *f"|{label}|".encode(), *grid])[0].astype(np.int64)
+                        block, inside = np.divmod(h - h // total * total, _UNITS)
+                        found.append((block * _DRAWS + np.repeat(own - draws.start, len(places))) * _UNITS + inside)
+        return np.sort(np.concatenate(found))
+
+    def throw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                hits = hashed(r["_k"], r["_size"], r["_first"], min(r["_first"] + _PLACES, r["_size"]), range(r["_at"], min(r["_at"] + _DRAWS, n_draws)))
+                block = hits // (_DRAWS * _UNITS)
+                starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                steps = np.diff(hits, prepend=0)
+                steps[starts] = hits[starts] % (_DRAWS * _UNITS)
+                ends = np.cumsum(steps // 255 + 1)
+                coded = np.full(ends[-1], 255, np.uint8)
+                coded[ends - 1] = steps % 255
+                cuts = np.r_[0, ends[starts[1:] - 1], len(coded)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["_k"]] * len(starts), pa.string()), pa.array(block[starts], pa.int64()), pa.array([r["_at"]] * len(starts), pa.int32()), pa.array([coded[i:j].tobytes() for i, j in zip(cuts, cuts[1:])], pa.binary())],
+                    names=["_k", "_block", "_at", "_hits"],
+                )
+
+    def count(hits: pa.Table, units: pa.Table) -> pa.Table:
+        if not hits.num_rows:
+            return units.select(["_c"]).append_column("_m", pa.nulls(units.num_rows, pa.binary())).slice(0, 0).rename_columns([cluster, "_m"])
+        flat = []
+        for at, coded in zip(hits.column("_at").to_pylist(), hits.column("_hits").to_pylist()):
+            steps = np.frombuffer(coded, np.uint8)
+            spots = np.cumsum(steps, dtype=np.int64)[steps != 255]
+            flat.append(spots % _UNITS * n_draws + at + spots // _UNITS)
+        counts = np.bincount(np.concatenate(flat), minlength=_UNITS * n_draws)
+        if counts.max() > 255:
             raise ValueError("a unit was drawn more than 255 times")
-        out = flat.astype(np.uint8).reshape(-1, n_draws)
-        drawn = np.flatnonzero(out.any(axis=1))
-        key = [pa.array([table.column(k)[0].as_py()] * len(drawn), names.field(k).type) for k in keys]
-        return pa.Table.from_arrays([*key, pa.array(drawn + first, pa.int64()), pa.array([out[i].tobytes() for i in drawn], pa.binary())], schema=names)
+        m = counts.astype(np.uint8).reshape(_UNITS, n_draws)[units.column("_i").to_numpy() % _UNITS]
+        drawn = m.any(axis=1)
+        return pa.Table.from_arrays([units.column("_c").filter(pa.array(drawn)), pa.array([r.tobytes() for r in m[drawn]], pa.binary())], names=[cluster, "_m"])
+
+    upto = lambda n, step: F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long"))
+    sizes = numbered.groupBy(F.col(key).alias("_k")).agg(F.max(F.col(size).cast("long")).alias("_size"))
+    work = sizes.select("_k", "_size", F.explode(upto(F.col("_size"), _PLACES)).alias("_first")).select("*", F.explode(upto(F.lit(n_draws).cast("long"), _DRAWS)).alias("_at"))
+    tasks = max(int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64)
+    thrown = work.repartition(tasks, "_k", "_first", "_at").mapInArrow(throw, "_k string, _block long, _at int, _hits binary")
+    units = numbered.select(F.col(key).alias("_k"), F.floor(F.col(index) / _UNITS).alias("_block"), F.col(index).cast("long").alias("_i"), F.col(cluster).alias("_c"))
+    return thrown.groupBy("_k", "_block").cogroup(units.groupBy("_k", "_block")).applyInArrow(count, f"`{cluster}` {kinds[cluster]}, _m binary")
+
+
+def kept_bytes(clusters: DataFrame, *, cluster: str, n_draws: int, seed: int | str, n: int, keep: int) -> DataFrame:
+    """(cluster, _m): 1 in each of ``n_draws`` where the cluster is among the ``keep`` of ``n`` with the least ``md5(seed|draw|cluster)``, else 0.
+
+    The last one kept is looked for between two bounds around its expected place: tasks count what lies below and hand on what lies
+    between, some multiples of the root of ``n``. Bounds that miss it in any draw are widened, at last to everything.
+    """
+    kinds = dict(clusters.dtypes)
+    if not 0 < keep:
+        return clusters.select(cluster, F.lit(None).cast("binary").alias("_m")).limit(0)
+    lead = f"{seed}|".encode()
+    rest = F.encode(F.coalesce(F.concat(F.lit("|"), F.col(cluster).cast("string")), F.lit("")), "UTF-8")
+    texts = durable(clusters.select(F.col(cluster).alias("_c"), rest.alias("_t")).repartition(max(8, -(-n // LANES)), "_c"))
+
+    def hashes(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, draws, first and last 16 digits as signed numbers: one line for each draw) of texts of equal length."""
+        raw = column.to_pylist()
+        lengths = np.array([len(t) for t in raw])
+        for length in np.unique(lengths):
+            same = np.flatnonzero(lengths == length)
+            for i in range(0, len(same), LANES):
+                part = same[i : i + LANES]
+                columns = [np.ascontiguousarray(c) for c in np.frombuffer(b"".join(raw[j] for j in part), np.uint8).reshape(len(part), length).T] if length else []
+                many = max(1, LANES // len(part))
+                for b0, b1 in equally_long(0, n_draws):
+                    for b in range(b0, b1, many):
+                        own = np.arange(b, min(b + many, b1))
+                        boot = [np.repeat(c, len(part)) for c in digits(own)]
+                        words = md5_words([*lead, *boot, *(np.tile(c, len(own)) for c in columns)])
+                        high, low = (((x.astype(np.uint64) << np.uint64(32) | y) ^ np.uint64(1 << 63)).view(np.int64).reshape(len(own), -1) for x, y in (words[:2], words[2:]))
+                        yield part, own, high, low
+
+    middle, spread = keep / n, (keep / n * max(1 - keep / n, 1 / n) / n) ** 0.5
+    reach, last = 5.0, {}
+    while True:
+        lo, hi = (max(middle - reach * spread, 0.0), min(middle + reach * spread, 1.0))
+        least, most = (int(v * ((1 << 64) - 1)) - (1 << 63) for v in (lo, hi))
+        least, most = max(least, -(1 << 63)), min(most, (1 << 63) - 1)
+
+        def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            below = np.zeros(n_draws, np.int64)
+            names = ["boot", "high", "low", "below"]
+            for batch in batches:
+                found = []
+                for _, own, high, low in hashes(batch.column("_t")):
+                    below[own] += (high < least).sum(axis=1)
+                    at = np.nonzero((high >= least) & (high <= most))
+                    found.append((own[at[0]], high[at], low[at]))
+                boot, high, low = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+                yield pa.RecordBatch.from_arrays([pa.array(boot, pa.int32()), pa.array(high), pa.array(low), pa.nulls(len(boot), pa.int64())], names=names)
+            some = np.flatnonzero(below)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), none, none, pa.array(below[some])], names=names)
+
+        seen = durable(texts.select("_t").mapInArrow(between, "boot int, high long, low long, below long"))
+        order = Window.partitionBy("boot").orderBy("high", "low")
+        under = seen.groupBy("boot").agg(F.coalesce(F.sum("below"), F.lit(0)).alias("_under"))
+        placed = seen.where("high IS NOT NULL").withColumn("_r", F.row_number().over(order)).join(under, "boot")
+        last = {r["boot"]: (r["high"], r["low"]) for r in placed.where(F.col("_under") + F.col("_r") == min(keep, n)).select("boot", "high", "low").collect()}  # one row for each draw
+        if len(last) == n_draws:
+            break
+        if lo == 0.0 and hi == 1.0:
+            raise ValueError("clusters must be distinct")
+        reach *= 8
+
+    bound = np.array([last[b] for b in range(n_draws)], np.int64)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, _CELLS // 1000):
+                part = batch.slice(i, _CELLS // 1000)
+                out = np.zeros((part.num_rows, n_draws), np.uint8)
+                for rows, own, high, low in hashes(part.column("_t")):
+                    first, second = bound[own, 0][:, None], bound[own, 1][:, None]
+                    out[np.ix_(rows, own)] = ((high < first) | ((high == first) & (low <= second))).T
+                yield pa.RecordBatch.from_arrays([part.column("_c"), pa.array([r.tobytes() for r in out], pa.binary())], names=[cluster, "_m"])
 
-    blocks = hits.select(*keys, F.col(index).cast("long").alias(index), F.col("boot").cast("int").alias("boot")).withColumn("_block", F.floor(F.col(index) / _UNITS))
-    shape = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + f", `{index}` long, _m binary"
-    return blocks.groupBy(*keys, "_block").applyInArrow(count, shape)
+    return texts.mapInArrow(mark, f"`{cluster}` {kinds[cluster]}, _m binary")
 
 
 def draw_table(draws: DataFrame, *, cluster: str, n_draws: int) -> DataFrame:
     """(boot, cluster, weight) from (cluster, _m)."""
+    kind = dict(draws.dtypes)[cluster]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _CELLS // (8 * n_draws))
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                part = batch.slice(i, step)
+                m = _bytes_of(part.column("_m"), n_draws)
+                row, boot = np.nonzero(m)
+                yield pa.RecordBatch.from_arrays([pa.array(boot, pa.int32()), part.column("_c").take(pa.array(row)), pa.array(m[row, boot], pa.int64())], names=["boot", cluster, "weight"])
+
+    return draws.select(F.col(cluster).alias("_c"), "_m").mapInArrow(listed, f"boot int, `{cluster}` {kind}, weight long")
 
-    @F.arrow_udf("array<int>")
-    def unpacked(m: pa.Array) -> pa.Array:
-        values = _bytes_of(m, n_draws).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * n_draws), pa.array(values.ravel()))
 
-    return draws.select(cluster, F.posexplode(unpacked("_m")).alias("boot", "weight")).where("weight > 0").select("boot", cluster, F.col("weight").cast("long").alias("weight"))
+def value_sums(rows: DataFrame, draws: DataFrame, *, cluster: str, values: Sequence[str], n_draws: int) -> DataFrame:
+    """(boot, sums): the sums of numeric columns in every draw, added up inside the tasks."""
+    joined = rows.join(draw_bytes(draws, cluster=cluster, n_draws=n_draws), cluster).select(F.array(*[F.coalesce(F.col(v).cast("double"), F.lit(0.0)) for v in values]).alias("_v"), "_m")
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((n_draws, len(values)))
+        for batch in batches:
+            v = batch.column("_v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(values))
+            m = _bytes_of(batch.column("_m"), n_draws)
+            for i in range(0, len(v), 1024):
+                sums += m[i : i + 1024].T.astype(np.float64) @ v[i : i + 1024]
+        yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["_part"])
+
+    summed = joined.mapInArrow(add, "_part array<double>").agg(vector_sum("_part").alias("_part"))
+    at = summed.select("_part", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("boot"))
+    return at.select("boot", F.slice("_part", F.col("boot") * len(values) + 1, len(values)).alias("sums"))
 
 
 def draw_bytes(draws: DataFrame, *, cluster: str, n_draws: int) -> DataFrame:

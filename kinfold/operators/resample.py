@@ -15,11 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.functions.hashing import draw_int
 from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
-from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, permuted_rows, weighted_rows
+from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, kept_bytes, permuted_rows, value_sums, weighted_rows
 from kinfold.operators.shuffles import class_sums, shuffled_labels
 from kinfold.session import durable
 
@@ -133,6 +132,10 @@ class MeanOf:
         scale = F.col("_draws") if "_draws" in cells.columns else F.lit(1)
         return cells.groupBy(*keys).agg((F.sum(F.col("_s") * scale) / F.sum("_w")).alias("value"))
 
+    def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
+        count, total = F.get("sums", F.lit(0)), F.get("sums", F.lit(1))
+        return value_sums(cells, draws, cluster=cluster, values=["_w", "_s"], n_draws=n_boot).select("boot", F.when(count > 0, total / count).alias("value"))
+
 
 def cluster_unit(family: str, gene: str, prefix: str = "gene_") -> Column:
     """The resampling unit: the family, or the gene itself when it has none."""
@@ -167,26 +170,25 @@ def _numbered(clusters: DataFrame, cluster: str) -> DataFrame:
 
 def cluster_draws(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int) -> DataFrame:
     """(boot, cluster, weight): ``n`` draws with replacement out of ``n`` clusters, per stratum when there is one."""
-    numbered = _numbered(clusters, cluster)
-    slots = numbered.select("_stratum", "_index", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    hit = slots.select("boot", "_stratum", F.pmod(draw_int(seed, "boot", "_stratum", "_index"), F.col("_size")).alias("_index"))
-    counts = hit.groupBy("boot", "_stratum", "_index").agg(F.count("*").alias("weight"))
-    return counts.join(numbered, ["_stratum", "_index"]).select("boot", F.col("_cluster").alias(cluster), "weight")
+    return draw_table(cluster_multiplicities(clusters, cluster=cluster, n_boot=n_boot, seed=seed), cluster=cluster, n_draws=n_boot)
 
 
-def cluster_multiplicities(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int) -> DataFrame:
+def cluster_multiplicities(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int | str) -> DataFrame:
     """(cluster, _m): the draws of :func:`cluster_draws`, one byte for each draw; clusters that no draw picked are missing."""
-    numbered = durable(_numbered(clusters, cluster))
-    slots = numbered.select("_stratum", "_index", "_size", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("boot"))
-    hits = slots.select("_stratum", F.pmod(draw_int(seed, "boot", "_stratum", "_index"), F.col("_size")).alias("_index"), "boot")
-    return hit_bytes(hits, keys=["_stratum"], index="_index", n_draws=n_boot).join(numbered, ["_stratum", "_index"]).select(F.col("_cluster").alias(cluster), "_m")
+    numbered = durable(_numbered(clusters, cluster).withColumnRenamed("_cluster", cluster))
+    return hit_bytes(numbered, key="_stratum", index="_index", size="_size", cluster=cluster, n_draws=n_boot, seed=seed)
+
+
+def subsample_bytes(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int, share: float = 0.632) -> DataFrame:
+    """(cluster, _m): the draws of :func:`cluster_subsamples`, one byte for each draw."""
+    lone = durable(clusters.select(cluster).distinct())
+    n, keep = lone.agg(F.count(F.lit(1)).alias("n")).select("n", F.bround(F.col("n") * F.lit(share))).first()
+    return kept_bytes(lone, cluster=cluster, n_draws=n_boot, seed=seed, n=n, keep=int(keep))
 
 
 def cluster_subsamples(clusters: DataFrame, *, cluster: str, n_boot: int, seed: int, share: float = 0.632) -> DataFrame:
     """(boot, cluster, weight = 1): ``round(share · n)`` clusters without replacement per draw."""
-    draws = clusters.select(cluster).distinct().withColumn("boot", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    ranked = hash_rank(draws, ["boot"], [cluster], seed, out="_r", total="_n", salt=[F.col("boot")])
-    return ranked.where(F.col("_r") < F.bround(F.col("_n") * F.lit(share))).select("boot", cluster, F.lit(1).cast("long").alias("weight"))
+    return draw_table(subsample_bytes(clusters, cluster=cluster, n_boot=n_boot, seed=seed, share=share), cluster=cluster, n_draws=n_boot)
 
 
 def _clusters(df: DataFrame, cluster: str, strata: DataFrame | None) -> DataFrame:
@@ -259,7 +261,7 @@ def row_bootstrap(df: DataFrame, statistic, *, row_id: str, stratum: str, n_boot
 
 
 def subsample_interval(df: DataFrame, statistic, *, cluster: str, n_boot: int = 1000, seed: int = 0, share: float = 0.632, ci: float = 0.95, min_valid: float = 0.99) -> DataFrame:
-    draws = cluster_subsamples(df, cluster=cluster, n_boot=n_boot, seed=seed, share=share)
+    draws = subsample_bytes(df, cluster=cluster, n_boot=n_boot, seed=seed, share=share)
     cells = durable(statistic.compress(df, cluster))
     return _summary(_drawn(statistic, cells, draws, cluster, "value", n_boot), _point(statistic, cells), "value", n_boot, ci, min_valid)
 
