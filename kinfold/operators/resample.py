@@ -19,7 +19,7 @@ from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
 from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, kept_bytes, permuted_rows, value_sums, weighted_rows
-from kinfold.operators.shuffles import class_sums, shuffled_labels
+from kinfold.operators.shuffles import class_marks, class_sums, shuffled_labels
 from kinfold.session import durable
 
 
@@ -369,6 +369,12 @@ def permutation_lists(df: DataFrame, *, unit: str, label: str, fold: str, n: int
     return shuffled_labels(per, row_id=unit, label=label, n=n, seed=seed, within=fold).withColumnRenamed("_shuffled", "labels")
 
 
+def permutation_marks(df: DataFrame, *, unit: str, label: str, fold: str, classes: Sequence, n: int, seed: int) -> DataFrame:
+    """(unit, fold, label, _hits, _marks): of :func:`permutation_lists`, for each class the number of draws that give it to the unit and the sum of their numbers from 1."""
+    per = labelled_units(df, unit=unit, label=label, fold=fold)
+    return class_marks(per, row_id=unit, label=label, labels=list(classes), n=n, seed=seed, within=fold)
+
+
 def permute_within_folds(df: DataFrame, *, unit: str, label: str, fold: str, n: int, seed: int) -> DataFrame:
     """(perm, unit, fold, label): labels shuffled among the units of a fold, one row per unit and draw."""
     lists = permutation_lists(df, unit=unit, label=label, fold=fold, n=n, seed=seed)
@@ -390,21 +396,42 @@ def immovable_clusters(df: DataFrame, *, group: str, cluster: str, fold: str) ->
     return s.join(s.groupBy(fold, "size").agg(F.count("*").alias("_k")).where("_k = 1").drop("_k"), [fold, "size"], "left_semi")
 
 
-def permute_cluster_blocks(df: DataFrame, *, group: str, label: str, cluster: str, fold: str, n: int, seed: int) -> DataFrame:
-    """(perm, group, label): whole clusters swap their label blocks with same-size clusters of their fold."""
-    shapes = cluster_shapes(df, group=group, cluster=cluster, fold=fold)
-    numbered = hash_rank(shapes, [fold, "size"], [cluster], "base", out="_pos")
+def cluster_swaps(df: DataFrame, *, group: str, cluster: str, fold: str, n: int, seed: int) -> DataFrame:
+    """(_target, _donor, draws): in which of ``n`` draws a cluster takes the block of a same-size cluster of its fold."""
+    shapes = durable(cluster_shapes(df, group=group, cluster=cluster, fold=fold))
+    numbered = durable(hash_rank(shapes, [fold, "size"], [cluster], "base", out="_pos"))
     draws = numbered.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     moved = hash_rank(draws, ["perm", fold, "size"], [cluster], seed, out="_to", salt=[F.col("perm")])
-    swap = draws.select("perm", fold, "size", F.col(cluster).alias("_target"), F.col("_pos").alias("_to")).join(
-        moved.select("perm", fold, "size", "_to", F.col(cluster).alias("_donor")), ["perm", fold, "size", "_to"]
-    )
+    target = numbered.select(fold, "size", F.col(cluster).alias("_target"), F.col("_pos").alias("_to"))
+    swap = moved.select("perm", fold, "size", "_to", F.col(cluster).alias("_donor")).join(target, [fold, "size", "_to"])
+    return swap.groupBy("_target", "_donor").agg(F.sort_array(F.collect_list("perm")).alias("draws"))  # at most n numbers
+
+
+def block_labels(df: DataFrame, swaps: DataFrame, *, group: str, label: str, cluster: str) -> DataFrame:
+    """(group, label, ...): each group with the label it gets from every donor of its cluster; other columns of ``swaps`` ride along."""
     one = F.when(F.min(label) == F.max(label), F.min(label)).otherwise(F.raise_error(F.lit("a group has two labels")))
     groups = df.groupBy(cluster, group).agg(one.alias(label))
-    member = hash_rank(groups, [cluster], [group], "member", out="_m")
+    member = durable(hash_rank(groups, [cluster], [group], "member", out="_m"))
     to = member.select(F.col(cluster).alias("_target"), "_m", group)
     source = member.select(F.col(cluster).alias("_donor"), "_m", label)
-    return swap.select("perm", "_target", "_donor").join(to, "_target").join(source, ["_donor", "_m"]).select("perm", group, label)
+    return to.join(swaps, "_target").join(source, ["_donor", "_m"]).drop("_target", "_donor", "_m")
+
+
+def permute_cluster_blocks(df: DataFrame, *, group: str, label: str, cluster: str, fold: str, n: int, seed: int) -> DataFrame:
+    """(perm, group, label): whole clusters swap their label blocks with same-size clusters of their fold."""
+    swaps = cluster_swaps(df, group=group, cluster=cluster, fold=fold, n=n, seed=seed)
+    return block_labels(df, swaps, group=group, label=label, cluster=cluster).select(F.explode("draws").alias("perm"), group, label)
+
+
+def cluster_block_marks(df: DataFrame, *, group: str, label: str, cluster: str, fold: str, n: int, seed: int) -> DataFrame:
+    """(group, label, hits, marks): in how many draws of :func:`permute_cluster_blocks` a group gets a label, and the sum of their numbers from 1.
+
+    A draw is counted for a pair of clusters, before their groups meet.
+    """
+    swaps = cluster_swaps(df, group=group, cluster=cluster, fold=fold, n=n, seed=seed)
+    marks = F.aggregate(F.transform("draws", lambda p: p.cast("long") + 1), F.lit(0).cast("long"), lambda a, v: a + v)
+    counted = swaps.select("_target", "_donor", F.size("draws").cast("long").alias("hits"), marks.alias("marks"))
+    return block_labels(df, counted, group=group, label=label, cluster=cluster).groupBy(group, label).agg(F.sum("hits").alias("hits"), F.sum("marks").alias("marks"))
 
 
 def permutation_pvalue(observed: DataFrame, nulls: DataFrame, *, observed_col: str, value: str, n: int, alternative: str = "greater") -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import digits, equally_long, md5_words
-from kinfold.operators import many_draws
+from kinfold.operators import many_draws, shuffles
 from kinfold.operators import resample as S
 
 
@@ -64,3 +64,33 @@ def test_subsample_mean_needs_no_table_of_draws(spark):
     table = many_draws.draw_table(draws, cluster="gene", n_draws=20).withColumnRenamed("weight", "_draws")
     slow = {r.boot: r.value for r in stat.score(cells.join(table, "gene").withColumn("_w", F.col("_w") * F.col("_draws")), ["boot"]).collect()}
     assert fast.keys() == slow.keys() and all(abs(fast[b] - slow[b]) < 1e-9 for b in fast)
+
+
+def test_remainders_without_division_and_whole_permutations():
+    x = np.r_[0, 1, shuffles.PRIME - 1, shuffles.PRIME, shuffles.PRIME + 1, (1 << 62) - 2, np.random.default_rng(0).integers(0, 1 << 62, 1000)].astype(np.int64)
+    assert (shuffles._rest(x.copy()) == x % shuffles.PRIME).all()
+    y = np.arange(26)
+    assert (shuffles._wrapped(y.copy(), 13) == y % 13).all()
+    keys = np.random.default_rng(1).integers(0, 1 << 32, (5, shuffles.ROUNDS))
+    for m in (1, 2, 7, 100, 1001):
+        assert (np.sort(shuffles.landing(np.arange(m), keys, 9, m), axis=0) == np.arange(m)[:, None]).all()
+
+
+def test_marks_equal_the_lists_of_labels(spark):
+    df = spark.createDataFrame([(i, i % 2, "abc"[i % 3]) for i in range(60)], "u int, fold int, label string")
+    lists = {r.u: r.labels for r in S.permutation_lists(df, unit="u", label="label", fold="fold", n=9, seed=3).collect()}
+    for r in S.permutation_marks(df, unit="u", label="label", fold="fold", classes=("c", "a", "z"), n=9, seed=3).collect():
+        of = [[i + 1 for i, v in enumerate(lists[r.u]) if v == c] for c in ("c", "a", "z")]
+        assert r["_hits"] == [len(v) for v in of] and r["_marks"] == [sum(v) for v in of]
+
+
+def test_block_marks_equal_the_long_swaps_and_move_no_row_for_a_draw(spark):
+    df = spark.createDataFrame([(c * 10 + k, c, c % 2, "xy"[(c + k) % 2]) for c in range(8) for k in range(3)], "g int, c int, fold int, label string")
+    args = dict(group="g", label="label", cluster="c", fold="fold", n=7, seed=5)
+    want: dict = {}
+    for r in S.permute_cluster_blocks(df, **args).collect():
+        n, mark = want.get((r.g, r.label), (0, 0))
+        want[r.g, r.label] = n + 1, mark + r.perm + 1
+    counted = S.cluster_block_marks(df, **args)
+    assert {(r.g, r.label): (r.hits, r.marks) for r in counted.collect()} == want
+    assert sum(n for n, _ in want.values()) == 24 * 7
