@@ -26,6 +26,8 @@ from kinfold.session import durable
 
 #: Rounds whose trees a scan applies to the written scores at most, the bin of nulls, and quantiles looked at for each bin.
 REFRESH, NULL, FINE = 5, 255, 4
+#: Rows that are worth a task of their own.
+SPREAD = 1024
 
 
 @dataclass(frozen=True)
@@ -51,18 +53,30 @@ class Tree(NamedTuple):
 
     def nodes(self, x: np.ndarray, binned: bool, depth: int) -> np.ndarray:
         """Node of every row after ``depth`` levels, from bins or from values."""
+        if binned:
+            return self._binned_nodes(x, depth)
         at = np.zeros(len(x), np.int64)
         rows = np.arange(len(x))
         for _ in range(depth):
             j = self.feature[at]
             v = x[rows, np.maximum(j, 0)]
-            if binned:
-                left = np.where(v == NULL, self.null_left[at], v <= self.bin[at])
-            else:
-                left = np.where(np.isnan(v), self.null_left[at], v <= self.cut[at])
+            left = np.where(np.isnan(v), self.null_left[at], v <= self.cut[at])
             at = np.where(j < 0, at, 2 * at + np.where(left, 1, 2))
         return at
 
+    def _binned_nodes(self, x: np.ndarray, depth: int) -> np.ndarray:
+        """A table has the next node for every node and bin, so that a level is three look-ups for a row."""
+        node = np.arange(len(self.feature), dtype=np.int32)[:, None]
+        left = np.arange(NULL + 1) <= self.bin[:, None]
+        left[:, NULL] = self.null_left
+        following = np.where(self.feature[:, None] < 0, node, 2 * node + np.where(left, 1, 2)).astype(np.int32).ravel()
+        feature, flat = np.maximum(self.feature, 0), np.ascontiguousarray(x).ravel()
+        first = np.arange(len(x)) * x.shape[1]
+        at = np.zeros(len(x), np.int32)
+        for _ in range(depth):
+            at = following.take(at * (NULL + 1) + flat.take(first + feature.take(at)))
+        return at.astype(np.int64)
+
 
 def _seed(depth: int) -> Tree:
     n = 2 ** (depth + 1) - 1
@@ -128,7 +142,7 @@ def bin_edges(df: DataFrame, *, vec: str, fold: str | None, folds: Sequence, bin
     return [[cuts(j, i) for j in range(d)] for i in range(len(folds))]
 
 
-def _packed(df: DataFrame, *, vec: str, target: Column, fold: str | None, folds: Sequence, edges: list, first: Sequence[np.ndarray]) -> DataFrame:
+def _packed(df: DataFrame, *, vec: str, target: Column, fold: str | None, folds: Sequence, edges: list, first: Sequence[np.ndarray], n_rows: int) -> DataFrame:
     """Blocks of rows as bytes: bins for every fold, classes, places of the folds, scores for every fold."""
     spot = F.array_position(F.array(*[F.lit(f) for f in folds]), F.col(fold)).cast("int") - 1 if fold else F.lit(-1)
 
@@ -146,6 +160,9 @@ def _packed(df: DataFrame, *, vec: str, target: Column, fold: str | None, folds:
                 yield _block(values)
 
     rows = df.select(F.col(vec).cast("array<double>").alias("_x"), target.cast("int").alias("_t"), spot.alias("_f"))
+    session = df.sparkSession
+    tasks = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(max(1, min(tasks, -(-n_rows // SPREAD))))  # a join before may have left few tasks, and every level scans the blocks
     return durable(rows.mapInArrow(pack, _SCHEMA))
 
 
@@ -264,7 +281,7 @@ def fit_routed(df: DataFrame, spec: RoutedTrees, *, vec: str, target: Column, n_
         first.append(mass[1:] - mass[0] if k == 1 else mass - mass.mean())
     edges = bin_edges(rows, vec=vec, fold=fold, folds=folds, bins=spec.bins)
     slots = max(len(e) for of in edges for e in of) + 2  # one bin more than edges, and the nulls
-    blocks = _packed(rows, vec=vec, target=target, fold=fold, folds=folds, edges=edges, first=first)
+    blocks = _packed(rows, vec=vec, target=target, fold=fold, folds=folds, edges=edges, first=first, n_rows=sum(r["count"] for r in counted))
     read, context = _reader(len(folds)), df.sparkSession.sparkContext
     rounds: list = []
     pending: list = [[] for _ in folds]
