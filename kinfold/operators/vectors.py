@@ -15,7 +15,10 @@ from kinfold.functions.rows import attach_row
 from kinfold.functions.vector_expr import difference, direction, dot, norm
 from kinfold.operators.factors import BLOCK_ROWS, centred, group_factors
 from kinfold.operators.gram import gram_rows, vector_mean, vector_sum
-from kinfold.operators.shuffles import shuffled_labels
+from kinfold.operators.shuffles import class_sums, shuffled_labels
+
+#: Sums that a task may hold for all draws and families of a null.
+DRAWN_SUMS = 1 << 22
 
 
 def paired_features(df: DataFrame, *, wt: str, mut: str) -> DataFrame:
@@ -196,7 +199,11 @@ def within_between(df: DataFrame, *, vec: str, family: str, by: Sequence[str] =
     (‖Σu‖² − n)/2, so one sum per family and one in total are enough.
     """
     u = df.select(*by, family, F.transform(vec, lambda x: x / F.greatest(norm(vec), F.lit(1e-12))).alias("_u"))
-    fam = u.groupBy(*by, family).agg(vector_sum("_u").alias("_s"), F.count("*").cast("double").alias("_n"))
+    return _pair_ratio(u.groupBy(*by, family).agg(vector_sum("_u").alias("_s"), F.count("*").cast("double").alias("_n")), by, min_pairs)
+
+
+def _pair_ratio(fam: DataFrame, by: Sequence[str], min_pairs: int) -> DataFrame:
+    """:func:`within_between` from the sum of unit vectors and the number of rows of every family."""
     inside = fam.select(
         *by, "_s", "_n", ((dot("_s", "_s") - F.col("_n")) / 2).alias("_c"), (F.col("_n") * (F.col("_n") - 1) / 2).alias("_p")
     )
@@ -224,9 +231,22 @@ def permuted_labels(df: DataFrame, *, row_id: str, label: str, n: int, seed: int
 
 
 def within_between_null(df: DataFrame, *, row_id: str, vec: str, family: str, n: int = 1000, seed: int) -> DataFrame:
-    """The ratio under ``n`` relabellings. Each row carries its ``n`` drawn labels, so vectors move once, to be summed by draw and family."""
-    wide = shuffled_labels(df.select(row_id, vec, family), row_id=row_id, label=family, n=n, seed=seed)
-    return within_between(wide.select(vec, F.posexplode("_shuffled").alias("perm", "_f")).withColumnRenamed("_f", family), vec=vec, family=family, by=["perm"])
+    """The ratio under ``n`` relabellings. A task adds up its vectors for all draws and families, so no row is repeated for a draw.
+
+    Where these sums are more than ``DRAWN_SUMS`` numbers, or a family is null, each row carries its drawn labels instead and is summed by draw and family.
+    """
+    names = [r[0] for r in df.select(family).distinct().limit(DRAWN_SUMS + 1).collect()]
+    some = df.select(F.size(vec)).first()
+    width = (some[0] if some else 0) + 1
+    if not names or None in names or len(names) * width * n > DRAWN_SUMS:
+        wide = shuffled_labels(df.select(row_id, vec, family), row_id=row_id, label=family, n=n, seed=seed)
+        return within_between(wide.select(vec, F.posexplode("_shuffled").alias("perm", "_f")).withColumnRenamed("_f", family), vec=vec, family=family, by=["perm"])
+    unit = F.transform(vec, lambda x: x.cast("double") / F.greatest(norm(vec), F.lit(1e-12)))
+    rows = df.select(row_id, family, F.lit(0).alias("_all"), F.concat(unit, F.array(F.lit(1.0))).alias("_v"))
+    drawn = class_sums(rows, unit=row_id, label=family, within="_all", values="_v", n_values=width, labels=sorted(names), n=n, seed=seed, keyed=False)
+    each = drawn.select(F.col("draw").alias("perm"), "sums", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_i"))
+    at = F.col("_i") * width + 1
+    return _pair_ratio(each.select("perm", F.slice("sums", at, width - 1).alias("_s"), F.get("sums", at + width - 2).alias("_n")), ["perm"], 5)
 
 
 def two_level_mean(df: DataFrame, *, protein: str, window: str, vec: str) -> DataFrame:
