@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
+from kinfold.operators.draw_ranks import correlation_by_draw
 from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, kept_bytes, permuted_rows, value_sums, weighted_rows
 from kinfold.operators.shuffles import class_marks, class_sums, shuffled_labels
 from kinfold.session import durable
@@ -118,6 +119,10 @@ class SpearmanRho:
     def score(self, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
         return _fold_mean(M.spearman(cells, [*keys, self.fold], x=self.x, y=self.y, weight="_w"), keys, "rho", self.n_folds)
 
+    def score_draws(self, cells: DataFrame, draws: DataFrame, cluster: str, n_boot: int) -> DataFrame:
+        per = correlation_by_draw(cells, draws, cluster=cluster, keys=[self.fold], x=self.x, y=self.y, n_draws=n_boot)
+        return _fold_mean(per, ["boot"], "rho", self.n_folds)
+
 
 @dataclass(frozen=True)
 class MeanOf:
