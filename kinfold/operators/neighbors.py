@@ -5,7 +5,9 @@ inequality. Base rows go to the nearest of a few pivots and every cell is cut, i
 order of distance to its pivot, into blocks of bounded size: thin shells, each known by
 its least and greatest distance. A first pass compares every query with the shell it
 lies in, which bounds its k-th distance; a second one visits only shells that the
-bound does not rule out. (Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012;
+bound does not rule out. Neighbouring shells form slabs: a query is sent to a slab once, with a
+bit for each shell, and a task compares many queries with a slab by products of matrices,
+keeping what its shrinking bounds allow. (Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012;
 distance-ordered cells: Jagadish et al., iDistance, TODS 2005.)
 """
 
@@ -25,6 +27,8 @@ from kinfold.session import durable
 _TIE_DIGITS = 9
 _SLACK = 1e-6  # distances of unit vectors come from cosines, so small ones are exact to about 1e-8 only
 MAX_BLOCKS = 1 << 18  # the shells' bounds (32 bytes each) are on the driver and in every task
+SLAB_ROWS = 1 << 15  # rows, and queries, that meet in one task
+_SIDE = 2048  # queries whose products with a shell are in memory at a time
 
 
 def _unit(column) -> np.ndarray:
@@ -47,6 +51,10 @@ class _Shells:
         self.centres = pivots[cells]
         self.cell_low = np.minimum.reduceat(self.low, self.start)
         self.cell_high = np.maximum.reduceat(self.high, self.start)
+        rows = min(SLAB_ROWS, max(1024, -(-int(self.rows.sum()) // 6)))
+        self.slab = np.unique((np.cumsum(self.rows) - self.rows) // rows, return_inverse=True)[1]
+        self.slab_start = np.flatnonzero(np.r_[True, self.slab[1:] != self.slab[:-1]])
+        self.slab_rows = rows
 
     def own(self, v: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, position of a block): shells around each query, cell after cell, until they hold ``need`` rows."""
@@ -74,9 +82,10 @@ class _Shells:
         keep = self._least(at, self.low[spot], self.high[spot]) <= bound[q] + 1e-9
         keep &= (bound[q] > 0) | (self.least_id[spot] < bound_id[q])  # nothing is nearer than zero, so only a smaller id counts
         q, spot = q[keep], spot[keep]
-        seen_q, seen = self.own(v, need)
-        fresh = ~np.isin(q * self.n_blocks + spot, seen_q * self.n_blocks + seen)
-        return q[fresh], spot[fresh]
+        flags = np.zeros((len(v), self.n_blocks), dtype=bool)
+        flags[q, spot] = True
+        flags[self.own(v, need)] = False
+        return np.nonzero(flags)
 
     @staticmethod
     def _least(d: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -147,60 +156,103 @@ def knn_join(
             yield part, *(s.beyond(v, part["bound"].to_numpy(), part["bound_id"].to_numpy(), need) if "bound" in part else s.own(v, need))
 
     def compared(asked: DataFrame) -> DataFrame:
+        n_slabs = len(shells.slab_start)
+
         def tally(batches):
-            hits = np.zeros(shared.value.n_blocks, dtype="int64")
+            hits, sent = np.zeros(shared.value.n_blocks, dtype="int64"), np.zeros(n_slabs, dtype="int64")
             for pdf in batches:
-                for _, _, spot in visits(pdf):
+                for part, i, spot in visits(pdf):
                     hits += np.bincount(spot, minlength=len(hits))
-            some = np.flatnonzero(hits)
-            yield pd.DataFrame({"spot": some, "n": hits[some]})
-
-        counts = np.zeros(shells.n_blocks, dtype="int64")
-        for row in asked.mapInPandas(tally, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[row.spot] = row.n
+                    sent += np.bincount(np.unique(i * n_slabs + shared.value.slab[spot]) % n_slabs, minlength=n_slabs)
+            for kind, found in enumerate((hits, sent)):
+                some = np.flatnonzero(found)
+                yield pd.DataFrame({"kind": np.int64(kind), "spot": some, "n": found[some]})
+
+        counts, sent = np.zeros(shells.n_blocks, dtype="int64"), np.zeros(n_slabs, dtype="int64")
+        for row in asked.mapInPandas(tally, "kind long, spot long, n long").groupBy("kind", "spot").agg(F.sum("n").alias("n")).toLocalIterator():
+            (sent if row.kind else counts)[row.spot] = row.n
         if stats is not None:
             stats["pairs"] = stats.get("pairs", 0) + int((counts * shells.rows).sum())
-        chunks = -(-counts // size)
-        dealt = q.sparkSession.sparkContext.broadcast((chunks, dict(zip(shells.block.tolist(), chunks.tolist(), strict=True))))
+            stats["sent"] = stats.get("sent", 0) + int(sent.sum())
+        chunks = -(-sent // shells.slab_rows)
+        dealt = q.sparkSession.sparkContext.broadcast((chunks, dict(zip(shells.block.tolist(), range(shells.n_blocks), strict=True))))
 
         def place(batches):
+            s = shared.value
             for pdf in batches:
                 for part, i, spot in visits(pdf):
-                    if len(i):
-                        ids = part["id"].to_numpy()[i]
-                        chunk = pd.util.hash_array(ids) % dealt.value[0][spot].astype("uint64")
-                        yield pd.DataFrame({"id": ids, "v": part["v"].to_numpy()[i], "block": shared.value.block[spot], "chunk": chunk.astype("int64")})
-
-        def copies(batches):
+                    if not len(i):
+                        continue
+                    flags = np.zeros((len(part), s.n_blocks), dtype=bool)
+                    flags[i, spot] = True
+                    hashed = pd.util.hash_array(part["id"].to_numpy())
+                    to = [[] for _ in range(len(part))]
+                    for slab in np.unique(s.slab[spot]).tolist():
+                        lo = s.slab_start[slab]
+                        hi = s.slab_start[slab + 1] if slab + 1 < n_slabs else s.n_blocks
+                        own = flags[:, lo:hi]
+                        bits = np.packbits(own, axis=1)
+                        for j in np.flatnonzero(own.any(axis=1)).tolist():
+                            to[j].append((slab, int(hashed[j] % dealt.value[0][slab].astype("uint64")), bits[j].tobytes()))
+                    yield part.assign(to=to)
+
+        def locate(batches):
             for pdf in batches:
-                n = pdf["block"].map(dealt.value[1]).to_numpy()
-                for j in range(int(n.max()) if len(n) else 0):
-                    yield pdf[n > j][["id", "v", "block"]].assign(chunk=np.int64(j))
-
-        shape = "id long, v array<double>, block long, chunk long"
-        left, right = asked.mapInPandas(place, shape), shelves.select("id", "v", "block").mapInPandas(copies, shape)
-        return left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(match, "query long, neighbor long, distance double")
+                spot = pdf["block"].map(dealt.value[1]).to_numpy()
+                slab = shared.value.slab[spot]
+                yield pdf[["id", "v"]].assign(spot=spot - shared.value.slab_start[slab], slab=slab, n=dealt.value[0][slab])
+
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+        left = asked.mapInPandas(place, shape + ", to array<struct<slab:int,chunk:int,bits:binary>>").select("*", F.explode("to").alias("_to")).select(*asked.columns, "_to.*")
+        right = shelves.select("id", "v", "block").mapInPandas(locate, "id long, v array<double>, spot int, slab int, n int").where("n > 0")
+        right = right.select("id", "v", "spot", "slab", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
+        tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, 2 * int(chunks.sum())))
+        sides = [side.repartition(tasks, "slab", "chunk").groupBy("slab", "chunk") for side in (left, right)]
+        return sides[0].cogroup(sides[1]).applyInPandas(match, "query long, neighbor long, distance double")
 
     def match(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbor": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
         if lhs.empty or rhs.empty:
             return empty
-        rhs = rhs.sort_values("id")
-        ids = rhs["id"].to_numpy()
-        bv = _unit(rhs["v"])
-        out = []
-        for start in range(0, len(lhs), 512):
-            part = lhs.iloc[start : start + 512]
-            dist = np.round(1.0 - _unit(part["v"]) @ bv.T, _TIE_DIGITS)
-            if exclude_self:
-                dist[part["id"].to_numpy()[:, None] == ids[None, :]] = np.inf
-            top = np.argsort(dist, axis=1, kind="stable")[:, :k]
-            d = np.take_along_axis(dist, top, 1)
-            out.append(
-                pd.DataFrame({"query": np.repeat(part["id"].to_numpy(), top.shape[1]), "neighbor": ids[top].ravel(), "distance": d.ravel()})
-            )
-        found = pd.concat(out)
-        return found[np.isfinite(found["distance"])]
+        rhs = rhs.sort_values(["spot", "id"])
+        ids, spots, asking = rhs["id"].to_numpy(), rhs["spot"].to_numpy(), lhs["id"].to_numpy()
+        bv, qv = _unit(rhs["v"]), _unit(lhs["v"])
+        bs, qs = bv.astype("float32"), qv.astype("float32")
+        margin = np.float32((bv.shape[1] + 8) * 1.2e-7)  # more than products of rounded unit vectors can be off
+        bound = lhs["bound"].to_numpy() if "bound" in lhs else np.full(len(lhs), np.inf)
+        bound_id = lhs["bound_id"].to_numpy() if "bound" in lhs else np.zeros(len(lhs), dtype="int64")
+        bits = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in lhs["bits"]]), axis=1).astype(bool)
+        best, best_id = np.full((len(lhs), k), np.inf), np.full((len(lhs), k), np.iinfo("int64").max)
+        edges = np.r_[np.flatnonzero(np.r_[True, spots[1:] != spots[:-1]]), len(spots)]
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            visitors = np.flatnonzero(bits[:, spots[lo]])
+            for start in range(0, len(visitors), _SIDE):
+                own = visitors[start : start + _SIDE]
+                near = qs[own] @ bs[lo:hi].T
+                limit = np.minimum(bound[own], best[:, -1][own])
+                least = (1.0 - limit - 1e-9).astype("float32") - margin
+                free = np.flatnonzero(np.isinf(limit))
+                if len(free) and hi - lo > need:
+                    least[free] = np.partition(near[free], hi - lo - need, axis=1)[:, hi - lo - need] - 2 * margin
+                i, j = np.nonzero(near >= least[:, None])
+                if not len(i):
+                    continue
+                d = np.round(1.0 - np.concatenate([np.einsum("ij,ij->i", qv[own[i[x : x + 65536]]], bv[lo + j[x : x + 65536]]) for x in range(0, len(i), 65536)]), _TIE_DIGITS)
+                i, j = own[i], ids[lo + j]
+                fits = (d < bound[i]) | ((d == bound[i]) & (j < bound_id[i]))
+                if exclude_self:
+                    fits &= asking[i] != j
+                i, j, d = i[fits], j[fits], d[fits]
+                some = np.unique(i)
+                i, j, d = np.r_[i, np.repeat(some, k)], np.r_[j, best_id[some].ravel()], np.r_[d, best[some].ravel()]
+                order = np.lexsort((j, d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype="int64")
+                place_of = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+                top = place_of < k
+                best[i[top], place_of[top]], best_id[i[top], place_of[top]] = d[top], j[top]
+        row, at = np.nonzero(np.isfinite(best))
+        return pd.DataFrame({"query": asking[row], "neighbor": best_id[row, at], "distance": best[row, at]})
 
     first = durable(compared(q))
     kth = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))), F.lit(k - 1)).alias("_k"))
