@@ -10,6 +10,7 @@ from kinfold.operators import neighbors as K
 from kinfold.operators import vectors as V
 from kinfold.operators.resample import null_standard_score
 from kinfold.plans import bindings as B
+from kinfold.session import durable
 
 T = B.table
 _NORM = "sqrt(list_dot_product({0}, {0}))"
@@ -216,7 +217,7 @@ _Z = """SELECT round(o, 6) AS observed, round((o - avg(v)) / stddev_samp(v), 6)
 )
 def v10_null(spark, sf):
     rows = B.vectors(spark, sf)
-    graph = K.knn_join(rows, rows, k=5)
+    graph = durable(K.knn_join(rows, rows, k=5))
     observed = K.neighbor_purity(graph, rows, row_id="row_id", label="label", k=5).select(F.col("purity").alias("observed"))
     nulls = K.purity_null(graph, rows, row_id="row_id", label="label", k=5, seed=5)
     return _z(null_standard_score(observed, nulls, observed="observed", value="purity", expected=1000))

@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_hex
 from kinfold.functions.rows import attach_row
 from kinfold.operators.gram import vector_sum
-from kinfold.operators.shuffles import shuffled_labels
+from kinfold.operators.shuffles import shuffled_codes
 from kinfold.session import durable
 
 _TIE_DIGITS = 9
@@ -274,11 +275,20 @@ def neighbor_purity(neighbors: DataFrame, labels: DataFrame, *, row_id: str, lab
 
 
 def purity_null(neighbors: DataFrame, rows: DataFrame, *, row_id: str, label: str, k: int, n: int = 1000, seed: int) -> DataFrame:
-    """(perm, purity) under ``n`` relabellings of ``rows``: a pair of neighbours compares its drawn labels at once, and matches are summed for all draws."""
-    drawn = durable(shuffled_labels(rows.select(row_id, label), row_id=row_id, label=label, n=n, seed=seed))
-    a, b = (drawn.select(F.col(row_id).alias(end), F.col("_shuffled").alias(f"_{end}")) for end in ("query", "neighbor"))
-    same = F.zip_with("_query", "_neighbor", lambda x, y: F.when(x == y, 1.0).otherwise(0.0))
-    sums = neighbors.join(a, "query").join(b, "neighbor").select(same.alias("_same")).agg(vector_sum("_same").alias("_hits"))
+    """(perm, purity) under ``n`` relabellings of ``rows``: a pair of neighbours compares its drawn labels, a byte for each draw, and matches are summed inside the tasks."""
+    drawn = durable(shuffled_codes(rows, row_id=row_id, label=label, n=n, seed=seed))
+    a, b = (drawn.select(F.col(row_id).alias(end), F.col("_codes").alias(f"_{end}")) for end in ("query", "neighbor"))
+
+    def count(batches):
+        hits = np.zeros(n)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2048):
+                x, y = (np.stack([np.frombuffer(c, np.uint8 if len(c) == n else np.uint32) for c in batch.column(end).slice(i, 2048).to_pylist()]) for end in ("_query", "_neighbor"))
+                hits += ((x == y) & (x > 0)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([hits], pa.list_(pa.float64()))], names=["_same"])
+
+    pairs = neighbors.select("query", "neighbor").join(a, "query").join(b, "neighbor").select("_query", "_neighbor")
+    sums = pairs.mapInArrow(count, "_same array<double>").agg(vector_sum("_same").alias("_hits"))
     queries = neighbors.select("query").distinct().agg(F.count(F.lit(1)).alias("_n"))
     return attach_row(sums, queries).select(F.posexplode("_hits").alias("perm", "_h"), "_n").select("perm", (F.col("_h") / (F.col("_n") * k)).alias("purity"))
 

@@ -29,3 +29,23 @@ def test_knn_sends_a_query_once_to_each_slab(spark):
     np.fill_diagonal(d, np.inf)
     assert (got["neighbor"].to_numpy().reshape(-1, 5) == np.argsort(d, axis=1, kind="stable")[:, :5]).all()
     assert np.allclose(got["distance"].to_numpy().reshape(-1, 5), np.sort(d, axis=1)[:, :5], atol=2e-9)
+
+
+def test_purity_null_reads_a_graph_that_is_built_once(spark):
+    from kinfold.catalog.registry import QUERIES
+
+    plan = QUERIES["v10_purity_null"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "FlatMapCoGroups" not in plan
+
+
+def test_purity_null_compares_bytes_of_classes(spark):
+    from kinfold.operators.shuffles import shuffled_codes, shuffled_labels
+
+    for classes in (3, 400):
+        rows = spark.range(800).select(F.col("id").alias("row_id"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("c"), F.col("id") % classes)).alias("label"))
+        graph = spark.range(1600).select((F.col("id") % 800).alias("query"), (F.col("id") * 37 % 800).alias("neighbor"))
+        got = K.purity_null(graph, rows, row_id="row_id", label="label", k=2, n=30, seed=5).toPandas().set_index("perm")["purity"].sort_index()
+        drawn = {r.row_id: r._shuffled for r in shuffled_labels(rows, row_id="row_id", label="label", n=30, seed=5).collect()}
+        want = [sum(drawn[r.query][b] is not None and drawn[r.query][b] == drawn[r.neighbor][b] for r in graph.collect()) / 1600 for b in range(30)]
+        assert np.allclose(got, want)
+        assert {len(r._codes) for r in shuffled_codes(rows, row_id="row_id", label="label", n=30, seed=5).collect()} == {30 if classes == 3 else 120}
