@@ -355,8 +355,12 @@ def out_of_fold(df: DataFrame, estimator: Callable, *, row_id: str, label: str,
 
     Checkpointed, because scores, intervals and permutations all read it again.
     """
-    fitted = fit_folds(df, estimator, row_id=row_id, label=label, classes=classes, fold=fold, **options)
     columns = list(dict.fromkeys([row_id, label, *keep]))
+    together = isinstance(estimator, (Network, RoutedTrees)) or isinstance(estimator, Logistic) and options.get("held") is None and options.get("balance") != "oversample"
+    if not together:  # every fold's learner reads the rows some times, and each time would join them anew, with its broadcasts
+        group = options.get("group")
+        df = durable(df.select(*dict.fromkeys([*columns, fold, options["vec"], *([group] if group else [])])))
+    fitted = fit_folds(df, estimator, row_id=row_id, label=label, classes=classes, fold=fold, **options)
     scored = predict(df, fitted, fold=fold, keep=columns, classes=classes)
     return durable(scored.withColumn("pred", argmax_label("proba", classes)))
 
