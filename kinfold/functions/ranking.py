@@ -124,6 +124,29 @@ def hash_rank(
     return ranked.drop("_hex", "_bucket", "_one", "_off__one", "_one_total")
 
 
+def nested_hash_rank(df: DataFrame, outer: str, inner: str, ids: Sequence[str], seed: int | str) -> DataFrame:
+    """``_outer`` and ``_inner``: the positions of :func:`hash_rank` in the groups of ``outer`` and of (``outer``, ``inner``), from one shuffle of the rows.
+
+    Groups are cut into as many buckets as the number of rows asks for. A row without ``inner`` has no ``_inner``, one without ``outer`` is dropped.
+    """
+    rows, digits = df.count(), 1
+    while digits < BUCKET_DIGITS and rows > 16 ** digits << 16:
+        digits += 1
+    cut = df.where(F.col(outer).isNotNull()).withColumn("_hex", draw_hex(seed, *ids)).withColumn("_bucket", F.substring("_hex", 1, digits))
+    before = lambda *keys: Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy(outer, inner, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    starts = totals.groupBy(outer, "_bucket").agg(F.sum("_n").alias("_n")).select(outer, "_bucket", F.coalesce(F.sum("_n").over(before(outer)), F.lit(0)).alias("_o"))
+    inner_starts = totals.where(F.col(inner).isNotNull()).select(outer, inner, "_bucket", F.coalesce(F.sum("_n").over(before(outer, inner)), F.lit(0)).alias("_i"))
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    placed = cut.repartition(parts, outer, "_bucket")
+    here = {
+        "_outer": F.row_number().over(Window.partitionBy(outer, "_bucket").orderBy("_hex", *ids)) - 1,
+        "_inner": F.row_number().over(Window.partitionBy(outer, "_bucket", inner).orderBy("_hex", *ids)) - 1,
+    }
+    ranked = placed.withColumns(here).join(starts, [outer, "_bucket"]).join(inner_starts, [outer, inner, "_bucket"], "left")
+    return ranked.withColumns({"_outer": F.col("_outer") + F.col("_o"), "_inner": F.col("_inner") + F.col("_i")}).drop("_hex", "_bucket", "_o", "_i")
+
+
 def value_rank(
     df: DataFrame,
     keys: Sequence[str],

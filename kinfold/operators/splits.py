@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinfold.functions.hashing import draw_int
-from kinfold.functions.ranking import array_split_part, hash_rank
-from kinfold.functions.rows import attach_row, attach_totals
+from kinfold.functions.ranking import array_split_part, hash_rank, nested_hash_rank
+from kinfold.functions.rows import attach_totals
+from kinfold.session import durable
 
 
 def random_folds(df: DataFrame, *, row_id: str, n_folds: int, seed: int) -> DataFrame:
@@ -254,22 +255,28 @@ def cross_family_triplets(df: DataFrame, *, row_id: str, label: str, family: str
 
     Rows are numbered so that a class, and inside it a family, is one run of numbers.
     A draw from a pool is then a number that skips one run, and fetching the partner
-    is an equi-join on (class, number): no pool is materialised and no pair formed.
+    is an equi-join on the number: no pool is materialised and no pair formed.
     """
-    rows = df.select(row_id, label, family)
+    rows = durable(df.select(row_id, label, family))
     annotated = rows.where(F.col(family).isNotNull())
     fam = annotated.groupBy(label, family).agg(F.count("*").alias("_nf"))
     fam = hash_rank(fam, [label], [family], "family", out="_start", total="_nc", weight="_nf")
-    inside = hash_rank(annotated, [label, family], [row_id], "row", out="_r").join(fam.select(label, family, "_start"), [label, family])
-    pool = inside.select(F.col(label).alias("_pl"), (F.col("_start") + F.col("_r")).alias("_pi"), F.col(row_id).alias("positive"))
     cls = rows.groupBy(label).agg(F.count("*").alias("_m"))
-    cls = hash_rank(cls, [], [label], "class", out="_cstart", total="_all", weight="_m")
-    every = hash_rank(rows, [label], [row_id], "row", out="_r").select(F.col(label).alias("_nl"), F.col("_r").alias("_ni"), F.col(row_id).alias("negative"))
+    cls = durable(hash_rank(cls, [], [label], "class", out="_cstart", total="_all", weight="_m"))
+    fam = durable(fam.select(label, family, "_start", "_nf"))
     members = annotated.groupBy(label).agg(F.count("*").alias("_nl_total"))
+    numbered = durable(
+        nested_hash_rank(rows, label, family, [row_id], "row")
+        .join(cls.select(label, "_cstart"), label)
+        .join(fam.select(label, family, "_start"), [label, family], "left")
+        .select(F.col(row_id).alias("_id"), (F.col("_cstart") + F.col("_outer")).alias("_g"), (F.col("_cstart") + F.col("_start") + F.col("_inner")).alias("_p"))
+    )
+    pool = numbered.where(F.col("_p").isNotNull()).select("_p", F.col("_id").alias("positive"))
+    every = numbered.select("_g", F.col("_id").alias("negative"))
     anchors = (
         rows.join(cls, label)
         .join(members, label)
-        .join(fam.select(label, family, "_start", "_nf"), [label, family], "left")
+        .join(fam, [label, family], "left")
         .withColumns({"_nf": F.coalesce("_nf", F.lit(0)), "_start": F.coalesce("_start", F.lit(0))})
         .withColumns({"_np": F.col("_nl_total") - F.col("_nf"), "_nn": F.col("_all") - F.col("_m")})
         .withColumn("_k", F.least(F.lit(per_anchor), F.col("_np"), F.col("_nn")).cast("int"))
@@ -279,15 +286,8 @@ def cross_family_triplets(df: DataFrame, *, row_id: str, label: str, family: str
     u = F.pmod(draw_int(f"{seed}p", row_id, "draw"), F.col("_np"))
     v = F.pmod(draw_int(f"{seed}n", row_id, "draw"), F.col("_nn"))
     drawn = anchors.select(
-        F.col(row_id).alias("anchor"), "draw", F.col(label).alias("_pl"),
-        F.when(u >= F.col("_start"), u + F.col("_nf")).otherwise(u).alias("_pi"),
+        F.col(row_id).alias("anchor"), "draw",
+        (F.col("_cstart") + F.when(u >= F.col("_start"), u + F.col("_nf")).otherwise(u)).alias("_p"),
         F.when(v >= F.col("_cstart"), v + F.col("_m")).otherwise(v).alias("_g"),
     )
-    # the runs of the declared classes, as one array in one row
-    runs = cls.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_cstart").alias("s"), F.col("_m").alias("n"))).alias("_runs"))
-    spot = F.filter("_runs", lambda r: (F.col("_g") >= r["s"]) & (F.col("_g") < r["s"] + r["n"]))[0]
-    drawn = attach_row(drawn, runs).withColumn("_run", spot)
-    drawn = drawn.select("anchor", "draw", "_pl", "_pi", F.col("_run.l").alias("_nl"), (F.col("_g") - F.col("_run.s")).alias("_ni"))
-    return drawn.join(pool, ["_pl", "_pi"]).join(every, ["_nl", "_ni"]).select("anchor", "draw", "positive", "negative")
-
-
+    return drawn.join(pool, "_p").join(every, "_g").select("anchor", "draw", "positive", "negative")

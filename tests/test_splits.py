@@ -92,3 +92,18 @@ def test_halves_and_stratified_folds(genes):
     per = s.groupby(["family", "fold"]).size().unstack()
     assert (per.max(axis=1) - per.min(axis=1) <= 1).all()
     assert isinstance(per, pd.DataFrame)
+
+
+def test_nested_positions_equal_two_ranks_and_need_one_shuffle_of_rows(spark, monkeypatch):
+    from kinfold.functions import ranking
+
+    rows = spark.range(3000).select(F.col("id").alias("row_id"), F.when(F.col("id") % 50 != 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("label"), F.when(F.col("id") % 4 != 0, F.col("id") % 7).alias("family"))
+    got = {r.row_id: (r._outer, r._inner) for r in ranking.nested_hash_rank(rows, "label", "family", ["row_id"], "row").collect()}
+    outer = {r.row_id: r.rank for r in ranking.hash_rank(rows.where("label IS NOT NULL"), ["label"], ["row_id"], "row").collect()}
+    inner = {r.row_id: r.rank for r in ranking.hash_rank(rows.where("label IS NOT NULL AND family IS NOT NULL"), ["label", "family"], ["row_id"], "row").collect()}
+    assert got == {i: (r, inner.get(i)) for i, r in outer.items()}
+    widest = []
+    plain = ranking.nested_hash_rank
+    monkeypatch.setattr(P, "nested_hash_rank", lambda *a: widest.append(a) or plain(*a))
+    P.cross_family_triplets(rows, row_id="row_id", label="label", family="family", per_anchor=4)
+    assert len(widest) == 1  # one numbering serves the positive and the negative pool
