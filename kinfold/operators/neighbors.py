@@ -7,7 +7,8 @@ its least and greatest distance. A first pass compares every query with the shel
 lies in, which bounds its k-th distance; a second one visits only shells that the
 bound does not rule out. Neighbouring shells form slabs: a query is sent to a slab once, with a
 bit for each shell, and a task compares many queries with a slab by products of matrices,
-keeping what its shrinking bounds allow. (Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012;
+keeping what its shrinking bounds allow. Shells that most of a task's queries visit are compared in tiles that
+stay in the processor's cache, and bits are looked up for the few pairs that pass. (Voronoi-partitioned kNN join: Lu, Shen, Chen, Ooi, VLDB 2012;
 distance-ordered cells: Jagadish et al., iDistance, TODS 2005.)
 """
 
@@ -28,8 +29,10 @@ from kinfold.session import durable
 _TIE_DIGITS = 9
 _SLACK = 1e-6  # distances of unit vectors come from cosines, so small ones are exact to about 1e-8 only
 MAX_BLOCKS = 1 << 18  # the shells' bounds (32 bytes each) are on the driver and in every task
-SLAB_ROWS = 1 << 15  # rows, and queries, that meet in one task
+SLAB_VALUES = 1 << 22  # numbers in the rows, and in the queries, that meet in one task: 65,536 vectors of 64 dimensions
+TASK_ROWS = 1 << 13  # rows whose visits one task finds
 _SIDE = 2048  # queries whose products with a shell are in memory at a time
+_TILE = 512  # queries, and rows, of a tile of crowded shells
 
 
 def _unit(column) -> np.ndarray:
@@ -37,6 +40,21 @@ def _unit(column) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in column.chunks]
+    x = np.concatenate(flat).reshape(len(column), -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def _true(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of what is true, eight at a time: few are."""
+    flat = mask.ravel()
+    if len(flat) % 8:
+        return np.divmod(np.flatnonzero(flat), mask.shape[1])
+    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).ravel()
+    return np.divmod(at[flat[at]], mask.shape[1])
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (a @ b.T), 0.0))
 
@@ -52,7 +70,7 @@ class _Shells:
         self.centres = pivots[cells]
         self.cell_low = np.minimum.reduceat(self.low, self.start)
         self.cell_high = np.maximum.reduceat(self.high, self.start)
-        rows = min(SLAB_ROWS, max(1024, -(-int(self.rows.sum()) // 6)))
+        rows = min(max(1, SLAB_VALUES // pivots.shape[1]), max(1024, -(-int(self.rows.sum()) // 6)))
         self.slab = np.unique((np.cumsum(self.rows) - self.rows) // rows, return_inverse=True)[1]
         self.slab_start = np.flatnonzero(np.r_[True, self.slab[1:] != self.slab[:-1]])
         self.slab_rows = rows
@@ -60,11 +78,11 @@ class _Shells:
     def own(self, v: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, position of a block): shells around each query, cell after cell, until they hold ``need`` rows."""
         d = _distances(v, self.centres)
-        order = np.argsort(d, axis=1, kind="stable")
         open_, held, found = np.arange(len(v)), np.zeros(len(v), dtype="int64"), []
-        for j in range(len(self.centres)):
-            cell = order[open_, j]
+        for _ in range(len(self.centres)):
+            cell = d[open_].argmin(axis=1)
             r = d[open_, cell] - _SLACK
+            d[open_, cell] = np.inf
             spot = np.array([self.start[c] + min(np.searchsorted(self.high[self.start[c] : self.start[c] + self.count[c]], x), self.count[c] - 1) for c, x in zip(cell, r, strict=True)], dtype="int64")
             found.append((open_, spot))
             held[open_] += self.rows[spot]
@@ -121,6 +139,7 @@ def knn_join(
         return q.select(F.col("id").alias("query")).limit(0).selectExpr("query", "query AS neighbor", "0.0D AS distance", "0 AS rank")
     pivots = _unit(picked["v"])
     need = k + (1 if exclude_self else 0)
+    parts = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, -(-total // TASK_ROWS)))
     size = max(block_rows, need, -(-total // (MAX_BLOCKS // 2)))
 
     def assign(batches):
@@ -142,118 +161,130 @@ def knn_join(
                 block, filled = block + int(step[-1]), (filled + hi - lo - 1) % size + 1
             yield pdf.assign(block=pdf["part"].to_numpy() * (1 << 32) + out)[["id", "v", "cell", "r", "block"]]
 
-    ordered = b.mapInPandas(assign, "id long, v array<double>, cell int, r double").withColumn("s", F.round("r", 6))
+    ordered = b.repartition(parts, "id").mapInPandas(assign, "id long, v array<double>, cell int, r double").withColumn("s", F.round("r", 6))
     ordered = ordered.repartitionByRange("cell", "s", "id").sortWithinPartitions("cell", "s", "id").withColumn("part", F.spark_partition_id().cast("long"))
     shelves = durable(ordered.drop("s").mapInPandas(cut, "id long, v array<double>, cell int, r double, block long"))
     meta = shelves.groupBy("block").agg(F.first("cell").alias("cell"), F.count(F.lit(1)).alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.min("id").alias("first_id"))
     shells = _Shells(pivots, meta.toPandas().sort_values(["cell", "high", "first_id"], ignore_index=True))
     shared = q.sparkSession.sparkContext.broadcast(shells)
 
-    def visits(pdf):
+    def visits(batches):
         s = shared.value
-        for lo in range(0, len(pdf), 64):
-            part = pdf.iloc[lo : lo + 64]
-            v = _unit(part["v"])
-            yield part, *(s.beyond(v, part["bound"].to_numpy(), part["bound_id"].to_numpy(), need) if "bound" in part else s.own(v, need))
+        for pdf in batches:
+            for lo in range(0, len(pdf), 64):
+                part = pdf.iloc[lo : lo + 64]
+                v = _unit(part["v"])
+                i, spot = s.beyond(v, part["bound"].to_numpy(), part["bound_id"].to_numpy(), need) if "bound" in part else s.own(v, need)
+                flags = np.zeros((len(part), s.n_blocks), dtype=bool)
+                flags[i, spot] = True
+                to = [[] for _ in range(len(part))]
+                for slab in np.unique(s.slab[spot]).tolist():
+                    own = flags[:, s.slab_start[slab] : s.slab_start[slab + 1] if slab + 1 < len(s.slab_start) else s.n_blocks]
+                    bits = np.packbits(own, axis=1)
+                    for j in np.flatnonzero(own.any(axis=1)).tolist():
+                        to[j].append((slab, bits[j].tobytes()))
+                yield part.assign(to=to, pairs=flags @ s.rows)
 
     def compared(asked: DataFrame) -> DataFrame:
-        n_slabs = len(shells.slab_start)
-
-        def tally(batches):
-            hits, sent = np.zeros(shared.value.n_blocks, dtype="int64"), np.zeros(n_slabs, dtype="int64")
-            for pdf in batches:
-                for part, i, spot in visits(pdf):
-                    hits += np.bincount(spot, minlength=len(hits))
-                    sent += np.bincount(np.unique(i * n_slabs + shared.value.slab[spot]) % n_slabs, minlength=n_slabs)
-            for kind, found in enumerate((hits, sent)):
-                some = np.flatnonzero(found)
-                yield pd.DataFrame({"kind": np.int64(kind), "spot": some, "n": found[some]})
-
-        counts, sent = np.zeros(shells.n_blocks, dtype="int64"), np.zeros(n_slabs, dtype="int64")
-        for row in asked.mapInPandas(tally, "kind long, spot long, n long").groupBy("kind", "spot").agg(F.sum("n").alias("n")).toLocalIterator():
-            (sent if row.kind else counts)[row.spot] = row.n
+        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+        visited = durable(asked.repartition(parts, "id").mapInPandas(visits, shape + ", to array<struct<slab:int,bits:binary>>, pairs long"))
+        sent = np.zeros(len(shells.slab_start), dtype="int64")
+        for row in visited.select(F.explode("to.slab").alias("slab")).groupBy("slab").agg(F.count(F.lit(1)).alias("n")).toLocalIterator():
+            sent[row.slab] = row.n
         if stats is not None:
-            stats["pairs"] = stats.get("pairs", 0) + int((counts * shells.rows).sum())
+            stats["pairs"] = stats.get("pairs", 0) + (visited.agg(F.sum("pairs")).first()[0] or 0)
             stats["sent"] = stats.get("sent", 0) + int(sent.sum())
         chunks = -(-sent // shells.slab_rows)
         dealt = q.sparkSession.sparkContext.broadcast((chunks, dict(zip(shells.block.tolist(), range(shells.n_blocks), strict=True))))
 
-        def place(batches):
-            s = shared.value
-            for pdf in batches:
-                for part, i, spot in visits(pdf):
-                    if not len(i):
-                        continue
-                    flags = np.zeros((len(part), s.n_blocks), dtype=bool)
-                    flags[i, spot] = True
-                    hashed = pd.util.hash_array(part["id"].to_numpy())
-                    to = [[] for _ in range(len(part))]
-                    for slab in np.unique(s.slab[spot]).tolist():
-                        lo = s.slab_start[slab]
-                        hi = s.slab_start[slab + 1] if slab + 1 < n_slabs else s.n_blocks
-                        own = flags[:, lo:hi]
-                        bits = np.packbits(own, axis=1)
-                        for j in np.flatnonzero(own.any(axis=1)).tolist():
-                            to[j].append((slab, int(hashed[j] % dealt.value[0][slab].astype("uint64")), bits[j].tobytes()))
-                    yield part.assign(to=to)
-
         def locate(batches):
             for pdf in batches:
                 spot = pdf["block"].map(dealt.value[1]).to_numpy()
                 slab = shared.value.slab[spot]
                 yield pdf[["id", "v"]].assign(spot=spot - shared.value.slab_start[slab], slab=slab, n=dealt.value[0][slab])
 
-        shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-        left = asked.mapInPandas(place, shape + ", to array<struct<slab:int,chunk:int,bits:binary>>").select("*", F.explode("to").alias("_to")).select(*asked.columns, "_to.*")
+        per_slab = F.array(*[F.lit(int(n)) for n in chunks])
+        left = visited.select(*asked.columns, F.explode("to").alias("_to")).select(*asked.columns, "_to.*")
+        left = left.withColumn("chunk", F.pmod(F.xxhash64("id"), F.get(per_slab, F.col("slab"))).cast("int"))
         right = shelves.select("id", "v", "block").mapInPandas(locate, "id long, v array<double>, spot int, slab int, n int").where("n > 0")
         right = right.select("id", "v", "spot", "slab", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("chunk"))
-        tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, 2 * int(chunks.sum())))
+        tasks = max(int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(4096, 4 * int(chunks.sum())))
         sides = [side.repartition(tasks, "slab", "chunk").groupBy("slab", "chunk") for side in (left, right)]
-        return sides[0].cogroup(sides[1]).applyInPandas(match, "query long, neighbor long, distance double")
+        return sides[0].cogroup(sides[1]).applyInArrow(match, "query long, neighbor long, distance double")
 
-    def match(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query": pd.Series(dtype="int64"), "neighbor": pd.Series(dtype="int64"), "distance": pd.Series(dtype="float64")})
-        if lhs.empty or rhs.empty:
-            return empty
-        rhs = rhs.sort_values(["spot", "id"])
+    def match(lhs: pa.Table, rhs: pa.Table) -> pa.Table:
+        names = ["query", "neighbor", "distance"]
+        if not lhs.num_rows or not rhs.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         ids, spots, asking = rhs["id"].to_numpy(), rhs["spot"].to_numpy(), lhs["id"].to_numpy()
-        bv, qv = _unit(rhs["v"]), _unit(lhs["v"])
+        order = np.lexsort((ids, spots))
+        ids, spots = ids[order], spots[order]
+        bv, qv = _matrix(rhs["v"])[order], _matrix(lhs["v"])
         bs, qs = bv.astype("float32"), qv.astype("float32")
         margin = np.float32((bv.shape[1] + 8) * 1.2e-7)  # more than products of rounded unit vectors can be off
-        bound = lhs["bound"].to_numpy() if "bound" in lhs else np.full(len(lhs), np.inf)
-        bound_id = lhs["bound_id"].to_numpy() if "bound" in lhs else np.zeros(len(lhs), dtype="int64")
-        bits = np.unpackbits(np.stack([np.frombuffer(x, np.uint8) for x in lhs["bits"]]), axis=1).astype(bool)
-        best, best_id = np.full((len(lhs), k), np.inf), np.full((len(lhs), k), np.iinfo("int64").max)
+        bounded = "bound" in lhs.column_names
+        bound = lhs["bound"].to_numpy() if bounded else np.full(len(qv), np.inf)
+        bound_id = lhs["bound_id"].to_numpy() if bounded else np.zeros(len(qv), dtype="int64")
+        bits = np.frombuffer(b"".join(lhs["bits"].to_pylist()), np.uint8).reshape(len(qv), -1)
+        best, best_id = np.full((len(qv), k), np.inf), np.full((len(qv), k), np.iinfo("int64").max)
+
+        def least(own):
+            return (1.0 - np.minimum(bound[own], best[:, -1][own]) - 1e-9).astype("float32") - margin
+
+        def keep(i, j):
+            d = np.round(1.0 - np.concatenate([np.einsum("ij,ij->i", qv[i[x : x + 65536]], bv[j[x : x + 65536]]) for x in range(0, len(i), 65536)]), _TIE_DIGITS)
+            j = ids[j]
+            fits = (d < bound[i]) | ((d == bound[i]) & (j < bound_id[i]))
+            if exclude_self:
+                fits &= asking[i] != j
+            i, j, d = i[fits], j[fits], d[fits]
+            some = np.unique(i)
+            i, j, d = np.r_[i, np.repeat(some, k)], np.r_[j, best_id[some].ravel()], np.r_[d, best[some].ravel()]
+            order = np.lexsort((j, d, i))
+            i, j, d = i[order], j[order], d[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype="int64")
+            place_of = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+            top = place_of < k
+            best[i[top], place_of[top]], best_id[i[top], place_of[top]] = d[top], j[top]
+
         edges = np.r_[np.flatnonzero(np.r_[True, spots[1:] != spots[:-1]]), len(spots)]
+        crowded = np.zeros(len(spots), dtype=bool)
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            visitors = np.flatnonzero(bits[:, spots[lo]])
+            visitors = np.flatnonzero(bits[:, spots[lo] >> 3] & (128 >> (spots[lo] & 7)))
+            if bounded and 2 * len(visitors) > len(qv):
+                crowded[lo:hi] = True
+                continue
             for start in range(0, len(visitors), _SIDE):
                 own = visitors[start : start + _SIDE]
                 near = qs[own] @ bs[lo:hi].T
-                limit = np.minimum(bound[own], best[:, -1][own])
-                least = (1.0 - limit - 1e-9).astype("float32") - margin
-                free = np.flatnonzero(np.isinf(limit))
+                floor = least(own)
+                free = np.flatnonzero(np.isinf(floor))
                 if len(free) and hi - lo > need:
-                    least[free] = np.partition(near[free], hi - lo - need, axis=1)[:, hi - lo - need] - 2 * margin
-                i, j = np.nonzero(near >= least[:, None])
-                if not len(i):
-                    continue
-                d = np.round(1.0 - np.concatenate([np.einsum("ij,ij->i", qv[own[i[x : x + 65536]]], bv[lo + j[x : x + 65536]]) for x in range(0, len(i), 65536)]), _TIE_DIGITS)
-                i, j = own[i], ids[lo + j]
-                fits = (d < bound[i]) | ((d == bound[i]) & (j < bound_id[i]))
-                if exclude_self:
-                    fits &= asking[i] != j
-                i, j, d = i[fits], j[fits], d[fits]
-                some = np.unique(i)
-                i, j, d = np.r_[i, np.repeat(some, k)], np.r_[j, best_id[some].ravel()], np.r_[d, best[some].ravel()]
-                order = np.lexsort((j, d, i))
-                i, j, d = i[order], j[order], d[order]
-                first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, dtype="int64")
-                place_of = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
-                top = place_of < k
-                best[i[top], place_of[top]], best_id[i[top], place_of[top]] = d[top], j[top]
+                    floor[free] = np.partition(near[free], hi - lo - need, axis=1)[:, hi - lo - need] - 2 * margin
+                i, j = _true(near >= floor[:, None])
+                if len(i):
+                    keep(own[i], lo + j)
+        rows = np.flatnonzero(crowded)
+        tiles = [rows[x : x + _TILE] for x in range(0, len(rows), _TILE)]
+        bs = [np.ascontiguousarray(bs[tile].T) for tile in tiles]
+        products, passed = np.empty(_TILE * _TILE, dtype="float32"), np.empty(_TILE * _TILE, dtype=bool)
+        for start in range(0, len(qv) if tiles else 0, _TILE):
+            own = np.arange(start, min(start + _TILE, len(qv)))
+            floor, found, waiting = least(own)[:, None], [], 0
+            for at, (tile, turned) in enumerate(zip(tiles, bs, strict=True)):
+                shape = (len(own), len(tile))
+                near, mask = (buffer[: shape[0] * shape[1]].reshape(shape) for buffer in (products, passed))
+                np.matmul(qs[own[0] : own[-1] + 1], turned, out=near)
+                i, j = _true(np.greater_equal(near, floor, out=mask))
+                i, j = own[i], tile[j]
+                asked_for = (bits[i, spots[j] >> 3] & (128 >> (spots[j] & 7))) > 0
+                found.append((i[asked_for], j[asked_for]))
+                waiting += len(found[-1][0])
+                if waiting > (8 * _TILE if at + 1 < len(tiles) else 0):
+                    keep(*map(np.concatenate, zip(*found, strict=True)))
+                    floor, found, waiting = least(own)[:, None], [], 0
         row, at = np.nonzero(np.isfinite(best))
-        return pd.DataFrame({"query": asking[row], "neighbor": best_id[row, at], "distance": best[row, at]})
+        return pa.table([pa.array(x) for x in (asking[row], best_id[row, at], best[row, at])], names=names)
 
     first = durable(compared(q))
     kth = first.groupBy("query").agg(F.get(F.sort_array(F.collect_list(F.struct("distance", "neighbor"))), F.lit(k - 1)).alias("_k"))

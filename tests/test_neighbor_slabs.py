@@ -49,3 +49,33 @@ def test_purity_null_compares_bytes_of_classes(spark):
         want = [sum(drawn[r.query][b] is not None and drawn[r.query][b] == drawn[r.neighbor][b] for r in graph.collect()) / 1600 for b in range(30)]
         assert np.allclose(got, want)
         assert {len(r._codes) for r in shuffled_codes(rows, row_id="row_id", label="label", n=30, seed=5).collect()} == {30 if classes == 3 else 120}
+
+
+def test_knn_reads_its_queries_once_in_each_pass(spark):
+    x = np.random.default_rng(6).normal(size=(2000, 16))
+    df, read = frame(spark, x), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            read.add(len(pdf))
+            yield pdf
+
+    got = K.knn_join(df.coalesce(1).mapInPandas(counted, df.schema), df, k=4, block_rows=64, n_pivots=40).toPandas().sort_values(["query", "rank"])
+    assert read.value == 2 * len(x)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    np.fill_diagonal(d, np.inf)
+    assert (got["neighbor"].to_numpy().reshape(-1, 4) == np.argsort(d, axis=1, kind="stable")[:, :4]).all()
+
+
+def test_slabs_of_wide_vectors_hold_fewer_rows():
+    meta = pd.DataFrame({"block": range(100), "cell": np.arange(100) // 25, "n": 4096, "low": 0.0, "high": 1.0, "first_id": range(100)})
+    for width, blocks in ((64, 16), (4096, 1)):
+        assert K._Shells(np.eye(4, width), meta).slab.max() + 1 == -(-100 // blocks)
+
+
+def test_true_finds_what_nonzero_finds():
+    rng = np.random.default_rng(7)
+    for shape in ((512, 512), (3, 5), (8, 7), (1, 1)):
+        mask = rng.random(shape) < 0.1
+        assert all((a == b).all() for a, b in zip(K._true(mask), np.nonzero(mask), strict=True))
