@@ -248,11 +248,11 @@ def v11(spark, sf):
 
 @query(
     "v11_ratio_null",
-    f"""WITH RECURSIVE {B.VECTORS_SQL}, {_UNIT}, {permute_sql('vectors', 'row_id', 100, 8, label='family', fold='0')}, u AS (SELECT ul.*, family, perm FROM ul JOIN permuted USING (row_id)), {_WB.format(by='perm,', g='GROUP BY perm', j='JOIN t2 USING (perm)')}
+    f"""WITH RECURSIVE {B.VECTORS_SQL}, {_UNIT}, {permute_sql('vectors', 'row_id', 1000, 8, label='family', fold='0')}, u AS (SELECT ul.*, family, perm FROM ul JOIN permuted USING (row_id)), {_WB.format(by='perm,', g='GROUP BY perm', j='JOIN t2 USING (perm)')}
     SELECT perm, round(ratio, 6) AS ratio FROM wb""",
 )
 def v11_null(spark, sf):
-    nulls = V.within_between_null(B.vectors(spark, sf), row_id="row_id", vec="vec", family="family", n=100, seed=8)
+    nulls = V.within_between_null(B.vectors(spark, sf), row_id="row_id", vec="vec", family="family", n=1000, seed=8)
     return nulls.select(F.col("perm").cast("long").alias("perm"), F.round("ratio", 6).alias("ratio"))
 
 
