@@ -47,6 +47,23 @@ def dense(n_draws: int):
     return packed
 
 
+def hit_numbers(lead: bytes, label: str, total: int, first: int, last: int, draws: range) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some of the draws, one row for each): which of ``total`` indexes the places ``first`` to ``last`` hit, hashed in blocks."""
+    for lo, hi in equally_long(first, last):
+        for start in range(lo, hi, LANES):
+            places = np.arange(start, min(start + LANES, hi))
+            at = digits(places)
+            for b0, b1 in equally_long(draws.start, draws.stop):
+                many = max(1, LANES // len(places))
+                for b in range(b0, b1, many):
+                    own = np.arange(b, min(b + many, b1))
+                    spot = digits(own) if len(own) > 1 else list(str(b).encode())
+                    boot = [np.repeat(c, len(places)) for c in spot] if len(own) > 1 else spot
+                    grid = [np.tile(c, len(own)) for c in at] if len(own) > 1 else at
+                    h = md5_words([*lead, *boot, *f"|{label}|".encode(), *grid])[0].astype(np.int64)
+                    yield own, (h - h // total * total).reshape(len(own), -1)
+
+
 def hit_bytes(numbered: DataFrame, *, key: str, index: str, size: str, cluster: str, n_draws: int, seed: int | str) -> DataFrame:
     """(cluster, _m): how often ``size`` draws with replacement hit each index of a key, in one byte for each of ``n_draws``; indexes never hit are missing.
 
@@ -59,20 +76,9 @@ def hit_bytes(numbered: DataFrame, *, key: str, index: str, size: str, cluster:
     def hashed(label: str, total: int, first: int, last: int, draws: range) -> np.ndarray:
         """Hits of the places ``first`` to ``last`` as (block of indexes, draw, index inside the block) in one number, sorted."""
         found = []
-        for lo, hi in equally_long(first, last):
-            for start in range(lo, hi, LANES):
-                places = np.arange(start, min(start + LANES, hi))
-                at = digits(places)
-                for b0, b1 in equally_long(draws.start, draws.stop):
-                    many = max(1, LANES // len(places))
-                    for b in range(b0, b1, many):
-                        own = np.arange(b, min(b + many, b1))
-                        spot = digits(own) if len(own) > 1 else list(str(b).encode())
-                        boot = [np.repeat(c, len(places)) for c in spot] if len(own) > 1 else spot
-                        grid = [np.tile(c, len(own)) for c in at] if len(own) > 1 else at
-                        h = md5_words([*lead, *boot, *f"|{label}|".encode(), *grid])[0].astype(np.int64)
-                        block, inside = np.divmod(h - h // total * total, _UNITS)
-                        found.append((block * _DRAWS + np.repeat(own - draws.start, len(places))) * _UNITS + inside)
+        for own, hits in hit_numbers(lead, label, total, first, last, draws):
+            block, inside = np.divmod(hits, _UNITS)
+            found.append(((block * _DRAWS + (own - draws.start)[:, None]) * _UNITS + inside).ravel())
         return np.sort(np.concatenate(found))
 
     def throw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

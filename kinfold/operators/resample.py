@@ -4,13 +4,15 @@ Drawn rows are never materialised. A draw is a (boot, cluster, weight) table, ro
 are first compressed to counts per cluster, and every metric takes the weight. A
 statistic is an object with two methods: ``compress(df, cluster)`` reduces rows to
 weighted cells per cluster, ``score(cells, keys)`` returns one value per key set.
-Ranking and count statistics also have ``score_draws``, which scores all draws in one pass.
+Ranking and count statistics also have ``score_draws``, which scores all draws in one pass, and some ``score_blocks``,
+which scores plain rows in blocks of draws, without a shuffle for the draws.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from kinfold.functions.rows import attach_row
 from kinfold.functions.ranking import hash_rank, rank_table
 from kinfold.operators import metrics as M
+from kinfold.operators.draw_blocks import EVERY, Blocks, blocks, correlation_by_block
 from kinfold.operators.draw_ranks import correlation_by_draw
 from kinfold.operators.many_draws import auroc_by_draw, cell_draws, draw_table, hit_bytes, kept_bytes, permuted_rows, value_sums, weighted_rows
 from kinfold.operators.shuffles import class_marks, class_sums, shuffled_labels
@@ -123,6 +126,10 @@ class SpearmanRho:
         per = correlation_by_draw(cells, draws, cluster=cluster, keys=[self.fold], x=self.x, y=self.y, n_draws=n_boot)
         return _fold_mean(per, ["boot"], "rho", self.n_folds)
 
+    def score_blocks(self, df: DataFrame, draws: Blocks, cluster: str) -> DataFrame | None:
+        per = correlation_by_block(df, draws, cluster=cluster, keys=[self.fold], x=self.x, y=self.y)
+        return None if per is None else _fold_mean(per, ["boot"], "rho", self.n_folds)
+
 
 @dataclass(frozen=True)
 class MeanOf:
@@ -233,27 +240,33 @@ def _summary(values: DataFrame, point: DataFrame, value: str, n_boot: int, ci: f
 
 def bootstrap_values(df: DataFrame, statistics: dict, *, cluster: str, n_boot: int, seed: int, strata: DataFrame | None = None) -> DataFrame:
     """(metric, boot, value): one draw table scores every statistic."""
-    cells = {name: durable(s.compress(df, cluster)) for name, s in statistics.items()}
-    return _values(df, statistics, cells, cluster, n_boot, seed, strata)
+    parts = _values(df, statistics, cluster, n_boot, seed, strata)
+    return reduce(DataFrame.unionByName, [values for values, _ in parts])
 
 
-def _values(df, statistics: dict, cells: dict, cluster: str, n_boot: int, seed, strata) -> DataFrame:
-    draws = durable(cluster_multiplicities(_clusters(df, cluster, strata), cluster=cluster, n_boot=n_boot, seed=seed))
-    out = None
+def _values(df: DataFrame, statistics: dict, cluster: str, n_boot: int, seed: int, strata: DataFrame | None) -> list[tuple[DataFrame, DataFrame]]:
+    """(metric, boot, value) and (metric, point) of every statistic. What is read many times is checkpointed."""
+    numbered = durable(_numbered(_clusters(df, cluster, strata), cluster).withColumnRenamed("_cluster", cluster))
+    able = any(hasattr(s, "score_blocks") for s in statistics.values())
+    dealt = blocks(numbered, cluster=cluster, n_draws=n_boot, seed=seed) if able else None
+    out, draws = [], None
     for name, s in statistics.items():
-        v = _drawn(s, cells[name], draws, cluster, "value", n_boot).select(F.lit(name).alias("metric"), "boot", "value")
-        out = v if out is None else out.unionByName(v)
+        metric = F.lit(name).alias("metric")
+        scored = s.score_blocks(df, dealt, cluster) if dealt and hasattr(s, "score_blocks") else None
+        if scored is not None:
+            scored = durable(scored.select(metric, "boot", "value"))
+            out.append((scored.where(F.col("boot") != EVERY), scored.where(F.col("boot") == EVERY).select("metric", F.col("value").alias("point"))))
+            continue
+        if draws is None:
+            draws = durable(hit_bytes(numbered, key="_stratum", index="_index", size="_size", cluster=cluster, n_draws=n_boot, seed=seed))
+        cells = durable(s.compress(df, cluster))
+        out.append((_drawn(s, cells, draws, cluster, "value", n_boot).select(metric, "boot", "value"), _point(s, cells).select(metric, "point")))
     return out
 
 
 def bootstrap_interval(df: DataFrame, statistics: dict, *, cluster: str, n_boot: int = 1000, seed: int = 0, ci: float = 0.95, min_valid: float = 0.99, strata: DataFrame | None = None) -> DataFrame:
-    """One interval row per statistic. The compressed cells and the draws are read many times, so they are checkpointed."""
-    cells = {name: durable(s.compress(df, cluster)) for name, s in statistics.items()}
-    values = _values(df, statistics, cells, cluster, n_boot, seed, strata)
-    points = None
-    for name, s in statistics.items():
-        p = _point(s, cells[name]).withColumn("metric", F.lit(name))
-        points = p if points is None else points.unionByName(p)
+    """One interval row per statistic."""
+    values, points = (reduce(DataFrame.unionByName, part) for part in zip(*_values(df, statistics, cluster, n_boot, seed, strata), strict=True))
     return points.join(percentile_summary(values, value="value", n_boot=n_boot, ci=ci, min_valid=min_valid, keys=["metric"]), "metric", "left")
 
 
