@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from kinfold.functions.hashing import LANES
+from kinfold.functions.ranking import value_bucket
 from kinfold.operators.many_draws import hit_numbers
 from kinfold.session import durable
 
@@ -27,6 +28,7 @@ HELD = 1 << 27  # bytes of multiplicities in a task
 RANKED = 1 << 24  # rows that a task ranks at once; a larger key goes by draw_ranks
 STRATA = 1 << 16  # strata whose sizes every task gets
 _KEPT = 1 << 22  # rows that a task holds before it hands on packs that are not full
+_TARGET = 1 << 40  # above every number of a cluster
 EVERY = -1  # the draw in which each cluster counts once
 
 
@@ -150,6 +152,153 @@ def packed(rows: DataFrame, *, keys: Sequence[str], columns: dict[str, str]) ->
     return rows.select(*keys, *columns).mapInArrow(pack, shape + ", ".join(f"{c} binary" for c in columns))
 
 
+def weights_by_draw(rows: DataFrame, draws: Blocks, *, cluster: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, boot, _w): the number of rows of every key in every draw; a key without a row in a draw is missing there."""
+    keys = list(keys)
+    packs = durable(packed(rows.join(draws.units, cluster), keys=keys, columns={"_unit": "int32"}))
+    shape, kinds = _shape(packs, keys)
+
+    def scan(own: range, batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key = tuple(batch.column(k)[i].as_py() for k in keys)
+                total = sums.setdefault(key, np.zeros((len(held), held.shape[2]), np.int64))
+                units = _bytes_at(batch.column("_unit"), i, np.int32)
+                for g, part in enumerate(held):
+                    total[g] += _drawn(part, units).sum(axis=1, dtype=np.int64)
+        for key, total in sums.items():
+            w = total.ravel()[: len(own)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(own), kinds[k]) for k, v in zip(keys, key, strict=True)), pa.array(np.arange(own.start, own.stop), pa.int32()), pa.array(w.astype(float))], names=[*keys, "boot", "_w"])
+
+    return draws.scanned(packs, scan, shape + "boot int, _w double").where("_w > 0")
+
+
+def ordered_packs(rows: DataFrame, *, keys: Sequence[str], score: str, target: str, step: int = 128) -> DataFrame:
+    """(keys, _first, _single, _units, _bounds): rows of a key in the order of their scores, as runs of equal scores with negatives first.
+
+    ``_bounds`` has, for the runs with a positive row, their starts, their first positive rows and their ends. A run never lies in two packs,
+    but one of more than ``PACK`` rows, whose packs are marked ``_single``.
+    """
+    shape, kinds = _shape(rows, keys)
+    positive = (F.col(target) == 1).cast("long") * _TARGET
+    bucket = F.floor(value_bucket(score) / step)
+    cut = rows.where(F.col(score).isNotNull()).select(*keys, bucket.alias("_b"), F.col(score).cast("double").alias("_s"), (F.coalesce(positive, F.lit(0)) + F.col("_unit")).alias("_c"))
+    ordered = cut.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b", "_s", "_c")
+    group = [*keys, "_b"]
+
+    def record(key: tuple, s: np.ndarray, c: np.ndarray, single: bool) -> pa.RecordBatch:
+        start = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        end = np.r_[start[1:], len(s)]
+        count = np.add.reduceat((c >= _TARGET).astype(np.int64), start)
+        some = count > 0
+        bounds = np.concatenate([start[some], (end - count)[some], end[some]]).astype(np.int32)
+        arrays = [pa.array([s[0]]), pa.array([single]), pa.array([(c % _TARGET).astype(np.int32).tobytes()], pa.binary()), pa.array([bounds.tobytes()], pa.binary())]
+        return pa.RecordBatch.from_arrays([*(pa.array([v], kinds[k]) for k, v in zip(keys, key)), *arrays], names=[*keys, "_first", "_single", "_units", "_bounds"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, size, open_run = None, [], 0, None
+
+        def hand_on(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, open_run
+            s, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            at = 0
+            while at < len(s) and (last or len(s) - at > PACK):
+                ahead = first[np.searchsorted(first, at, "right") :]
+                run = int(ahead[0]) if len(ahead) else len(s)
+                if s[at] == open_run or run - at > PACK:
+                    open_run = s[at]
+                    for i in range(at, run, PACK):
+                        yield record(key, s[i : min(i + PACK, run)], c[i : min(i + PACK, run)], True)
+                    at = run
+                    continue
+                if last and len(s) - at <= PACK:
+                    to = len(s)
+                else:
+                    to = int(ahead[np.searchsorted(ahead, at + PACK, "right") - 1])
+                yield record(key, s[at:to], c[at:to], False)
+                at = to
+            held, size = ([(s[at:], c[at:])] if at < len(s) else []), len(s) - at
+            if last:
+                open_run = None
+
+        for batch in batches:
+            s, c = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("_s", "_c"))
+            turn = np.zeros(batch.num_rows + 1, bool)
+            turn[[0, -1]] = True
+            for k in group:
+                own = pd.factorize(batch.column(k).to_pandas(), use_na_sentinel=False)[0]
+                turn[1:-1] |= own[1:] != own[:-1]
+            cuts = np.flatnonzero(turn)
+            for a, z in zip(cuts, cuts[1:]):
+                now = tuple(batch.column(k)[int(a)].as_py() for k in group)
+                if now != key and held:
+                    yield from hand_on(True)
+                key, open_run = now, open_run if now == key else None
+                held.append((s[a:z], c[a:z]))
+                size += z - a
+                if size >= 2 * PACK:
+                    yield from hand_on(False)
+        if held:
+            yield from hand_on(True)
+
+    return ordered.mapInArrow(pack, shape + "_first double, _single boolean, _units binary, _bounds binary")
+
+
+def auroc_by_block(rows: DataFrame, draws: Blocks, *, cluster: str, keys: Sequence[str], score: str, target: str) -> DataFrame:
+    """(keys, boot, auroc) of rows with a 0/1 target; null where a draw lacks one of the classes.
+
+    With ``S`` and ``E`` the number of rows before and up to a run, in a draw, a run's positive rows stand above half of ``S + E`` rows; of these
+    the positive ones are half of all their pairs.
+    """
+    keys = list(keys)
+    packs = durable(ordered_packs(rows.join(draws.units, cluster), keys=keys, score=score, target=target, step=128 if draws.n > 100_000 else 8192))
+    shape, kinds = _shape(packs, keys)
+
+    def scan(own: range, batches: Iterator[pa.RecordBatch], held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        found: dict = {}
+        lane = held.shape[2]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                units, bounds = _bytes_at(batch.column("_units"), i, np.int32), _bytes_at(batch.column("_bounds"), i, np.int32).reshape(3, -1)
+                p, t, u = np.zeros((3, len(held), lane))
+                running = np.zeros((lane, len(units) + 1), np.int32)
+                for g, part in enumerate(held):
+                    np.cumsum(_drawn(part, units), axis=1, dtype=np.int32, out=running[:, 1:])
+                    t[g] = running[:, -1]
+                    if bounds.shape[1]:
+                        start, middle, end = (running.take(b, axis=1) for b in bounds)
+                        np.subtract(end, middle, out=middle)
+                        start += end
+                        p[g] = middle.sum(axis=1)
+                        u[g] = np.einsum("ij,ij->i", middle.astype(float), start.astype(float)) / 2
+                single = batch.column("_single")[i].as_py()
+                key = tuple(batch.column(k)[i].as_py() for k in keys)
+                found.setdefault(key, []).append((batch.column("_first")[i].as_py(), single, p.ravel(), (t - p).ravel(), (u - p * p / 2).ravel()))
+        for key, parts in found.items():
+            positive, below, wins = np.zeros((3, len(held) * lane))
+            parts.sort(key=lambda x: x[0])
+            at = 0
+            while at < len(parts):
+                first, single, p, q, u = parts[at]
+                to = at + 1
+                if single:  # the packs of one run
+                    while to < len(parts) and parts[to][0] == first:
+                        p, q, to = p + parts[to][2], q + parts[to][3], to + 1
+                    u = p * q / 2
+                wins += u + p * below
+                positive += p
+                below += q
+                at = to
+            with np.errstate(invalid="ignore", divide="ignore"):
+                auroc = (wins / (positive * below))[: len(own)]
+            lacking = ((positive == 0) | (below == 0))[: len(own)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(own), kinds[k]) for k, v in zip(keys, key, strict=True)), pa.array(np.arange(own.start, own.stop), pa.int32()), pa.array(auroc, mask=lacking)], names=[*keys, "boot", "auroc"])
+
+    return draws.scanned(packs, scan, shape + "boot int, auroc double")
+
+
 def _runs(v: np.ndarray) -> np.ndarray:
     """Starts of the runs of ordered values, and their number of rows at the end."""
     new = v[1:] != v[:-1]
